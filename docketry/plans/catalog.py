@@ -10,6 +10,7 @@ MODULES = (
     "filings",
     "changes",
     "titles",
+    "financials",
 )
 
 
