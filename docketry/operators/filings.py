@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketry import vocab
 from docketry.functions import instants as ts, text as tx
+from docketry.operators.matching import containing_pairs
 
 
 def normalize_filings(rows: DataFrame, mode: str = vocab.LIVE_MODE, source: str = "OPENDART") -> DataFrame:
@@ -181,33 +182,6 @@ def recent_source(items: DataFrame) -> DataFrame:
 # ── correction links ────────────────────────────────────────────────────────────────────────────
 
 
-def _title_pairs(corrections: DataFrame, history: DataFrame, gram: int) -> DataFrame:
-    """Distinct (ticker, base, title) with the base contained in the title.
-
-    Works on distinct titles and joins on a leading piece of the base that the title must contain, so
-    titles that share nothing never meet.
-    """
-    bases = corrections.select("ticker", "base").distinct()
-    bases = bases.withColumn("piece", F.substring("base", 1, gram))
-    titles = history.select("ticker", "report_name").distinct()
-    size = F.length("report_name")
-
-    def pieces(width):
-        starts = F.sequence(F.lit(1), size - (width - 1))
-        return F.when(size >= width, F.transform(starts, lambda i: F.substr(F.col("report_name"), i, F.lit(width)))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    all_pieces = F.array_distinct(F.flatten(F.array(*[pieces(w) for w in range(1, gram + 1)])))
-    titles = titles.withColumn("piece", F.explode(all_pieces))
-    return (
-        bases.join(titles, ["ticker", "piece"])
-        .where(F.contains("report_name", "base"))
-        .select("ticker", "base", "report_name")
-        .distinct()
-    )
-
-
 def _best(values: Column, keep: int) -> Column:
     return F.slice(F.array_distinct(F.sort_array(values, asc=False)), 1, keep)
 
@@ -270,7 +244,7 @@ def link_corrections(events: DataFrame, history: DataFrame | None = None, keep:
     fields = ["ticker", "rcept_no", "report_name", "seq"]
     known = events.select(*fields) if history is None else history.select(*fields).unionByName(events.select(*fields))
     corrections = events.where("is_correction").withColumn("base", base).where("base <> ''")
-    pairs = _title_pairs(corrections, known, gram)
+    pairs = containing_pairs(corrections, known, ["ticker"], "base", "report_name", gram)
     candidates = known.join(pairs, ["ticker", "report_name"]).select(
         "ticker", "base", (F.col("seq") * 2 + 1).alias("idx"), F.array("rcept_no").alias("own"), F.lit(False).alias("asks")
     )

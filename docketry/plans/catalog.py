@@ -11,6 +11,7 @@ MODULES = (
     "changes",
     "titles",
     "financials",
+    "coverage",
 )
 
 
