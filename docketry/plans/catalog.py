@@ -12,6 +12,7 @@ MODULES = (
     "titles",
     "financials",
     "coverage",
+    "digests",
 )
 
 
