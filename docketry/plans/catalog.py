@@ -13,6 +13,8 @@ MODULES = (
     "financials",
     "coverage",
     "digests",
+    "corpus",
+    "archive",
 )
 
 

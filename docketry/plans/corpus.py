@@ -1,0 +1,175 @@
+"""Queries on text corpora, records and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docketry.operators import corpus as op
+from docketry.plans import standins as sv
+from docketry.plans.registry import query
+
+RULES = (
+    op.Rule("mail", r"[a-z0-9.]+@[a-z0-9.]+", "all"),
+    op.Rule("phone", r"\+\d \(\d{3}\)", "study"),
+    op.Rule("token", 'token = "', "all"),
+    op.Rule("address", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "study"),
+)
+RULES_SQL = "(VALUES " + ", ".join(f"('{r.label}', '{r.scope}', '{r.pattern}')" for r in RULES) + ") r(label, scope, rx)"
+
+
+def docs(t):
+    return t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "study").otherwise("lesson").alias("collection"), "text")
+
+
+@query(
+    "cor1_sentence_rules",
+    r"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'study' ELSE 'lesson' END AS collection,
+  string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[\x01\n]') AS parts FROM documents),
+e AS (SELECT doc_id, collection, unnest(parts) AS sentence, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS sentence_no FROM s),
+m AS (SELECT e.*, r.label, regexp_extract(sentence, r.rx) AS mt FROM e JOIN """ + RULES_SQL + r""" ON (r.scope = 'all' OR r.scope = collection) AND regexp_matches(sentence, r.rx)),
+p AS (SELECT *, instr(sentence, mt) AS at_ FROM m)
+SELECT doc_id, collection, sentence_no, label, substr(sentence, greatest(at_ - 20, 1), at_ + length(mt) + 20 - greatest(at_ - 20, 1)) AS context FROM p""",
+)
+def _(t):
+    return op.scan_sentences(docs(t), RULES)
+
+
+RISK = op.RiskRules(risk=r"@|token = |%%%", estimate=r"erent|anmen", sentence_end=r"(?<=[.!?])\s+(?=\S)")
+CLEAN = r"""raw AS (SELECT doc_id, '# Report - ' || substr(text, 1, 40) || chr(10) || '- ' || text AS body, split_part(text, chr(10), 1) AS summary FROM documents),
+src AS (SELECT doc_id, 'body' AS part, body AS txt FROM raw UNION ALL SELECT doc_id, 'summary', summary FROM raw),
+ln AS (SELECT doc_id, part, txt, unnest(string_split(txt, chr(10))) AS line, generate_subscripts(string_split(txt, chr(10)), 1) AS i FROM src),
+fl AS (SELECT *, starts_with(trim(line), '#') AS hd, regexp_matches(line, '^(\s*[-·*]\s+|\s*\d+\.\s+|\s*\|)') AS bl,
+  regexp_matches(line, '@|token = |%%%') OR (regexp_matches(line, 'erent|anmen') AND regexp_matches(line, '\d')) AS bad FROM ln),
+pc AS (SELECT *, string_split_regex(line, '\s+[—-]\s+')[1] AS head, string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM fl),
+kp AS (SELECT *, list_filter(ps, lambda s: NOT (regexp_matches(s, '@|token = |%%%') OR (regexp_matches(s, 'erent|anmen') AND regexp_matches(s, '\d')))) AS ks FROM pc),
+o AS (SELECT doc_id, part, txt, i, CASE WHEN trim(line) = '' THEN line WHEN hd AND bad THEN CASE WHEN NOT (regexp_matches(head, '@|token = |%%%') OR (regexp_matches(head, 'erent|anmen') AND regexp_matches(head, '\d'))) THEN head END
+  WHEN bl AND bad AND NOT hd THEN NULL WHEN bl OR hd THEN line WHEN len(ks) > 0 THEN array_to_string(ks, ' ') END AS line,
+  CASE WHEN trim(line) = '' THEN 0 WHEN hd OR bl THEN CASE WHEN bad THEN 1 ELSE 0 END ELSE len(ps) - len(ks) END AS removed FROM kp),
+cl AS (SELECT doc_id, part, any_value(length(txt)) AS before, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i), ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS txt, CAST(sum(removed) AS INT) AS removed FROM o GROUP BY 1, 2),
+dc AS (SELECT doc_id, max(txt) FILTER (part = 'body') AS body, max(txt) FILTER (part = 'summary') AS summary, CAST(sum(removed) AS INT) AS removed, CAST(sum(length(txt)) AS DOUBLE) / sum(before) AS ratio FROM cl GROUP BY 1),
+cd AS (SELECT *, CASE WHEN removed = 0 THEN 'SAFE_AS_IS' WHEN ratio >= 0.6 AND summary <> '' THEN 'SANITIZE_AND_RESTORE' ELSE 'PRIVATE_ONLY' END AS classification FROM dc)"""
+
+
+def sanitized(t):
+    body = F.concat(F.lit("# Report - "), F.substring("text", 1, 40), F.lit("\n- "), "text")
+    rows = t.documents.select("doc_id", body.alias("body"), F.get(F.split("text", "\n"), F.lit(0)).alias("summary"))
+    return op.sanitize(rows, RISK)
+
+
+@query("cor2_clean_text", "WITH " + CLEAN + " SELECT doc_id, md5(body) AS body_md5, md5(summary) AS summary_md5, removed FROM cd")
+def _(t):
+    return sanitized(t).select("doc_id", F.md5("body").alias("body_md5"), F.md5("summary").alias("summary_md5"), "removed")
+
+
+@query("cor3_retention_class", "WITH " + CLEAN + " SELECT doc_id, round(ratio, 3) AS kept_ratio, classification FROM cd")
+def _(t):
+    return sanitized(t).select("doc_id", F.round("kept_ratio", 3).alias("kept_ratio"), "classification")
+
+
+@query("ag21_class_counts", "WITH " + CLEAN + " SELECT classification, count(*) AS n FROM cd GROUP BY 1")
+def _(t):
+    return op.classification_counts(sanitized(t))
+
+
+@query(
+    "cor3_source_links",
+    "SELECT doc_id, CASE WHEN regexp_matches(source, '7$') THEN lang ELSE source || ',' || lang END AS sources FROM documents",
+)
+def _(t):
+    links = F.array(
+        F.struct(F.col("source").alias("name"), F.lit("https://a.example.com/").alias("url")),
+        F.struct(F.col("lang").alias("name"), F.lit("https://b.example.com/").alias("url")),
+        F.struct(F.lit("file").alias("name"), F.lit("https://c.example.com/x.pdf").alias("url")),
+    )
+    kept = op.filter_sources(links, r"7 |\.pdf(\?|$)")
+    return t.documents.select("doc_id", sv.joined(F.transform(kept, lambda s: s["name"])).alias("sources"))
+
+
+FIELDS = ("seen", "why", "wrong")
+
+
+@query(
+    "cor4_record_validator",
+    r"""WITH r AS (SELECT d.doc_id, source AS title, string_split(text, chr(10)) AS seen, CASE WHEN quality IS NULL THEN [] ELSE [lang] END AS why, [source] AS wrong,
+  CASE WHEN d.doc_id % 5 = 0 THEN '2024' ELSE '2024-01-02' END AS edited, CASE WHEN toxic = 1 THEN 'X' ELSE 'EDIT_SUPPLEMENT' END AS origin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+x AS (SELECT doc_id, unnest([title] || seen || why || wrong) AS s FROM r),
+p AS (SELECT doc_id, 'digit:' || substr(s, 1, 60) AS problem FROM x WHERE regexp_matches(regexp_replace(s, 'src\d+', '', 'g'), '\d')
+ UNION ALL SELECT doc_id, 'forbidden[@]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, '@') UNION ALL SELECT doc_id, 'forbidden[token]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, 'token')
+ UNION ALL SELECT doc_id, 'forbidden[%]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, '%') UNION ALL SELECT doc_id, 'empty:why' FROM r WHERE len(why) = 0
+ UNION ALL SELECT doc_id, 'edited_at' FROM r WHERE length(edited) = 4 UNION ALL SELECT doc_id, 'section_origin:why' FROM r WHERE origin = 'X')
+SELECT doc_id AS record_id, problem FROM p""",
+)
+def _(t):
+    label = t.labels.select("doc_id", "quality", "toxic")
+    origin = F.when(F.col("toxic") == 1, "X").otherwise("EDIT_SUPPLEMENT")
+    good = F.lit("ORIGINAL_RESTATED")
+    records = t.documents.join(label, "doc_id", "left").select(
+        F.col("doc_id").alias("record_id"),
+        F.col("source").alias("title"),
+        F.split("text", "\n").alias("seen"),
+        F.when(F.col("quality").isNull(), F.array().cast("array<string>")).otherwise(F.array("lang")).alias("why"),
+        F.array("source").alias("wrong"),
+        F.when(F.col("doc_id") % 5 == 0, "2024").otherwise("2024-01-02").alias("edited_at"),
+        F.create_map(F.lit("seen"), good, F.lit("why"), origin, F.lit("wrong"), good).alias("section_origin"),
+    )
+    return op.validate_records(records, FIELDS, r"src\d+", ("@", "token", "%"))
+
+
+def files(t):
+    return t.pages.select(F.concat(F.regexp_extract("url", r"^https?://([^?#]*)", 1), F.lit("~"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("text"))
+
+
+FILES = r"f AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) || '~' || page_id AS path, html AS text FROM pages)"
+
+
+@query(
+    "cor5_leak_scan",
+    "WITH " + FILES + r""", h AS (SELECT path, 'retired' AS label, regexp_extract(path, 'spam-farm[^~]*') AS m FROM f
+ UNION ALL SELECT path, 'secret', regexp_extract(text, 'token = "[0-9a-f]{16,}|AKIA[0-9A-Z]{16}') FROM f
+ UNION ALL SELECT path, 'tracking', regexp_extract(text, 'track\(\d+\)') FROM f WHERE NOT regexp_matches(path, '^(m|blog)\.')
+ UNION ALL SELECT path, 'mail', regexp_extract(text, '[a-z0-9]+@[a-z0-9.]+') FROM f)
+SELECT path, label, substr(m, 1, 40) AS match FROM h WHERE m <> ''""",
+)
+def _(t):
+    rules = (
+        op.Rule("secret", 'token = "[0-9a-f]{16,}|AKIA[0-9A-Z]{16}'),
+        op.Rule("tracking", r"track\(\d+\)", exempt=r"^(m|blog)\."),
+        op.Rule("mail", r"[a-z0-9]+@[a-z0-9.]+"),
+    )
+    return op.scan_files(files(t), rules, (op.Rule("retired", r"spam-farm[^~]*"),))
+
+
+@query(
+    "cor6_foreign_hosts",
+    r"""WITH f AS (SELECT CAST(page_id AS VARCHAR) AS path, url || ' ' || html AS text FROM pages), h AS (SELECT path, unnest(regexp_extract_all(text, 'https?://([A-Za-z0-9.-]+)', 1)) AS host FROM f)
+SELECT path, host, count(*) AS n FROM h WHERE host NOT IN ('m.ththth.example.net', 'spam-farm.example.org') GROUP BY 1, 2""",
+)
+def _(t):
+    rows = t.pages.select(F.col("page_id").cast("string").alias("path"), F.concat_ws(" ", "url", "html").alias("text"))
+    return op.foreign_hosts(rows, ("m.ththth.example.net", "spam-farm.example.org"))
+
+
+@query(
+    "cor7_page_problems",
+    "WITH " + FILES + r""", g AS (SELECT path, text || CASE WHEN length(text) % 3 = 0 THEN '<p style="font-size: 31.5px">' WHEN length(text) % 3 = 1 THEN '<p style="font-size:12px"><script src="//x.example.com/a.js">' ELSE '<script src="//ok.example.com/a.js">' END AS text, length(text) % 3 AS k FROM f)
+SELECT path, CASE WHEN NOT regexp_matches(path, 'example\.(com|net)/') THEN 'path' WHEN k = 0 THEN 'font_size:31.5' ELSE 'external_script' END AS problem FROM g WHERE NOT regexp_matches(path, 'example\.(com|net)/') OR k <> 2""",
+)
+def _(t):
+    k = F.length("text") % 3
+    tail = (
+        F.when(k == 0, '<p style="font-size: 31.5px">').when(k == 1, '<p style="font-size:12px"><script src="//x.example.com/a.js">')
+        .otherwise('<script src="//ok.example.com/a.js">')
+    )
+    rows = files(t).withColumn("text", F.concat("text", tail))
+    return op.page_problems(rows, r"example\.(com|net)/", r"ok\.example\.com/")
+
+
+@query(
+    "cor8_forbidden_content",
+    """WITH p AS (SELECT event_id AS product_id, CASE WHEN event_type = 'error' THEN replace(props, '"k"', '"score"') ELSE props END || event_type AS text FROM events)
+SELECT product_id, 'key:score' AS problem FROM p WHERE contains(text, '"score":') UNION ALL SELECT product_id, 'word:purchase' FROM p WHERE contains(text, 'purchase')""",
+)
+def _(t):
+    text = F.when(F.col("event_type") == "error", F.replace("props", F.lit('"k"'), F.lit('"score"'))).otherwise(F.col("props"))
+    rows = t.events.select(F.col("event_id").alias("product_id"), F.concat(text, "event_type").alias("text"))
+    return op.forbidden_content(rows, ("purchase", "hold"), ("score", "price"))
