@@ -15,6 +15,7 @@ MODULES = (
     "digests",
     "corpus",
     "archive",
+    "sources",
 )
 
 

@@ -22,15 +22,15 @@ CELL = (
 )
 
 
-def read_financial_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per (company, year) from one JSON document per company.
+def read_financial_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per (company, year) from one JSON document per company, or from JSON lines.
 
     A document that cannot be read or has no ``years`` object is skipped. Values stay text: a number or a
     sentinel word.
     """
     docs = (
         spark.read.schema(f"ticker string, years map<string,{CELL}>, _corrupt_record string")
-        .option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     )
     cells = docs.where("_corrupt_record IS NULL AND years IS NOT NULL").select(
         F.col("ticker").alias("code"), F.explode("years").alias("year", "r")
