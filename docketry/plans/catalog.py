@@ -16,6 +16,7 @@ MODULES = (
     "corpus",
     "archive",
     "sources",
+    "streams",
 )
 
 
