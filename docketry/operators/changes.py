@@ -57,7 +57,8 @@ def window_changes(filings: DataFrame, win: Column, categories: tuple[Category,
 
     Input rows are list-sourced filings with code, category, received_on, is_correction; ``win`` is a windows
     struct, a literal or a scalar subquery. One aggregation serves both windows and the corrections. The
-    prior count is null when the prior window is not covered.
+    prior count is null when the prior window is not covered. The windows are attached again after the
+    aggregation, which keeps its buffers fixed-width and the aggregation hashed.
     """
     order = {c.key: i for i, c in enumerate(categories)}
     rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
@@ -71,8 +72,8 @@ def window_changes(filings: DataFrame, win: Column, categories: tuple[Category,
             F.count_if(in_recent).alias("recent"),
             F.count_if(in_prior).alias("prior"),
             F.count_if(in_recent & F.col("is_correction")).alias("corrections"),
-            F.first("win").alias("win"),
         )
+        .withColumn("win", win)
     )
     n = F.col("win.days").cast("string")
     label, r, p = _label(categories), F.col("recent").cast("string"), F.col("prior").cast("string")

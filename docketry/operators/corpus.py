@@ -63,7 +63,11 @@ def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text",
 
 @dataclass(frozen=True)
 class RiskRules:
-    """What makes a sentence unfit: ``risk`` alone, or ``estimate`` together with a digit."""
+    """What makes a sentence unfit: ``risk`` alone, or ``estimate`` together with a digit.
+
+    Patterns must not use line anchors: a line is tested as a whole before it is split, and only lines that
+    hold a pattern somewhere are looked at sentence by sentence.
+    """
 
     risk: str = vocab.RISKY_SENTENCE
     estimate: str = vocab.ESTIMATE_SENTENCE
@@ -77,38 +81,49 @@ def clean_text(text: Column, rules: RiskRules = RiskRules()) -> Column:
     """Struct of the cleaned text and the number of removed pieces, line by line.
 
     Risky headings lose the part after a dash or go; risky list lines go whole; other lines lose their risky
-    sentences. Empty headings and runs of blank lines are closed up.
+    sentences. Empty headings and runs of blank lines are closed up. Each step binds its results in an array
+    element, so no pattern runs twice on the same piece.
     """
-
-    def line_parts(line):
-        bare = F.trim(line)
-        heading = bare.startswith("#")
-        bullet = line.rlike(r"^(\s*[-·*]\s+|\s*\d+\.\s+|\s*\|)")
-        bad = rules.risky(bare)
-        head = F.get(F.split(line, r"\s+[—-]\s+"), F.lit(0))
-        pieces = F.split(line, rules.sentence_end)
-        kept = F.filter(pieces, lambda s: ~rules.risky(s))
-        none = F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+
+    def look(line):
+        bare = F.btrim(line, F.lit(" \t\r\f\u000b\u00a0\u3000"))
+        kind = F.when(bare.startswith("#"), "heading").when(line.rlike(r"^(\s*[-·*]\s+|\s*\d+\.\s+|\s*\|)"), "bullet").otherwise("text")
+        return F.struct(line.alias("line"), rules.risky(bare).alias("bad"), kind.alias("kind"))
+
+    def cut(x):
+        text_line = x["bad"] & (x["kind"] == "text")
+        pieces = F.when(text_line, F.split(x["line"], rules.sentence_end))
+        head = F.when(x["bad"] & (x["kind"] == "heading"), F.get(F.split(x["line"], r"\s+[—-]\s+"), F.lit(0)))
+        return F.struct(x["line"].alias("line"), x["bad"].alias("bad"), head.alias("head"), pieces.alias("pieces"))
+
+    def judge(x):
+        kept = F.when(x["pieces"].isNotNull(), F.filter(x["pieces"], lambda s: ~rules.risky(s)))
+        head = F.when(x["head"].isNotNull() & ~rules.risky(x["head"]), x["head"])
+        return F.struct(x["line"].alias("line"), x["bad"].alias("bad"), head.alias("head"), F.size(x["pieces"]).alias("n"), kept.alias("kept"))
+
+    def result(x):
+        split = x["kept"].isNotNull()
         out = (
-            F.when(bare == "", line)
-            .when(heading & bad, F.when(~rules.risky(head), head).otherwise(none))
-            .when(bullet & bad & ~heading, none)
-            .when(bullet | heading, line)
-            .when(F.size(kept) > 0, F.array_join(kept, " "))
-        )
-        removed = (
-            F.when(bare == "", 0)
-            .when(heading | bullet, F.when(bad, 1).otherwise(0))
-            .otherwise(F.size(pieces) - F.size(kept))
+            F.when(~x["bad"], x["line"])
+            .when(split & (F.size(x["kept"]) > 0), F.array_join(x["kept"], " "))
+            .when(~split, x["head"])
+            .otherwise(none)
         )
+        removed = F.when(~x["bad"], 0).when(split, x["n"] - F.size(x["kept"])).otherwise(1)
         return F.struct(out.alias("line"), removed.alias("removed"))
 
-    lines = F.transform(F.split(text_or_empty(text), "\n"), line_parts)
-    kept = F.filter(F.transform(lines, lambda p: p["line"]), lambda s: s.isNotNull())
+    lines = F.transform(F.split(text_or_empty(text), "\n"), look)
+    done = F.transform(F.transform(F.transform(lines, cut), judge), result)
+    return F.transform(F.array(done), _assemble)[0]
+
+
+def _assemble(done: Column) -> Column:
+    kept = F.filter(F.transform(done, lambda p: p["line"]), lambda s: s.isNotNull())
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
     closed = F.regexp_replace(joined, r"(^|\n)##[^\n]*\n\s*(?=(\n##|\z))", "$1")
-    count = F.aggregate(lines, F.lit(0), lambda acc, p: acc + p["removed"])
-    return F.struct(F.regexp_replace(closed, r"^\s+|\s+$", "").alias("text"), count.alias("removed"))
+    removed = F.aggregate(done, F.lit(0), lambda acc, p: acc + p["removed"])
+    return F.struct(F.regexp_replace(closed, r"^\s+|\s+$", "").alias("text"), removed.alias("removed"))
 
 
 def sanitize(docs: DataFrame, rules: RiskRules = RiskRules(), body: str = "body", summary: str = "summary") -> DataFrame:

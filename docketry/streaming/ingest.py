@@ -12,7 +12,7 @@ from docketry import vocab
 from docketry.operators.filings import link_corrections
 from docketry.sources.partitions import table_exists
 
-STATE_SCHEMA = "rcept_no string, state string, batch bigint"
+STATE_SCHEMA = "rcept_no string, state string, batch bigint, phase int, day string"
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -31,7 +31,11 @@ def run_available(stream: DataFrame, checkpoint: str, handle, mode: str = "appen
 
 
 class FilingStore:
-    """Stored filings and their states, each as one Parquet folder per micro-batch."""
+    """Stored filings and the log of their states.
+
+    The state log is partitioned by receipt day, so a batch reads only the days it touches, however long the
+    history is.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
@@ -42,8 +46,11 @@ class FilingStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _write(self, name: str, df: DataFrame, batch: int, part: str = "") -> None:
-        (df.withColumn("batch", F.lit(batch)).drop("batch").write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}{part}"))
+    def _log(self, receipts: DataFrame, batch: int, phase: int, state: str) -> None:
+        rows = receipts.select("rcept_no", F.lit(state).alias("state"), F.substring("rcept_no", 1, 8).alias("day"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(
+            f"{self.root}/states/batch={batch}/phase={phase}"
+        )
 
     def rows(self) -> DataFrame:
         """Stored filings, one row per receipt: the last batch wins, which absorbs repeats."""
@@ -51,38 +58,36 @@ class FilingStore:
         rest = [f for f in stored.columns if f not in ("rcept_no", "batch")]
         return stored.groupBy("rcept_no").agg(F.max_by(F.struct(*rest), "batch").alias("row")).select("rcept_no", "row.*")
 
-    def states(self) -> DataFrame:
-        """Last state of every receipt."""
-        log = self._read("states", "rcept_no string, state string, turn int, batch bigint")
-        return log.groupBy("rcept_no").agg(F.max_by("state", F.struct("batch", "turn")).alias("state"))
+    def states(self, days: DataFrame | None = None) -> DataFrame:
+        """Last state of every receipt, of the given receipt days only if there are any."""
+        log = self._read("states", STATE_SCHEMA)
+        if days is not None:
+            log = log.join(days, "day", "left_semi")
+        return log.groupBy("rcept_no").agg(F.max_by("state", F.struct("batch", "phase")).alias("state"))
 
     def ingest(self, batch: DataFrame, batch_id: int, universe: DataFrame, lost=None) -> None:
         """One micro-batch: match, skip acknowledged, store, read back, acknowledge what is really there.
 
         The new rows are first written to the batch folder and everything after reads that copy. ``lost`` is a
-        hook for tests: rows it returns never reach the store and must stay pending.
+        hook for tests: it stands for a write that loses rows, which must then stay pending.
         """
-        acknowledged = self.states().where(F.col("state") == vocab.ACKNOWLEDGED).select("rcept_no")
-        fresh = (
-            batch.where(F.coalesce("rcept_no", F.lit("")) != "")
-            .join(universe.select("code"), "code", "left_semi")
-            .join(acknowledged, "rcept_no", "left_anti")
-        )
+        usable = batch.where(F.coalesce("rcept_no", F.lit("")) != "").join(universe.select("code"), "code", "left_semi")
+        days = usable.select(F.substring("rcept_no", 1, 8).alias("day")).distinct()
+        acknowledged = self.states(days).where(F.col("state") == vocab.ACKNOWLEDGED).select("rcept_no")
+        fresh = usable.join(acknowledged, "rcept_no", "left_anti")
         rest = [c for c in fresh.columns if c != "rcept_no"]
         fresh = fresh.groupBy("rcept_no").agg(F.max(F.struct(*rest)).alias("row")).select("rcept_no", "row.*")
         pending = f"{self.root}/pending/batch={batch_id}"
         fresh.write.mode("overwrite").parquet(pending)
         found = self.spark.read.schema(fresh.schema).parquet(pending)
-        self._write("states", found.select("rcept_no", F.lit(vocab.PENDING).alias("state"), F.lit(0).alias("turn")), batch_id, "/turn0")
-        kept = found if lost is None else lost(found)
-        self._write("filings", kept, batch_id)
-        # Read back from storage: only a receipt that can be read again is acknowledged.
-        stored = self.spark.read.schema(fresh.schema).parquet(f"{self.root}/filings/batch={batch_id}").select("rcept_no")
+        self._log(found, batch_id, 0, vocab.PENDING)
+        target = f"{self.root}/filings/batch={batch_id}"
+        (found if lost is None else lost(found)).write.mode("overwrite").parquet(target)
+        # Read back from storage: only a receipt that can be read again is stored and acknowledged.
+        stored = self.spark.read.schema(fresh.schema).parquet(target).select("rcept_no")
         done = found.select("rcept_no").join(stored, "rcept_no", "left_semi")
-        rows = done.select("rcept_no", F.lit(vocab.STORED).alias("state"), F.lit(1).alias("turn")).unionByName(
-            done.select("rcept_no", F.lit(vocab.ACKNOWLEDGED).alias("state"), F.lit(2).alias("turn"))
-        )
-        self._write("states", rows, batch_id, "/turn1")
+        self._log(done, batch_id, 1, vocab.STORED)
+        self._log(done, batch_id, 2, vocab.ACKNOWLEDGED)
 
     def unconfirmed(self) -> DataFrame:
         """Receipts to retry: seen but not acknowledged."""
