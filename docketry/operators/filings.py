@@ -186,7 +186,7 @@ def _best(values: Column, keep: int) -> Column:
     return F.slice(F.array_distinct(F.sort_array(values, asc=False)), 1, keep)
 
 
-def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1024, levels: int = 2) -> DataFrame:
+def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1024, levels: int = 3) -> DataFrame:
     """For every asking item, the ``keep`` greatest values of the items before it in its group.
 
     ``items`` has the keys, ``idx`` (unique bigint order), ``own`` (array of values) and ``asks``. Items are
@@ -232,7 +232,7 @@ def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1024
     )
 
 
-def link_corrections(events: DataFrame, history: DataFrame | None = None, keep: int = 5, gram: int = 3) -> DataFrame:
+def link_corrections(events: DataFrame, history: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 1024) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an
@@ -251,7 +251,7 @@ def link_corrections(events: DataFrame, history: DataFrame | None = None, keep:
     asking = corrections.select(
         "ticker", "base", (F.col("seq") * 2).alias("idx"), F.array().cast("array<string>").alias("own"), F.lit(True).alias("asks")
     )
-    found = earlier_best(candidates.unionByName(asking), ["ticker", "base"], keep + 1).select(
+    found = earlier_best(candidates.unionByName(asking), ["ticker", "base"], keep + 1, block).select(
         "ticker", F.floor(F.col("idx") / 2).alias("seq"), "before"
     )
     others = F.array_remove(F.coalesce("before", F.array().cast("array<string>")), F.col("rcept_no"))

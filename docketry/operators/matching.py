@@ -23,19 +23,19 @@ def containing_pairs(needles: DataFrame, haystacks: DataFrame, keys: list[str],
     of the same keys; a needle with a piece no text has is dropped at once.
     """
     hays = haystacks.select(*keys, hay).distinct()
-    exploded = hays.withColumn("piece", F.explode(_pieces(F.col(hay), range(1, gram + 1))))
-    counts = exploded.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
+    exploded = hays.withColumn("__piece", F.explode(_pieces(F.col(hay), range(1, gram + 1))))
+    counts = exploded.groupBy(*keys, "__piece").agg(F.count("*").alias("__n"))
     own = needles.select(*keys, needle).distinct().where(F.length(needle) > 0)
     width = F.least(F.lit(gram), F.length(needle))
     parts = F.transform(
         F.sequence(F.lit(1), F.length(needle) - width + 1), lambda i: F.substr(F.col(needle), i, width)
     )
     rarest = (
-        own.withColumn("piece", F.explode(F.array_distinct(parts)))
-        .join(counts, [*keys, "piece"], "left")
+        own.withColumn("__piece", F.explode(F.array_distinct(parts)))
+        .join(counts, [*keys, "__piece"], "left")
         .groupBy(*keys, needle)
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
-        .where("p.n > 0")
-        .select(*keys, needle, F.col("p.piece").alias("piece"))
+        .agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__piece")).alias("__p"))
+        .where("__p.__n > 0")
+        .select(*keys, needle, F.col("__p.__piece").alias("__piece"))
     )
-    return rarest.join(exploded, [*keys, "piece"]).where(F.contains(hay, needle)).select(*keys, needle, hay)
+    return rarest.join(exploded, [*keys, "__piece"]).where(F.contains(hay, needle)).select(*keys, needle, hay)

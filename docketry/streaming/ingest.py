@@ -58,9 +58,11 @@ class FilingStore:
         rest = [f for f in stored.columns if f not in ("rcept_no", "batch")]
         return stored.groupBy("rcept_no").agg(F.max_by(F.struct(*rest), "batch").alias("row")).select("rcept_no", "row.*")
 
-    def states(self, days: DataFrame | None = None) -> DataFrame:
-        """Last state of every receipt, of the given receipt days only if there are any."""
+    def states(self, days: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """Last state of every receipt; only of the given receipt days, only from earlier batches, if asked."""
         log = self._read("states", STATE_SCHEMA)
+        if before is not None:
+            log = log.where(F.col("batch") < before)
         if days is not None:
             log = log.join(days, "day", "left_semi")
         return log.groupBy("rcept_no").agg(F.max_by("state", F.struct("batch", "phase")).alias("state"))
@@ -73,7 +75,8 @@ class FilingStore:
         """
         usable = batch.where(F.coalesce("rcept_no", F.lit("")) != "").join(universe.select("code"), "code", "left_semi")
         days = usable.select(F.substring("rcept_no", 1, 8).alias("day")).distinct()
-        acknowledged = self.states(days).where(F.col("state") == vocab.ACKNOWLEDGED).select("rcept_no")
+        # A batch that runs again must not see its own acknowledgements: it would overwrite its rows with nothing.
+        acknowledged = self.states(days, batch_id).where(F.col("state") == vocab.ACKNOWLEDGED).select("rcept_no")
         fresh = usable.join(acknowledged, "rcept_no", "left_anti")
         rest = [c for c in fresh.columns if c != "rcept_no"]
         fresh = fresh.groupBy("rcept_no").agg(F.max(F.struct(*rest)).alias("row")).select("rcept_no", "row.*")
