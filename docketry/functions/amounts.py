@@ -42,9 +42,16 @@ def won_text(amount: Column, state: Column | None = None) -> Column:
     return F.coalesce(text, words)
 
 
+def _six_digits(size: Column) -> Column:
+    """Number with at most six significant digits: no trailing zeros, an exponent from a million on."""
+    plain = F.regexp_replace(F.when(size < 100000, F.format_string("%.1f", size)).otherwise(F.format_string("%.0f", size)), r"\.0$", "")
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", size), "0+e", "e"), r"\.e", "e")
+    return F.when(size < 999999.5, plain).otherwise(power)
+
+
 def pct_text(pct: Column, reason: Column) -> Column:
     """Signed percentage, or the words that say why there is none."""
-    size = F.regexp_replace(F.abs(pct).cast("string"), r"\.0$", "")
+    size = _six_digits(F.abs(pct))
     sign = F.when(pct > 0, "+").when(pct < 0, "−").otherwise("")
     none = F.when(reason == "prior_zero_or_negative", "전년이 0 이하라 증감률 안 셈").otherwise("—")
     return F.when(pct.isNotNull(), F.concat(sign, size, F.lit("%"))).otherwise(none)

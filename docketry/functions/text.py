@@ -71,7 +71,7 @@ def words_in(value: Column | str, words) -> Column:
     return F.filter(F.lit(list(words)), lambda w: F.contains(text_or_empty(value), w))
 
 
-def mask_parameter(text: Column | str, parameter: str, mark: str = "***") -> Column:
+def mask_parameter(text: Column | str, parameter: str, mark: str = "***REDACTED***") -> Column:
     """Hide the value after ``parameter=`` up to a delimiter; other parameters stay."""
     return F.regexp_replace(_col(text), f"({parameter}=)[^&\"' \\n\\t]*", "$1" + mark.replace("$", "\\$"))
 

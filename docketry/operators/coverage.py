@@ -26,22 +26,26 @@ def collection_stats(rows: DataFrame) -> DataFrame:
 def page_completeness(pages: DataFrame, page_limit: int) -> DataFrame:
     """Per query: pages reported and fetched, whether all were seen, and why not.
 
-    Input: query, page, total_page, failed. A query that stopped at the page limit, hit a failure or fetched
-    fewer pages than reported is incomplete.
+    Input: query, page, total_page, failed, and optionally budget_stopped. A query that stopped at the page limit
+    or the budget, hit a failure or fetched fewer pages than reported is incomplete.
     """
+    if "budget_stopped" not in pages.columns:
+        pages = pages.withColumn("budget_stopped", F.lit(False))
     grouped = pages.groupBy("query").agg(
         F.max("total_page").alias("pages_reported"),
         F.count_distinct(F.when(~F.col("failed"), F.col("page"))).alias("pages_fetched"),
         F.max("failed").alias("failed"),
+        F.max("budget_stopped").alias("budget_stopped"),
     )
     short = F.coalesce(F.col("pages_fetched") < F.col("pages_reported"), F.lit(False))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("failed"), "API_ERROR"),
-            F.when(~F.col("failed") & (short | (F.col("pages_fetched") > page_limit)), "PAGE_LIMIT_REACHED"),
+            F.when(~F.col("failed") & F.col("budget_stopped"), "BUDGET_LIMIT_REACHED"),
+            F.when(~F.col("failed") & ~F.col("budget_stopped") & (short | (F.col("pages_fetched") > page_limit)), "PAGE_LIMIT_REACHED"),
         )
     )
-    return grouped.withColumn("reasons", reasons).withColumn("complete", F.size("reasons") == 0).drop("failed")
+    return grouped.withColumn("reasons", reasons).withColumn("complete", F.size("reasons") == 0).drop("failed", "budget_stopped")
 
 
 def overall_completeness(per_query: DataFrame) -> DataFrame:
@@ -138,6 +142,7 @@ def cycle_progress(states: DataFrame, started: Column, now: Column, last_complet
         counts.withColumn("progress_pct", F.round(F.coalesce(F.try_divide(F.col("verified").cast("double") * 100, "universe"), F.lit(0.0))).cast("bigint"))
         .withColumn("complete", complete)
         .withColumn("started_at", F.when(~complete, started))
+        .withColumn("completed_started_at", F.when(complete, started))
         .withColumn("last_completed_at", F.when(complete, now).otherwise(last_completed))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from docketry import vocab
 from docketry.functions import instants as ts
 from docketry.operators.classify import literal_rows
-from docketry.operators.matching import containing_pairs
+from docketry.operators.matching import containing_pairs, text_pieces
 
 
 def _ranked(df: DataFrame, keys: list[str], keep: int, *order) -> DataFrame:
@@ -99,6 +99,7 @@ def company_summary(
 ) -> DataFrame:
     """One row per company from products that are already one or a few rows per company.
 
+    ``financial`` has fs_div, from_year, to_year and key_changes (see ``latest_pair_changes``).
     ``change_lines`` keeps its first two lines, ``timelines`` its two newest, categories their order. A company
     without financial rows has the state NOT_COLLECTED instead of numbers.
     """
@@ -144,13 +145,20 @@ def recommended_lessons(categories: DataFrame, lessons: dict[str, tuple[int, ...
 
 def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Code per query text: six digits as given, else the exact name, else the first name that contains the
-    text, else the text itself. "First" is by ``ord`` of the name table."""
+    text, else the text itself. "First" is by ``ord`` of the name table.
+
+    A text of up to three characters is looked up among the first name per piece, so a piece that very many
+    names share costs one row; longer texts meet only names that share their rarest piece.
+    """
+    short = 3
     q = queries.withColumn("text", F.trim("query")).withColumn("is_code", F.col("text").rlike(r"^\d{6}$"))
     asked = q.where((~F.col("is_code")) & (F.col("text") != "")).select("text").distinct()
     exact = names.join(asked, F.col("name") == F.col("text")).groupBy("text").agg(F.min(F.struct("ord", "code")).alias("exact"))
     first = names.groupBy("name").agg(F.min(F.struct("ord", "code")).alias("top"))
-    pairs = containing_pairs(asked, names, [], "text", "name")
-    partial = pairs.join(first, "name").groupBy("text").agg(F.min("top").alias("partial"))
+    by_piece = first.withColumn("text", F.explode(text_pieces(F.col("name"), range(1, short + 1)))).groupBy("text").agg(F.min("top").alias("partial"))
+    brief = asked.where(F.length("text") <= short).join(by_piece, "text")
+    pairs = containing_pairs(asked.where(F.length("text") > short), names, [], "text", "name", short)
+    partial = pairs.join(first, "name").groupBy("text").agg(F.min("top").alias("partial")).unionByName(brief)
     return (
         q.join(exact, "text", "left")
         .join(partial, "text", "left")
@@ -186,7 +194,7 @@ def thin_companies(companies: DataFrame, filings: DataFrame, financial: DataFram
     return out
 
 
-def related_items(items: DataFrame, count: int = 3, block: int = 4096) -> DataFrame:
+def related_items(items: DataFrame, count: int = 3, block: int = 1 << 20) -> DataFrame:
     """Related items per item: same category by id distance, then the newest others.
 
     Input: id (unique bigint), category, date. The nearest ids are among the neighbours in id order, so only

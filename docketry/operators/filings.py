@@ -277,36 +277,38 @@ def link_corrections(events: DataFrame, history: DataFrame | None = None, keep:
 # ── as-of visibility ────────────────────────────────────────────────────────────────────────────
 
 
-def visible_as_of(asks: DataFrame, events: DataFrame, bucket: str = "day") -> DataFrame:
+def visible_as_of(asks: DataFrame, events: DataFrame, bucket: str = "minute") -> DataFrame:
     """For each ask (ticker, ask_id, at): how many events were detected by then, and the latest of them.
 
-    Events are combined per (ticker, time bucket); running totals over buckets are small rows, and rows are
-    only ordered inside one bucket. No pair of ask and event is ever built.
+    Events and asks are first combined per (ticker, instant), so any number of rows at one instant is one row.
+    Rows are ordered only inside one (ticker, time bucket); running totals over buckets are small rows. A
+    ticker with a very large share of the rows is therefore spread over all its buckets, and no pair of ask
+    and event is ever built.
     """
-    cut = lambda c: F.date_trunc(bucket, c)
-    marks = events.select(
-        "ticker", F.lit(None).cast("string").alias("ask_id"), F.col("detected_at").alias("at"), "rcept_no", F.lit(0).alias("turn")
-    ).unionByName(
-        asks.select("ticker", F.col("ask_id").cast("string").alias("ask_id"), "at", F.lit(None).cast("string").alias("rcept_no"), F.lit(1).alias("turn"))
+    detected = events.where("detected_at IS NOT NULL").groupBy("ticker", F.col("detected_at").alias("at")).agg(
+        F.count("*").alias("n"), F.max("rcept_no").alias("rcept_no")
     )
+    asked = asks.select("ticker", "at").distinct()
+    marks = detected.withColumn("turn", F.lit(0)).unionByName(
+        asked.select("ticker", "at", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("rcept_no"), F.lit(1).alias("turn"))
+    ).withColumn("bucket", F.date_trunc(bucket, F.col("at")))
     latest = F.max(F.when(F.col("turn") == 0, F.struct("at", "rcept_no")))
-    marks = marks.withColumn("bucket", cut(F.col("at")))
-    totals = marks.groupBy("ticker", "bucket").agg(F.count("rcept_no").alias("n"), latest.alias("last"))
+    totals = marks.groupBy("ticker", "bucket").agg(F.sum("n").alias("n"), latest.alias("last"))
     before = W.partitionBy("ticker").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
         "ticker", "bucket", F.sum("n").over(before).alias("n_before"), F.max("last").over(before).alias("last_before")
     )
     inside = W.partitionBy("ticker", "bucket").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        marks.withColumn("n_inside", F.count("rcept_no").over(inside))
+    answers = (
+        marks.withColumn("n_inside", F.sum("n").over(inside))
         .withColumn("last_inside", latest.over(inside))
         .where("turn = 1")
         .join(carried, ["ticker", "bucket"], "left")
         .select(
             "ticker",
-            "ask_id",
             "at",
             (F.coalesce("n_before", F.lit(0)) + F.col("n_inside")).alias("visible"),
             F.coalesce("last_inside", "last_before")["rcept_no"].alias("latest_rcept_no"),
         )
     )
+    return asks.join(answers, ["ticker", "at"], "left").withColumn("visible", F.coalesce("visible", F.lit(0)))

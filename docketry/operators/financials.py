@@ -5,7 +5,7 @@ Long tables carry a nullable ``amount`` next to a non-null ``value_state``; a mi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docketry import vocab
 from docketry.functions import amounts as am, text as tx
@@ -30,11 +30,12 @@ def target_rows(targets: dict) -> list[dict]:
 
 
 def extract_accounts(lines: DataFrame, targets: dict = vocab.ACCOUNT_TARGETS) -> DataFrame:
-    """Best line per (code, year, account); one row with a null account for a year without any hit.
+    """Best line per (code, year, account); accounts without any hit give no row.
 
     Identifier in the right statement beats name in the right statement beats identifier anywhere beats name
     anywhere; inside a tier statement order, then candidate order, then response order decides. A chosen line
-    whose amount does not parse is missing: there is no fall-through to the next line.
+    whose amount does not parse is missing: there is no fall-through to the next line. Lines that match no
+    target leave before anything is sorted or shuffled.
     """
     table = small_table(
         lines.sparkSession,
@@ -57,25 +58,30 @@ def extract_accounts(lines: DataFrame, targets: dict = vocab.ACCOUNT_TARGETS) ->
         & (table["sj"].isNull() | (table["sj"] == keyed["sj_div"]))
     )
     order = F.struct("tier", "sj_ord", "cand_ord", "ord", "thstrm_amount")
-    best = keyed.join(table, hit, "left").groupBy("code", "year", "account").agg(F.min(order).alias("best"))
+    best = keyed.join(table, hit).groupBy("code", "year", "account").agg(F.min(order).alias("best"))
     how = F.element_at(
         F.lit(["account_id", "account_nm", "account_id_any_sj", "account_nm_any_sj"]), F.col("best.tier")
     )
     amount = am.parse_amount(F.col("best.thstrm_amount"))
-    return best.select("code", "year", "account", amount.alias("amount"), F.when(amount.isNotNull(), how).alias("matched_by"), F.col("account").isNotNull().alias("hit"))
+    return best.select("code", "year", "account", amount.alias("amount"), F.when(amount.isNotNull(), how).alias("matched_by"))
 
 
 def account_grid(
-    extracted: DataFrame,
+    lines: DataFrame,
     sectors: DataFrame,
     targets: dict = vocab.ACCOUNT_TARGETS,
     sector_words=vocab.FINANCIAL_SECTOR_WORDS,
     inapplicable=vocab.SECTOR_INAPPLICABLE,
 ) -> DataFrame:
-    """All target accounts of every (code, year): a number, not available, or not applicable in the sector."""
-    found = F.collect_list(F.when(F.col("account").isNotNull(), F.struct("account", "amount", "matched_by", "hit")))
-    per_year = extracted.groupBy("code", "year").agg(found.alias("found")).join(sectors, "code", "left")
-    spread = per_year.withColumn("account", F.explode(F.lit(list(targets))))
+    """All target accounts of every (code, year): a number, not available, or not applicable in the sector.
+
+    Which years exist is read from two columns only; the matched accounts of a year are at most one per target.
+    """
+    found = extract_accounts(lines, targets).groupBy("code", "year").agg(
+        F.collect_list(F.struct("account", "amount", "matched_by")).alias("found")
+    )
+    years = lines.select("code", "year").distinct().join(found, ["code", "year"], "left").join(sectors, "code", "left")
+    spread = years.withColumn("account", F.explode(F.lit(list(targets))))
     row = F.get(F.filter("found", lambda r: r["account"] == F.col("account")), F.lit(0))
     outside = tx.contains_any("sector", sector_words) & F.col("account").isin(*inapplicable)
     return spread.withColumn("r", row).select(
@@ -85,7 +91,7 @@ def account_grid(
         F.col("r.amount").alias("amount"),
         F.col("r.matched_by").alias("matched_by"),
         F.when(F.col("r.amount").isNotNull(), vocab.NUMBER)
-        .when(F.col("r.hit").isNull() & outside, vocab.NOT_APPLICABLE_FINANCIAL_SECTOR)
+        .when(F.col("r").isNull() & outside, vocab.NOT_APPLICABLE_FINANCIAL_SECTOR)
         .otherwise(vocab.NOT_AVAILABLE)
         .alias("value_state"),
     )
@@ -217,6 +223,17 @@ def account_changes(values: DataFrame) -> DataFrame:
     )
 
 
+def latest_pair_changes(pairs: DataFrame, changes: DataFrame, accounts=vocab.KEY_ACCOUNTS) -> DataFrame:
+    """The last comparable pair per company and the changes of its key accounts (null entries are left out)."""
+    last = pairs.groupBy("code").agg(F.max(F.struct("to_year", "from_year")).alias("p")).select("code", "p.from_year", "p.to_year")
+    wanted = changes.where(F.col("account").isin(*accounts)).select(
+        "code", "to_year", F.struct("account", "change_abs", "change_pct", "pct_reason").alias("c")
+    )
+    return last.join(wanted, ["code", "to_year"], "left").groupBy("code", "from_year", "to_year").agg(
+        F.array_sort(F.collect_list("c")).alias("key_changes")
+    )
+
+
 def derived_ratios(records_wide: DataFrame, years) -> DataFrame:
     """Operating margin and debt to equity per usable year, null unless the denominator is positive."""
     usable = records_wide.where((F.col("status") == vocab.OK) & F.col("year").isin(*years))
@@ -327,7 +344,3 @@ def not_collected(companies: DataFrame, built: DataFrame) -> DataFrame:
 
 def outside_universe(keys: DataFrame, companies: DataFrame) -> DataFrame:
     return keys.select("code").distinct().join(companies.select("code"), "code", "left_anti")
-
-
-def state_of(values: Column) -> Column:
-    return F.when(values.isNull(), vocab.NOT_AVAILABLE).otherwise(vocab.NUMBER)

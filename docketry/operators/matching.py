@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _pieces(text: Column, widths) -> Column:
+def text_pieces(text: Column, widths) -> Column:
     size = F.length(text)
     none = F.array().cast("array<string>")
 
@@ -23,7 +23,7 @@ def containing_pairs(needles: DataFrame, haystacks: DataFrame, keys: list[str],
     of the same keys; a needle with a piece no text has is dropped at once.
     """
     hays = haystacks.select(*keys, hay).distinct()
-    exploded = hays.withColumn("__piece", F.explode(_pieces(F.col(hay), range(1, gram + 1))))
+    exploded = hays.withColumn("__piece", F.explode(text_pieces(F.col(hay), range(1, gram + 1))))
     counts = exploded.groupBy(*keys, "__piece").agg(F.count("*").alias("__n"))
     own = needles.select(*keys, needle).distinct().where(F.length(needle) > 0)
     width = F.least(F.lit(gram), F.length(needle))

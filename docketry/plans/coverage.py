@@ -147,7 +147,7 @@ def _(t):
 @query(
     "ag10_cycle_progress",
     "WITH " + STATES + """, c AS (SELECT count(*) AS universe, count(*) FILTER (state <> 'PENDING') AS attempted, count(*) FILTER (state LIKE 'CHECKED%') AS verified FROM sts)
-SELECT *, CAST(round(100.0 * verified / universe) AS BIGINT) AS progress_pct, attempted = universe AS complete, CASE WHEN attempted <> universe THEN 'S' END AS started_at,
+SELECT *, CAST(round(100.0 * verified / universe) AS BIGINT) AS progress_pct, attempted = universe AS complete, CASE WHEN attempted <> universe THEN 'S' END AS started_at, CASE WHEN attempted = universe THEN 'S' END AS completed_started_at,
   CASE WHEN attempted = universe THEN 'N' ELSE 'L' END AS last_completed_at FROM c""",
 )
 def _(t):

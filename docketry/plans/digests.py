@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry.vocab import KEY_ACCOUNTS
 from docketry.operators import changes as ch, digests as op, events as ev, financials as fin
 from docketry.operators.classify import Glossary, GlossaryEntry, classify_titles, glossary_key
 from docketry.plans import standins as sv
 from docketry.plans.changes import CLASSED, WIN, changes_sql
+from docketry.plans.financials import WIDE, long, wide
 from docketry.plans.registry import query
 from docketry.plans.titles import CHAINS, STAGED
 
@@ -110,7 +112,7 @@ def _(t):
 
 CHAIN_CATEGORY = {"buying": "purchase", "joining": "membership"}
 CATS = CLASSED + STAGED[len(sv.TRACKED):] + """,
-own AS (SELECT code, category, 0 AS tier, -count(*) AS w, category AS nm FROM cls GROUP BY code, category),
+own AS (SELECT code, category, 0 AS tier, -count(*) AS w, category AS nm FROM (SELECT * FROM cls QUALIFY row_number() OVER (PARTITION BY code ORDER BY received_on DESC, rcept_no DESC) <= 40) GROUP BY code, category),
 chn AS (SELECT code, CASE chain WHEN 'buying' THEN 'purchase' ELSE 'membership' END AS category, 1 AS tier, -CAST(latest_received_on - DATE '1970-01-01' AS BIGINT) AS w,
   CASE chain WHEN 'buying' THEN '000000' ELSE '000001' END AS nm FROM lines),
 fst AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM chn) QUALIFY row_number() OVER (PARTITION BY code, category ORDER BY tier, w, nm) = 1),
@@ -128,7 +130,7 @@ def lines(t):
 
 
 def categories(t):
-    return op.company_categories(classified(t), lines(t), CHAIN_CATEGORY)
+    return op.company_categories(ch.filing_page(classified(t)), lines(t), CHAIN_CATEGORY)
 
 
 @query("ag20_company_categories", "WITH " + CATS + " SELECT * FROM cats")
@@ -140,15 +142,17 @@ SUMMARY = (
     changes_sql("", WIN.format(src="tracked")).replace("\nSELECT code, CASE category", ",\nchg AS (SELECT code, CASE category", 1)
     + ")"
     + CATS[len(CLASSED):]
-    + "," + sv.FINANCE + """,
+    + "," + WIDE.replace(sv.UNIVERSE, "ignored AS (SELECT 1)").replace("chg AS (", "fchg AS (") + """,
+lp AS (SELECT a.code, max(b.year) AS to_year FROM ok a JOIN ok b ON a.code = b.code AND b.year = a.year + 1 AND a.fs_div = b.fs_div GROUP BY 1),
+kc AS (SELECT code, string_agg(account || ':' || change_abs, ',' ORDER BY account) AS key_changes FROM fchg JOIN lp USING (code, to_year) WHERE account IN ('revenue', 'operatingIncome', 'netIncome') GROUP BY 1),
 fh AS (SELECT code, max_by(fs_div, year) AS fs_div FROM finance WHERE status = 'OK' AND year IN (1997, 1998, 1999) GROUP BY 1),
 hd AS (SELECT code, count(*) AS filing_count, count(*) FILTER (received_on BETWEEN rf AND hi) AS recent_count FROM cls, win GROUP BY code),
 ln AS (SELECT code, string_agg(text, ' / ' ORDER BY position) AS lines FROM (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY code ORDER BY position) <= 2) GROUP BY 1),
 nw AS (SELECT code, string_agg(chain, ',' ORDER BY latest_received_on DESC, chain) AS newest_chains, count(*) AS timeline_count FROM lines GROUP BY 1),
 ct AS (SELECT code, string_agg(category, ',' ORDER BY rank) AS categories FROM cats GROUP BY 1)
-SELECT u.code, u.name, filing_count, recent_count, coalesce(ln.lines, '') AS lines, fs_div, timeline_count, coalesce(newest_chains, '') AS newest_chains, coalesce(categories, '') AS categories,
+SELECT u.code, u.name, filing_count, recent_count, coalesce(ln.lines, '') AS lines, fs_div, CAST(to_year - 1 AS INT) AS from_year, to_year, coalesce(key_changes, '') AS key_changes, timeline_count, coalesce(newest_chains, '') AS newest_chains, coalesce(categories, '') AS categories,
   CASE WHEN fs_div IS NULL THEN 'NOT_COLLECTED' ELSE 'OK' END AS financial_state
-FROM universe u LEFT JOIN hd USING (code) LEFT JOIN ln USING (code) LEFT JOIN fh USING (code) LEFT JOIN nw USING (code) LEFT JOIN ct USING (code)"""
+FROM universe u LEFT JOIN hd USING (code) LEFT JOIN lp USING (code) LEFT JOIN kc USING (code) LEFT JOIN ln USING (code) LEFT JOIN fh USING (code) LEFT JOIN nw USING (code) LEFT JOIN ct USING (code)"""
 )
 
 
@@ -158,13 +162,20 @@ def _(t):
     win = ch.data_windows(sv.tracked_filing(t)).scalar()
     headers = ch.company_headers(rows.withColumn("listed", F.lit(True)), win).select("code", "filing_count", "recent_count")
     change_lines = ch.window_changes(rows, ch.data_windows(sv.tracked_filing(t)).scalar(), sv.CATEGORIES).select("code", "position", "text")
-    financial = fin.companies_with_data(sv.finance(t), sv.YEARS).select("code", "fs_div")
+    basis = fin.companies_with_data(sv.finance(t), sv.YEARS).select("code", "fs_div")
+    changes = fin.account_changes(fin.account_values(long(t), sv.YEARS, KEY_ACCOUNTS))
+    last = fin.latest_pair_changes(fin.comparable_pairs(wide(t), sv.YEARS), changes)
+    financial = basis.join(last, "code", "left")
     out = op.company_summary(sv.universe(t), headers, change_lines, financial, lines(t), categories(t))
     empty = F.lit("")
     return (
         out.withColumn("lines", F.coalesce(F.array_join("lines", " / "), empty))
         .withColumn("newest_chains", F.coalesce(sv.joined("newest_chains"), empty))
         .withColumn("categories", F.coalesce(sv.joined("categories"), empty))
+        .withColumn(
+            "key_changes",
+            F.coalesce(sv.joined(F.transform("key_changes", lambda c: F.concat_ws(":", c["account"], c["change_abs"].cast("string")))), empty),
+        )
     )
 
 

@@ -238,7 +238,7 @@ def _(t):
 @query(
     "jn5_as_of_visibility",
     """WITH a AS (SELECT o_orderkey AS k, o_custkey % 150 AS u, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 173 % 2592000) AS t FROM orders)
-SELECT CAST(k AS VARCHAR) AS ask_id, count(event_id) AS visible, max_by(strftime(ts, '%Y%m%d') || printf('%06d', event_id), ts) AS latest_rcept_no
+SELECT k AS ask_id, count(event_id) AS visible, max_by(strftime(ts, '%Y%m%d') || printf('%06d', event_id), ts) AS latest_rcept_no
 FROM a LEFT JOIN events ON user_id = u AND ts <= t GROUP BY k""",
 )
 def _(t):
@@ -377,7 +377,7 @@ def _(t):
 
 @query(
     "fn17_mask_parameter",
-    r"""SELECT page_id, regexp_replace(url, '(utm_source=)[^&"'' \n\t]*', '\1***') AS masked FROM pages""",
+    r"""SELECT page_id, regexp_replace(url, '(utm_source=)[^&"'' \n\t]*', '\1***REDACTED***') AS masked FROM pages""",
 )
 def _(t):
     return t.pages.select("page_id", tx.mask_parameter("url", "utm_source").alias("masked"))

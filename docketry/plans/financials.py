@@ -56,12 +56,12 @@ def lines(t):
 
 def grid(t):
     sectors = t.part.select(sv.six(F.col("p_partkey")).alias("code"), F.col("p_type").alias("sector"))
-    return op.account_grid(op.extract_accounts(lines(t), TARGETS), sectors, TARGETS, ("PROMO",), ("revenue", "costOfSales"))
+    return op.account_grid(lines(t), sectors, TARGETS, ("PROMO",), ("revenue", "costOfSales"))
 
 
 @query("fin1_account_extraction", "WITH " + LINES + " SELECT code, year, account, amount, matched_by FROM got")
 def _(t):
-    rows = op.extract_accounts(lines(t), TARGETS).where("hit").drop("hit")
+    rows = op.extract_accounts(lines(t), TARGETS)
     return rows.withColumn("amount", F.col("amount").cast("bigint"))
 
 

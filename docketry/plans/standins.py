@@ -14,7 +14,9 @@ from docketry.operators.classify import Category, Glossary, GlossaryEntry
 
 
 def six(col) -> F.Column:
-    return F.format_string("%06d", col)
+    """Number as text of at least six digits."""
+    text = col.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))
 
 
 def filing(t) -> DataFrame:

@@ -26,7 +26,8 @@ def upsert_day(spark: SparkSession, path: str, records: DataFrame, key: str, ord
     """Write records into their day partitions: a known key is replaced, a new one added.
 
     Only the partition of ``today`` and later ones may be written; earlier days are closed and raise. Returns
-    one row per day with the added and replaced counts. The merged rows are materialised in the shared folder
+    one row per day with the added and replaced counts. Rows are rebalanced by day before they are written, so a
+    day has few files and a large day has several writers. The merged rows are materialised in the shared folder
     before the partitions are overwritten, so a lost executor never reads what is being replaced.
     """
     incoming = cut_lineage(latest_rows(records, [day, key], order), "incoming")
@@ -44,7 +45,7 @@ def upsert_day(spark: SparkSession, path: str, records: DataFrame, key: str, ord
     )
     staged = cut_lineage(merged.select(day, key, "row.*", "__low", "__high"), "merged")
     (
-        staged.drop("__low", "__high").write.mode("overwrite")
+        staged.drop("__low", "__high").hint("rebalance", day).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     )
     return staged.groupBy(day).agg(
@@ -60,7 +61,7 @@ def compact_days(spark: SparkSession, source: str, target: str, schema: str, day
     switches over only days whose ``status`` is OK.
     """
     raw = spark.read.schema(schema).json(source)
-    raw.write.mode("overwrite").option("compression", "gzip").partitionBy(day).json(target)
+    raw.hint("rebalance", day).write.mode("overwrite").option("compression", "gzip").partitionBy(day).json(target)
 
     def proof(df, tag):
         cols = [c for c in df.columns if c != day]

@@ -121,7 +121,7 @@ def test_ratios_need_a_positive_denominator(spark):
 def extract(spark, lines, sector="전기"):
     cols = "code string, year int, ord int, sj_div string, account_id string, account_nm string, thstrm_amount string"
     df = spark.createDataFrame([("1", 2025, i, *line) for i, line in enumerate(lines)], cols)
-    grid = fin.account_grid(fin.extract_accounts(df), spark.createDataFrame([("1", sector)], "code string, sector string"))
+    grid = fin.account_grid(df, spark.createDataFrame([("1", sector)], "code string, sector string"))
     return {r.account: (r.amount, r.matched_by, r.value_state) for r in grid.collect()}
 
 
@@ -167,6 +167,12 @@ def test_amounts(spark):
     assert {r.v: r.t for r in df.collect()} == cases
 
 
+def test_percent_text_has_six_digits(spark):
+    cases = {10.0: "+10%", -0.5: "−0.5%", 0.0: "0%", 99999.9: "+99999.9%", 123456.7: "+123457%", 1234567.8: "+1.23457e+06%", 2e6: "+2e+06%"}
+    df = spark.createDataFrame([(k,) for k in cases], "v double").select("v", am.pct_text(F.col("v"), F.lit(None).cast("string")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == cases
+
+
 def test_correction_rules_stay_apart(spark):
     df = spark.createDataFrame([("[첨부추가]A",), ("정정신고 B",), ("[기재정정]C",), ("D",)], "t string")
     got = [tuple(r) for r in df.select(tx.is_ingest_correction("t"), tx.research_correction_kind("t"), tx.is_site_correction("t")).collect()]
@@ -175,7 +181,7 @@ def test_correction_rules_stay_apart(spark):
 
 def test_masking(spark):
     got = one(spark, tx.mask_parameter(F.lit("GET /x?crtfc_key=abc123&page=2 crtfc_key=zz' done"), "crtfc_key"))[0]
-    assert got == "GET /x?crtfc_key=***&page=2 crtfc_key=***' done"
+    assert got == "GET /x?crtfc_key=***REDACTED***&page=2 crtfc_key=***REDACTED***' done"
 
 
 def test_mapping_never_guesses(spark):
