@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from docketry import vocab
-from docketry.functions.text import _col, contains_any, words_in
+from docketry.functions.text import _col, contains_any, let, words_in
 
 
 @dataclass(frozen=True)
@@ -27,26 +27,32 @@ class ActionVocabulary:
 
 def action_facts(title: Column | str, words: ActionVocabulary = ActionVocabulary()) -> Column:
     """Struct of subject, stage, terms, effects, family and needs_document."""
-    text = F.trim(F.coalesce(_col(title), F.lit("")))
-    terms = words_in(text, words.families)
-    stage = None
-    for name, marks in words.stages:
-        test = contains_any(text, marks)
-        stage = F.when(test, name) if stage is None else stage.when(test, name)
     table = F.create_map(*[
         x for family, effects in words.effect_map.items() for x in (F.lit(family), F.lit(list(effects)))
     ])
     none = F.array().cast("array<string>")
-    effects = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, lambda t: F.coalesce(table[t], none)))))
-    both = text.contains(words.halt[0]) & text.contains(words.halt[1])
-    return F.struct(
-        F.when(contains_any(text, words.subsidiary), "SUBSIDIARY").otherwise("SELF").alias("subject"),
-        stage.otherwise("DECISION").alias("stage"),
-        terms.alias("terms"),
-        effects.alias("effects"),
-        F.get(terms, F.lit(0)).alias("family"),
-        (both | (F.size(terms) == 0)).alias("needs_document"),
-    )
+
+    def stage_of(text):
+        stage = None
+        for name, marks in words.stages:
+            test = contains_any(text, marks)
+            stage = F.when(test, name) if stage is None else stage.when(test, name)
+        return stage.otherwise("DECISION")
+
+    def facts(text, terms):
+        effects = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, lambda t: F.coalesce(table[t], none)))))
+        both = text.contains(words.halt[0]) & text.contains(words.halt[1])
+        return F.struct(
+            F.when(contains_any(text, words.subsidiary), "SUBSIDIARY").otherwise("SELF").alias("subject"),
+            stage_of(text).alias("stage"),
+            terms.alias("terms"),
+            effects.alias("effects"),
+            F.get(terms, F.lit(0)).alias("family"),
+            (both | (F.size(terms) == 0)).alias("needs_document"),
+        )
+
+    clean = F.trim(F.coalesce(_col(title), F.lit("")))
+    return let(clean, lambda text: let(words_in(text, words.families), lambda terms: facts(text, terms)))
 
 
 def in_scope(title: Column | str, words=ActionVocabulary(), extra=vocab.EXTRA_SCOPE_TERMS) -> Column:

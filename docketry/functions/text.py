@@ -11,6 +11,14 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    Without the binding an expression used inside a lambda would run again for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(value: Column | str) -> Column:
     return F.coalesce(_col(value), F.lit(""))
 

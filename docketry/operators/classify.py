@@ -147,7 +147,7 @@ def glossary_patterns(glossary: Glossary) -> list[dict]:
 def glossary_key(title: Column | str, glossary: Glossary) -> Column:
     """Key of the entry with the longest pattern in the bare title, or null."""
     patterns = literal_rows(glossary_patterns(glossary), "key string, word string")
-    return F.get(F.filter(patterns, lambda p: F.contains(tx.bare(title), p["word"])), F.lit(0))["key"]
+    return tx.let(tx.bare(title), lambda text: F.get(F.filter(patterns, lambda p: F.contains(text, p["word"])), F.lit(0))["key"])
 
 
 def glossary_fields(key: Column, glossary: Glossary) -> dict[str, Column]:
@@ -163,7 +163,9 @@ def glossary_fields(key: Column, glossary: Glossary) -> dict[str, Column]:
 def glossary_notes(title: Column | str, is_correction: Column, glossary: Glossary) -> Column:
     """Suffix notes found in the bare title, then the correction note."""
     notes = literal_rows([{"word": w, "note": n} for w, n in glossary.suffix_notes], "word string, note string")
-    suffix = F.transform(F.filter(notes, lambda n: F.contains(tx.bare(title), n["word"])), lambda n: n["note"])
+    suffix = tx.let(
+        tx.bare(title), lambda text: F.transform(F.filter(notes, lambda n: F.contains(text, n["word"])), lambda n: n["note"])
+    )
     corrected = is_correction | tx.is_site_correction(title)
     return F.when(corrected, F.array_append(suffix, F.lit(glossary.correction_note))).otherwise(suffix)
 

@@ -98,14 +98,12 @@ def match_stages(filings: DataFrame, chains: tuple[Chain, ...]) -> DataFrame:
     table = literal_rows(
         rows, "chain string, chain_ord int, stage string, stage_label string, stage_ord int, word string"
     )
-    hits = F.filter(table, lambda p: F.contains(F.col("__bare"), p["word"]))
-    first = F.filter(
-        F.col("__hits"), lambda p, i: ~F.exists(F.slice(F.col("__hits"), F.lit(1), i), lambda o: o["chain"] == p["chain"])
+    hits = tx.let(tx.bare("title"), lambda text: F.filter(table, lambda p: F.contains(text, p["word"])))
+    first = tx.let(
+        hits, lambda h: F.filter(h, lambda p, i: ~F.exists(F.slice(h, F.lit(1), i), lambda o: o["chain"] == p["chain"]))
     )
     return (
-        filings.withColumn("__bare", tx.bare("title"))
-        .withColumn("__hits", hits)
-        .withColumn("m", F.explode(first))
+        filings.withColumn("m", F.explode(first))
         .select(*filings.columns, "m.chain", "m.chain_ord", "m.stage", "m.stage_label", "m.stage_ord")
     )
 

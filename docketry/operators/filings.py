@@ -186,53 +186,51 @@ def _best(values: Column, keep: int) -> Column:
     return F.slice(F.array_distinct(F.sort_array(values, asc=False)), 1, keep)
 
 
-def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1024, levels: int = 3) -> DataFrame:
+def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 4096, levels: int = 2) -> DataFrame:
     """For every asking item, the ``keep`` greatest values of the items before it in its group.
 
     ``items`` has the keys, ``idx`` (unique bigint order), ``own`` (array of values) and ``asks``. Items are
     cut into blocks of ``block`` consecutive ``idx``; a block folds a bounded array and hands only its best
-    values upwards, level by level. No task ever holds more than one block, however large the group is.
+    values upwards, level by level. With two levels one entry at the top stands for 16 million order numbers,
+    so no task ever holds more than a few thousand items of a group, however large the group is.
     """
     kind = dict(items.dtypes)["own"]
-    if levels == 0:
-        w = W.partitionBy(*keys).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-        before = _best(F.flatten(F.collect_list("own").over(w)), keep)
-        return items.withColumn("before", before).where("asks").select(*keys, "idx", "before")
+    part = F.floor(F.col("idx") / block) if levels else F.lit(0).cast("bigint")
     blocks = (
-        items.withColumn("part", F.floor(F.col("idx") / block))
-        .groupBy(*keys, "part")
+        items.groupBy(*keys, part.alias("part"))
         .agg(
             F.array_sort(F.collect_list(F.struct("idx", "own", "asks"))).alias("rows"),
             F.max("asks").alias("asks"),
         )
     )
-    own = _best(F.flatten(F.transform("rows", lambda r: r["own"])), keep)
-    upper = earlier_best(
-        blocks.select(*keys, F.col("part").alias("idx"), own.alias("own"), F.lit(True).alias("asks")),
-        keys,
-        keep,
-        block,
-        levels - 1,
-    ).withColumnRenamed("idx", "part")
+    empty = F.array().cast(kind)
+    asking = blocks.where("asks")
+    if levels:
+        own = _best(F.flatten(F.transform("rows", lambda r: r["own"])), keep)
+        upper = earlier_best(
+            blocks.select(*keys, F.col("part").alias("idx"), own.alias("own"), "asks"), keys, keep, block, levels - 1
+        ).withColumnRenamed("idx", "part")
+        asking = asking.join(upper, [*keys, "part"], "left")
+    else:
+        asking = asking.withColumn("before", empty)
     start = F.struct(
-        F.coalesce(F.col("before"), F.array().cast(kind)).alias("top"),
+        F.coalesce(F.col("before"), empty).alias("top"),
         F.array().cast(f"array<struct<idx:bigint,before:{kind}>>").alias("out"),
     )
 
     def step(acc, r):
         entry = F.struct(r["idx"].alias("idx"), acc["top"].alias("before"))
         out = F.when(r["asks"], F.array_append(acc["out"], entry)).otherwise(acc["out"])
-        return F.struct(_best(F.concat(acc["top"], r["own"]), keep).alias("top"), out.alias("out"))
+        top = F.when(F.size(r["own"]) > 0, _best(F.concat(acc["top"], r["own"]), keep)).otherwise(acc["top"])
+        return F.struct(top.alias("top"), out.alias("out"))
 
     return (
-        blocks.where("asks")
-        .join(upper, [*keys, "part"], "left")
-        .select(*keys, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o"))
+        asking.select(*keys, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o"))
         .select(*keys, "o.idx", "o.before")
     )
 
 
-def link_corrections(events: DataFrame, history: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 1024) -> DataFrame:
+def link_corrections(events: DataFrame, history: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 4096) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an

@@ -9,9 +9,10 @@ from docketry.operators import changes as ch, digests as op, events as ev, finan
 from docketry.operators.classify import Glossary, GlossaryEntry, classify_titles, glossary_key
 from docketry.plans import standins as sv
 from docketry.plans.changes import CLASSED, WIN, changes_sql
-from docketry.plans.financials import WIDE, long, wide
+from docketry.plans.financials import WIDE, long_form, wide
 from docketry.plans.registry import query
 from docketry.plans.titles import CHAINS, STAGED
+from docketry.session import cut_lineage
 
 GLOSSARY = Glossary((
     GlossaryEntry("buy", "Buy", "a purchase", ("purchase",)),
@@ -158,15 +159,19 @@ FROM universe u LEFT JOIN hd USING (code) LEFT JOIN lp USING (code) LEFT JOIN kc
 
 @query("ag20_company_summary", SUMMARY)
 def _(t):
-    rows = classified(t)
-    win = ch.data_windows(sv.tracked_filing(t)).scalar()
+    # The products a summary reads are written once, then read by every part of it.
+    rows = cut_lineage(classified(t), "classified")
+    stages = cut_lineage(lines(t), "timelines")
+    win = ch.data_windows(rows).scalar()
     headers = ch.company_headers(rows.withColumn("listed", F.lit(True)), win).select("code", "filing_count", "recent_count")
-    change_lines = ch.window_changes(rows, ch.data_windows(sv.tracked_filing(t)).scalar(), sv.CATEGORIES).select("code", "position", "text")
-    basis = fin.companies_with_data(sv.finance(t), sv.YEARS).select("code", "fs_div")
-    changes = fin.account_changes(fin.account_values(long(t), sv.YEARS, KEY_ACCOUNTS))
-    last = fin.latest_pair_changes(fin.comparable_pairs(wide(t), sv.YEARS), changes)
+    change_lines = ch.window_changes(rows, ch.data_windows(rows).scalar(), sv.CATEGORIES).select("code", "position", "text")
+    records = cut_lineage(wide(t), "records")
+    basis = fin.companies_with_data(records, sv.YEARS).select("code", "fs_div")
+    changes = fin.account_changes(fin.account_values(long_form(records), sv.YEARS, KEY_ACCOUNTS))
+    last = fin.latest_pair_changes(fin.comparable_pairs(records, sv.YEARS), changes)
     financial = basis.join(last, "code", "left")
-    out = op.company_summary(sv.universe(t), headers, change_lines, financial, lines(t), categories(t))
+    cats = op.company_categories(ch.filing_page(rows), stages, CHAIN_CATEGORY)
+    out = op.company_summary(sv.universe(t), headers, change_lines, financial, stages, cats)
     empty = F.lit("")
     return (
         out.withColumn("lines", F.coalesce(F.array_join("lines", " / "), empty))

@@ -115,12 +115,16 @@ def wide(t):
     return sv.finance(t).join(sv.universe(t).select("code", "sector"), "code")
 
 
-def long(t):
-    rows = wide(t).unpivot(["code", "year", "status", "fs_div", "sector"], list(sv.ACCOUNTS), "account", "amount")
+def long_form(records):
+    rows = records.unpivot(["code", "year", "status", "fs_div", "sector"], list(sv.ACCOUNTS), "account", "amount")
     applicable = ~((F.col("sector") == "FURNITURE") & (F.col("account") == "currentAssets"))
     return rows.withColumn("applicable", applicable)
 
 
+def long(t):
+    return long_form(wide(t))
+
+
 YEAR_LIST = "(1997, 1998, 1999)"
 WIDE = sv.FINANCE + "," + sv.UNIVERSE + """,
 wide AS (SELECT f.*, sector FROM finance f JOIN universe USING (code)),
