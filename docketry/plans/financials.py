@@ -139,7 +139,7 @@ vals AS (SELECT c.code, a.account, y.year, CASE WHEN l.status = 'OK' THEN l.fs_d
   FROM (SELECT DISTINCT code, sector FROM ok) c CROSS JOIN (SELECT DISTINCT account FROM long) a CROSS JOIN (VALUES (1997), (1998), (1999)) y(year)
   LEFT JOIN long l ON l.code = c.code AND l.account = a.account AND l.year = y.year),
 chg AS (SELECT b.code, b.account, a.year AS from_year, b.year AS to_year, a.amount AS prior, b.amount AS current, b.amount - a.amount AS change_abs,
-    CASE WHEN a.amount > 0 THEN round((CAST(b.amount AS DOUBLE) - CAST(a.amount AS DOUBLE)) / CAST(a.amount AS DOUBLE) * 100, 1) END AS change_pct,
+    CASE WHEN a.amount > 0 THEN round((CAST(b.amount AS DOUBLE) - CAST(a.amount AS DOUBLE)) / CAST(a.amount AS DOUBLE) * 100, 1) + 0.0 END AS change_pct,
     CASE WHEN a.amount <= 0 THEN 'prior_zero_or_negative' END AS pct_reason
   FROM vals a JOIN vals b ON a.code = b.code AND a.account = b.account AND b.year = a.year + 1 AND a.fs_div = b.fs_div
   WHERE a.amount IS NOT NULL AND b.amount IS NOT NULL)"""
@@ -206,7 +206,7 @@ def _(t):
     return op.companies_with_data(wide(t), YEARS)
 
 
-RATIO = "CASE WHEN {b} > 0 THEN round(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) * 100, 1) END"
+RATIO = "CASE WHEN {b} > 0 THEN round(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) * 100, 1) + 0.0 END"
 
 
 @query(
@@ -222,7 +222,7 @@ FACTS = WIDE + """,
 okall AS (SELECT * FROM wide WHERE status = 'OK'),
 ask AS (SELECT DISTINCT printf('%06d', c_custkey) AS code, 1999 + CAST(c_custkey % 3 AS INT) AS analyzed_year FROM customer),
 fr AS (SELECT a.code, a.analyzed_year, c.year, c.fs_div, CASE c.fs_div WHEN 'CFS' THEN '연결' ELSE '별도' END AS lb, c.revenue AS rev, p.revenue AS prev,
-  CASE WHEN p.revenue > 0 THEN round((CAST(c.revenue AS DOUBLE) - CAST(p.revenue AS DOUBLE)) / CAST(p.revenue AS DOUBLE) * 100, 1) END AS g,
+  CASE WHEN p.revenue > 0 THEN round((CAST(c.revenue AS DOUBLE) - CAST(p.revenue AS DOUBLE)) / CAST(p.revenue AS DOUBLE) * 100, 1) + 0.0 END AS g,
   """ + RATIO.format(a='c."operatingIncome"', b="c.revenue") + " AS m, " + RATIO.format(a='c."netIncome"', b='c."totalEquity"') + """ AS r
   FROM ask a JOIN okall c ON c.code = a.code AND c.year = a.analyzed_year - 1
   LEFT JOIN okall p ON p.code = a.code AND p.year = a.analyzed_year - 2 AND p.fs_div = c.fs_div),
@@ -327,7 +327,7 @@ def _(t):
 @query(
     "fn16_percent_text",
     "WITH " + WIDE + """ SELECT code, account, to_year, CASE WHEN change_pct IS NULL THEN '전년이 0 이하라 증감률 안 셈'
-  ELSE CASE WHEN change_pct > 0 THEN '+' WHEN change_pct < 0 THEN '−' ELSE '' END || regexp_replace(printf('%.1f', abs(change_pct)), '\\.0$', '') || '%' END AS text FROM chg""".replace("\\\\", "\\"),
+  ELSE CASE WHEN change_pct > 0 THEN '+' WHEN change_pct < 0 THEN '−' ELSE '' END || printf('%g', abs(change_pct)) || '%' END AS text FROM chg""".replace("\\\\", "\\"),
 )
 def _(t):
     changes = op.account_changes(op.account_values(long(t), YEARS, sv.ACCOUNTS))
