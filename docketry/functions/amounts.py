@@ -44,7 +44,7 @@ def won_text(amount: Column, state: Column | None = None) -> Column:
 
 def _six_digits(size: Column) -> Column:
     """Number with at most six significant digits: no trailing zeros, an exponent from a million on."""
-    plain = F.regexp_replace(F.when(size < 100000, F.format_string("%.1f", size)).otherwise(F.format_string("%.0f", size)), r"\.0$", "")
+    plain = F.regexp_replace(F.when(size < 100000, F.format_string("%.1f", size)).otherwise(F.format_string("%.0f", F.bround(size))), r"\.0$", "")
     power = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", size), "0+e", "e"), r"\.e", "e")
     return F.when(size < 999999.5, plain).otherwise(power)
 

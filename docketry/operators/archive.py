@@ -15,18 +15,28 @@ def row_hash(*cols: str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
-def partition_stats(records: DataFrame, key: str, stamp: str, required: tuple[str, ...], day: str = "day") -> DataFrame:
+def partition_stats(
+    records: DataFrame, key: str, stamp: str, required: tuple[str, ...], day: str = "day", version: str | None = None
+) -> DataFrame:
     """Per day: records, duplicate keys, missing fields, first and last stamp, content digest.
 
+    Record types that carry a version also get the set of versions and the count of rows without one.
+
     Rows are first combined per (day, key), which also finds the duplicates; a key with very many rows
     collapses before it is shuffled.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     missing = [F.count_if(empty(c)).alias(f"missing_{c}") for c in required]
     content = [c for c in records.columns]
+    extra_key = [F.collect_set(version).alias("versions"), F.count_if(empty(version)).alias("missing_version")] if version else []
+    extra_day = (
+        [F.array_sort(F.array_distinct(F.flatten(F.collect_set("versions")))).alias("versions"), F.sum("missing_version").alias("missing_version")]
+        if version
+        else []
+    )
     per_key = records.withColumn("h", row_hash(*content)).groupBy(day, key).agg(
         F.count("*").alias("n"), F.min(stamp).alias("first_ts"), F.max(stamp).alias("last_ts"), F.sum("h").alias("h"),
-        F.count_if(empty(stamp)).alias("missing_stamp"), *missing,
+        F.count_if(empty(stamp)).alias("missing_stamp"), *missing, *extra_key,
     )
     return per_key.groupBy(day).agg(
         F.sum("n").alias("record_count"),
@@ -36,6 +46,7 @@ def partition_stats(records: DataFrame, key: str, stamp: str, required: tuple[st
         F.sum("missing_stamp").alias("missing_stamp"),
         *[F.sum(f"missing_{c}").alias(f"missing_{c}") for c in required],
         F.sum("h").cast("string").alias("digest"),
+        *extra_day,
     )
 
 

@@ -25,6 +25,7 @@ class Rule:
 
 
 SENTENCE_END = r"(?<=[.!?])\s+|\n"
+CONTENT_RULES = tuple(Rule(label, pattern, scope) for label, scope, pattern in vocab.CONTENT_RULES)
 
 
 def _hits(rules: tuple[Rule, ...], scope: Column, text: Column, path: Column | None = None, margin: int | None = 20) -> Column:
@@ -47,7 +48,7 @@ def _hits(rules: tuple[Rule, ...], scope: Column, text: Column, path: Column | N
     return F.array_compact(F.array(*found))
 
 
-def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", collection: str = "collection") -> DataFrame:
+def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...] = CONTENT_RULES, text: str = "text", collection: str = "collection") -> DataFrame:
     """One row per rule and sentence it holds on, with the characters around the match.
 
     A document is first tested as a whole, so clean documents are never split.
@@ -144,7 +145,7 @@ def sanitize(docs: DataFrame, rules: RiskRules = RiskRules(), body: str = "body"
     )
 
 
-def filter_sources(sources: Column, bad: str) -> Column:
+def filter_sources(sources: Column, bad: str = vocab.UNWANTED_SOURCE) -> Column:
     """Source links (name, url) that carry none of the unwanted marks."""
     return F.filter(sources, lambda s: ~F.concat(text_or_empty(s["name"]), F.lit(" "), text_or_empty(s["url"])).rlike(bad))
 
@@ -213,7 +214,7 @@ def page_problems(pages: DataFrame, allowed_path: str, script_ok: str, max_px: f
     return pages.select("path", F.explode(problems).alias("problem"))
 
 
-def forbidden_content(products: DataFrame, words: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+def forbidden_content(products: DataFrame, words=vocab.FORBIDDEN_PHRASES, keys=vocab.FORBIDDEN_KEYS) -> DataFrame:
     """Forbidden words and JSON keys found in published products (product_id, text)."""
     names = F.regexp_extract_all("text", F.lit(r'"([^"]+)"\s*:'), 1)
     bad_keys = F.transform(F.array_intersect(names, F.lit(list(keys))), lambda k: F.concat(F.lit("key:"), k))

@@ -40,7 +40,7 @@ def weekly_busiest(keyed: DataFrame, keep: int = 5) -> DataFrame:
     return _ranked(counts, ["week"], keep, F.desc("n"), "code")
 
 
-def weekly_themes(keyed: DataFrame, themes: dict[str, tuple[str, ...]], keep: int = 12) -> DataFrame:
+def weekly_themes(keyed: DataFrame, themes: dict[str, tuple[str, ...]] = vocab.WEEKLY_THEMES, keep: int = 12) -> DataFrame:
     """Newest rows per (week, theme) and how many more there are.
 
     Totals come from a combined count, rows from a rank limit applied before the shuffle, so a crowded theme
@@ -197,12 +197,15 @@ def thin_companies(companies: DataFrame, filings: DataFrame, financial: DataFram
 def related_items(items: DataFrame, count: int = 3, block: int = 1 << 20) -> DataFrame:
     """Related items per item: same category by id distance, then the newest others.
 
-    Input: id (unique bigint), category, date. The nearest ids are among the neighbours in id order, so only
+    Input: id (unique bigint), category, date, and optionally ord, the input order that decides between equal
+    distances (by default the smaller id). The nearest ids are among the neighbours in id order, so only
     ``count`` rows on each side are looked at. Ids are cut into blocks; a block sees the edges of the blocks
     around it, so a category of any size is spread over many tasks. The rest comes from the overall newest
     rows: a category that needs topping up has at most ``count`` items, so twice that many rows suffice.
     """
-    rows = items.select("id", "category", F.floor(F.col("id") / block).alias("block"))
+    ord_ = F.col("ord") if "ord" in items.columns else F.col("id")
+    rows = items.select("id", "category", ord_.cast("bigint").alias("ord"), F.floor(F.col("id") / block).alias("block"))
+    me = F.struct("id", "ord")
     by = W.partitionBy("category", "block")
     up = F.row_number().over(by.orderBy("id"))
     down = F.row_number().over(by.orderBy(F.desc("id")))
@@ -211,22 +214,23 @@ def related_items(items: DataFrame, count: int = 3, block: int = 1 << 20) -> Dat
     edges = low.unionByName(high).distinct()
     across = W.partitionBy("category").orderBy("id")
     halo_ids = F.array_compact(
-        F.array(*[f("id", k).over(across) for k in range(1, count + 1) for f in (F.lag, F.lead)])
+        F.array(*[f(me, k).over(across) for k in range(1, count + 1) for f in (F.lag, F.lead)])
     )
     halo = (
         edges.withColumn("near", halo_ids)
-        .select("category", "block", F.explode("near").alias("id"))
+        .select("category", "block", F.explode("near").alias("x"))
+        .select("category", "block", "x.id", "x.ord")
         .where(F.floor(F.col("id") / block) != F.col("block"))
         .distinct()
         .withColumn("own", F.lit(False))
     )
     local = rows.withColumn("own", F.lit(True)).unionByName(halo)
     inside = by.orderBy("id")
-    near = F.array_compact(F.array(*[f("id", k).over(inside) for k in range(1, count + 1) for f in (F.lag, F.lead)]))
+    near = F.array_compact(F.array(*[f(me, k).over(inside) for k in range(1, count + 1) for f in (F.lag, F.lead)]))
     newest = items.orderBy(F.desc("date"), F.desc("id")).limit(2 * count)
     top = newest.agg(F.sort_array(F.collect_list(F.struct("date", "id", "category")), asc=False).alias("top")).scalar()
     same = F.transform(
-        F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x - F.col("id")).alias("d"), x.alias("id")))), lambda s: s["id"]
+        F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["id"] - F.col("id")).alias("d"), x["ord"].alias("ord"), x["id"].alias("id")))), lambda s: s["id"]
     )
     others = F.transform(F.filter("top", lambda o: o["category"] != F.col("category")), lambda o: o["id"])
     return (
@@ -241,7 +245,8 @@ def related_items(items: DataFrame, count: int = 3, block: int = 1 << 20) -> Dat
 def feed(weekly: DataFrame, filings: DataFrame, study: DataFrame, days: int = 25, size: int = 60) -> DataFrame:
     """Newest entries over weekly pages, company-day filing groups and study items.
 
-    ``weekly`` and ``study`` have day, kind, key, title. A filing group is titled by its first receipt.
+    ``weekly`` and ``study`` have day, kind, key, title. A filing group is titled by its first receipt. Inside a
+    day weekly pages come first, then filings by falling code, then study items.
     """
     groups = (
         filings.groupBy("code", "received_on")
@@ -255,5 +260,7 @@ def feed(weekly: DataFrame, filings: DataFrame, study: DataFrame, days: int = 25
             F.concat(F.col("first.title"), F.when(F.col("n") > 1, F.concat(F.lit(" +"), (F.col("n") - 1).cast("string"))).otherwise("")).alias("title"),
         )
     )
-    rows = weekly.unionByName(groups).unionByName(study)
-    return rows.orderBy(F.desc("day"), "kind", "key").limit(size)
+    parts = [df.withColumn("tier", F.lit(i)) for i, df in enumerate((weekly, groups, study))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    newest_code = F.when(F.col("tier") == 1, F.col("key"))
+    return rows.orderBy(F.desc("day"), "tier", F.desc(newest_code), "key").limit(size).drop("tier")

@@ -171,13 +171,14 @@ def account_values(records: DataFrame, years, accounts) -> DataFrame:
     """Value or state per (code, account, year) for companies that have a usable year.
 
     ``records`` is long: code, year, status, fs_div, account, amount, applicable. One aggregation per
-    (code, account); the years of a company are a handful of entries.
+    (code, account) with one slot per year, so repeated records combine before the shuffle.
     """
     wanted = records.where(F.col("year").isin(*years) & F.col("account").isin(*accounts))
+    entry = F.struct("year", "status", "fs_div", "amount", "applicable")
     per_account = wanted.groupBy("code", "account").agg(
-        F.collect_list(F.struct("year", "status", "fs_div", "amount", "applicable")).alias("cells"),
+        *[F.max(F.when(F.col("year") == y, entry)).alias(f"y{y}") for y in years],
         F.max(F.col("status") == vocab.OK).alias("usable"),
-    )
+    ).withColumn("cells", F.array(*[f"y{y}" for y in years]))
     cell = F.get(F.filter("cells", lambda c: c["year"] == F.col("year")), F.lit(0))
     spread = per_account.where("usable").withColumn("year", F.explode(F.lit(list(years)))).withColumn("cell", cell)
     ok = F.coalesce(F.col("cell.status") == vocab.OK, F.lit(False))

@@ -284,7 +284,7 @@ def _(t):
 grp AS (SELECT received_on AS day, 'filing' AS kind, code AS key, min_by(title, rcept_no) || CASE WHEN count(*) > 1 THEN ' +' || (count(*) - 1) ELSE '' END AS title
   FROM kt GROUP BY received_on, code ORDER BY received_on DESC, code DESC LIMIT 25),
 st AS (SELECT DATE '2024-01-01' + CAST(doc_id % 29 AS INT) AS day, 'study' AS kind, printf('%06d', doc_id) AS key, lang || '-' || source AS title FROM documents)
-SELECT strftime(day, '%Y-%m-%d') AS day, kind, key, title FROM (SELECT * FROM wk UNION ALL SELECT * FROM grp UNION ALL SELECT * FROM st ORDER BY day DESC, kind, key LIMIT 60)""",
+SELECT strftime(day, '%Y-%m-%d') AS day, kind, key, title FROM (SELECT * FROM (SELECT *, 0 AS tier FROM wk UNION ALL SELECT *, 1 FROM grp UNION ALL SELECT *, 2 FROM st) ORDER BY day DESC, tier, CASE WHEN tier = 1 THEN key END DESC NULLS LAST, key LIMIT 60)""",
 )
 def _(t):
     week = op.weekly_summary(keyed(t)).select(

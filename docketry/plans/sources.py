@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from docketry.operators import archive as ar
 from docketry.plans import standins as sv
 from docketry.plans.archive import hash_sql
 from docketry.plans.registry import query
@@ -156,4 +157,17 @@ def _(t):
     return pt.compact_days(t.spark, raw, packed, "event_id bigint, event_type string, value double, day string")
 
 
-
+@query(
+    "arc6_monthly_bundles",
+    """WITH r AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey, o_orderstatus FROM orders), b AS (SELECT substr(day, 1, 7) AS month, count(*) AS record_count,
+  count(DISTINCT CASE WHEN CAST(substr(day, 9) AS INT) = 13 AND CAST(substr(day, 6, 2) AS INT) % 3 = 0 THEN day END) AS problem_days FROM r GROUP BY 1)
+SELECT month, record_count, problem_days, CASE WHEN problem_days = 0 THEN record_count END AS bundled, CASE WHEN problem_days = 0 THEN 'MONTHLY_ARCHIVED' ELSE 'ARCHIVE_INTEGRITY_ERROR' END AS status FROM b""",
+)
+def _(t):
+    rows = t.orders.select(sv.day_text("o_orderdate").alias("day"), "o_orderkey", "o_orderstatus")
+    stats = ar.partition_stats(rows, "o_orderkey", "o_orderstatus", ())
+    # Damage the manifests of the thirteenth day in every third month.
+    hurt = (F.substring("day", 9, 2) == "13") & (F.substring("day", 6, 2).cast("int") % 3 == 0)
+    manifests = stats.withColumn("record_count", F.when(hurt, F.col("record_count") + 1).otherwise(F.col("record_count")))
+    months = ar.monthly_rollup(stats, ar.audit_archive(stats, manifests, ()))
+    return pt.bundle_months(rows, months, scratch_path(t.spark, "months"))

@@ -45,7 +45,7 @@ def upsert_day(spark: SparkSession, path: str, records: DataFrame, key: str, ord
     )
     staged = cut_lineage(merged.select(day, key, "row.*", "__low", "__high"), "merged")
     (
-        staged.drop("__low", "__high").hint("rebalance", day).write.mode("overwrite")
+        staged.drop("__low", "__high").hint("rebalance", day).sortWithinPartitions(day, key).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     )
     return staged.groupBy(day).agg(
@@ -76,6 +76,23 @@ def compact_days(spark: SparkSession, source: str, target: str, schema: str, day
     )
 
 
+def bundle_months(records: DataFrame, months: DataFrame, path: str, day: str = "day") -> DataFrame:
+    """Write the months whose days all verify, then count again what was written.
+
+    ``months`` is the result of ``monthly_rollup``. A month with problems is not written at all; a bundle whose
+    count differs from the sum of its days is reported as damaged.
+    """
+    spark = records.sparkSession
+    rows = records.withColumn("month", F.substring(day, 1, 7))
+    good = months.where("problem_days = 0").select("month")
+    rows.join(good, "month", "left_semi").hint("rebalance", "month").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path).groupBy("month").agg(F.count("*").alias("bundled"))
+    whole = (F.col("problem_days") == 0) & F.col("bundled").eqNullSafe(F.col("record_count"))
+    return months.select("month", "record_count", "problem_days").join(written, "month", "left").withColumn(
+        "status", F.when(whole, "MONTHLY_ARCHIVED").otherwise("ARCHIVE_INTEGRITY_ERROR")
+    )
+
+
 def product_contract(products: dict[str, DataFrame], version: str, company: str = "code") -> DataFrame:
     """One row per product: rows, bytes of its canonical JSON, companies, content hash and record id.
 

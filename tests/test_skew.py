@@ -97,6 +97,13 @@ def test_related_items(spark):
             assert got[i] == [x[0] for x in (same + rest)[:3]]
 
 
+def test_equal_distances_follow_the_input_order(spark):
+    rows = [(10, "a", 1, 2), (12, "a", 1, 1), (8, "a", 1, 3), (14, "a", 1, 0)]
+    df = spark.createDataFrame(rows, "id bigint, category string, date bigint, ord bigint")
+    got = [r.related_id for r in dg.related_items(df).where("id = 10").orderBy("place").collect()]
+    assert got == [12, 8, 14]
+
+
 def test_containing_pairs(spark):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("ab가나") for _ in range(n))

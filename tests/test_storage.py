@@ -94,6 +94,20 @@ def test_audit_finds_every_kind_of_damage(spark):
     assert (month.month, month.status) == ("2026-01", "ARCHIVE_INTEGRITY_ERROR")
 
 
+def test_versions_are_counted_when_the_record_type_has_them(spark):
+    rows = [("d", "a", "t", "v2"), ("d", "b", "t", "v1"), ("d", "c", "t", None), ("d", "a", "t", "v2")]
+    row = ar.partition_stats(spark.createDataFrame(rows, "day string, k string, ts string, v string"), "k", "ts", (), version="v").first()
+    assert (row.versions, row.missing_version, row.duplicate_keys) == (["v1", "v2"], 1, 1)
+
+
+def test_content_rules_on_korean_sentences(spark):
+    rows = [
+        (1, "study", "좋다. 투자의견은 없다.\n증권사는 매출 3조 원을 예상했다."), (2, "lesson", "투자의견이다. KBS 다큐 요약이다."), (3, "study", "평범하다."),
+    ]
+    got = {(r.id, r.sentence_no, r.label) for r in cp.scan_sentences(spark.createDataFrame(rows, "id int, collection string, text string")).collect()}
+    assert got == {(1, 1, "투자의견 문장"), (1, 2, "증권사·시장 실적 추정치"), (2, 1, "방송·다큐 요약 글(제3자 저작물)")}
+
+
 def test_sealed_rows_cannot_be_moved_and_need_a_key(spark):
     key, label = F.lit("k" * 32).cast("binary"), F.lit("event|2026-01-01")
     df = spark.range(1).select(ar.seal(F.lit("secret"), key, label).alias("b"), ar.seal(F.lit("secret"), key, label).alias("c"))
