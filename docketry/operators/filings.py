@@ -230,22 +230,33 @@ def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 4096
     )
 
 
-def link_corrections(events: DataFrame, history: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 4096) -> DataFrame:
+def title_state(filings: DataFrame, keep: int = 5) -> DataFrame:
+    """What later corrections need to know of filings: the greatest receipts per (ticker, title).
+
+    The rank limit is applied before the shuffle, so a title filed very often stays a handful of rows.
+    """
+    rank = F.row_number().over(W.partitionBy("ticker", "report_name").orderBy(F.desc("rcept_no")))
+    top = filings.select("ticker", "report_name", "rcept_no").withColumn("rank", rank).where(F.col("rank") <= keep + 1)
+    return top.groupBy("ticker", "report_name").agg(F.collect_list("rcept_no").alias("receipts"))
+
+
+def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 4096) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an
     earlier filing of the same ticker whose title contains the correction's title without its mark. One
     candidate links, several are listed (the last ``keep`` by receipt) and flagged, none leaves it alone.
-    ``history`` adds earlier filings that are candidates but are not returned.
+    ``state`` stands for all filings processed before (see ``title_state``; several rows per title are fine).
     """
     base = F.trim(F.regexp_replace("report_name", vocab.INGEST_CORRECTION, ""))
-    fields = ["ticker", "rcept_no", "report_name", "seq"]
-    known = events.select(*fields) if history is None else history.select(*fields).unionByName(events.select(*fields))
     corrections = events.where("is_correction").withColumn("base", base).where("base <> ''")
+    # Everything before these events counts as earlier: its order numbers are negative, spread over blocks.
+    before_all = -1 - F.pmod(F.xxhash64("report_name"), F.lit(1 << 40))
+    known = events.select("ticker", "report_name", (F.col("seq") * 2 + 1).alias("idx"), F.array("rcept_no").alias("own"))
+    if state is not None:
+        known = known.unionByName(state.select("ticker", "report_name", before_all.alias("idx"), F.col("receipts").alias("own")))
     pairs = containing_pairs(corrections, known, ["ticker"], "base", "report_name", gram)
-    candidates = known.join(pairs, ["ticker", "report_name"]).select(
-        "ticker", "base", (F.col("seq") * 2 + 1).alias("idx"), F.array("rcept_no").alias("own"), F.lit(False).alias("asks")
-    )
+    candidates = known.join(pairs, ["ticker", "report_name"]).select("ticker", "base", "idx", "own", F.lit(False).alias("asks"))
     asking = corrections.select(
         "ticker", "base", (F.col("seq") * 2).alias("idx"), F.array().cast("array<string>").alias("own"), F.lit(True).alias("asks")
     )

@@ -91,6 +91,6 @@ def _(t):
     rows = sv.filing(t).select(F.col("code").alias("ticker"), "rcept_no", F.col("title").alias("report_name"), "is_correction", "seq", "received_on")
     for _ in arrivals(t, f"{base}/arrivals", rows, DISJOINT):
         stream = ing.read_files(t.spark, f"{base}/arrivals", LINK_SCHEMA)
-        ing.run_available(stream, f"{base}/checkpoint", ing.link_handler(t.spark, base, LINK_SCHEMA))
+        ing.run_available(stream, f"{base}/checkpoint", ing.link_handler(t.spark, base))
     out = t.spark.read.parquet(f"{base}/linked").where("is_correction")
     return out.select("rcept_no", "corrects_rcept_no", sv.joined("correction_candidates").alias("candidates"))

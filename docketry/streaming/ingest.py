@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry import vocab
-from docketry.operators.filings import link_corrections
+from docketry.operators.filings import link_corrections, title_state
 from docketry.sources.partitions import table_exists
 
 STATE_SCHEMA = "rcept_no string, state string, batch bigint, phase int, day string"
@@ -123,17 +123,20 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
 
 
-def link_handler(spark: SparkSession, root: str, schema: str):
-    """Handler that links corrections of a batch against all filings of earlier batches."""
+def link_handler(spark: SparkSession, root: str):
+    """Handler that links corrections of a batch against everything before it.
+
+    The history is kept as the greatest receipts per title, one small folder per batch, never as rows.
+    """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        path = f"{root}/events"
+        path = f"{root}/titles"
+        schema = "ticker string, report_name string, receipts array<string>, batch bigint"
         if table_exists(spark, path):
-            history = spark.read.schema(schema + ", batch bigint").parquet(path).where(F.col("batch") < batch_id)
+            state = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
         else:
-            history = spark.createDataFrame([], schema)
-        linked = link_corrections(df, history)
-        linked.write.mode("overwrite").parquet(f"{root}/linked/batch={batch_id}")
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            state = spark.createDataFrame([], schema)
+        link_corrections(df, state).write.mode("overwrite").parquet(f"{root}/linked/batch={batch_id}")
+        title_state(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle

@@ -62,8 +62,9 @@ def test_correction_links_do_not_depend_on_block_size(spark):
 
 def test_correction_links_against_history(spark):
     rows = correction_rows(3, 300)
-    history, batch = rows[:200], rows[200:]
-    got = links(fl.link_corrections(spark.createDataFrame(batch, LINK), spark.createDataFrame(history, LINK)))
+    first, second, batch = rows[:120], rows[120:200], rows[200:]
+    state = fl.title_state(spark.createDataFrame(first, LINK)).unionByName(fl.title_state(spark.createDataFrame(second, LINK)))
+    got = links(fl.link_corrections(spark.createDataFrame(batch, LINK), state))
     want = expected_links(rows)
     assert got == {r[1]: want[r[1]] for r in batch}
 
