@@ -186,13 +186,13 @@ def _best(values: Column, keep: int) -> Column:
     return F.slice(F.array_distinct(F.sort_array(values, asc=False)), 1, keep)
 
 
-def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 4096, levels: int = 2) -> DataFrame:
+def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1 << 14, levels: int = 2) -> DataFrame:
     """For every asking item, the ``keep`` greatest values of the items before it in its group.
 
     ``items`` has the keys, ``idx`` (unique bigint order), ``own`` (array of values) and ``asks``. Items are
     cut into blocks of ``block`` consecutive ``idx``; a block folds a bounded array and hands only its best
-    values upwards, level by level. With two levels one entry at the top stands for 16 million order numbers,
-    so no task ever holds more than a few thousand items of a group, however large the group is.
+    values upwards, level by level. With two levels one entry at the top stands for 268 million order numbers,
+    so no task ever holds more than a block of a group at once, however large the group is.
     """
     kind = dict(items.dtypes)["own"]
     part = F.floor(F.col("idx") / block) if levels else F.lit(0).cast("bigint")
@@ -240,7 +240,7 @@ def title_state(filings: DataFrame, keep: int = 5) -> DataFrame:
     return top.groupBy("ticker", "report_name").agg(F.collect_list("rcept_no").alias("receipts"))
 
 
-def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 4096) -> DataFrame:
+def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 1 << 14) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an

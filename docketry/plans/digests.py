@@ -124,12 +124,16 @@ def classified(t):
     return classify_titles(sv.tracked_filing(t), "title", sv.CATEGORIES)
 
 
-def lines(t):
-    items = ev.match_stages(sv.tracked_filing(t).select("code", "rcept_no", "title", "received_on"), CHAINS)
+def lines_of(filings):
+    items = ev.match_stages(filings.select("code", "rcept_no", "title", "received_on"), CHAINS)
     order = F.create_map(*[x for i, c in enumerate(CHAINS) for x in (F.lit(c.key), F.lit(i))])
     return ev.timelines(items, CHAINS).withColumn("chain_ord", order[F.col("chain")])
 
 
+def lines(t):
+    return lines_of(sv.tracked_filing(t))
+
+
 def categories(t):
     return op.company_categories(ch.filing_page(classified(t)), lines(t), CHAIN_CATEGORY)
 
@@ -161,7 +165,7 @@ FROM universe u LEFT JOIN hd USING (code) LEFT JOIN lp USING (code) LEFT JOIN kc
 def _(t):
     # The products a summary reads are written once, then read by every part of it.
     rows = cut_lineage(classified(t), "classified")
-    stages = cut_lineage(lines(t), "timelines")
+    stages = lines_of(rows)
     win = ch.data_windows(rows).scalar()
     headers = ch.company_headers(rows.withColumn("listed", F.lit(True)), win).select("code", "filing_count", "recent_count")
     change_lines = ch.window_changes(rows, ch.data_windows(rows).scalar(), sv.CATEGORIES).select("code", "position", "text")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from docketry import products as pr
 from docketry.operators import archive as ar
 from docketry.plans import standins as sv
 from docketry.plans.archive import hash_sql
+from docketry.plans.changes import WIN
+from docketry.plans.financials import WIDE, long
 from docketry.plans.registry import query
+from docketry.plans.titles import CHAINS, STAGED
 from docketry.session import scratch_path
 from docketry.sources import partitions as pt, registry as src
 
@@ -171,3 +175,36 @@ def _(t):
     manifests = stats.withColumn("record_count", F.when(hurt, F.col("record_count") + 1).otherwise(F.col("record_count")))
     months = ar.monthly_rollup(stats, ar.audit_archive(stats, manifests, ()))
     return pt.bundle_months(rows, months, scratch_path(t.spark, "months"))
+
+
+BUNDLE = (
+    STAGED + WIN.format(src="(SELECT received_on FROM tracked UNION ALL SELECT DATE '2024-01-30')") + "," + WIDE.replace(sv.UNIVERSE, "ignored AS (SELECT 1)")
+    + ", cls AS (SELECT *, " + sv.CATEGORY_SQL + """ AS category FROM tracked),
+cnt AS (SELECT code, category, count(*) FILTER (is_correction OR contains(title, '[첨부추가]')) FILTER (received_on BETWEEN rf AND hi) AS cor FROM cls, win WHERE received_on BETWEEN pf AND hi GROUP BY 1, 2),
+p AS (SELECT 'disclosure_headers' AS kind, count(DISTINCT code) AS rows, count(DISTINCT code) AS companies FROM tracked
+ UNION ALL SELECT 'disclosure_changes', count(*), count(DISTINCT code) FROM (SELECT code FROM cnt UNION ALL SELECT code FROM cnt GROUP BY code HAVING sum(cor) > 0)
+ UNION ALL SELECT 'disclosure_filings', CAST(sum(least(n, 40)) AS BIGINT), count(*) FROM (SELECT code, count(*) AS n FROM tracked GROUP BY 1)
+ UNION ALL SELECT 'financial_values', count(*), count(DISTINCT code) FROM vals UNION ALL SELECT 'financial_changes', count(*), count(DISTINCT code) FROM chg
+ UNION ALL SELECT 'event_timelines', count(*), count(DISTINCT code) FROM lines UNION ALL SELECT 'event_items', count(*), count(DISTINCT code) FROM staged)
+SELECT *, '2024-01-30' AS as_of, '2024-01-30 11:00:00' AS generated_at FROM p"""
+).replace("count(*) FILTER (is_correction OR contains(title, '[첨부추가]')) FILTER (received_on BETWEEN rf AND hi) AS cor", "count(*) FILTER ((is_correction OR contains(title, '[첨부추가]')) AND received_on BETWEEN rf AND hi) AS cor")
+
+
+@query("src7_product_bundle", "WITH " + BUNDLE)
+def _(t):
+    finding = F.struct(F.col("rcept_no").alias("id"), F.date_format("received_on", "yyyyMMdd").alias("receivedOn"), "title")
+    evidence = sv.filing(t).select(F.col("code").alias("ticker"), F.array(finding).alias("comparisonFindings"))
+    last = t.events.agg(F.max("ts").cast("date").alias("day"))
+    stamp = F.to_timestamp_ltz(F.concat(sv.day_text("day"), F.lit(" 11:00:00")))
+    runs = last.select(
+        F.lit("list").alias("source"), stamp.alias("finished_at"), F.lit("OK").alias("status"), F.lit("EVENT_DETECTED").alias("event_state"),
+        F.date_sub("day", 1).alias("window_start"), F.col("day").alias("window_end"),
+    )
+    done = pr.build_products(
+        sv.universe(t), seen(t), evidence, long(t), runs, categories=sv.CATEGORIES, chains=CHAINS, years=sv.YEARS,
+        accounts=sv.ACCOUNTS, path=scratch_path(t.spark, "bundle"), version="v1",
+    )
+    return done.select(
+        "kind", "rows", "companies", sv.day_text("as_of").alias("as_of"), F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at")
+    )
+

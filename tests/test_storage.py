@@ -193,3 +193,18 @@ def test_stream_restart_reads_only_new_files(spark, tmp_path):
         stream = ing.read_files(spark, f"{base}/in", SCHEMA)
         ing.run_available(stream, f"{base}/cp", lambda df, i: seen.append(sorted(r.title for r in df.collect())))
     assert seen == [["t1"], ["t2"]]
+
+
+def test_products_need_a_complete_run(spark):
+    from docketry.products import NoCompleteCheck, freshness
+
+    cols = "source string, finished_at timestamp, status string, event_state string, window_start date, window_end date"
+    import datetime as dt
+
+    at = dt.datetime(2026, 9, 20, 10, tzinfo=dt.timezone.utc)
+    bad = ("list", at, "OK", "EVENT_COVERAGE_INCOMPLETE", dt.date(2026, 9, 19), dt.date(2026, 9, 20))
+    good = ("list", at - dt.timedelta(days=1), "OK", "NO_OFFICIAL_EVENT_DETECTED", dt.date(2026, 9, 13), dt.date(2026, 9, 14))
+    with pytest.raises(NoCompleteCheck):
+        freshness(spark.createDataFrame([bad], cols))
+    row = freshness(spark.createDataFrame([bad, good], cols))
+    assert row.window_end == dt.date(2026, 9, 14) and row.covered_until.timestamp() == dt.datetime(2026, 9, 14, 15, tzinfo=dt.timezone.utc).timestamp()
