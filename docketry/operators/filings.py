@@ -134,21 +134,18 @@ def merge_filings(*sources: DataFrame) -> DataFrame:
     """One row per (code, receipt) over several sources, earlier sources first.
 
     The first row's fields win; ``sources`` lists the source names in order of first appearance. Each input
-    has code, rcept_no, title, received_on, source. Two aggregations with map-side combine: the first leaves
-    one row per source, so copies of one receipt never meet in one task.
+    has code, rcept_no, title, received_on, source. One aggregation with map-side combine: its state per receipt
+    is one row and a set no larger than the number of sources, so copies collapse before the shuffle.
     """
     tagged = reduce(
         DataFrame.unionByName,
         [df.withColumn("priority", F.lit(i)) for i, df in enumerate(sources)],
     )
-    first = tagged.groupBy("code", "rcept_no", "priority").agg(
-        F.min(F.struct("received_on", "title", "source")).alias("row")
-    )
     return (
-        first.groupBy("code", "rcept_no")
+        tagged.groupBy("code", "rcept_no")
         .agg(
-            F.min_by("row", "priority").alias("row"),
-            F.array_sort(F.collect_set(F.struct("priority", "row.source"))).alias("ordered"),
+            F.min(F.struct("priority", "received_on", "title")).alias("row"),
+            F.array_sort(F.collect_set(F.struct("priority", "source"))).alias("ordered"),
         )
         .select(
             "code",
