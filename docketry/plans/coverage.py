@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docketry import evidence as job
 from docketry.operators import coverage as op, filings as fl, ledger as lg
 from docketry.plans import standins as sv
 from docketry.plans.registry import query
+from docketry.plans.titles import EVENTS_SQL
 
 
 @query(
@@ -93,13 +95,8 @@ ic AS (SELECT ticker, count(*) FILTER (NOT bad) AS collected, count(*) FILTER (N
   count(*) FILTER (bad) + count(*) FILTER (NOT bad AND regexp_matches(title, 'red|bolt') AND contains(title,'hot') AND contains(title,'plate')) AS uninterpreted FROM ir GROUP BY 1)"""
 
 
-@query(
-    "ag9_issuer_reconciliation",
-    "WITH " + sv.PART_TITLE + "," + ISSUER + """ SELECT ticker, ok, error, pages_expected, pages_collected, total_count, CASE WHEN ok THEN collected END AS collected,
-  CASE WHEN ok THEN findings END AS findings, CASE WHEN ok THEN uninterpreted END AS uninterpreted
-FROM (SELECT *, error IS NULL AND pages_collected >= pages_expected AS ok FROM pt JOIN ic USING (ticker))""",
-)
-def _(t):
+def issuer_log(t):
+    """Response pages and listed rows per supplier."""
     li = t.lineitem
     bad = (
         F.when((F.col("l_suppkey") % 5 == 0) & (F.col("l_linenumber") >= 3), "API_ERROR")
@@ -107,7 +104,7 @@ def _(t):
         .otherwise("OK")
     )
     size = li.groupBy("l_suppkey").agg(F.count("*").alias("total_count")).withColumnRenamed("l_suppkey", "ticker")
-    pages_ = li.select(
+    log = li.select(
         F.col("l_suppkey").alias("ticker"), F.col("l_linenumber").alias("page"), bad.alias("state"),
         (F.lit(6) + F.col("l_suppkey") % 3).cast("int").alias("total_page"),
     ).distinct().join(size, "ticker")
@@ -118,9 +115,41 @@ def _(t):
         F.col("title").alias("report_nm"),
         F.lit("").alias("stock_code"),
     )
+    return log, rows
+
+
+@query(
+    "ag9_issuer_reconciliation",
+    "WITH " + sv.PART_TITLE + "," + ISSUER + """ SELECT ticker, ok, error, pages_expected, pages_collected, total_count, CASE WHEN ok THEN collected END AS collected,
+  CASE WHEN ok THEN findings END AS findings, CASE WHEN ok THEN uninterpreted END AS uninterpreted
+FROM (SELECT *, error IS NULL AND pages_collected >= pages_expected AS ok FROM pt JOIN ic USING (ticker))""",
+)
+def _(t):
+    pages_, rows = issuer_log(t)
     return op.reconcile_issuers(pages_, fl.reconcile_rows(rows), sv.ACTIONS, ("red", "bolt"))
 
 
+EVENT_ROWS = """ev_row AS (SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_suppkey AS VARCHAR) AS brand, title FROM lineitem JOIN part_title ON id = l_partkey
+  WHERE l_partkey % 11 <> 0 AND regexp_matches(title, 'red|bolt'))"""
+ISSUER_EVENTS = EVENTS_SQL.replace(sv.PART_TITLE + ",", sv.PART_TITLE + ", " + EVENT_ROWS + ",", 1).replace("FROM part_title p)", "FROM ev_row p)")
+
+
+@query(
+    "ag9_issuer_evidence",
+    "WITH " + ISSUER_EVENTS + "," + ISSUER + """, cn AS (SELECT CAST(code AS BIGINT) AS ticker, count(*) FILTER (subject = 'SELF' AND unresolved <> '') AS open_self,
+  count(*) FILTER (subject <> 'SELF') AS subsidiary, count(*) FILTER (subject = 'SELF' AND done AND unresolved <> '') AS company_done_awaiting_exchange,
+  count(*) FILTER (subject = 'SELF' AND unresolved = '') AS fully_resolved, count(*) AS events FROM ev GROUP BY 1)
+SELECT ticker, ok, error, CASE WHEN ok THEN coalesce(open_self, 0) END AS open_self, CASE WHEN ok THEN coalesce(subsidiary, 0) END AS subsidiary,
+  CASE WHEN ok THEN coalesce(company_done_awaiting_exchange, 0) END AS company_done_awaiting_exchange, CASE WHEN ok THEN coalesce(fully_resolved, 0) END AS fully_resolved,
+  CASE WHEN ok THEN coalesce(events, 0) END AS events, '2026-01-02 20:00:00' AS expires_at
+FROM (SELECT *, error IS NULL AND pages_collected >= pages_expected AS ok FROM pt) LEFT JOIN cn USING (ticker)""",
+)
+def _(t):
+    pages_, rows = issuer_log(t)
+    done = job.issuer_evidence(pages_, rows, F.lit("2026-01-02").cast("timestamp_ntz"), sv.ACTIONS, ("red", "bolt"))
+    return done.select("ticker", "ok", "error", *job.COUNTS, F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
 EVID = """evd AS (SELECT printf('%06d', o_custkey) AS code, max(o_orderdate) AS queried_at, max_by(o_orderstatus, o_orderdate * 1) AS st, count(*) FILTER (o_orderpriority = '2-HIGH') AS findings,
   count(*) FILTER (o_orderpriority = '1-URGENT') AS open_self, bool_or(o_totalprice > 450000) AS ok FROM orders GROUP BY 1)"""
 EVID = EVID.replace(", max_by(o_orderstatus, o_orderdate * 1) AS st", "")
