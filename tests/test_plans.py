@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 ROOT = "/root/testdata/sf0.001"
-BATCH = [n for n in entry.queries() if not re.match(r"str[12356]_|src[1267]|src8|src9|arc4|arc6_monthly_b|ag20_company_s", n)]
+BATCH = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline|str[12356]_|src[1267]|src8|src9|arc4|arc6_monthly_b|ag20_company_s", n)]
 
 
 def plan(df):
