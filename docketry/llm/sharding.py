@@ -74,17 +74,14 @@ class Totals:
         return least
 
     def gaps(self, lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
-        """Open gaps that the true run may fall into, neighbours merged."""
-        found: set[tuple[int, int]] = set()
-        for a, b in zip(lows, highs, strict=True):
-            at = bisect_right(self.ends, a) - 1
-            while at < len(self.ends) - 1 and self.ends[at] <= b:
-                if self.open[at]:
-                    found.add((self.ends[at], self.ends[at + 1]))
-                at += 1
+        """Intervals between known ends, one for each shard at most, that hold all open gaps the true run may fall into."""
         merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and merged[-1][1] == a:
+        for a, b in zip(lows, highs, strict=True):
+            at, to = bisect_right(self.ends, a) - 1, bisect_right(self.ends, b)
+            if not any(self.open[at:to]):
+                continue
+            a, b = self.ends[at], self.ends[min(to, len(self.ends) - 1)]
+            if merged and merged[-1][1] >= a:
                 a = merged.pop()[0]
             merged.append((a, b))
         return merged
