@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,3 +62,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def worker_cache() -> dict:
+    """Objects that outlive a task in a reused Python worker, such as loaded vocabularies; bounded by their users."""
+    name = "docketry_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import read_table
 from docketry.llm.mixing import Mixture, mix_plan
 from docketry.llm.pseudonyms import KINDS, pseudonymise
+from docketry.llm.quality import Divergence, judge
+from docketry.llm.secrets import KINDS as SECRET_KINDS
+from docketry.llm.secrets import scan
 from docketry.llm.sharding import shard_rows
+from docketry.llm.tokens import token_index, write_tokens
+from docketry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +53,28 @@ def op8_minimax_shards(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op10_temperature_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mix_plan(read_table(spark, root, "documents"), Mixture(repeat_limit=2.0))
+
+
+@query
+def op3_distribution_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return judge(read_table(spark, root, "documents"), Divergence())
+
+
+@query
+def op9_markov_secrets(spark: SparkSession, root: str) -> DataFrame:
+    found = scan(read_table(spark, root, "documents"))
+    joined = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = "filter(spans, s -> s.kind <> 'model')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in SECRET_KINDS],
+        F.expr(f"sha2({joined.format(base)}, 256)").alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
+@query
+def op2_orc_tokens(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(read_table(spark, root, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_index(spark, path)

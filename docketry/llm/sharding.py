@@ -92,9 +92,9 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int) -> tupl
 
     ``ends`` has one row per group with its running total in the bigint column ``end``.
     """
-    known, gaps = Totals(total), [(0, total)]
+    known, gaps, width = Totals(total), [(0, total)], total
     while True:
-        width = max(1, sum(b - a for a, b in gaps) // COARSE)
+        width = max(1, min(width // 2, sum(b - a for a, b in gaps) // COARSE))
         inside, gap = F.lit(False), F.lit(0)
         for a, b in gaps:
             inside = inside | ((F.col("end") > a) & (F.col("end") <= b))
