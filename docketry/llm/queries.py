@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import read_table
+from docketry.llm import langid
+from docketry.llm.common import bucket_of, read_table
+from docketry.llm.langid import load_pieces
 from docketry.llm.mixing import Mixture, mix_plan
 from docketry.llm.pseudonyms import KINDS, pseudonymise
 from docketry.llm.quality import Divergence, judge
@@ -78,3 +80,12 @@ def op2_orc_tokens(spark: SparkSession, root: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(read_table(spark, root, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_index(spark, path)
+
+
+@query
+def op4_segmentation_unigrams(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents").withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)))
+    names = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, table = langid.train(docs.where("not held_out").select("text", "lang"), names)
+    found = langid.predict(docs, langs, table, names)
+    return found.withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
