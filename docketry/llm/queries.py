@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import langid
 from docketry.llm.common import bucket_of, read_table
+from docketry.llm.decontaminate import leaks
 from docketry.llm.langid import load_pieces
 from docketry.llm.mixing import Mixture, mix_plan
 from docketry.llm.pseudonyms import KINDS, pseudonymise
@@ -89,3 +90,8 @@ def op4_segmentation_unigrams(spark: SparkSession, root: str) -> DataFrame:
     langs, table = langid.train(docs.where("not held_out").select("text", "lang"), names)
     found = langid.predict(docs, langs, table, names)
     return found.withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_qgram_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return leaks(read_table(spark, root, "documents"), read_table(spark, root, "benchmark"))
