@@ -76,14 +76,14 @@ class Encoder:
                 continue
             pieces = text.split(" ")
             pieces[0] = " " + pieces[0]
-            if fresh := set(pieces) - self.young.keys():
+            if fresh := {p for p in set(pieces) if p not in self.young}:
                 if len(fresh) > CACHE_WORDS:
                     direct.append(at)
                     continue
                 before = self.young
                 self.learn(fresh)
                 if self.young is not before:
-                    self.learn(set(pieces) - self.young.keys())
+                    self.learn({p for p in set(pieces) if p not in self.young})
             out[at] = b"".join(map(self.young.__getitem__, pieces))
         for at, ids in zip(direct, self.whole([texts[i] for i in direct]), strict=True):
             out[at] = ids
