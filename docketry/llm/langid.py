@@ -266,7 +266,7 @@ class Scores:
             words = LETTERS.findall(text.lower())
             if not words:
                 continue
-            if fresh := set(words) - self.at.keys():
+            if fresh := {w for w in set(words) if w not in self.at}:
                 if len(self.at) + len(fresh) > CACHE_WORDS:
                     self.clear()
                     fresh = set(words)
