@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docketry.llm import langid
 from docketry.llm.common import bucket_of, read_table
 from docketry.llm.decontaminate import leaks
+from docketry.llm.forest import Forest, near_classes
 from docketry.llm.langid import load_pieces
 from docketry.llm.mixing import Mixture, mix_plan
 from docketry.llm.pseudonyms import KINDS, pseudonymise
@@ -95,3 +96,8 @@ def op4_segmentation_unigrams(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op1_qgram_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return leaks(read_table(spark, root, "documents"), read_table(spark, root, "benchmark"))
+
+
+@query
+def op5_minhash_forest(spark: SparkSession, root: str) -> DataFrame:
+    return near_classes(read_table(spark, root, "documents"), Forest()).select("doc_id", "class_id", "n_links")
