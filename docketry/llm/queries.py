@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import langid
+from docketry.llm import langid, ngrams
 from docketry.llm.common import bucket_of, read_table
 from docketry.llm.decontaminate import leaks
 from docketry.llm.forest import Forest, near_classes
@@ -101,3 +101,13 @@ def op1_qgram_decontamination(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op5_minhash_forest(spark: SparkSession, root: str) -> DataFrame:
     return near_classes(read_table(spark, root, "documents"), Forest()).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op6_elias_fano_ngrams(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents")
+    held_out = F.coalesce(bucket_of("doc_id", 7) == 2, F.lit(False))
+    name, words = ngrams.train(docs.where(~held_out))
+    return ngrams.score(docs, name, words).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
