@@ -68,3 +68,19 @@ def worker_cache() -> dict:
     """Objects that outlive a task in a reused Python worker, such as loaded vocabularies; bounded by their users."""
     name = "docketry_worker_cache"
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
+def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``keep`` says so.
+
+    ``keep`` gets the texts of a slice (null as empty) and returns one truth value each; it runs where the rows are.
+    """
+    bound_batches(docs.sparkSession)
+    index = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, index, 1 << 20):
+                yield part.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,13 +18,14 @@ their rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bound_batches, code_points, mix64, text_slices, worker_cache
+from docketry.llm.common import bound_batches, code_points, filter_rows, mix64, text_slices, worker_cache
 
 Q = 10
 SEGMENT, STEP = 96, 48
@@ -238,29 +239,40 @@ def scan_texts(own: Benchmark, texts: list[str]) -> list[tuple[int, int, int, in
 SCHEMA = "doc_id bigint, item_id bigint, regions int, start bigint, end bigint, edits int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item that shares a region with it: its regions, extent and least edits.
+def blocks_of(benchmark: DataFrame) -> Iterator[Callable[[], Benchmark]]:
+    """For each block of the benchmark a function that gives its index in a worker.
 
-    ``start`` and ``end`` are code points of the text: from the first region's start to the last one's end.
+    Blocks are dealt by hash: about ``BLOCK_CHARS`` characters each, one item at least.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    chosen = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    found = None
     for block in range(blocks):
-        # Blocks are dealt by hash: about BLOCK_CHARS characters each, one item at least.
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         rows = sorted(((r[0], r[1]) for r in rows), key=repr)
-        shared, key = spark.sparkContext.broadcast(rows), zlib.crc32(repr(rows).encode("utf-8", "surrogatepass"))
+        shared, key = benchmark.sparkSession.sparkContext.broadcast(rows), zlib.crc32(repr(rows).encode("utf-8", "surrogatepass"))
 
-        def scan(batches, shared=shared, key=key):
+        def index(shared=shared, key=key):
             cache = worker_cache()
             if cache.get("benchmark_key") != key:
                 cache["benchmark"], cache["benchmark_key"] = Benchmark(shared.value), key
-            own = cache["benchmark"]
+            return cache["benchmark"]
+
+        yield index
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and benchmark item that shares a region with it: its regions, extent and least edits.
+
+    ``start`` and ``end`` are code points of the text: from the first region's start to the last one's end.
+    """
+    bound_batches(docs.sparkSession)
+    chosen = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    found = None
+    for index in blocks_of(benchmark):
+
+        def scan(batches, index=index):
+            own = index()
             for batch in batches:
                 for part, texts in text_slices(batch, 1, SLICE_BYTES):
                     ids = part.column(0).to_pylist()
@@ -274,6 +286,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text shares no region with a benchmark item."""
+    for index in blocks_of(benchmark):
+
+        def keep(texts, index=index):
+            clean = np.ones(len(texts), bool)
+            clean[[found[0] for found in scan_texts(index(), texts)]] = False
+            return clean
+
+        docs = filter_rows(docs, keep)
+    return docs
+
+
 OUT = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("regions", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]
 )

@@ -170,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One row per document: doc_id, text_digest, class_id (smallest id of its class) and n_links (linked documents)."""
+    """One row per document: doc_id, text_digest, root (digest that names its class), class_id (smallest id) and n_links."""
     rows = cut_lineage(signatures(docs, forest), "forest-rows")
     nodes = cut_lineage(
         rows.groupBy("text_digest", "n", "labels").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "forest-nodes"
@@ -263,5 +263,20 @@ def near_classes(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     )
     named = cut_lineage(named, "forest-named")
     classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    info = named.join(classes, "root").select("key", "class_id", "n_links")
-    return rows.join(info, rows["text_digest"] == info["key"]).select("doc_id", "text_digest", "class_id", "n_links")
+    info = named.join(classes, "root").select("key", "root", "class_id", "n_links")
+    return rows.join(info, rows["text_digest"] == info["key"]).select("doc_id", "text_digest", "root", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each class: that of the smallest id (then digest) in it."""
+    found = cut_lineage(near_classes(docs, forest), "forest-classes")
+    first = found.groupBy("root", "class_id", "doc_id", "text_digest").agg(F.count(F.lit(1)).alias("rows"))
+    # The smallest id of a class is null only where all its ids are.
+    kept = first.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("text_digest", "doc_id", "rows")).alias("k"))
+    chosen = kept.select(F.struct(F.col("k.text_digest").alias("digest"), F.col("k.doc_id").alias("id"), F.col("k.rows").alias("rows")).alias("_forest"))
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(chosen, (digest == F.col("_forest.digest")) & F.col("doc_id").eqNullSafe(F.col("_forest.id")))
+    once = rows.where(F.col("_forest.rows") == 1).select(*names)
+    again = rows.where(F.col("_forest.rows") > 1).withColumn("_forest_digest", digest).dropDuplicates(["_forest_digest"]).select(*names)
+    return once.unionByName(again)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bound_batches, text_slices, worker_cache
+from docketry.llm.common import bound_batches, filter_rows, text_slices, worker_cache
 from docketry.session import cut_lineage
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -275,6 +275,41 @@ class Scores:
         return out
 
 
+def scorer(key: int, names: list[str], table: np.ndarray) -> Scores:
+    """The worker's word scores of a model."""
+    cache = worker_cache()
+    if cache.get("scores_key") != key:
+        cache["scores"], cache["scores_key"] = Scores(pieces_of(names), table), key
+    return cache["scores"]
+
+
+def verdicts(own: Scores, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's language, -1 for none, and its posterior under equal priors."""
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    if own.table.shape[1]:
+        logs = own.texts(texts)
+        known = ~np.isnan(logs).all(axis=1)
+        best[known] = logs[known].argmax(axis=1)
+        score[known] = 1 / np.exp(logs[known] - logs[known].max(axis=1, keepdims=True)).sum(axis=1)
+    return best, score
+
+
+def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, names: list[str], least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a posterior of at least ``least``.
+
+    Without any language nothing can be told, and all rows stay.
+    """
+    if not langs:
+        return docs
+    shared, key = docs.sparkSession.sparkContext.broadcast((names, table)), hash(table.tobytes())
+
+    def keep(texts):
+        best, score = verdicts(scorer(key, *shared.value), texts)
+        return (best >= 0) & (score >= least)
+
+    return filter_rows(docs, keep)
+
+
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, names: list[str]) -> DataFrame:
     """doc_id, lang_pred and score (posterior under equal priors) of every document."""
     bound_batches(docs.sparkSession)
@@ -282,19 +317,11 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, names: list[st
     key = hash(table.tobytes())
 
     def guess(batches):
-        names, table = shared.value
-        cache = worker_cache()
-        if cache.get("scores_key") != key:
-            cache["scores"], cache["scores_key"] = Scores(pieces_of(names), table), key
-        own = cache["scores"]
+        own = scorer(key, *shared.value)
         for batch in batches:
             for part, texts in text_slices(batch, 1, 1 << 20):
-                logs = own.texts(texts)
-                known = ~np.isnan(logs).all(axis=1) if langs else np.zeros(len(texts), bool)
-                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-                best[known] = logs[known].argmax(axis=1)
-                score[known] = 1 / np.exp(logs[known] - logs[known].max(axis=1, keepdims=True)).sum(axis=1)
-                labels = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+                best, score = verdicts(own, texts)
+                labels = [langs[b] if b >= 0 else "und" for b in best]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).mapInArrow(guess, "doc_id bigint, lang_pred string, score double")
