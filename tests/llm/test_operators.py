@@ -1,0 +1,449 @@
+"""Training-data operators against brute force, and on null, empty, long, tied and repeated rows."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from docketry.llm import decontaminate, forest, langid, mixing, ngrams, pseudonyms, quality, queries, secrets, sharding, tokens
+from docketry.session import scratch_path
+
+ROOT = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, n int, key string, epoch int, rows int"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def table(spark, rows):
+    """Rows of (doc_id, text, lang, source) with further columns whose names the operators use inside."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, "y", 2, 3) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(200)]
+    base = [rnd.choice(words) for _ in range(120)]
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, "  \n ", "en", "a"), (3, "1234 55", None, "b"), (4, "one two", "en", "b")]
+    rows += [(5, " ".join(base), "en", "a")] * 2 + [(6, " ".join(base), "en", None), (None, " ".join(base), "de", "c")]
+    for i in range(40):
+        own = list(base)
+        own[rnd.randrange(120)] = "changed"
+        rows.append((10 + i, " ".join(own), "en", "a"))
+    rows += [(60 + i, " ".join(rnd.choice(words) for _ in range(80)), "de", rnd.choice("abc")) for i in range(20)]
+    rows.append((99, " ".join(rnd.choice(words) for _ in range(60_000)), "en", "d"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, odd):
+    return table(spark, odd).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def words_of(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+# Sharding
+
+
+def least_capacity(sizes, shards):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        middle, used, filled = (low + high) // 2, 1, 0
+        for size in sizes:
+            if filled + size > middle:
+                used, filled = used + 1, 0
+            filled += size
+        low, high = (low, middle) if used <= shards else (middle + 1, high)
+    return low
+
+
+def test_shards_are_minimal_whole_and_numbered(docs, odd):
+    rows = sharding.shard_rows(docs, 6).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in odd)
+    by_text, slots, sizes = defaultdict(set), defaultdict(list), Counter()
+    for r in rows:
+        by_text[r["text_digest"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for r in rows:
+        groups[r["text_digest"]] += r["size"]
+    giant, size = groups.most_common(1)[0]
+    assert size * 6 > sum(groups.values()) and sizes[next(iter(by_text[giant]))] == size
+    rest = [n for d, n in sorted(groups.items()) if d != giant]
+    assert max(n for s, n in sizes.items() if s not in by_text[giant]) == least_capacity(rest, 5)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_capacity_search_is_exact_at_any_coarseness(seed, monkeypatch):
+    rnd = random.Random(seed)
+    sizes = [rnd.choice([16, 20, 500, 3000]) + rnd.randint(0, 50) for _ in range(300)]
+    ends, shards, coarse = np.cumsum(sizes).tolist(), rnd.randint(1, 40), rnd.choice([4, 64, 1000])
+    total = ends[-1]
+    known, gaps, width = sharding.Totals(total), [(0, total)], total
+    while True:
+        width = max(1, min(width // 2, sum(b - a for a, b in gaps) // coarse))
+        found = defaultdict(list)
+        for end in ends:
+            for at, (a, b) in enumerate(gaps):
+                if a < end <= b:
+                    found[at, (end - 1) // width].append(end)
+        known.refine(gaps, [(min(v), max(v), len(v)) for v in found.values()])
+        least = max(max(sizes), -(-total // shards))
+        low, high = known.smallest(shards, least, total, 1), known.smallest(shards, least, total, 0)
+        if low == high:
+            break
+        gaps = known.gaps(known.runs(low, shards)[0], known.runs(high, shards)[1])
+    assert high == least_capacity(sizes, shards)
+
+
+# Mixing
+
+
+def test_mixing_meets_budgets_and_repeat_limit(docs, odd):
+    mixture = mixing.Mixture(repeat_limit=2.0)
+    plan = mixing.mix_plan(docs, mixture).collect()
+    have = Counter()
+    for _, text, _, source in odd:
+        have[source] += len(words_of(text)) + 1
+    got = Counter()
+    for r in plan:
+        got[r["source"]] += r["tokens"]
+    repeat = {s: got[s] / have[s] for s in have}
+    most = max(have.values())
+    assert all(0.999 <= repeat[s] <= 2.0001 for s in have) and repeat[max(have, key=have.get)] == pytest.approx(1)
+    smallest = min(have, key=have.get)
+    assert {r["epoch"] for r in plan if r["source"] == smallest} <= {0, 1, 2} and most > have[smallest]
+    repeated = mixing.mix_rows(docs, mixture)
+    assert repeated.columns == docs.columns
+    assert Counter(r["doc_id"] for r in repeated.collect()) == Counter(r["doc_id"] for r in plan)
+
+
+def test_mixing_meets_a_target_entropy(spark):
+    shares = spark.createDataFrame([(float(x), 1) for x in (0.7, 0.2, 0.1)], "share double, tokens long")
+    exponent, norm = mixing.fit_exponent(shares, mixing.Mixture(target_entropy=1.4))
+    weights = [x**exponent / norm for x in (0.7, 0.2, 0.1)]
+    assert -sum(w * math.log2(w) for w in weights) == pytest.approx(1.4, abs=1e-6)
+
+
+# Pseudonyms
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_links_and_checks(spark):
+    texts = [
+        "card 4041894974608795 and 4041-8949-7460-8795 bad 4041894974608796", "ssn 123-45-6789 not 666-12-1234", "+1 (988) 555-2485",
+        "ip 42.144.35.254 not 999.1.1.1", "day 2024-02-29 02/29/2024 29.02.2024 not 2023-02-29", "DE89 3704 0044 0532 0130 00", "a.b1@c.example.com", "no value", "", None,
+    ]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    made = [r["text"] for r in rows]
+    one, two, bad = re.findall(r"[\d-]{10,}", made[0])
+    assert luhn(one) and two.replace("-", "") == one != "4041894974608795" and bad == "4041894974608796"
+    assert "666-12-1234" in made[1] and "123-45-6789" not in made[1] and re.search(r"\d{3}-\d\d-\d{4} not", made[1])
+    assert re.fullmatch(r"\+1 \(9\d\d\) 5\d\d-\d{4}", made[2]) and made[2] != texts[2]
+    assert "999.1.1.1" in made[3] and all(int(x) < 256 for x in made[3].split()[1].split("."))
+    y, m, d = made[4].split()[1].split("-")
+    assert made[4] == f"day {y}-{m}-{d} {m}/{d}/{y} {d}.{m}.{y} not 2023-02-29"
+    iban = made[5].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and made[5] != texts[5]
+    assert re.fullmatch(r"[a-z]\.[a-z]\d@c\.example\.com", made[6]) and made[7:] == texts[7:]
+    assert [(s["start"], s["end"]) for s in rows[0]["pii_spans"]] == [(5, 21), (26, 45)]
+
+
+def test_permutations_are_one_to_one(spark):
+    number = spark.range(7 * 11).select(F.expr(pseudonyms.permute_number("id", "t", "'k'", 7, 11)).alias("v"))
+    assert sorted(r["v"] for r in number.collect()) == list(range(77))
+    text = spark.range(1000).select(F.expr(pseudonyms.permute_text("lpad(cast(id as string), 3, '0')", "t", "'k'")).alias("v"))
+    assert len({r["v"] for r in text.collect()}) == 1000
+
+
+# Tokens
+
+
+def test_tokens_read_back_as_encoded_whole(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    path = scratch_path(spark, "test-tokens")
+    tokens.write_tokens(docs, path, VOCABULARY)
+    own = Tokenizer.from_file(VOCABULARY)
+    want = Counter((k, tuple(own.encode(t or "", add_special_tokens=False).ids) + (0,)) for k, t, *_ in odd)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in tokens.read_tokens(spark, path).collect()) == want
+    index = sorted(tokens.token_index(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in index] == np.cumsum([0] + [r["n_tokens"] for r in index])[:-1].tolist()
+    ids = [r["doc_id"] for r in index]
+    assert ids == sorted(ids, key=lambda k: (k is not None, k or 0))
+    crcs = Counter((k, zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in want.elements())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in index) == crcs
+    plan = tokens.read_tokens(spark, path, [5])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id, [5])]" in plan or "EqualTo(doc_id,5)" in plan
+
+
+def test_cached_pieces_equal_whole_encoding():
+    own, rnd = tokens.Encoder(open(VOCABULARY, encoding="utf-8").read()), random.Random(1)
+    parts = ["a", "b", "é", " ", " ", "  ", "\n", "\t", "\xa0", "　", "1", "'s", "-", "<|endoftext|>", "中", "\U0001f642", "Zz", "\r", "é", "\x0b"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(5000)]
+    assert own.encode(texts) == own.whole(texts)
+
+
+# Quality
+
+
+def test_quality_base_counts_against_plain_code(docs, odd):
+    def base(text):
+        own = words_of(text)
+        lines = [x for x in (text or "").split("\n") if words_of(x)]
+        grams = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
+        often = Counter(grams)
+        repeated = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(5)}
+        return (len(own), sum(map(len, own)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated))
+
+    rows = quality.judge(docs).collect()
+    got = Counter((r["doc_id"], *(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))) for r in rows)
+    assert got == Counter((r[0], *base(r[1])) for r in odd)
+    assert all(not r["kept"] for r in rows if r["n_words"] < 10)
+    for text in ("a b c d e x a b c d e\na b\n\na b", "é # é|", ""):
+        data = text.encode()
+        assert quality.base_counts(text, data, data.split()) == base(text)
+
+
+def test_quality_verdict_keeps_labelled_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert all(good) and sum(bad) < 0.3 * len(bad)
+
+
+# Language ID
+
+
+def test_forward_sums_all_segmentations():
+    pieces = langid.Pieces(["▁a", "▁ab", "a", "b", "ab", "ba", "▁"])
+    table = langid.probabilities(np.random.default_rng(1).random((7, 2)))
+    names = {p: i for i, p in enumerate(["▁a", "▁ab", "a", "b", "ab", "ba", "▁"])}
+
+    def total(word, lang):
+        if not word:
+            return 1.0
+        sums = 0.0
+        for k in range(1, len(word) + 1):
+            at = names.get(word[:k], -1 if k == 1 else None)
+            if at is not None:
+                sums += table[at, lang] * total(word[k:], lang)
+        return sums
+
+    parts = ["▁abba", "▁b", "▁abxab", "abab"]
+    got = langid.forward(pieces, parts, table)
+    assert np.allclose(got, [[math.log(total(p, k)) for k in (0, 1)] for p in parts])
+
+
+def test_languages_are_told_apart_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, model = langid.train(docs.where("doc_id % 5 <> 0").select("text", "lang"), names)
+    found = langid.predict(docs.where("doc_id % 5 = 0"), langs, model, names).join(docs, "doc_id")
+    assert found.where("lang_pred = lang").count() >= 0.98 * found.count()
+
+
+def test_language_of_odd_rows(docs, none, odd):
+    names = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, model = langid.train(docs.select("text", "lang"), names)
+    rows = langid.predict(docs, langs, model, names).collect()
+    assert Counter((r["doc_id"], r["lang_pred"] == "und") for r in rows) == Counter((k, not re.search(r"[^\W\d_]", t or "")) for k, t, *_ in odd)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["lang_pred"] for r in langid.predict(docs, *langid.train(none.select("text", "lang"), names), names).collect()} == {"und"}
+
+
+# Decontamination
+
+
+def test_leaks_equal_semi_global_edit_distance():
+    def distance(pattern, text):
+        row = list(range(len(pattern) + 1))
+        best = row[-1]
+        for c in text:
+            new = [0]
+            for j, p in enumerate(pattern):
+                new.append(min(row[j] + (p != c), row[j + 1] + 1, new[j] + 1))
+            row = new
+            best = min(best, row[-1])
+        return best
+
+    for seed in range(25):
+        rnd = random.Random(seed)
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+        text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+        items = [(i, text(rnd.randint(8, 40))) for i in range(3)] + [(3, None), (None, "short")]
+        own, texts = decontaminate.Benchmark(items), ["", text(5)]
+        for _ in range(3):
+            chars = list(items[rnd.randrange(3)][1])
+            for _ in range(rnd.randint(0, 9)):
+                at = rnd.randrange(len(chars))
+                chars[at] = rnd.choice(["", "x", chars[at] + "y"])
+            texts.append(f"{text(rnd.randint(0, 9))}. {''.join(chars).title()} {text(rnd.randint(0, 9))}")
+        want = set()
+        for at, body in enumerate(texts):
+            plain, _ = decontaminate.normalise(decontaminate.code_points(decontaminate.lowered(body)))
+            for segment, owner in zip(own.segments, own.owner, strict=True):
+                if distance(segment.tolist(), plain.tolist()) <= decontaminate.budget(len(segment)):
+                    want.add((at, owner))
+        assert {r[:2] for r in decontaminate.scan_texts(own, texts)} == want
+
+
+def test_leaks_in_long_texts_and_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 2000)
+    long = [r["text"] for r in docs.where("doc_id = 99").collect()][0]
+    items = spark.createDataFrame([(1, long[-300:]), (2, long[1900:2200].upper()), (2, long[1900:2200].upper()), (3, None), (4, "x" * 50)], "item_id long, text string")
+    rows = decontaminate.leaks(docs, items).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["start"], r["end"]) for r in rows}
+    assert set(found) == {(99, 1), (99, 2)} and len(rows) == 2
+    assert abs(found[99, 2][0] - 1900) < 5 and abs(found[99, 2][1] - 2200) < 5
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == set(found)
+    assert decontaminate.without_leaks(docs, items).count() == docs.count() - 1
+
+
+# Near duplicates
+
+
+@pytest.mark.parametrize("small, block", [(24, 512), (2, 8)])
+def test_classes_and_links_equal_brute_force(docs, odd, small, block):
+    def cut(text):
+        own = words_of(text)
+        return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+    sets = [cut(r[1]) for r in odd]
+    n, links, root = len(odd), Counter(), list(range(len(odd)))
+    for a in range(n):
+        for b in range(a + 1, n):
+            same = (odd[a][1] or "") == (odd[b][1] or "")
+            if same or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                links[a] += 1
+                links[b] += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    least = {r: min((odd[i][0] for i in range(n) if root[i] == r and odd[i][0] is not None), default=None) for r in root}
+    rows = forest.near_classes(docs, forest.Forest(small=small, block=block)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == Counter((odd[i][0], least[root[i]], links[i]) for i in range(n))
+    kept = forest.keep_one(docs, forest.Forest(small=small, block=block))
+    assert kept.columns == docs.columns and kept.count() == len(set(root))
+
+
+def test_prefix_meets_the_recall():
+    own = forest.Forest()
+    d = own.prefix()
+    assert 1 - (1 - 0.8**d) ** own.trees >= own.recall > 1 - (1 - 0.8 ** (d + 1)) ** own.trees
+
+
+# LM scoring
+
+
+def test_elias_fano_finds_every_number():
+    rng = np.random.default_rng(2)
+    for universe, n in ((10, 0), (50, 50), (1 << 30, 5000), (100_000, 900)):
+        values = np.sort(rng.choice(universe, n, replace=False)) if universe < 1 << 20 else np.unique(rng.integers(0, universe, n))
+        own = ngrams.EliasFano(*ngrams.EliasFano.encode(values, universe))
+        probe = np.concatenate((values, rng.integers(0, universe, 3000)))
+        place = {v: i for i, v in enumerate(values.tolist())}
+        assert own.find(probe).tolist() == [place.get(v, -1) for v in probe.tolist()]
+
+
+def test_scores_are_exact_below_and_sum_to_one(spark, docs, odd):
+    name, words = ngrams.train(docs, ngrams.Sizes(words=60, bigrams=200, trigrams=200))
+    counts, total = Counter(), 0
+    for _, text, *_ in odd:
+        counts.update(w.lower() for w in words_of(text))
+        counts[""] += 1
+    total = sum(counts.values())
+    rows = ngrams.score(docs, name, words).collect()
+    want = Counter()
+    for k, text, *_ in odd:
+        own = [w.lower() for w in words_of(text)] + [""]
+        want[k, len(own), len(own), round(sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in own), 6)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows) == want
+    assert {r["train_tokens"] for r in rows} == {total}
+    trie = ngrams.open_trie(name)
+    vocabulary = [w.encode() for w in counts]
+    kept = [w for w in vocabulary if w in trie.at]
+    assert len(kept) <= 61 and len(trie.level[0].low) and len(trie.level[1].low)
+    for context in ([kept[1]], [kept[2], kept[3]], [trie_word(trie, 0), trie_word(trie, 1)]):
+        sums = 1 / (total + len(counts) + 1) * 10 ** tail(trie, context, -1)
+        for word in vocabulary:
+            at = trie.at.get(word, -1)
+            log = tail(trie, context, at)
+            sums += 10 ** (log if at >= 0 else log + math.log10(counts[word.decode()] + 1) + trie.floor)
+        assert sums == pytest.approx(1, abs=2e-3)
+
+
+def trie_word(trie, at):
+    return list(trie.at)[at]
+
+
+def tail(trie, context, at):
+    ids = np.array([trie.at[w] for w in context] + [at])
+    return trie.score(ids, np.arange(len(ids)) == 0)[-1]
+
+
+def test_scores_without_training_documents(docs, none):
+    name, words = ngrams.train(none)
+    rows = ngrams.score(docs, name, words).collect()
+    assert len(rows) == docs.count() and {(r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(0, 0, 0.0)}
+
+
+# Secrets
+
+
+def test_secret_spans_of_the_fixed_rules():
+    text = "é Password = 'abcd1234' token: secret: abcdefghij AKIA1234567890ABCD AKIAX " + "0af9" * 8 + " api_key=short tokeſn=abcdefgh12"
+    found = [(k, text[a:b]) for a, _, k, b, _ in secrets.base_spans(text)]
+    assert found == [("assign", "Password = 'abcd1234"), ("access", "AKIA1234567890ABCD"), ("hex", "0af9" * 8)]
+
+
+def test_models_tell_random_strings_from_identifiers(spark, docs):
+    ratio = secrets.train(docs)
+    assert [s[2] for s in secrets.scan_text("x Zq8Rk2Lw9Tf4Xv7Bn1Mc6Yp3 y", ratio)] == ["model"]
+    plain = spark.createDataFrame([(1, "getaccountbalancehistory andtherehereforthosethatthings"), (2, None), (2, None)], "doc_id long, text string")
+    ratio = secrets.train(plain)
+    assert secrets.scan_text("getaccountbalancehistory", ratio) == []
+    assert sorted((r["doc_id"], r["spans"]) for r in secrets.scan(plain).collect()) == [(1, []), (2, []), (2, [])]
+
+
+# All
+
+
+def test_empty_tables(spark, none):
+    path = scratch_path(spark, "test-tokens")
+    tokens.write_tokens(none, path, VOCABULARY)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    frames = [
+        tokens.token_index(spark, path), quality.judge(none), forest.near_classes(none), forest.keep_one(none), decontaminate.leaks(none, bench),
+        pseudonyms.pseudonymise(none, "k"), sharding.shard_rows(none, 3), secrets.scan(none), mixing.mix_plan(none), mixing.mix_rows(none),
+    ]
+    assert [f.count() for f in frames] == [0] * len(frames)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op10_temperature_mixing", "op1_qgram_decontamination")])
+def test_queries_return_every_document(spark, name):
+    got, want = queries.QUERIES[name](spark, ROOT), spark.read.parquet(f"{ROOT}/documents.parquet")
+    assert Counter(r[0] for r in got.select("doc_id").collect()) == Counter(r[0] for r in want.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name", ["op7_feistel_pseudonyms", "op8_minimax_shards"])
+def test_native_queries_run_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
