@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import bound_batches, text_slices, worker_cache
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: White space on either side of a blank may join it in one token.
 BESIDE_BLANK = re.compile(r"\s | \s")
 STRIPE_BYTES = 16 << 20
