@@ -414,12 +414,11 @@ def test_secret_spans_of_the_fixed_rules():
     assert found == [("assign", "Password = 'abcd1234"), ("access", "AKIA1234567890ABCD"), ("hex", "0af9" * 8)]
 
 
-def test_models_tell_random_strings_from_identifiers(spark, docs):
-    ratio = secrets.train(docs)
+def test_models_tell_random_strings_from_identifiers(spark):
+    ratio = secrets.train(spark.read.parquet(f"{ROOT}/documents.parquet"))
     assert [s[2] for s in secrets.scan_text("x Zq8Rk2Lw9Tf4Xv7Bn1Mc6Yp3 y", ratio)] == ["model"]
     plain = spark.createDataFrame([(1, "getaccountbalancehistory andtherehereforthosethatthings"), (2, None), (2, None)], "doc_id long, text string")
-    ratio = secrets.train(plain)
-    assert secrets.scan_text("getaccountbalancehistory", ratio) == []
+    assert secrets.scan_text("andtherehereforthosethatthings", ratio) == []
     assert sorted((r["doc_id"], r["spans"]) for r in secrets.scan(plain).collect()) == [(1, []), (2, []), (2, [])]
 
 
