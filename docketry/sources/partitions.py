@@ -35,7 +35,9 @@ def upsert_day(spark: SparkSession, path: str, records: DataFrame, key: str, ord
         raise PermissionError(f"partitions before {today} are closed")
     touched = incoming.select(day).distinct()
     if table_exists(spark, path):
-        old = spark.read.schema(incoming.schema).parquet(path).join(touched, day, "left_semi").select(*incoming.columns)
+        # Closed days are never written, so the scan of the archive is pruned to the open ones.
+        archive = spark.read.schema(incoming.schema).parquet(path).where(F.col(day) >= F.lit(today))
+        old = archive.join(touched, day, "left_semi").select(*incoming.columns)
     else:
         old = incoming.limit(0)
     tagged = old.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
