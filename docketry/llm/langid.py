@@ -203,11 +203,13 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
         def expect(batches, shared=shared):
             names, table = shared.value
             pieces, sums = pieces_of(names), {}
+            rows: dict[str, list] = {}  # a part of the sample's words
             for batch in batches:
-                rows: dict[str, list] = {}
                 for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     rows.setdefault(lang, []).extend((b, n) for b in blocks(word))
-                for lang, own in rows.items():
+            for lang, all_words in rows.items():
+                for low in range(0, len(all_words), 50_000):
+                    own = all_words[low : low + 50_000]
                     found = expected(pieces, [b for b, _ in own], np.array([n for _, n in own], float), table[:, at[lang]])
                     sums[lang] = sums.get(lang, 0) + found[: pieces.size]
             for lang, own in sums.items():
@@ -218,7 +220,7 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
 
         sums = words.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         counts = np.zeros((len(names), len(langs)))
-        for r in sums.toLocalIterator():
+        for r in sums.collect():
             counts[r["piece"], at[r["lang"]]] = r["n"]
         table = probabilities(counts)
     return langs, table
