@@ -80,7 +80,7 @@ def filter_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, texts in text_slices(batch, index, 1 << 20):
+            for part, texts in text_slices(batch, index):
                 yield part.filter(pa.array(np.asarray(keep(texts), bool)))
 
     return docs.mapInArrow(run, docs.schema)

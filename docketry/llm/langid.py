@@ -6,7 +6,7 @@ piece spans two words. Words are runs of letters, lower-cased, with the vocabula
 more than 32 characters is cut every 32 characters. A character that is no piece has a small fixed probability.
 
 Piece probabilities come from a few rounds of expectation-maximisation over the word counts of a bounded sample of
-labelled documents (``SAMPLE_ROWS``, those with the smallest hashes): each round is one Spark job that sums
+labelled documents (``SAMPLE_ROWS``, those with the smallest hashes, copies once): each round is one Spark job that sums
 expected piece counts, and only languages x pieces numbers reach the driver.
 
 Scoring handles all new words of a slice at once, by length, and remembers word scores per worker (bounded by
@@ -36,7 +36,7 @@ LONGEST = 32
 SAMPLE_ROWS = 5_000
 ROUNDS = 3
 UNKNOWN = 1e-7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS_BITS = 21
 
@@ -175,7 +175,7 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
     bound_batches(spark)
     known = labelled.where(F.col("lang").isNotNull())
     rows = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("lang", "text"), F.lit(max(rows, 1))) < SAMPLE_ROWS)
+    chosen = known.where(F.pmod(F.xxhash64("lang", "text"), F.lit(max(rows, 1))) < SAMPLE_ROWS).select("lang", "text").distinct()
 
     def count(batches):
         words: dict[str, Counter] = {}
@@ -189,7 +189,7 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
         )
 
     words = cut_lineage(
-        chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        chosen.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         .repartition(min(64, 2 * spark.sparkContext.defaultParallelism)),
         "langid-words",
     )
@@ -264,16 +264,16 @@ class Scores:
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text in each language; not a number where there is no word."""
         out = np.full((len(texts), self.table.shape[1]), np.nan)
-        for at, text in enumerate(texts):
-            words = LETTERS.findall(text.lower())
-            if not words:
-                continue
-            if fresh := {w for w in set(words) if w not in self.at}:
-                if len(self.at) + len(fresh) > CACHE_WORDS:
-                    self.clear()
-                    fresh = set(words)
-                self.add(fresh)
-            out[at] = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        found = [LETTERS.findall(text.lower()) for text in texts]
+        seen = set().union(*found)
+        if fresh := seen.difference(self.at):
+            if len(self.at) + len(fresh) > CACHE_WORDS:
+                self.clear()
+                fresh = seen
+            self.add(fresh)
+        for at, words in enumerate(found):
+            if words:
+                out[at] = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
         return out
 
 
@@ -321,7 +321,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, names: list[st
     def guess(batches):
         own = scorer(key, *shared.value)
         for batch in batches:
-            for part, texts in text_slices(batch, 1, 1 << 20):
+            for part, texts in text_slices(batch, 1):
                 best, score = verdicts(own, texts)
                 labels = [langs[b] if b >= 0 else "und" for b in best]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
