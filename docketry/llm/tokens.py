@@ -6,7 +6,7 @@ doc_id, so a reader skips files, stripes and row groups by id, and Spark reads t
 
 Texts are encoded by a public vocabulary given as a path on the driver; its content (a few MB) is broadcast.
 Byte-level vocabularies cut a text before each single blank, so what follows a blank is encoded once per
-worker and looked up afterwards; texts with white space beside a blank, or with a special token's string, are
+worker, many new pieces in one text, and looked up afterwards; texts with white space beside a blank, or with a special token's string, are
 encoded as a whole. The lookup table is bounded by ``CACHE_WORDS`` and only saves time.
 
 Edge cases: a null or empty text has only the end id; null ids come first; rows with equal ids keep all their
@@ -31,6 +31,9 @@ from docketry.llm.common import bound_batches, text_slices, worker_cache
 CACHE_WORDS = 700_000
 #: White space on either side of a blank may join it in one token.
 BESIDE_BLANK = re.compile(r"\s | \s")
+#: How byte-level vocabularies write a blank.
+BLANK = "Ġ"
+RUN_PIECES = 1000
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 FILE_SCHEMA = "doc_id bigint, file_start bigint, n_tokens int, ids array<int>"
@@ -45,6 +48,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.after_blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.after_blank[at] = token.startswith(BLANK)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -52,6 +58,19 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
+    def runs(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without blanks that each follow a blank: many in one text, cut where a token starts with the blank."""
+        out: list[bytes] = []
+        groups = [pieces[low : low + RUN_PIECES] for low in range(0, len(pieces), RUN_PIECES)]
+        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.after_blank[np.frombuffer(ids, "<u4")])
+            if len(starts) != len(group):  # the vocabulary does not keep a blank at the start of its token
+                out += self.whole([" " + p for p in group])
+                continue
+            cuts = [*(4 * starts).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
     def learn(self, pieces: set[str]) -> None:
         if len(self.young) + len(pieces) > CACHE_WORDS:
             self.old, self.young = self.young, {}
@@ -63,28 +82,31 @@ class Encoder:
             else:
                 self.young[piece] = known
         # A piece that follows a blank is kept without it, the first piece of a text with one.
-        made = self.whole([p[1:] if p[:1] == " " else " " + p for p in missing])
-        self.young.update(zip(missing, made, strict=True))
+        single = [p for p in missing if not p or p[0] == " " or p[-1].isspace()]
+        inner = list(set(missing).difference(single))
+        self.young.update(zip(single, self.whole([p[1:] if p[:1] == " " else " " + p for p in single]), strict=True))
+        self.young.update(zip(inner, self.runs(inner), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        direct = []
+        direct, split = [], []
         for at, text in enumerate(texts):
             if BESIDE_BLANK.search(text) or any(s in text for s in self.special):
                 direct.append(at)
                 continue
             pieces = text.split(" ")
             pieces[0] = " " + pieces[0]
-            if fresh := {p for p in set(pieces) if p not in self.young}:
-                if len(fresh) > CACHE_WORDS:
-                    direct.append(at)
-                    continue
-                before = self.young
-                self.learn(fresh)
-                if self.young is not before:
-                    self.learn({p for p in set(pieces) if p not in self.young})
-            out[at] = b"".join(map(self.young.__getitem__, pieces))
+            split.append((at, pieces))
+        seen = set().union(*(pieces for _, pieces in split))
+        if fresh := seen.difference(self.young):
+            before = self.young
+            self.learn(fresh)
+            if self.young is not before:
+                self.learn(seen.difference(self.young))
+        own = {piece: self.young[piece] for piece in seen}
+        for at, pieces in split:
+            out[at] = b"".join(map(own.__getitem__, pieces))
         for at, ids in zip(direct, self.whole([texts[i] for i in direct]), strict=True):
             out[at] = ids
         return out
