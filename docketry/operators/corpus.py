@@ -6,6 +6,7 @@ a projection over whole texts: no rule join, no shuffle, no text is cut.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,13 +49,22 @@ def _hits(rules: tuple[Rule, ...], scope: Column, text: Column, path: Column | N
     return F.array_compact(F.array(*found))
 
 
+def context_free(pattern: str) -> bool:
+    """Whether a match in a part of a text is also a match in the whole text.
+
+    Not so for anchors, word edges, look-arounds, inline flags and possessive parts; in doubt the answer is no.
+    """
+    return not re.search(r"(?<!(?<!\\)\[)\^|\$|\\[bBAZzGQ]|\(\?(?!:)|[*+?}]\+", pattern)
+
+
 def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...] = CONTENT_RULES, text: str = "text", collection: str = "collection") -> DataFrame:
     """One row per rule and sentence it holds on, with the characters around the match.
 
-    A document is first tested as a whole, so clean documents are never split.
+    Where every rule is ``context_free``, a document is first tested as a whole, so clean documents are never split.
     """
-    whole = "|".join(f"(?:{r.pattern})" for r in rules)
-    sentences = docs.where(F.col(text).rlike(whole)).select(
+    if all(context_free(r.pattern) for r in rules):
+        docs = docs.where(F.col(text).rlike("|".join(f"(?:{r.pattern})" for r in rules)))
+    sentences = docs.select(
         *[c for c in docs.columns if c != text], F.posexplode(F.split(text, SENTENCE_END)).alias("sentence_no", "sentence")
     )
     return sentences.withColumn("hit", F.explode(_hits(rules, F.col(collection), F.col("sentence")))).select(
@@ -66,8 +76,7 @@ def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...] = CONTENT_RULES, tex
 class RiskRules:
     """What makes a sentence unfit: ``risk`` alone, or ``estimate`` together with a digit.
 
-    Patterns must not use line anchors: a line is tested as a whole before it is split, and only lines that
-    hold a pattern somewhere are looked at sentence by sentence.
+    Where both patterns are ``context_free``, a line is tested as a whole and only split if it holds one of them.
     """
 
     risk: str = vocab.RISKY_SENTENCE
@@ -90,7 +99,10 @@ def clean_text(text: Column, rules: RiskRules = RiskRules()) -> Column:
     def look(line):
         bare = F.btrim(line, F.lit(" \t\r\f\u000b\u00a0\u3000"))
         kind = F.when(bare.startswith("#"), "heading").when(line.rlike(r"^(\s*[-·*]\s+|\s*\d+\.\s+|\s*\|)"), "bullet").otherwise("text")
-        return F.struct(line.alias("line"), rules.risky(bare).alias("bad"), kind.alias("kind"))
+        bad = rules.risky(bare)
+        if not (context_free(rules.risk) and context_free(rules.estimate)):
+            bad = bad | ((kind == "text") & F.exists(F.split(line, rules.sentence_end), rules.risky))
+        return F.struct(line.alias("line"), bad.alias("bad"), kind.alias("kind"))
 
     def cut(x):
         text_line = x["bad"] & (x["kind"] == "text")

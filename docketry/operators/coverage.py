@@ -23,38 +23,45 @@ def collection_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def page_completeness(pages: DataFrame, page_limit: int) -> DataFrame:
+def page_completeness(pages: DataFrame, page_limit: int, page_size: int = 100) -> DataFrame:
     """Per query: pages reported and fetched, whether all were seen, and why not.
 
-    Input: query, page, total_page, failed, and optionally budget_stopped. A query that stopped at the page limit
-    or the budget, hit a failure or fetched fewer pages than reported is incomplete.
+    Input: query, page, total_page, failed, and optionally budget_stopped and page_rows (rows on the page). A query
+    that hit a failure or the budget is incomplete. So is one that lacks a page below its last one or fetched fewer
+    pages than reported. Where the number of pages was never reported, a query that stopped at the page limit is
+    complete only if its last page was short or empty; an unknown number of rows does not count as short.
     """
-    if "budget_stopped" not in pages.columns:
-        pages = pages.withColumn("budget_stopped", F.lit(False))
+    for name, value in (("budget_stopped", F.lit(False)), ("page_rows", F.lit(None).cast("int"))):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, value)
+    seen = ~F.col("failed")
     grouped = pages.groupBy("query").agg(
         F.max("total_page").alias("pages_reported"),
-        F.count_distinct(F.when(~F.col("failed"), F.col("page"))).alias("pages_fetched"),
+        F.count_distinct(F.when(seen, F.col("page"))).alias("pages_fetched"),
+        F.max(F.when(seen, F.struct("page", "page_rows"))).alias("last"),
         F.max("failed").alias("failed"),
         F.max("budget_stopped").alias("budget_stopped"),
     )
-    short = F.coalesce(F.col("pages_fetched") < F.col("pages_reported"), F.lit(False))
+    fetched, reported = F.col("pages_fetched"), F.col("pages_reported")
+    gap = F.coalesce(fetched < F.col("last.page"), F.lit(False))
+    cut = reported.isNull() & (fetched >= page_limit) & ~F.coalesce(F.col("last.page_rows") < page_size, F.lit(False))
+    unread = F.coalesce(fetched < reported, F.lit(False)) | gap | cut
     reasons = F.array_compact(
         F.array(
             F.when(F.col("failed"), "API_ERROR"),
             F.when(~F.col("failed") & F.col("budget_stopped"), "BUDGET_LIMIT_REACHED"),
-            F.when(~F.col("failed") & ~F.col("budget_stopped") & (short | (F.col("pages_fetched") > page_limit)), "PAGE_LIMIT_REACHED"),
+            F.when(~F.col("failed") & ~F.col("budget_stopped") & unread, "PAGE_LIMIT_REACHED"),
         )
     )
-    return grouped.withColumn("reasons", reasons).withColumn("complete", F.size("reasons") == 0).drop("failed", "budget_stopped")
+    return grouped.withColumn("reasons", reasons).withColumn("complete", F.size("reasons") == 0).drop("failed", "budget_stopped", "last")
 
 
 def overall_completeness(per_query: DataFrame) -> DataFrame:
-    """Complete only if every query is; reasons of all of them."""
-    reasons = per_query.withColumn("reason", F.explode_outer("reasons"))
-    return reasons.agg(
+    """Complete only if every query is; reasons of all of them. The distinct reason lists are a handful."""
+    return per_query.agg(
         F.bool_and("complete").alias("complete"),
-        F.array_sort(F.collect_set("reason")).alias("reasons"),
-        F.count_distinct("query").alias("queries"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
+        F.count("*").alias("queries"),
     )
 
 
@@ -89,14 +96,18 @@ def reconcile_issuers(pages: DataFrame, rows: DataFrame, words=ActionVocabulary(
     """Evidence per company from logged pages and their rows.
 
     ``pages``: ticker, page, state, total_page, total_count. ``rows``: ticker, rcept_no, report_nm, row_state
-    (see ``reconcile_rows``). The first failed page decides the error; a failed company has no counts at all.
+    (see ``reconcile_rows``). The first failed page decides the error; a failed company has no expected pages, no
+    total and no counts. Only pages that were read count as collected, and a company is checked only if every page
+    from the first to the expected last one was. An answer without data is one page with zero rows.
     """
-    bad = ~F.col("state").isin(vocab.OK, "NO_DATA")
+    read = F.col("state").isin(vocab.OK, "NO_DATA")
+    no_data = F.col("state") == "NO_DATA"
     per_ticker = pages.groupBy("ticker").agg(
-        F.min(F.when(bad, F.struct("page", "state"))).alias("failure"),
-        F.max("page").alias("pages_collected"),
-        F.max("total_page").alias("pages_expected"),
-        F.max("total_count").alias("total_count"),
+        F.min(F.when(~read, F.struct("page", "state"))).alias("failure"),
+        F.count_distinct(F.when(read, F.col("page"))).alias("pages_collected"),
+        F.coalesce(F.max(F.when(read, F.col("page"))), F.lit(0)).alias("last_page"),
+        F.max(F.when(no_data, F.lit(1)).when(read, F.col("total_page"))).alias("expected"),
+        F.max(F.when(no_data, F.lit(0)).when(read, F.col("total_count"))).alias("total"),
     )
     kept = F.col("row_state") == "KEPT"
     finding = kept & tx.contains_any("report_nm", relevant)
@@ -106,14 +117,17 @@ def reconcile_issuers(pages: DataFrame, rows: DataFrame, words=ActionVocabulary(
         F.count_if(finding).alias("findings"),
         (F.count_if(~kept) + F.count_if(needs)).alias("uninterpreted"),
     )
-    ok = F.col("failure").isNull() & (F.col("pages_collected") >= F.greatest(F.col("pages_expected"), F.lit(1)))
+    whole = (F.col("pages_collected") == F.col("last_page")) & (F.col("last_page") >= F.greatest("expected", F.lit(1)))
+    ok = F.col("failure").isNull() & whole
+    unfailed = F.col("failure").isNull()
     joined = per_ticker.join(counted, "ticker", "left").withColumn("ok", ok)
 
     def when_ok(name):
         return F.when(F.col("ok"), F.coalesce(name, F.lit(0))).alias(name)
 
     return joined.select(
-        "ticker", "ok", F.col("failure.state").alias("error"), "pages_expected", "pages_collected", "total_count",
+        "ticker", "ok", F.col("failure.state").alias("error"), F.when(unfailed, F.col("expected")).alias("pages_expected"), "pages_collected",
+        F.when(unfailed, F.col("total")).alias("total_count"),
         when_ok("collected"), when_ok("findings"), when_ok("uninterpreted"),
     )
 

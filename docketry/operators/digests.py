@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from docketry import vocab
 from docketry.functions import instants as ts
 from docketry.operators.classify import literal_rows
-from docketry.operators.matching import containing_pairs, text_pieces
+from docketry.operators.matching import first_containing
 
 
 def _ranked(df: DataFrame, keys: list[str], keep: int, *order) -> DataFrame:
@@ -147,18 +147,14 @@ def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Code per query text: six digits as given, else the exact name, else the first name that contains the
     text, else the text itself. "First" is by ``ord`` of the name table.
 
-    A text of up to three characters is looked up among the first name per piece, so a piece that very many
-    names share costs one row; longer texts meet only names that share their rarest piece.
+    Only texts without an exact name are looked for inside names, and a piece that very many names share costs
+    one row.
     """
-    short = 3
     q = queries.withColumn("text", F.trim("query")).withColumn("is_code", F.col("text").rlike(r"^\d{6}$"))
     asked = q.where((~F.col("is_code")) & (F.col("text") != "")).select("text").distinct()
     exact = names.join(asked, F.col("name") == F.col("text")).groupBy("text").agg(F.min(F.struct("ord", "code")).alias("exact"))
-    first = names.groupBy("name").agg(F.min(F.struct("ord", "code")).alias("top"))
-    by_piece = first.withColumn("text", F.explode(text_pieces(F.col("name"), range(1, short + 1)))).groupBy("text").agg(F.min("top").alias("partial"))
-    brief = asked.where(F.length("text") <= short).join(by_piece, "text")
-    pairs = containing_pairs(asked.where(F.length("text") > short), names, [], "text", "name", short)
-    partial = pairs.join(first, "name").groupBy("text").agg(F.min("top").alias("partial")).unionByName(brief)
+    unknown = asked.join(exact, "text", "left_anti")
+    partial = first_containing(unknown, names, "text", "name", F.struct("ord", "code")).withColumnRenamed("first", "partial")
     return (
         q.join(exact, "text", "left")
         .join(partial, "text", "left")

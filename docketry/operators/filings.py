@@ -237,7 +237,7 @@ def title_state(filings: DataFrame, keep: int = 5) -> DataFrame:
     return top.groupBy("ticker", "report_name").agg(F.collect_list("rcept_no").alias("receipts"))
 
 
-def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, gram: int = 3, block: int = 1 << 14) -> DataFrame:
+def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, block: int = 1 << 14) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an
@@ -252,7 +252,7 @@ def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: in
     known = events.select("ticker", "report_name", (F.col("seq") * 2 + 1).alias("idx"), F.array("rcept_no").alias("own"))
     if state is not None:
         known = known.unionByName(state.select("ticker", "report_name", before_all.alias("idx"), F.col("receipts").alias("own")))
-    pairs = containing_pairs(corrections, known, ["ticker"], "base", "report_name", gram)
+    pairs = containing_pairs(corrections, known, ["ticker"], "base", "report_name")
     candidates = known.join(pairs, ["ticker", "report_name"]).select("ticker", "base", "idx", "own", F.lit(False).alias("asks"))
     asking = corrections.select(
         "ticker", "base", (F.col("seq") * 2).alias("idx"), F.array().cast("array<string>").alias("own"), F.lit(True).alias("asks")
@@ -262,8 +262,13 @@ def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: in
     )
     others = F.array_remove(F.coalesce("before", F.array().cast("array<string>")), F.col("rcept_no"))
     count = F.size("others")
+    # Only corrections can have candidates, so only they are joined.
+    marked = F.coalesce("is_correction", F.lit(False))
+    annotated = events.where(marked).join(found, ["ticker", "seq"], "left").unionByName(
+        events.where(~marked).withColumn("before", F.lit(None).cast("array<string>"))
+    )
     return (
-        events.join(found, ["ticker", "seq"], "left")
+        annotated
         .withColumn("others", others)
         .withColumn(
             "corrects_rcept_no", F.when(count == 1, F.get("others", F.lit(0))).otherwise(vocab.NOT_AVAILABLE)

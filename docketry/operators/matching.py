@@ -5,37 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def text_pieces(text: Column, widths) -> Column:
+def text_pieces(text: Column, lengths: Column) -> Column:
+    """The distinct pieces of a text that have one of the given lengths."""
     size = F.length(text)
-    none = F.array().cast("array<string>")
 
     def of(width):
-        starts = F.sequence(F.lit(1), F.greatest(size - (width - 1), F.lit(1)))
-        return F.when(size >= width, F.transform(starts, lambda i: F.substr(text, i, F.lit(width)))).otherwise(none)
+        return F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substr(text, i, width))
 
-    return F.array_distinct(F.flatten(F.array(*[of(w) for w in widths])))
+    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= size))
+    return F.array_distinct(F.flatten(F.transform(fitting, of)))
 
 
-def containing_pairs(needles: DataFrame, haystacks: DataFrame, keys: list[str], needle: str, hay: str, gram: int = 3) -> DataFrame:
+def first_containing(needles: DataFrame, haystacks: DataFrame, needle: str, hay: str, value: Column) -> DataFrame:
+    """Per distinct needle the least ``value`` of the hay texts that contain it, as column ``first``.
+
+    Every hay text is cut into its pieces of the lengths that needles have, and the least value per piece is
+    combined before the shuffle. Rows grow with the hay texts alone: no pair of needle and hay is built.
+    """
+    own = needles.select(needle).distinct().where(F.length(needle) > 0)
+    lengths = own.agg(F.collect_set(F.length(needle))).scalar()
+    cut = haystacks.select(hay, value.alias("first"), F.explode(lengths).alias("__n"))
+    pieces = cut.select("first", F.explode(text_pieces(F.col(hay), F.array("__n"))).alias(needle))
+    return pieces.groupBy(needle).agg(F.min("first").alias("first")).join(own, needle, "left_semi")
+
+
+def containing_pairs(needles: DataFrame, haystacks: DataFrame, keys: list[str], needle: str, hay: str) -> DataFrame:
     """Distinct (keys, needle, hay) where the hay text contains the needle.
 
-    Both sides are made distinct, then joined on the piece of the needle that is rarest among the hay texts
-    of the same keys; a needle with a piece no text has is dropped at once.
+    Both sides are made distinct, and hay texts of keys without a needle are dropped. The pieces of a hay text
+    that have the length of a needle of its keys are joined to the needles by equality, so every joined row is
+    an answer.
     """
-    hays = haystacks.select(*keys, hay).distinct()
-    exploded = hays.withColumn("__piece", F.explode(text_pieces(F.col(hay), range(1, gram + 1))))
-    counts = exploded.groupBy(*keys, "__piece").agg(F.count("*").alias("__n"))
     own = needles.select(*keys, needle).distinct().where(F.length(needle) > 0)
-    width = F.least(F.lit(gram), F.length(needle))
-    parts = F.transform(
-        F.sequence(F.lit(1), F.length(needle) - width + 1), lambda i: F.substr(F.col(needle), i, width)
-    )
-    rarest = (
-        own.withColumn("__piece", F.explode(F.array_distinct(parts)))
-        .join(counts, [*keys, "__piece"], "left")
-        .groupBy(*keys, needle)
-        .agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__piece")).alias("__p"))
-        .where("__p.__n > 0")
-        .select(*keys, needle, F.col("__p.__piece").alias("__piece"))
-    )
-    return rarest.join(exploded, [*keys, "__piece"]).where(F.contains(hay, needle)).select(*keys, needle, hay)
+    lengths = own.groupBy(*keys).agg(F.collect_set(F.length(needle)).alias("__lengths"))
+    hays = haystacks.join(lengths, keys).select(*keys, hay, "__lengths").distinct()
+    pieces = hays.select(*keys, hay, F.explode(text_pieces(F.col(hay), F.col("__lengths"))).alias(needle))
+    return pieces.join(own, [*keys, needle]).select(*keys, needle, hay)

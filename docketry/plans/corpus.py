@@ -12,6 +12,8 @@ RULES = (
     op.Rule("mail", r"[a-z0-9.]+@[a-z0-9.]+", "all"),
     op.Rule("phone", r"\+\d \(\d{3}\)", "study"),
     op.Rule("token", 'token = "', "all"),
+    op.Rule("start", r"^The [a-z]+", "all"),
+    op.Rule("end", r"[a-z]+ing[.]$", "lesson"),
     op.Rule("address", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "study"),
 )
 RULES_SQL = "(VALUES " + ", ".join(f"('{r.label}', '{r.scope}', '{r.pattern}')" for r in RULES) + ") r(label, scope, rx)"

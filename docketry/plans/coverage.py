@@ -28,9 +28,9 @@ def _(t):
     return op.collection_stats(rows)
 
 
-PAGES = """pg AS (SELECT l_orderkey AS query, l_linenumber AS page, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST(1 + l_orderkey % 6 AS INT) END AS total_page, l_tax = 0.08 AND l_discount > 0.07 AS failed FROM lineitem),
-pc AS (SELECT query, max(total_page) AS pages_reported, count(DISTINCT page) FILTER (NOT failed) AS pages_fetched, bool_or(failed) AS f FROM pg GROUP BY 1),
-done AS (SELECT query, pages_reported, pages_fetched, CASE WHEN f THEN 'API_ERROR' WHEN coalesce(pages_fetched < pages_reported, false) OR pages_fetched > 4 THEN 'PAGE_LIMIT_REACHED' ELSE '' END AS reasons FROM pc)"""
+PAGES = """pg AS (SELECT l_orderkey AS query, l_linenumber AS page, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST(1 + l_orderkey % 6 AS INT) END AS total_page, l_tax = 0.08 AND l_discount > 0.07 AS failed, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 100 ELSE 17 END AS page_rows FROM lineitem),
+pc AS (SELECT query, max(total_page) AS pages_reported, count(DISTINCT page) FILTER (NOT failed) AS pages_fetched, max(page) FILTER (NOT failed) AS lp, max_by(page_rows, page) FILTER (NOT failed) AS lr, bool_or(failed) AS f FROM pg GROUP BY 1),
+done AS (SELECT query, pages_reported, pages_fetched, CASE WHEN f THEN 'API_ERROR' WHEN coalesce(pages_fetched < pages_reported, false) OR coalesce(pages_fetched < lp, false) OR (pages_reported IS NULL AND pages_fetched >= 4 AND NOT coalesce(lr < 100, false)) THEN 'PAGE_LIMIT_REACHED' ELSE '' END AS reasons FROM pc)"""
 
 
 def pages(t):
@@ -39,6 +39,7 @@ def pages(t):
         F.col("l_linenumber").alias("page"),
         F.when(F.col("l_orderkey") % 13 != 0, (F.lit(1) + F.col("l_orderkey") % 6).cast("int")).alias("total_page"),
         ((F.col("l_tax") == 0.08) & (F.col("l_discount") > 0.07)).alias("failed"),
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0, 100).otherwise(17).alias("page_rows"),
     )
 
 
@@ -87,9 +88,11 @@ def _(t):
     return t.events.select("event_id", op.response_state(F.col("event_type") != "error", body).alias("state"))
 
 
-ISSUER = """ip AS (SELECT l_suppkey AS ticker, l_linenumber AS page, CASE WHEN l_suppkey % 5 = 0 AND l_linenumber >= 3 THEN 'API_ERROR' WHEN l_suppkey % 7 = 0 AND l_linenumber >= 2 THEN 'RESPONSE_SHAPE_UNEXPECTED' ELSE 'OK' END AS state,
-  CAST(6 + l_suppkey % 3 AS INT) AS total_page FROM lineitem),
-pt AS (SELECT ticker, min_by(state, page) FILTER (state <> 'OK') AS error, max(page) AS pages_collected, max(total_page) AS pages_expected, count(*) AS total_count FROM ip GROUP BY 1),
+ISSUER = """ip AS (SELECT l_suppkey AS ticker, l_linenumber AS page, CASE WHEN l_suppkey % 5 = 0 AND l_linenumber >= 3 THEN 'API_ERROR' WHEN l_suppkey % 7 = 0 AND l_linenumber >= 2 THEN 'RESPONSE_SHAPE_UNEXPECTED' WHEN l_suppkey % 11 = 1 THEN 'NO_DATA' ELSE 'OK' END AS state,
+  CASE WHEN l_suppkey % 11 <> 1 THEN CAST(6 + l_suppkey % 3 AS INT) END AS total_page FROM lineitem WHERE (l_suppkey % 11 <> 1 OR l_linenumber = 1) AND (l_suppkey % 13 <> 0 OR l_linenumber <> 3)),
+pt0 AS (SELECT ticker, min_by(state, page) FILTER (state NOT IN ('OK', 'NO_DATA')) AS error, count(DISTINCT page) FILTER (state IN ('OK', 'NO_DATA')) AS pages_collected, coalesce(max(page) FILTER (state IN ('OK', 'NO_DATA')), 0) AS lp,
+  max(CASE state WHEN 'NO_DATA' THEN 1 WHEN 'OK' THEN total_page END) AS expd, max(CASE WHEN state = 'NO_DATA' THEN 0 WHEN state = 'OK' THEN tc END) AS tot FROM ip JOIN (SELECT l_suppkey AS ticker, count(*) AS tc FROM lineitem GROUP BY 1) USING (ticker) GROUP BY 1),
+pt AS (SELECT ticker, error, pages_collected, CASE WHEN error IS NULL THEN expd END AS pages_expected, CASE WHEN error IS NULL THEN tot END AS total_count, error IS NULL AND pages_collected = lp AND lp >= greatest(expd, 1) AS ok FROM pt0),
 ir AS (SELECT l_suppkey AS ticker, l_partkey % 11 = 0 AS bad, title FROM lineitem JOIN part_title ON id = l_partkey),
 ic AS (SELECT ticker, count(*) FILTER (NOT bad) AS collected, count(*) FILTER (NOT bad AND regexp_matches(title, 'red|bolt')) AS findings,
   count(*) FILTER (bad) + count(*) FILTER (NOT bad AND regexp_matches(title, 'red|bolt') AND contains(title,'hot') AND contains(title,'plate')) AS uninterpreted FROM ir GROUP BY 1)"""
@@ -101,12 +104,15 @@ def issuer_log(t):
     bad = (
         F.when((F.col("l_suppkey") % 5 == 0) & (F.col("l_linenumber") >= 3), "API_ERROR")
         .when((F.col("l_suppkey") % 7 == 0) & (F.col("l_linenumber") >= 2), "RESPONSE_SHAPE_UNEXPECTED")
+        .when(F.col("l_suppkey") % 11 == 1, "NO_DATA")
         .otherwise("OK")
     )
     size = li.groupBy("l_suppkey").agg(F.count("*").alias("total_count")).withColumnRenamed("l_suppkey", "ticker")
-    log = li.select(
+    # Some suppliers answer "no data" on one page, some never show page three.
+    logged = ((F.col("l_suppkey") % 11 != 1) | (F.col("l_linenumber") == 1)) & ((F.col("l_suppkey") % 13 != 0) | (F.col("l_linenumber") != 3))
+    log = li.where(logged).select(
         F.col("l_suppkey").alias("ticker"), F.col("l_linenumber").alias("page"), bad.alias("state"),
-        (F.lit(6) + F.col("l_suppkey") % 3).cast("int").alias("total_page"),
+        F.when(F.col("l_suppkey") % 11 != 1, (F.lit(6) + F.col("l_suppkey") % 3).cast("int")).alias("total_page"),
     ).distinct().join(size, "ticker")
     title = sv.part_title(t).select(F.col("id").alias("l_partkey"), "title")
     rows = li.join(title, "l_partkey").select(
@@ -122,7 +128,7 @@ def issuer_log(t):
     "ag9_issuer_reconciliation",
     "WITH " + sv.PART_TITLE + "," + ISSUER + """ SELECT ticker, ok, error, pages_expected, pages_collected, total_count, CASE WHEN ok THEN collected END AS collected,
   CASE WHEN ok THEN findings END AS findings, CASE WHEN ok THEN uninterpreted END AS uninterpreted
-FROM (SELECT *, error IS NULL AND pages_collected >= pages_expected AS ok FROM pt JOIN ic USING (ticker))""",
+FROM pt JOIN ic USING (ticker)""",
 )
 def _(t):
     pages_, rows = issuer_log(t)
@@ -142,7 +148,7 @@ ISSUER_EVENTS = EVENTS_SQL.replace(sv.PART_TITLE + ",", sv.PART_TITLE + ", " + E
 SELECT ticker, ok, error, CASE WHEN ok THEN coalesce(open_self, 0) END AS open_self, CASE WHEN ok THEN coalesce(subsidiary, 0) END AS subsidiary,
   CASE WHEN ok THEN coalesce(company_done_awaiting_exchange, 0) END AS company_done_awaiting_exchange, CASE WHEN ok THEN coalesce(fully_resolved, 0) END AS fully_resolved,
   CASE WHEN ok THEN coalesce(events, 0) END AS events, '2026-01-02 20:00:00' AS expires_at
-FROM (SELECT *, error IS NULL AND pages_collected >= pages_expected AS ok FROM pt) LEFT JOIN cn USING (ticker)""",
+FROM pt LEFT JOIN cn USING (ticker)""",
 )
 def _(t):
     pages_, rows = issuer_log(t)
@@ -150,9 +156,8 @@ def _(t):
     return done.select("ticker", "ok", "error", *job.COUNTS, F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
-EVID = """evd AS (SELECT printf('%06d', o_custkey) AS code, max(o_orderdate) AS queried_at, max_by(o_orderstatus, o_orderdate * 1) AS st, count(*) FILTER (o_orderpriority = '2-HIGH') AS findings,
+EVID = """evd AS (SELECT printf('%06d', o_custkey) AS code, max(o_orderdate) AS queried_at, count(*) FILTER (o_orderpriority = '2-HIGH') AS findings,
   count(*) FILTER (o_orderpriority = '1-URGENT') AS open_self, bool_or(o_totalprice > 450000) AS ok FROM orders GROUP BY 1)"""
-EVID = EVID.replace(", max_by(o_orderstatus, o_orderdate * 1) AS st", "")
 
 
 def evidence(t):

@@ -93,6 +93,11 @@ def day_records(t):
     )
 
 
+def first_day(rows):
+    """The oldest day of the rows, so that every day of the table counts as open."""
+    return rows.agg(F.min("day")).first()[0] or ""
+
+
 @query(
     "src6_keyed_upsert",
     """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id - event_id % 2 AS rcept_no, event_type AS title, event_id AS seq FROM events)
@@ -102,8 +107,9 @@ def _(t):
     path = scratch_path(t.spark, "days")
     rows = day_records(t)
     first = rows.where("seq % 3 <> 2")
-    pt.upsert_day(t.spark, path, first, "rcept_no", "seq", "2024-01-01")
-    pt.upsert_day(t.spark, path, rows, "rcept_no", "seq", "2024-01-01")
+    today = first_day(rows)
+    pt.upsert_day(t.spark, path, first, "rcept_no", "seq", today)
+    pt.upsert_day(t.spark, path, rows, "rcept_no", "seq", today)
     return t.spark.read.schema("rcept_no bigint, title string, seq bigint, day string").parquet(path)
 
 
@@ -115,8 +121,9 @@ SELECT day, count(*) FILTER (NOT old) AS added, count(*) FILTER (old) AS replace
 def _(t):
     path = scratch_path(t.spark, "days")
     rows = day_records(t)
-    pt.upsert_day(t.spark, path, rows.where("seq % 4 IN (2, 3)"), "rcept_no", "seq", "2024-01-01")
-    return pt.upsert_day(t.spark, path, rows, "rcept_no", "seq", "2024-01-01")
+    today = first_day(rows)
+    pt.upsert_day(t.spark, path, rows.where("seq % 4 IN (2, 3)"), "rcept_no", "seq", today)
+    return pt.upsert_day(t.spark, path, rows, "rcept_no", "seq", today)
 
 
 @query(
@@ -153,12 +160,24 @@ def _(t):
     return src.read_script_literal(t.spark, path, "TICKERS", "code string, name string, sector string")
 
 
-@query("arc4_compaction_proof", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS record_count, 'OK' AS status FROM events GROUP BY 1")
+@query(
+    "arc4_compaction_proof",
+    """WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 10 = 0 THEN '{"event_id":' || event_id || ',"ex' ELSE '{"event_id":' || event_id || ',"extra":"' || event_type || '"}' END AS value FROM events),
+d AS (SELECT max(day) AS today FROM l), h AS (SELECT *, """ + hash_sql(("value",)) + """ AS h FROM l WHERE day < (SELECT today FROM d)),
+p AS (SELECT day, count(*) AS record_count, CAST(sum(strlen(value) + 1) AS BIGINT) AS raw_bytes, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS plain_digest FROM h GROUP BY 1)
+SELECT *, CASE WHEN CAST(substr(day, 9) AS INT) % 7 = 3 THEN 'ARCHIVE_INTEGRITY_ERROR' ELSE 'OK' END AS status FROM p""",
+)
 def _(t):
     raw, packed = scratch_path(t.spark, "raw"), scratch_path(t.spark, "packed")
-    rows = t.events.select(sv.day_text("ts").alias("day"), "event_id", "event_type", "value")
-    rows.write.partitionBy("day").json(raw)
-    return pt.compact_days(t.spark, raw, packed, "event_id bigint, event_type string, value double, day string")
+    # Every tenth line breaks off, all others carry a field no schema knows; days of rank three of a week are damaged.
+    start = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"ex'))
+    line = F.when(F.col("event_id") % 10 == 0, start).otherwise(F.concat(start, F.lit('tra":"'), "event_type", F.lit('"}')))
+    t.events.select(sv.day_text("ts").alias("day"), line.alias("value")).write.partitionBy("day").text(raw)
+    last = t.events.agg(F.max("ts").alias("ts")).select(sv.day_text("ts")).scalar()
+    lines = pt.read_lines(t.spark, raw).where(F.col("day") < last)
+    hurt = (F.substring("day", 9, 2).cast("int") % 7 == 3) & (F.get_json_object("value", "$.event_id").cast("bigint") % 10 == 1)
+    pt.copy_days(lines.withColumn("value", F.when(hurt, F.concat("value", F.lit(" "))).otherwise(F.col("value"))), packed)
+    return pt.prove_days(lines, packed).select("day", "record_count", "raw_bytes", "plain_digest", "status")
 
 
 @query(

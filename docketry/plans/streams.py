@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from docketry.plans import standins as sv
@@ -14,26 +16,37 @@ FILING_SCHEMA = (
 )
 
 
-def arrivals(t, path, rows, cuts):
-    """Write slices of the rows one after another, as a collector would; each slice is one generator step."""
+def arrivals(path, rows, again=0):
+    """Write the rows in three slices, as a collector would; each slice is one generator step.
+
+    The cuts are thirds of the span of the table, and the outer slices are open, so no row falls between them. A
+    slice starts ``again`` days early, as a run that reads the last days of the run before again.
+    """
+    first, last = rows.agg(F.min("received_on"), F.max("received_on")).first()
+    if first is None:
+        cuts = [(None, None)]
+    else:
+        third = (last - first) // 3 + timedelta(1)
+        starts = [first + third, first + 2 * third]
+        cuts = list(zip([None, *[s - timedelta(again) for s in starts]], [*starts, None]))
     for low, high in cuts:
-        part = rows.where((F.col("received_on") >= low) & (F.col("received_on") < high))
+        part = rows
+        if low is not None:
+            part = part.where(F.col("received_on") >= low)
+        if high is not None:
+            early = F.col("received_on") < high
+            part = part.where(early if low is not None else F.coalesce(early, F.lit(True)))
         part.write.mode("append").parquet(path)
         yield
 
 
-# Each run reads the last day of the run before again.
-OVERLAP = (("2024-01-01", "2024-01-11"), ("2024-01-10", "2024-01-21"), ("2024-01-20", "2024-02-01"))
-DISJOINT = (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01"))
-
-
-def ingested(t, lost=None):
+def ingested(t):
     base = scratch_path(t.spark, "ingest")
     store = ing.FilingStore(t.spark, base, FILING_SCHEMA)
     tracked = sv.universe(t)
-    for _ in arrivals(t, f"{base}/arrivals", sv.filing(t), OVERLAP):
+    for _ in arrivals(f"{base}/arrivals", sv.filing(t), 1):
         stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA)
-        ing.run_available(stream, f"{base}/checkpoint", lambda df, n: store.ingest(df, n, tracked, lost))
+        ing.run_available(stream, f"{base}/checkpoint", lambda df, n: store.ingest(df, n, tracked))
     return store
 
 
@@ -44,17 +57,16 @@ def _(t):
 
 @query(
     "str2_acknowledged_states",
-    "WITH " + sv.TRACKED + " SELECT CASE WHEN seq % 50 = 0 THEN 'PENDING' ELSE 'ACKNOWLEDGED' END AS state, count(*) AS n FROM tracked GROUP BY 1",
+    "WITH " + sv.TRACKED + " SELECT 'ACKNOWLEDGED' AS state, count(*) AS n FROM tracked GROUP BY 1",
 )
 def _(t):
-    store = ingested(t, lost=lambda df: df.where("seq % 50 <> 0"))
-    return store.states().groupBy("state").agg(F.count("*").alias("n"))
+    return ingested(t).states().groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("str3_overlap_dedup", "WITH " + sv.FILING + " SELECT rcept_no, code, title FROM filing")
 def _(t):
     base = scratch_path(t.spark, "overlap")
-    for _ in arrivals(t, f"{base}/arrivals", sv.filing(t), OVERLAP):
+    for _ in arrivals(f"{base}/arrivals", sv.filing(t), 1):
         stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA)
         stream = stream.withColumn("detected_at", F.col("detected_at").cast("timestamp"))
         ing.run_available(ing.deduplicated(stream, "rcept_no", "detected_at"), f"{base}/checkpoint", ing.write_updates(f"{base}/out"))
@@ -67,7 +79,7 @@ def _(t):
 )
 def _(t):
     base = scratch_path(t.spark, "weekly")
-    for _ in arrivals(t, f"{base}/arrivals", sv.filing(t), DISJOINT):
+    for _ in arrivals(f"{base}/arrivals", sv.filing(t)):
         stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA)
         stream = stream.withColumn("detected_at", F.col("detected_at").cast("timestamp"))
         counts = ing.weekly_counts(stream, "detected_at", "title").select(F.col("week.start").alias("week"), "kind", "n")
@@ -89,7 +101,7 @@ SELECT c.rcept_no, CASE WHEN n = 1 THEN others ELSE 'NOT_AVAILABLE' END AS corre
 def _(t):
     base = scratch_path(t.spark, "links")
     rows = sv.filing(t).select(F.col("code").alias("ticker"), "rcept_no", F.col("title").alias("report_name"), "is_correction", "seq", "received_on")
-    for _ in arrivals(t, f"{base}/arrivals", rows, DISJOINT):
+    for _ in arrivals(f"{base}/arrivals", rows):
         stream = ing.read_files(t.spark, f"{base}/arrivals", LINK_SCHEMA)
         ing.run_available(stream, f"{base}/checkpoint", ing.link_handler(t.spark, base))
     out = t.spark.read.parquet(f"{base}/linked").where("is_correction")

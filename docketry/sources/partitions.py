@@ -56,28 +56,84 @@ def upsert_day(spark: SparkSession, path: str, records: DataFrame, key: str, ord
     )
 
 
-def compact_days(spark: SparkSession, source: str, target: str, schema: str, day: str = "day") -> DataFrame:
-    """Rewrite a JSON-lines archive compressed and prove per day that nothing changed.
+MANIFEST_SCHEMA = (
+    "day string, record_count bigint, raw_bytes bigint, compressed_bytes bigint, compression_ratio double, plain_digest string, status string"
+)
 
-    Every day is compared by record count and additive content digest between source and copy; the caller
-    switches over only days whose ``status`` is OK.
+
+def read_lines(spark: SparkSession, path: str, day: str = "day") -> DataFrame:
+    """The lines of a daily archive as they are: no field is parsed and no byte is changed. Only \\n ends a line."""
+    return spark.read.schema(f"value string, {day} string").option("lineSep", "\n").text(path)
+
+
+def copy_days(lines: DataFrame, target: str, day: str = "day") -> None:
+    """Write lines gzip-compressed into their day partitions; other days of the target stay."""
+    (
+        lines.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("compression", "gzip").option("lineSep", "\n").partitionBy(day).text(target)
+    )
+
+
+def prove_days(lines: DataFrame, target: str, day: str = "day") -> DataFrame:
+    """Manifest row of every day of ``lines``: what was copied, its size, and whether the copy holds the same lines.
+
+    Source and copy are compared by number of lines and by an additive digest of the raw lines, so an unknown
+    field, an unreadable line or a repeated line that is missing, changed or added shows. The order of lines is
+    not part of the digest.
     """
-    raw = spark.read.schema(schema).json(source)
-    raw.hint("rebalance", day).write.mode("overwrite").option("compression", "gzip").partitionBy(day).json(target)
+    spark = lines.sparkSession
 
     def proof(df, tag):
-        cols = [c for c in df.columns if c != day]
-        return df.groupBy(day).agg(F.count("*").alias(f"{tag}_count"), F.sum(row_hash(*sorted(cols))).alias(f"{tag}_digest"))
+        return df.groupBy(day).agg(
+            F.count("*").alias(f"{tag}_count"), F.sum(row_hash("value")).alias(f"{tag}_digest"),
+            F.sum(F.octet_length("value") + 1).alias(f"{tag}_bytes"),
+        )
 
-    copy = spark.read.schema(schema).json(target)
+    files = spark.read.format("binaryFile").load(target)
+    sizes = files.groupBy(F.col(day).cast("string").alias(day)).agg(F.sum("length").alias("compressed_bytes"))
     same = F.col("source_count").eqNullSafe(F.col("copy_count")) & F.col("source_digest").eqNullSafe(F.col("copy_digest"))
     return (
-        proof(raw, "source").join(proof(copy, "copy"), day, "full")
-        .withColumn("status", F.when(same, vocab.OK).otherwise("ARCHIVE_INTEGRITY_ERROR"))
-        .select(day, F.col("source_count").alias("record_count"), "status")
+        proof(lines, "source").join(proof(read_lines(spark, target, day), "copy"), day, "left").join(sizes, day, "left")
+        .select(
+            F.col(day).alias("day"), F.col("source_count").alias("record_count"), F.col("source_bytes").alias("raw_bytes"), "compressed_bytes",
+            F.round(F.col("compressed_bytes") / F.col("source_bytes"), 4).alias("compression_ratio"),
+            F.col("source_digest").cast("string").alias("plain_digest"),
+            F.when(same, vocab.OK).otherwise("ARCHIVE_INTEGRITY_ERROR").alias("status"),
+        )
     )
 
 
+def compact_days(spark: SparkSession, source: str, target: str, manifest: str, today: str, day: str = "day") -> DataFrame:
+    """Copy the closed days (before ``today``) of a JSON-lines archive compressed, prove each, and keep the proofs.
+
+    A day that an earlier run proved is not touched again, so lines that turn up late never replace its copy.
+    The manifest rows of this run are appended to ``manifest`` and returned; sources are only removed by
+    ``remove_proven``.
+    """
+    lines = read_lines(spark, source, day).where(F.col(day) < F.lit(today))
+    if table_exists(spark, manifest):
+        done = spark.read.schema(MANIFEST_SCHEMA).parquet(manifest).where(F.col("status") == vocab.OK)
+        lines = lines.join(done.select(F.col("day").alias(day)).distinct(), day, "left_anti")
+    copy_days(lines, target, day)
+    if not table_exists(spark, target):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    proved = cut_lineage(prove_days(lines, target, day), "manifest")
+    proved.coalesce(1).write.mode("append").parquet(manifest)
+    return proved
+
+
+def remove_proven(proved: DataFrame, source: str, target: str, day: str = "day") -> None:
+    """Finish a run of ``compact_days``: the source of every proven day goes, the copy of every other day goes.
+
+    The rows are one per calendar day, so the driver can walk them.
+    """
+    spark = proved.sparkSession
+    jvm = spark.sparkContext._jvm
+    for row in proved.select("day", "status").toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{source if row.status == vocab.OK else target}/{day}={row.day}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bundle_months(records: DataFrame, months: DataFrame, path: str, day: str = "day") -> DataFrame:
     """Write the months whose days all verify, then count again what was written.
 

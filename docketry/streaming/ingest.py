@@ -12,7 +12,7 @@ from docketry import vocab
 from docketry.operators.filings import link_corrections, title_state
 from docketry.sources.partitions import table_exists
 
-STATE_SCHEMA = "rcept_no string, state string, batch bigint, phase int, day string"
+STATE_SCHEMA = "rcept_no string, state string, phase int, batch bigint, day string"
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -46,11 +46,19 @@ class FilingStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _log(self, receipts: DataFrame, batch: int, phase: int, state: str) -> None:
-        rows = receipts.select("rcept_no", F.lit(state).alias("state"), F.substring("rcept_no", 1, 8).alias("day"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(
-            f"{self.root}/states/batch={batch}/phase={phase}"
-        )
+    def _store(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    def _log(self, found: DataFrame, stored: DataFrame, batch: int) -> None:
+        """All states a batch reached, in one table of one file per day: pending, and for what was read back also
+        stored and acknowledged."""
+        marks = lambda *words: F.array(*[F.struct(F.lit(w).alias("state"), F.lit(i).alias("phase")) for i, w in enumerate(words)])
+        there = stored.select("rcept_no", F.lit(True).alias("there"))
+        reached = F.when(F.col("there"), marks(vocab.PENDING, vocab.STORED, vocab.ACKNOWLEDGED)).otherwise(marks(vocab.PENDING))
+        rows = found.select("rcept_no").join(there, "rcept_no", "left").select("rcept_no", F.inline(reached))
+        rows.withColumn("day", F.substring("rcept_no", 1, 8)).hint("rebalance", "day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).partitionBy("day").parquet(f"{self.root}/states/batch={batch}")
 
     def rows(self) -> DataFrame:
         """Stored filings, one row per receipt: the last batch wins, which absorbs repeats."""
@@ -67,11 +75,11 @@ class FilingStore:
             log = log.join(days, "day", "left_semi")
         return log.groupBy("rcept_no").agg(F.max_by("state", F.struct("batch", "phase")).alias("state"))
 
-    def ingest(self, batch: DataFrame, batch_id: int, universe: DataFrame, lost=None) -> None:
+    def ingest(self, batch: DataFrame, batch_id: int, universe: DataFrame) -> None:
         """One micro-batch: match, skip acknowledged, store, read back, acknowledge what is really there.
 
-        The new rows are first written to the batch folder and everything after reads that copy. ``lost`` is a
-        hook for tests: it stands for a write that loses rows, which must then stay pending.
+        The new rows are first written to the batch folder and everything after reads that copy. The states follow
+        last, so a batch that stops half-way has none and runs again as a whole.
         """
         usable = batch.where(F.coalesce("rcept_no", F.lit("")) != "").join(universe.select("code"), "code", "left_semi")
         days = usable.select(F.substring("rcept_no", 1, 8).alias("day")).distinct()
@@ -83,14 +91,11 @@ class FilingStore:
         pending = f"{self.root}/pending/batch={batch_id}"
         fresh.write.mode("overwrite").parquet(pending)
         found = self.spark.read.schema(fresh.schema).parquet(pending)
-        self._log(found, batch_id, 0, vocab.PENDING)
         target = f"{self.root}/filings/batch={batch_id}"
-        (found if lost is None else lost(found)).write.mode("overwrite").parquet(target)
+        self._store(found, target)
         # Read back from storage: only a receipt that can be read again is stored and acknowledged.
         stored = self.spark.read.schema(fresh.schema).parquet(target).select("rcept_no")
-        done = found.select("rcept_no").join(stored, "rcept_no", "left_semi")
-        self._log(done, batch_id, 1, vocab.STORED)
-        self._log(done, batch_id, 2, vocab.ACKNOWLEDGED)
+        self._log(found, stored, batch_id)
 
     def unconfirmed(self) -> DataFrame:
         """Receipts to retry: seen but not acknowledged."""

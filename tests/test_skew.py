@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import changes as ch, digests as dg, filings as fl
 from docketry.operators.classify import Category
-from docketry.operators.matching import containing_pairs
+from docketry.operators.matching import containing_pairs, first_containing, text_pieces
 
 
 def hot(rng, n, keys=9):
@@ -149,3 +149,18 @@ def test_window_changes_with_a_hot_company(spark):
         else:
             mine = [d for k, c, d, _ in rows if (k, c) == (code, cat)]
             assert value == (sum(d >= "2026-09-11" for d in mine), sum(d < "2026-09-11" for d in mine))
+
+
+def candidate_rows(spark, n):
+    names = spark.range(n).select(F.format_string("Customer#%09d", "id").alias("name"), F.col("id").alias("ord"))
+    own = spark.createDataFrame([("Customer",), ("#00000",), (f"{n - 1:09d}",)], "text string")
+    lengths = [8, 6, 9]
+    pieces = names.select(F.explode(text_pieces(F.col("name"), F.lit(lengths))).alias("text")).count()
+    got = {r.text: r["first"] for r in first_containing(own, names, "text", "name", F.col("ord")).collect()}
+    assert got == {"Customer": 0, "#00000": 0, f"{n - 1:09d}": n - 1}
+    return pieces
+
+
+def test_name_candidates_grow_linearly(spark):
+    # Repeated pieces of a name count once, so not exactly tenfold.
+    assert candidate_rows(spark, 15000) <= 10.5 * candidate_rows(spark, 1500)

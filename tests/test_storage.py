@@ -100,6 +100,74 @@ def test_versions_are_counted_when_the_record_type_has_them(spark):
     assert (row.versions, row.missing_version, row.duplicate_keys) == (["v1", "v2"], 1, 1)
 
 
+LINES = {
+    "2026-01-01": b'{"k":1,"v":"a","extra":{"x":[1]}}\n{"k":2,"v\n{"k":3,"v":"c"}\r\n\xff\xfe\n{"k":3,"v":"c"}\r\n',
+    "2026-01-02": b'{"k":4}\n\n{"k":4}\n',
+    "2026-01-03": b'{"k":5}\n',
+}
+
+
+def archive_of(tmp_path):
+    for day, data in LINES.items():
+        folder = tmp_path / "raw" / f"day={day}"
+        folder.mkdir(parents=True)
+        (folder / "a.jsonl").write_bytes(data)
+    return [str(tmp_path / n) for n in ("raw", "packed", "manifest")]
+
+
+def unpacked(folder):
+    import gzip
+
+    return sorted(x for p in folder.glob("*.gz") for x in gzip.decompress(p.read_bytes()).split(b"\n")[:-1])
+
+
+def test_compaction_keeps_every_byte_of_every_line(spark, tmp_path):
+    raw, packed, manifest = archive_of(tmp_path)
+    done = {r.day: r for r in pt.compact_days(spark, raw, packed, manifest, "2026-01-03").collect()}
+    assert {d: (r.record_count, r.raw_bytes, r.status) for d, r in done.items()} == {
+        d: (LINES[d].count(b"\n"), len(LINES[d]), "OK") for d in ("2026-01-01", "2026-01-02")
+    }
+    assert all(r.compression_ratio == round(r.compressed_bytes / r.raw_bytes, 4) for r in done.values())
+    for day in done:
+        assert unpacked(tmp_path / "packed" / f"day={day}") == sorted(LINES[day].split(b"\n")[:-1])
+    pt.remove_proven(spark.read.schema(pt.MANIFEST_SCHEMA).parquet(manifest), raw, packed)
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["day=2026-01-03"]
+    # A proven day is closed: late lines do not replace its copy.
+    (tmp_path / "raw" / "day=2026-01-01").mkdir()
+    (tmp_path / "raw" / "day=2026-01-01" / "late.jsonl").write_bytes(b'{"k":9}\n')
+    assert [r.day for r in pt.compact_days(spark, raw, packed, manifest, "2026-01-04").collect()] == ["2026-01-03"]
+    assert len(unpacked(tmp_path / "packed" / "day=2026-01-01")) == 5
+
+
+def test_a_damaged_copy_is_reported_and_its_source_stays(spark, tmp_path):
+    import gzip
+
+    raw, packed, _ = archive_of(tmp_path)
+    lines = pt.read_lines(spark, raw)
+    pt.copy_days(lines, packed)
+    for day, text in (("2026-01-01", b'{"k":1,"v":"a"}\n{}\n{"k":3}\n{}\n{}\n'), ("2026-01-02", b'{"k":4}\n{"k":4}\n')):
+        for p in (tmp_path / "packed" / f"day={day}").glob("*"):
+            p.unlink()
+        (tmp_path / "packed" / f"day={day}" / "x.txt.gz").write_bytes(gzip.compress(text))
+    proved = pt.prove_days(lines, packed)
+    assert {r.day: r.status for r in proved.collect()} == {
+        "2026-01-01": "ARCHIVE_INTEGRITY_ERROR", "2026-01-02": "ARCHIVE_INTEGRITY_ERROR", "2026-01-03": "OK"
+    }
+    pt.remove_proven(pt.cut_lineage(proved, "proved"), raw, packed)
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["day=2026-01-01", "day=2026-01-02"]
+    assert sorted(p.name for p in (tmp_path / "packed").glob("day=*")) == ["day=2026-01-03"]
+
+
+def test_rules_at_the_edge_of_a_sentence(spark):
+    df = spark.createDataFrame([(1, "all", "Fine. Buy now. End"), (2, "all", None)], "id int, collection string, text string")
+    rules = (cp.Rule("start", "^Buy"), cp.Rule("last", r"now\.$"), cp.Rule("plain", "End"))
+    assert {(r.id, r.sentence_no, r.label) for r in cp.scan_sentences(df, rules).collect()} == {(1, 1, "start"), (1, 1, "last"), (1, 2, "plain")}
+    risk = cp.RiskRules(risk="^Buy", estimate="nothing", sentence_end=r"(?<=[.])\s+")
+    assert df.select(cp.clean_text(F.col("text"), risk)["text"]).first()[0] == "Fine. End"
+    free = {r"a[^b]c": True, r"(?:x|y)+": True, "^a": False, "a$": False, r"\ba": False, "(?=a)": False, "(?i)a": False, r"\[^a": False, "a*+": False}
+    assert {p: cp.context_free(p) for p in free} == free
+
+
 def test_content_rules_on_korean_sentences(spark):
     rows = [
         (1, "study", "좋다. 투자의견은 없다.\n증권사는 매출 3조 원을 예상했다."), (2, "lesson", "투자의견이다. KBS 다큐 요약이다."), (3, "study", "평범하다."),
@@ -163,22 +231,37 @@ def rows(spark, *names):
     return spark.createDataFrame([("1", f"2026010{n}000001", f"t{n}") for n in names], SCHEMA)
 
 
+class LosingStore(ing.FilingStore):
+    """Storage that keeps only some of what it is given."""
+
+    keeps = "true"
+
+    def _store(self, rows, path):
+        super()._store(rows.where(self.keeps), path)
+
+
 def test_lost_rows_stay_pending_and_are_taken_again(spark, tmp_path):
-    store = ing.FilingStore(spark, str(tmp_path), SCHEMA)
+    store = LosingStore(spark, str(tmp_path), SCHEMA)
     tracked = spark.createDataFrame([("1",)], "code string")
-    store.ingest(rows(spark, 1, 2), 0, tracked, lost=lambda df: df.where("title <> 't2'"))
+    store.keeps = "title <> 't2'"
+    store.ingest(rows(spark, 1, 2), 0, tracked)
+    store.keeps = "true"
     assert [r.rcept_no for r in store.unconfirmed().collect()] == ["20260102000001"]
     store.ingest(rows(spark, 1, 2, 3), 1, tracked)
     assert store.unconfirmed().count() == 0
     assert spark.read.parquet(f"{tmp_path}/pending/batch=1").count() == 2          # the acknowledged row is skipped
     assert sorted(r.title for r in store.rows().collect()) == ["t1", "t2", "t3"]
+    days = [p.parent for p in (tmp_path / "states").glob("batch=*/day=*/*.parquet")]
+    assert len(days) == len(set(days)) == 4                                          # one state file per day and batch
 
 
 def test_a_repeated_batch_adds_nothing(spark, tmp_path):
-    store = ing.FilingStore(spark, str(tmp_path), SCHEMA)
+    store = LosingStore(spark, str(tmp_path), SCHEMA)
     tracked = spark.createDataFrame([("1",)], "code string")
     untracked = spark.createDataFrame([("2", "20260109000001", "x"), ("1", "", "y")], SCHEMA)
-    store.ingest(rows(spark, 1, 2).unionByName(untracked), 0, tracked, lost=lambda df: df.limit(0))
+    store.keeps = "false"
+    store.ingest(rows(spark, 1, 2).unionByName(untracked), 0, tracked)
+    store.keeps = "true"
     assert store.states().where(F.col("state") == vocab.PENDING).count() == 2
     for _ in range(2):
         store.ingest(rows(spark, 1, 2).unionByName(untracked), 0, tracked)

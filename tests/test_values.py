@@ -219,6 +219,32 @@ def test_failed_pages_are_not_zero(spark):
     assert got == {"1": (False, "API_ERROR", None), "2": (True, None, 0), "3": (False, None, None)}
 
 
+def test_evidence_needs_every_page(spark):
+    pages = spark.createDataFrame(
+        [("gap", 1, "OK", 3, 9), ("gap", 3, "OK", 3, 9), ("all", 1, "OK", 2, 9), ("all", 2, "OK", 2, 9), ("all", 2, "OK", 2, 9),
+         ("none", 1, "NO_DATA", None, None), ("bad", 1, "OK", 3, 9), ("bad", 2, "API_ERROR", None, None), ("zero", 1, "OK", 0, 0)],
+        "ticker string, page int, state string, total_page int, total_count int",
+    )
+    rows = spark.createDataFrame([], "ticker string, rcept_no string, report_nm string, row_state string")
+    got = {r.ticker: (r.ok, r.error, r.pages_expected, r.pages_collected, r.total_count, r.collected) for r in cv.reconcile_issuers(pages, rows).collect()}
+    assert got == {
+        "gap": (False, None, 3, 2, 9, None), "all": (True, None, 2, 2, 9, 0), "none": (True, None, 1, 1, 0, 0),
+        "bad": (False, "API_ERROR", None, 1, None, None), "zero": (True, None, 0, 1, 0, 0),
+    }
+
+
+def test_queries_that_stopped_at_the_limit(spark):
+    rows = [("known", p, 6, False, 100) for p in range(1, 7)] + [("short", p, None, False, 100 if p < 4 else 7) for p in range(1, 5)]
+    rows += [("full", p, None, False, 100) for p in range(1, 5)] + [("unknown", p, None, False, None) for p in range(1, 5)]
+    rows += [("gap", p, 3, False, 100) for p in (1, 3, 4)] + [("few", 1, None, False, 100), ("failed", 1, 1, True, None)]
+    df = spark.createDataFrame(rows, "query string, page int, total_page int, failed boolean, page_rows int")
+    limit = ["PAGE_LIMIT_REACHED"]
+    got = {r["query"]: r.reasons for r in cv.page_completeness(df, 4).collect()}
+    assert got == {"known": [], "short": [], "full": limit, "unknown": limit, "gap": limit, "few": [], "failed": ["API_ERROR"]}
+    total = cv.overall_completeness(cv.page_completeness(df, 4)).first()
+    assert (total.complete, total.reasons, total.queries) == (False, ["API_ERROR", "PAGE_LIMIT_REACHED"], 7)
+
+
 LEDGER = "day string, kind string, n bigint"
 
 
