@@ -168,13 +168,27 @@ def classification_counts(sanitized: DataFrame) -> DataFrame:
 
 def validate_records(
     records: DataFrame, fields: tuple[str, ...], allowed: str = vocab.ALLOWED_NUMBER, forbidden=vocab.FORBIDDEN_IN_RECORD,
-    origins=vocab.RECORD_ORIGINS,
+    origins=vocab.RECORD_ORIGINS, classes=vocab.RECORD_CLASSES, labels=vocab.REMOVED_LABELS,
 ) -> DataFrame:
-    """One row per violation of a record: empty lists, digits outside the allowed forms, forbidden wording,
-    a bad edit date, a missing origin.
+    """One row per violation of a record: an unknown class or removed label, no reason, empty lists, digits outside
+    the allowed forms, forbidden wording, a bad edit date, a missing origin.
 
-    Input: record_id, title, edited_at, one array column per field and ``section_origin`` (map).
+    Input: record_id, title, edited_at, one array column per field, ``section_origin`` (map), and optionally
+    classification, reason and removed (array). A record without a class is a published, restored one. Lists and
+    wording are checked for restored records only, date and origins only if one of the two is there.
     """
+    for name, kind in (("classification", "string"), ("reason", "string"), ("removed", "array<string>")):
+        if name not in records.columns:
+            records = records.withColumn(name, F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    classified = F.col("classification").isNotNull()
+    head = F.array_compact(F.array(
+        F.when(classified & ~F.col("classification").isin(*classes), "classification"),
+        F.when(classified & (F.coalesce("reason", F.lit("")) == ""), "reason"),
+    ))
+    strange = F.filter(F.coalesce("removed", none), lambda r: ~F.coalesce(r.isin(*labels), F.lit(False)))
+    restored = ~classified | (F.col("classification") == vocab.RESTORED)
+    edited = F.col("edited_at").isNotNull() | F.col("section_origin").isNotNull()
     texts = F.concat(F.array("title"), *[F.coalesce(f, F.array().cast("array<string>")) for f in fields])
 
     def problems(text):
@@ -185,12 +199,16 @@ def validate_records(
         return F.array_compact(F.array(*checks))
 
     shape = [F.when(F.coalesce(F.size(f), F.lit(0)) <= 0, F.lit(f"empty:{f}")) for f in fields]
-    shape.append(F.when(~F.coalesce(F.col("edited_at").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), F.lit("edited_at")))
-    shape += [
+    edit = [F.when(~F.coalesce(F.col("edited_at").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), F.lit("edited_at"))]
+    edit += [
         F.when(~F.coalesce(F.col("section_origin")[f].isin(*origins), F.lit(False)), F.lit(f"section_origin:{f}")) for f in fields
     ]
     wording = F.flatten(F.transform(texts, problems))
-    found = F.concat(F.array_compact(F.array(*shape)), wording)
+    found = F.concat(
+        head, F.transform(strange, lambda r: F.concat(F.lit("removed:"), F.coalesce(r, F.lit("")))),
+        F.when(restored, F.concat(F.array_compact(F.array(*shape)), wording)).otherwise(none),
+        F.when(edited, F.array_compact(F.array(*edit))).otherwise(none),
+    )
     return records.select("record_id", F.explode(found).alias("problem"))
 
 

@@ -38,17 +38,31 @@ def usage_report(increments: DataFrame, hard: int = vocab.DAILY_HARD_LIMIT, soft
 
 def merge_ledgers(base: DataFrame, ours: DataFrame, theirs: DataFrame, kinds=vocab.LEDGER_KINDS) -> DataFrame:
     """Three versions of a one-day ledger added up: the later day of the two sides wins, each side of that day
-    contributes what it has over the base of the same day, never less than zero."""
+    contributes what it has over the base of the same day, never less than zero.
+
+    If all three have ``runs`` and ``updated_at`` (of the whole version, on each of its rows), runs add up the same
+    way and the latest stamp of that day is kept.
+    """
     parts = []
+    stamped = all({"runs", "updated_at"} <= set(df.columns) for df in (base, ours, theirs))
+    extra = ["runs", "updated_at"] if stamped else []
     for side, df in (("base", base), ("ours", ours), ("theirs", theirs)):
-        parts.append(df.select("day", known_kind(F.col("kind"), kinds).alias("kind"), "n", F.lit(side).alias("side")))
+        parts.append(df.select("day", known_kind(F.col("kind"), kinds).alias("kind"), "n", *extra, F.lit(side).alias("side")))
     rows = reduce(DataFrame.unionByName, parts)
     sums = rows.groupBy("day", "kind").agg(
         *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("base", "ours", "theirs")],
     )
     latest = ours.select("day").unionByName(theirs.select("day")).agg(F.max("day").alias("day")).scalar()
     gain = lambda side: F.greatest(F.lit(0), F.col(side) - F.col("base"))
-    return sums.where(F.col("day") == latest).select("day", "kind", (F.col("base") + gain("ours") + gain("theirs")).alias("n"))
+    total = F.col("base") + gain("ours") + gain("theirs")
+    merged = sums.where(F.col("day") == latest).select("day", "kind", total.alias("n"))
+    if not stamped:
+        return merged
+    runs = rows.groupBy("day").agg(
+        *[F.coalesce(F.max(F.when(F.col("side") == s, F.col("runs"))), F.lit(0)).alias(s) for s in ("base", "ours", "theirs")],
+        F.max("updated_at").alias("updated_at"),
+    )
+    return merged.join(runs.select("day", total.alias("runs"), "updated_at"), "day", "left")
 
 
 def project_requests(plan: DataFrame, hard: int = vocab.DAILY_HARD_LIMIT) -> DataFrame:

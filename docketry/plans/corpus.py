@@ -93,26 +93,33 @@ FIELDS = ("seen", "why", "wrong")
 @query(
     "cor4_record_validator",
     r"""WITH r AS (SELECT d.doc_id, source AS title, string_split(text, chr(10)) AS seen, CASE WHEN quality IS NULL THEN [] ELSE [lang] END AS why, [source] AS wrong,
-  CASE WHEN d.doc_id % 5 = 0 THEN '2024' ELSE '2024-01-02' END AS edited, CASE WHEN toxic = 1 THEN 'X' ELSE 'EDIT_SUPPLEMENT' END AS origin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-x AS (SELECT doc_id, unnest([title] || seen || why || wrong) AS s FROM r),
+  CASE WHEN d.doc_id % 5 = 0 THEN '2024' ELSE '2024-01-02' END AS edited, CASE WHEN toxic = 1 THEN 'X' ELSE 'EDIT_SUPPLEMENT' END AS origin,
+  CASE d.doc_id % 6 WHEN 1 THEN 'SAFE_AS_IS' WHEN 2 THEN 'OTHER' WHEN 3 THEN 'SANITIZE_AND_RESTORE' END AS class, d.doc_id % 7 <> 3 AS has_edit FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+x AS (SELECT doc_id, unnest([title] || seen || why || wrong) AS s FROM r WHERE class IS NULL OR class = 'SANITIZE_AND_RESTORE'),
 p AS (SELECT doc_id, 'digit:' || substr(s, 1, 60) AS problem FROM x WHERE regexp_matches(regexp_replace(s, 'src\d+', '', 'g'), '\d')
  UNION ALL SELECT doc_id, 'forbidden[@]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, '@') UNION ALL SELECT doc_id, 'forbidden[token]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, 'token')
- UNION ALL SELECT doc_id, 'forbidden[%]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, '%') UNION ALL SELECT doc_id, 'empty:why' FROM r WHERE len(why) = 0
- UNION ALL SELECT doc_id, 'edited_at' FROM r WHERE length(edited) = 4 UNION ALL SELECT doc_id, 'section_origin:why' FROM r WHERE origin = 'X')
+ UNION ALL SELECT doc_id, 'forbidden[%]:' || substr(s, 1, 60) FROM x WHERE regexp_matches(s, '%') UNION ALL SELECT doc_id, 'empty:why' FROM r WHERE len(why) = 0 AND (class IS NULL OR class = 'SANITIZE_AND_RESTORE')
+ UNION ALL SELECT doc_id, 'edited_at' FROM r WHERE length(edited) = 4 AND has_edit UNION ALL SELECT doc_id, 'section_origin:why' FROM r WHERE origin = 'X' AND has_edit
+ UNION ALL SELECT doc_id, 'classification' FROM r WHERE class = 'OTHER' UNION ALL SELECT doc_id, 'reason' FROM r WHERE class IS NOT NULL AND doc_id % 9 = 0
+ UNION ALL SELECT doc_id, 'removed:PRICE' FROM r WHERE doc_id % 4 = 0)
 SELECT doc_id AS record_id, problem FROM p""",
 )
 def _(t):
     label = t.labels.select("doc_id", "quality", "toxic")
     origin = F.when(F.col("toxic") == 1, "X").otherwise("EDIT_SUPPLEMENT")
     good = F.lit("ORIGINAL_RESTATED")
+    k, has_edit = F.col("doc_id") % 6, F.col("doc_id") % 7 != 3
     records = t.documents.join(label, "doc_id", "left").select(
         F.col("doc_id").alias("record_id"),
         F.col("source").alias("title"),
         F.split("text", "\n").alias("seen"),
         F.when(F.col("quality").isNull(), F.array().cast("array<string>")).otherwise(F.array("lang")).alias("why"),
         F.array("source").alias("wrong"),
-        F.when(F.col("doc_id") % 5 == 0, "2024").otherwise("2024-01-02").alias("edited_at"),
-        F.create_map(F.lit("seen"), good, F.lit("why"), origin, F.lit("wrong"), good).alias("section_origin"),
+        F.when(has_edit, F.when(F.col("doc_id") % 5 == 0, "2024").otherwise("2024-01-02")).alias("edited_at"),
+        F.when(has_edit, F.create_map(F.lit("seen"), good, F.lit("why"), origin, F.lit("wrong"), good)).alias("section_origin"),
+        F.when(k == 1, "SAFE_AS_IS").when(k == 2, "OTHER").when(k == 3, "SANITIZE_AND_RESTORE").alias("classification"),
+        F.when(F.col("doc_id") % 9 != 0, "checked").alias("reason"),
+        F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("SCORE"), F.lit("PRICE"))).alias("removed"),
     )
     return op.validate_records(records, FIELDS, r"src\d+", ("@", "token", "%"))
 

@@ -308,13 +308,20 @@ def _(t):
     f"""WITH {INC}, b AS (SELECT {KIND} AS kind, sum(n) AS n FROM inc WHERE day = (SELECT max(day) FROM inc) GROUP BY 1),
 o AS (SELECT {KIND} AS kind, sum(n + CASE WHEN event_id % 2 = 0 THEN 3 ELSE -1 END) AS n FROM inc WHERE day = (SELECT max(day) FROM inc) GROUP BY 1),
 h AS (SELECT {KIND} AS kind, sum(CASE WHEN kind = 'list' THEN n - 5 ELSE n + 2 END) AS n FROM inc WHERE day = (SELECT max(day) FROM inc) GROUP BY 1)
-SELECT (SELECT max(day) FROM inc) AS day, b.kind, CAST(b.n + greatest(0, o.n - b.n) + greatest(0, h.n - b.n) AS BIGINT) AS n FROM b JOIN o USING (kind) JOIN h USING (kind)""",
+SELECT (SELECT max(day) FROM inc) AS day, b.kind, CAST(b.n + greatest(0, o.n - b.n) + greatest(0, h.n - b.n) AS BIGINT) AS n,
+  (SELECT count(*) + 4 FROM inc WHERE day = (SELECT max(day) FROM inc)) AS runs, (SELECT max(day) FROM inc) || ' 21:00' AS updated_at FROM b JOIN o USING (kind) JOIN h USING (kind)""",
 )
 def _(t):
     inc = increments(t)
     ours = inc.withColumn("n", F.col("n") + F.when(F.col("event_id") % 2 == 0, 3).otherwise(-1))
     theirs = inc.withColumn("n", F.when(F.col("kind") == "list", F.col("n") - 5).otherwise(F.col("n") + 2))
-    return lg.merge_ledgers(inc, ours, theirs)
+    # The base counts one run a row; our side has four more, theirs has two less and the later stamp.
+    size = inc.groupBy("day").agg(F.count("*").alias("runs"))
+
+    def version(df, more, clock):
+        return df.join(size, "day").withColumn("runs", F.col("runs") + more).withColumn("updated_at", F.concat("day", F.lit(clock)))
+
+    return lg.merge_ledgers(version(inc, 0, " 09:00"), version(ours, 4, " 20:00"), version(theirs, -2, " 21:00"))
 
 
 @query(

@@ -195,6 +195,12 @@ FORBIDDEN_IN_RECORD = (
     r"\d+\s*점", r"%", r"배\b", r"원\)", r"만원", r"억원", r"조원", r"사세요", r"파세요", r"수익\s*보장", r"확실",
 )
 RECORD_ORIGINS = ("ORIGINAL_RESTATED", "EDIT_SUPPLEMENT")
+# Classes of a record and labels of what was removed from it.
+RESTORED = "SANITIZE_AND_RESTORE"
+RECORD_CLASSES = ("SANITIZE_AND_RESTORE", "PRIVATE_ONLY", "SAFE_AS_IS")
+REMOVED_LABELS = (
+    "NAVER_PRICE", "NAVER_VALUATION", "CONSENSUS", "NAVER_FLOW", "THIRD_PARTY_REPORT", "NEWS_RELAY", "RECOMMENDATION", "SCORE", "TARGET_PRICE",
+)
 UNWANTED_SOURCE = (
     r"(?i)data\.js|finance\.naver|stock\.naver|m\.stock\.naver|"
     r"리포트|목표\s*주?가|투자\s*의견|컨센서스|fileView|\.pdf(\?|$)"

@@ -224,6 +224,19 @@ def test_record_validator_on_korean_wording(spark):
     }
 
 
+def test_record_classes_reasons_and_edits(spark):
+    rows = [
+        ("public", None, None, None, None, ["PER 3"]), ("private", "PRIVATE_ONLY", "r", ["SCORE"], None, []), ("odd", "X", "", ["PRICE", None], None, []),
+        ("dated", "SAFE_AS_IS", "r", [], "2026-01-01", []),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, classification string, reason string, removed array<string>, edited_at string, a array<string>")
+    df = df.withColumn("title", F.lit("t")).withColumn("section_origin", F.lit(None).cast("map<string,string>"))
+    assert {(r.record_id, r.problem) for r in cp.validate_records(df, ("a",)).collect()} == {
+        ("public", "digit:PER 3"), ("public", "forbidden[PER]:PER 3"), ("odd", "classification"), ("odd", "reason"), ("odd", "removed:PRICE"),
+        ("odd", "removed:"), ("dated", "section_origin:a"),
+    }
+
+
 SCHEMA = "code string, rcept_no string, title string"
 
 

@@ -261,6 +261,16 @@ def test_ledger_merge(spark):
     assert {r.kind: r.n for r in lg.merge_ledgers(base, ours, old).collect()}["list"] == 38
 
 
+def test_merged_ledger_carries_runs_and_stamp(spark):
+    full = LEDGER + ", runs int, updated_at string"
+    one = lambda *r: spark.createDataFrame([r], full)
+    ours, theirs = one("2026-09-23", "list", 38, 3, "b"), one("2026-09-23", "mapping", 1, 2, "c")
+    got = lg.merge_ledgers(one("2026-09-22", "list", 50, 9, "z"), ours, theirs)
+    assert {(r.kind, r.n, r.runs, r.updated_at) for r in got.collect()} == {("list", 38, 5, "c"), ("mapping", 1, 5, "c")}
+    got = lg.merge_ledgers(one("2026-09-23", "list", 30, 2, "a"), ours, theirs).where("kind = 'list'").first()
+    assert (got.n, got.runs) == (38, 3)
+
+
 def test_targets(spark):
     universe = spark.createDataFrame([(f"00000{i}",) for i in range(6)], "code string")
     codes = lambda df: [r.code for r in df.collect()]
