@@ -92,8 +92,13 @@ def issuer_candidates(universe: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.join(unclear, "code", "left_semi")
 
 
-def mapping_report(mapping: DataFrame) -> DataFrame:
-    """Counts of mapped, unknown and ambiguous companies, and the mapping rate."""
+def mapping_report(mapping: DataFrame, stored_size: Column | None = None) -> DataFrame:
+    """Counts of mapped, unknown and ambiguous companies, the mapping rate, and whether the stored map is outdated.
+
+    ``stored_size`` is the number of companies the stored map was built for; a map of another size has to be
+    built anew. Without a stored map it is null and nothing counts as changed.
+    """
+    stored = F.lit(None).cast("bigint") if stored_size is None else stored_size
 
     def count(state):
         return F.count_if(F.col("mapping") == state)
@@ -104,6 +109,8 @@ def mapping_report(mapping: DataFrame) -> DataFrame:
         count("UNKNOWN").alias("unknown"),
         count("AMBIGUOUS").alias("ambiguous"),
         F.round(F.coalesce(F.try_divide(count("MAPPED").cast("double"), F.count("*")), F.lit(0.0)), 4).alias("mapping_rate"),
+    ).withColumn("stored_size", stored).withColumn(
+        "universe_changed", F.coalesce(F.col("universe_size") != F.col("stored_size"), F.lit(False))
     )
 
 

@@ -76,8 +76,10 @@ def _(t):
   greatest(0, count(*) - 40) AS filings_truncated FROM merged, win GROUP BY code""",
 )
 def _(t):
-    merged = fl.merge_filings(*two_sources(t)).withColumn("listed", F.array_contains("sources", "list"))
-    win = op.data_windows(fl.merge_filings(*two_sources(t))).scalar()
+    first, second = two_sources(t)
+    merged = fl.merge_filings(first, second).withColumn("listed", F.array_contains("sources", "list"))
+    # Merging changes no date, so the span comes from the sources before they are merged.
+    win = op.data_windows(first.select("received_on").unionByName(second.select("received_on"))).scalar()
     return op.company_headers(merged, win).withColumn("latest_received_on", sv.day_text("latest_received_on"))
 
 
