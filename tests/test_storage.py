@@ -304,3 +304,18 @@ def test_products_need_a_complete_run(spark):
         freshness(spark.createDataFrame([bad], cols))
     row = freshness(spark.createDataFrame([bad, good], cols))
     assert row.window_end == dt.date(2026, 9, 14) and row.covered_until.timestamp() == dt.datetime(2026, 9, 14, 15, tzinfo=dt.timezone.utc).timestamp()
+
+
+def test_arrivals_leave_no_row_out(spark, tmp_path):
+    import datetime as dt
+
+    from docketry.plans.streams import arrivals
+
+    days = [dt.date(2019, 5, 1), dt.date(2024, 1, 1), dt.date(2024, 1, 31), dt.date(2024, 2, 1), dt.date(2027, 1, 1), None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id int, received_on date")
+    for again, times in ((0, 1), (1, 1)):
+        path = str(tmp_path / f"again{again}")
+        assert sum(1 for _ in arrivals(path, df, again)) == 3
+        got = sorted(r.id for r in spark.read.schema("id int").parquet(path).collect())
+        assert got == list(range(len(days))) * times
+    assert sum(1 for _ in arrivals(str(tmp_path / "none"), df.limit(0))) == 1
