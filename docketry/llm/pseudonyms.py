@@ -18,8 +18,11 @@ in its own class; addresses xor 16-bit halves; days and social security numbers
 product is the size of the domain, so no value has to be walked back into it.
 
 Edge cases: a null text stays null; an empty one stays empty; values that fail their check stay as they are;
-repeated rows give repeated results; of overlapping candidates the leftmost counts, kinds in the order above.
-Digits between separators are read together, and the separators stay where they are.
+repeated rows give repeated results. Digits between separators are read together, and the separators stay where they are.
+
+Each kind is sought at every place by itself, with all ends its form allows, and only candidates that pass their check
+count. Where these overlap, those are taken that together cover most letters and digits, then the most values; digits
+joined to a card in an unusual grouping count half. So neighbouring values are not lost to a number that joins them.
 """
 
 from __future__ import annotations
@@ -28,24 +31,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: Values that a hyphen may join: without them a hyphen beside digits belongs to a longer number.
+JOINED = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|[0-9]{3}\)? ?[-.]?[0-9]{3}[-.][0-9]{4}"
+    r"|[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+    r"|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,40}|\+[0-9]{1,3}[0-9 .()-]{6,20}"
+)
+AFTER = rf"(?<=(?:{JOINED}|@[A-Za-z0-9.-]{{1,80}}\.[A-Za-z]{{2,24}})-)"
+BEFORE = rf"(?=-\(?(?:{JOINED})(?![0-9]))"
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|{AFTER})" r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = rf"(?:(?<![0-9-])|{AFTER})[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?:(?![0-9-])|{BEFORE})"
 PHONE = (
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
     r"|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
 )
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = (
-    r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+    rf"(?:(?<![0-9-])|{AFTER})[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:(?![0-9-])|{BEFORE})"
     r"|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
     r"|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 )
 KINDS = {"email": EMAIL, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "ip": IP, "date": DATE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Cards as they are written: no separators, or one kind of them between the usual groups.
+USUAL_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: A text without these holds no value of any kind.
 MARK = "[0-9@]"
+#: No value reaches over these places: after a character that none holds, and at blanks beside blanks or lower-case letters.
+CUT = r"(?<=[^A-Za-z0-9._%+@()/ -])|(?<=[a-z] )|(?<= )(?=[a-z ])"
+SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
 def _sql(text: str) -> str:
@@ -132,13 +148,9 @@ def _refill(match: str, chars: str, cls: str) -> str:
     )
 
 
-def pseudonym(m: str, key: str) -> str:
-    """SQL: the pseudonym of one match, or null if no kind accepts it."""
+def pseudonyms(m: str, key: str) -> dict[str, str]:
+    """SQL for each kind: the pseudonym of a match of it, or null if its check fails."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-
-    def is_kind(kind: str) -> str:
-        return f"{m} rlike {_sql('^(?:' + KINDS[kind] + ')$')}"
-
     email = f"concat({permute_text(f'''substring_index({m}, '@', 1)''', 'email', key)}, '@', substring_index({m}, '@', -1))"
     compact = f"replace({m}, ' ', '')"
     iban_new = _bind(
@@ -205,12 +217,53 @@ def pseudonym(m: str, key: str) -> str:
         f"try_cast({iso} as date)", "d",
         f"if(d between date'1700-01-01' and date'2099-12-31', {date_new}, null)",
     )
-    made = {"email": email, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
-    tries = [
-        f"if({is_kind(kind)}, element_at(transform(array({made[kind]}), z -> if(z is null, null, named_struct('kind', '{kind}', 'value', z))), 1), null)"
-        for kind in KINDS
-    ]
-    return f"coalesce({', '.join(tries)})"
+    return {"email": email, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
+
+
+def _ends(kind: str) -> str:
+    """SQL: the ends to try for a match ``h``, whose own end is the furthest."""
+    least, after = {"card": (13, "[0-9]"), "iban": (14, "[A-Za-z0-9]"), "phone": (8, "[0-9]")}.get(kind, (0, ""))
+    if not least:
+        return "array(length(h))"
+    whole = _sql("^(?:" + KINDS[kind] + ")$")
+    return (
+        f"filter(sequence(least({least}, length(h)), length(h)), "
+        f"e -> e = length(h) or (not substr(h, e + 1, 1) rlike '{after}' and substr(h, 1, e) rlike {whole}))"
+    )
+
+
+def spans_of(key: str) -> str:
+    """SQL: the accepted spans of a piece ``t`` in order, with offsets in the piece."""
+    made = pseudonyms("m", key)
+    found = []
+    for at, (kind, pattern) in enumerate(KINDS.items()):
+        unusual = f"if(m rlike {_sql(USUAL_CARD)}, 2, 1)" if kind == "card" else "2"
+        weight = f"length(regexp_replace(m, '[^A-Za-z0-9]', '')) * 1000L * {unusual} + 1"
+        one = f"struct(a + e as end, a as start, {at} as place, {weight} as weight, '{kind}' as kind, {made[kind]} as value)"
+        start = "aggregate(slice(cuts, 1, x + 1), -1, (n, c) -> n + length(c))"
+        tried = _bind(start, "a", f"transform({_ends(kind)}, e -> {_bind('substr(h, 1, e)', 'm', one)})")
+        # The first character stands for the text's start: a cut there would give no empty part.
+        cuts = f"split(concat('\\n', t), {_sql('(?=' + pattern + ')')}, -1)"
+        hits = f"regexp_extract_all(t, {_sql('(?=(' + pattern + '))')}, 1)"
+        found.append(f"if(t rlike {_sql(pattern)}, {_bind(cuts, 'cuts', f'flatten(transform({hits}, (h, x) -> {tried}))')}, array())")
+    ordered = f"array_sort(filter(concat({', '.join(found)}), y -> y.value is not null))"
+    # State j: the best of the first j candidates, the last one it takes and the state before that one.
+    best = (
+        "aggregate(sequence(1, size(cs)), array(struct(0 as end, 0L as weight, 0 as taken, 0 as before)), (s, j) -> array_append(s, "
+        + _bind(
+            "size(filter(s, o -> o.end <= cs[j - 1].start)) - 1", "p",
+            "if(s[p].weight + cs[j - 1].weight > s[j - 1].weight, "
+            "struct(cs[j - 1].end as end, s[p].weight + cs[j - 1].weight as weight, j as taken, p as before), "
+            "struct(cs[j - 1].end as end, s[j - 1].weight as weight, s[j - 1].taken as taken, s[j - 1].before as before))",
+        )
+        + "))"
+    )
+    chosen = (
+        f"aggregate(cs, struct(size(cs) as at, cast(array() as {SPANS}) as spans), (s, y) -> if(b[s.at].taken = 0, s, "
+        "struct(b[s.at].before as at, array_append(s.spans, named_struct('start', cs[b[s.at].taken - 1].start, 'end', cs[b[s.at].taken - 1].end, "
+        "'kind', cs[b[s.at].taken - 1].kind, 'value', cs[b[s.at].taken - 1].value)) as spans)), s -> reverse(s.spans))"
+    )
+    return _bind(ordered, "cs", f"if(size(cs) = 0, cast(array() as {SPANS}), {_bind(best, 'b', chosen)})")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -219,37 +272,31 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Offsets are code points of the text given, from 0, end exclusive.
     """
     names = docs.columns
-    secret = _sql(key)
     body = F.col(f"`{text}`")
-    has = body.rlike(MARK)
-    parts = F.when(has, F.split(body, ANY, -1))
-    found = F.when(has, F.regexp_extract_all(body, F.lit(ANY), 0))
-    staged = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), parts.alias("parts"), found.alias("found")
-    ).select(
+    pieces = F.when(body.rlike(MARK) & body.rlike(ANY), F.split(body, CUT, -1))
+    staged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), pieces.alias("pieces")).select(
         "row",
-        "parts",
-        "found",
-        F.expr(f"transform(found, m -> {pseudonym('m', secret)})").alias("made"),
+        "pieces",
+        F.expr(f"transform(pieces, t -> if(t rlike '{MARK}' and t rlike {_sql(ANY)}, {spans_of(_sql(key))}, cast(array() as {SPANS})))").alias("made"),
     )
+    none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     ends = (
-        "aggregate(sequence(1, size(found)), struct(0 as at, cast(array() as array<struct<kind:string,start:int,end:int>>) as spans), "
-        "(s, x) -> struct(s.at + length(parts[x - 1]) + length(found[x - 1]) as at, "
-        "if(made[x - 1] is null, s.spans, array_append(s.spans, named_struct('kind', made[x - 1].kind, "
-        "'start', s.at + length(parts[x - 1]), 'end', s.at + length(parts[x - 1]) + length(found[x - 1])))) as spans), s -> s.spans)"
+        f"aggregate(sequence(1, size(pieces)), struct(0 as at, {none} as spans), "
+        "(s, x) -> struct(s.at + length(pieces[x - 1]) as at, if(size(made[x - 1]) = 0, s.spans, concat(s.spans, "
+        "transform(made[x - 1], y -> named_struct('kind', y.kind, 'start', s.at + y.start, 'end', s.at + y.end)))) as spans), s -> s.spans)"
     )
-    none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     rebuilt = (
-        "concat(parts[0], array_join(transform(sequence(1, size(found)), x -> "
-        "concat(coalesce(made[x - 1].value, found[x - 1]), parts[x])), ''))"
+        "array_join(transform(pieces, (t, x) -> if(size(made[x]) = 0, t, aggregate(made[x], struct('' as done, 0 as at), "
+        "(s, y) -> struct(concat(s.done, substr(t, s.at + 1, y.start - s.at), y.value) as done, y.end as at), "
+        "s -> concat(s.done, substr(t, s.at + 1))))), '')"
     )
     row_text = F.col("row").getField(text)
     return staged.select(
         *[
-            F.coalesce(F.expr(f"if(size(found) > 0, {rebuilt}, null)"), row_text).alias(c)
+            F.coalesce(F.expr(f"if(size(pieces) > 0, {rebuilt}, null)"), row_text).alias(c)
             if c == text
             else F.col("row").getField(c).alias(c)
             for c in names
         ],
-        F.expr(f"if(size(found) > 0, {ends}, {none})").alias("pii_spans"),
+        F.expr(f"if(size(pieces) > 0, {ends}, {none})").alias("pii_spans"),
     )

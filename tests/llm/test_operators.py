@@ -166,6 +166,22 @@ def test_pseudonyms_keep_formats_links_and_checks(spark):
     assert [(s["start"], s["end"]) for s in rows[0]["pii_spans"]] == [(5, 21), (26, 45)]
 
 
+def test_pseudonyms_of_neighbouring_values(spark):
+    values = [
+        ("date", "2024-01-15"), ("date", "2024-02-01"), ("ssn", "123-45-6789"), ("ssn", "234-56-7890"), ("phone", "555-123-4567"), ("phone", "+1 (988) 555-2485"),
+        ("card", "4111 1111 1111 1111"), ("card", "4041894974608795"), ("ip", "42.144.35.254"), ("iban", "BE68 5390 0754 7034"), ("date", "02/29/2024"),
+    ]
+    pairs = [(a, sep, b) for a in values for b in values for sep in (" ", "-")]
+    texts = [f"x {a[1]}{sep}{b[1]} y" for a, sep, b in pairs] + ["12 4111 1111 1111 1111", "+1 988 555 2485 555-123-4567", "é 2023-02-29 2024-01-15"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    for (a, sep, b), row in zip(pairs, rows, strict=False):
+        cut = 2 + len(a[1])
+        want = [(a[0], 2, cut), (b[0], cut + 1, cut + 1 + len(b[1]))]
+        assert [(s["kind"], s["start"], s["end"]) for s in row["pii_spans"]] == want, (a, sep, b)
+        assert a[1] not in row["text"] and b[1] not in row["text"]
+    assert [[(s["kind"], s["end"]) for s in r["pii_spans"]] for r in rows[len(pairs) :]] == [[("card", 22)], [("phone", 15), ("phone", 28)], [("date", 23)]]
+
+
 def test_permutations_are_one_to_one(spark):
     number = spark.range(7 * 11).select(F.expr(pseudonyms.permute_number("id", "t", "'k'", 7, 11)).alias("v"))
     assert sorted(r["v"] for r in number.collect()) == list(range(77))
