@@ -1,11 +1,13 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as lower-cased letters and digits with one blank between runs. A benchmark item is cut into
-overlapping segments of ``SEGMENT`` characters (a shorter item is one segment). A segment of m characters with at
+overlapping segments of ``SEGMENT`` characters and denser ones of ``SHORT`` (a shorter item is one segment), so every
+quote of ``REGION`` or more characters of an item covers a segment wherever it starts. A segment of m characters with at
 most k edits keeps at least ``m + 1 - q * (k + 1)`` of its q-grams, all of them within k diagonals. So shared
 q-grams are counted in bands of diagonals that overlap by half, bands with fewer are dropped, and the others are
-verified by a banded alignment that may start and end anywhere in the band. Every region with at most k edits is
-found: filter and bands have no false negatives.
+verified by a banded alignment that may start and end anywhere in the band. Every quote of a segment with at most k
+edits is found: filter and bands have no false negatives. So is every quote of ``REGION`` characters of an item with at
+most ``budget(SHORT)`` edits. Segments found at overlapping places are one region.
 
 Benchmarks are taken in blocks of bounded size, each broadcast in turn: work grows with the number of blocks, memory
 does not. Documents are scanned where they are; a text longer than ``CHUNK`` is scanned in overlapping parts.
@@ -29,12 +31,16 @@ from docketry.llm.common import bound_batches, code_points, filter_rows, mix64,
 
 Q = 10
 SEGMENT, STEP = 96, 48
+SHORT, SHORT_STEP = 48, 8
+#: Any so many characters of an item cover one of its segments.
+REGION = SHORT + SHORT_STEP - 1
 LEAST = 24
 #: Edits for each character of a segment.
 EDIT_SHARE = 0.07
 #: Width of the bands' overlapping halves: one more than the most edits, so k + 1 diagonals lie in some band.
 HALF = int(SEGMENT * EDIT_SHARE) + 1
-BLOCK_CHARS = 4_000_000
+#: Each character of an item is in about eight segments; the index of a block takes some 300 bytes for it while it is made.
+BLOCK_CHARS = 1_000_000
 CHUNK = 1_000_000
 SLICE_BYTES = 1 << 20
 BORDER = 0x10FFFF  # between texts; no text of the benchmark holds it
@@ -105,9 +111,12 @@ class Benchmark:
             codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
             if len(codes) < LEAST:
                 continue
-            last = max(0, len(codes) - SEGMENT)
-            for start in sorted({*range(0, last + 1, STEP), last}):
-                segment = codes[start : start + SEGMENT]
+            spans = set()
+            for size, step in ((SEGMENT, STEP), (SHORT, SHORT_STEP)):
+                last = max(0, len(codes) - size)
+                spans |= {(start, min(start + size, len(codes))) for start in (*range(0, last + 1, step), last)}
+            for start, end in sorted(spans):
+                segment = codes[start:end]
                 own = hashes(segment)
                 grams.append(own)
                 refs.append(np.arange(len(own)) + (len(self.segments) << 8))
@@ -202,6 +211,14 @@ def find_leaks(own: Benchmark, codes: np.ndarray, borders: np.ndarray) -> list[t
     return found
 
 
+def merged(spans: list[tuple[int, int]]) -> int:
+    """How many regions the spans make, overlapping ones together."""
+    count, reach = 0, -1
+    for start, end in sorted(spans):
+        count, reach = count + (start >= reach), max(reach, end)
+    return count
+
+
 def scan_texts(own: Benchmark, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, regions, start, end, edits): per text and item its regions, their extent in the text and least edits."""
     parts, owners, offsets = [], [], []
@@ -231,7 +248,7 @@ def scan_texts(own: Benchmark, texts: list[str]) -> list[tuple[int, int, int, in
             best.setdefault(key, []).append(span)
         group, size = upto + 1, 0
     return [
-        (text, item, len({s[0] for s in spans}), min(s[1] for s in spans), max(s[2] for s in spans), min(s[3] for s in spans))
+        (text, item, merged([s[1:3] for s in spans]), min(s[1] for s in spans), max(s[2] for s in spans), min(s[3] for s in spans))
         for (text, item), spans in sorted(best.items())
     ]
 

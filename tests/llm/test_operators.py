@@ -321,6 +321,20 @@ def test_leaks_equal_semi_global_edit_distance():
         assert {r[:2] for r in decontaminate.scan_texts(own, texts)} == want
 
 
+def test_leaks_of_parts_of_items_wherever_they_start():
+    for seed in range(60):
+        rnd = random.Random(seed)
+        word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(2, 8)))
+        text = lambda n: " ".join(word() for _ in range(n))
+        item = text(90)
+        start = rnd.randrange(len(item) - 110)
+        quote = list(item[start : start + rnd.randint(decontaminate.REGION + 2, 110)].strip())
+        for _ in range(rnd.randint(0, decontaminate.budget(decontaminate.SHORT))):
+            quote[rnd.randrange(len(quote))] = "x"
+        rows = decontaminate.scan_texts(decontaminate.Benchmark([(7, item)]), [text(20), f"{text(9)} {''.join(quote)} {text(9)}"])
+        assert [(r[0], r[2]) for r in rows] == [(1, 1)], seed
+
+
 def test_leaks_in_long_texts_and_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK", 2000)
     long = [r["text"] for r in docs.where("doc_id = 99").collect()][0]
