@@ -39,7 +39,7 @@ LEAST = 24
 EDIT_SHARE = 0.07
 #: Width of the bands' overlapping halves: one more than the most edits, so k + 1 diagonals lie in some band.
 HALF = int(SEGMENT * EDIT_SHARE) + 1
-#: Each character of an item is in about eight segments; the index of a block takes some 300 bytes for it while it is made.
+#: Each character of an item is in about eight segments, so the index of a block is several times the block.
 BLOCK_CHARS = 1_000_000
 CHUNK = 1_000_000
 SLICE_BYTES = 1 << 20
