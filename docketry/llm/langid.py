@@ -34,6 +34,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 LONGEST = 32
 SAMPLE_ROWS = 5_000
+#: Rows that a language has in the sample however rare it is (all of its rows, if fewer).
+LEAST_ROWS = 500
 ROUNDS = 3
 UNKNOWN = 1e-7
 CACHE_WORDS = 600_000
@@ -174,8 +176,13 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
     spark = labelled.sparkSession
     bound_batches(spark)
     known = labelled.where(F.col("lang").isNotNull())
-    rows = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("lang", "text"), F.lit(max(rows, 1))) < SAMPLE_ROWS).select("lang", "text").distinct()
+    # One row for each language: equal rows count once, as they share a hash.
+    digest = F.xxhash64("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(digest).alias("texts")).collect()
+    rows = sum(r["rows"] for r in sizes)
+    share = [(F.lit(r["lang"]), F.lit(max(LEAST_ROWS, SAMPLE_ROWS * r["rows"] // rows) / max(r["texts"], 1))) for r in sizes]
+    part = F.create_map(*[x for pair in share for x in pair])[F.col("lang")] if share else F.lit(1.0)
+    chosen = known.where(F.pmod(digest, F.lit(1 << 40)) < part * (1 << 40)).select("lang", "text").distinct()
 
     def count(batches):
         words: dict[str, Counter] = {}

@@ -276,6 +276,15 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert found.where("lang_pred = lang").count() >= 0.98 * found.count()
 
 
+def test_every_labelled_language_is_learned_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 5)
+    monkeypatch.setattr(langid, "ROUNDS", 1)
+    common = [(f"the {i} words of a common text", "en") for i in range(3000)]
+    rare = [("ein seltener Satz", "de"), *[("una frase repetida", "es")] * 40]
+    langs, _ = langid.train(spark.createDataFrame(common + rare, "text string, lang string"), langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    assert langs == ["de", "en", "es"]
+
+
 def test_language_of_odd_rows(docs, none, odd):
     names = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     langs, model = langid.train(docs.select("text", "lang"), names)
