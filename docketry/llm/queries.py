@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from docketry.llm import langid, ngrams
 from docketry.llm.common import bucket_of, read_table
 from docketry.llm.decontaminate import leaks
+from docketry.llm.dialogue import line_digests, repair
 from docketry.llm.forest import Forest, near_classes
 from docketry.llm.langid import load_pieces
 from docketry.llm.mixing import Mixture, mix_plan
@@ -111,3 +113,87 @@ def op6_elias_fano_ngrams(spark: SparkSession, root: str) -> DataFrame:
     return ngrams.score(docs, name, words).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults, by crc32 of ``conv_id:turn`` modulo 20; a null counts as one blank."""
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    text, fault = F.coalesce("text", F.lit(" ")), F.col("fault")
+    marked = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"), F.pmod(F.crc32(named.cast("binary")), F.lit(20)).alias("fault"))
+    return marked.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_path_ranking(spark: SparkSession, root: str) -> DataFrame:
+    turns = read_table(spark, root, "conversations")
+    done = repair(damaged(turns))
+    digests = line_digests(done.lines, "conv_id").withColumnRenamed("conv_id", "k1")
+    report = done.report.withColumnRenamed("conv_id", "k2")
+    nothing = hashlib.sha256(b"").hexdigest()
+    return (
+        turns.select("conv_id").distinct()
+        .join(report, F.col("conv_id").eqNullSafe(F.col("k2")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("k1")), "left")
+        .select(
+            "conv_id",
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+            F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"),
+        )
+    )
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(s[i])::BIGINT FOR i IN range(1, length(s) + 1)]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT FOR i IN range(8)]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))))"""
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(state: str, cost: str, letters: str, line: str) -> str:
+    """A path (cost c, audit a, lines t) carried on; a null path cannot be."""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {letters}, 't': {state}.t || {line}}} END"
+
+
+_USER, _BOTH = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+_KEEP = lambda state, first: f"CASE WHEN free AND role LIKE '{first}%' THEN {_way(state, 'held', chr(39) + 'K' + chr(39), 'chr(10) || role || chr(58) || text')} END"
+_REROLE = lambda state, role: f"CASE WHEN free THEN {_way(state, 'held + 1', chr(39) + 'R' + chr(39), f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+_DELETE = lambda state: _way(state, "2", "'D'", "''")
+ORACLES["op11_path_ranking"] = f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+marked AS (SELECT *, {_CRC32} % 20 AS fault FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM marked WHERE fault <> 0),
+numbered AS (SELECT *, row_number() OVER w AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    lag(role) OVER w AS before FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), copy)),
+judged AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+steps AS (SELECT conv_id, i, role, text, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS held FROM judged),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS n0, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS n1, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS n2,
+    NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS n3 FROM (SELECT DISTINCT conv_id FROM steps)
+  UNION ALL
+  SELECT conv_id, i, {_DELETE("n0")}, {_best(_DELETE("n1"), _KEEP("n0", "s"))},
+    {_best(_DELETE("w2"), *[_KEEP(n, "u") for n in ("n0", "n1", "w3")], *[_REROLE(n, "user") for n in ("n0", "n1", "w3")])},
+    {_best(_DELETE("w3"), _KEEP("w2", "a"), _REROLE("w2", "assistant"))}
+  FROM (SELECT p.conv_id, steps.i, n0, n1, role, text, free, held,
+      {_best("n2", *[_way(n, "5", "'I'", _USER) for n in ("n0", "n1", "n3")])} AS w2,
+      {_best("n3", _way("n2", "5", "'I'", "chr(10) || 'assistant:'"), *[_way(n, "10", "'II'", _BOTH) for n in ("n0", "n1")])} AS w3
+    FROM paths p JOIN steps ON steps.conv_id IS NOT DISTINCT FROM p.conv_id AND steps.i = p.i + 1)),
+ends AS (SELECT conv_id, {_best("n0", "n3", _way("n2", "5", "'I'", "chr(10) || 'assistant:'"), _way("n1", "10", "'II'", _BOTH))} AS best
+  FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+report AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN report r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
