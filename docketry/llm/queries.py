@@ -15,7 +15,9 @@ from docketry.llm.decontaminate import leaks
 from docketry.llm.dialogue import line_digests, repair
 from docketry.llm.forest import Forest, near_classes
 from docketry.llm.langid import load_pieces
+from docketry.llm.linkgraph import Propagation, Rule, judge_urls
 from docketry.llm.mixing import Mixture, mix_plan
+from docketry.llm.negatives import mine
 from docketry.llm.pseudonyms import KINDS, pseudonymise
 from docketry.llm.quality import Divergence, judge
 from docketry.llm.secrets import KINDS as SECRET_KINDS
@@ -197,3 +199,77 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN report r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
 LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+
+URL_RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+
+
+@query
+def op12_link_propagation(spark: SparkSession, root: str) -> DataFrame:
+    pages = read_table(spark, root, "pages").select("page_id", "url", "html")
+    return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def _propagation_sql(rules=URL_RULES, how=Propagation()) -> str:
+    """The rounds spelt out; a fixed point that ends the Spark rounds early does not change in later ones."""
+    host = r"translate(regexp_extract({0}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    after = "CASE WHEN contains({0}, '://') THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+    longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
+    fits = lambda r: f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN"
+    choose = lambda field: "CASE " + " ".join(f"{fits(r)} '{getattr(r, field)}'" for r in longest) + " END"
+    kept, limit = 1 - how.damping, round((1 - how.damping) * 1_000_000_000) - 1
+    rounds = "".join(
+        f""", v{n} AS MATERIALIZED (SELECT kind, host, max(base) AS base, bool_or(hands) AS hands, sum(got)::BIGINT AS value FROM (
+  SELECT kind, host, base + CASE WHEN hands THEN 0 ELSE floor(value::DOUBLE * {how.damping}::DOUBLE)::BIGINT END AS got, base, hands FROM v{n - 1}
+  UNION ALL SELECT kind, taker, floor(value::DOUBLE * share * {how.damping}::DOUBLE)::BIGINT, NULL, NULL FROM v{n - 1} JOIN ways ON kind = way AND host = giver WHERE hands) GROUP BY 1, 2)"""
+        for n in range(1, how.rounds + 1)
+    )
+    return f"""
+WITH cut AS (SELECT page_id, html, coalesce({after.format("url")}, '') AS rest FROM pages),
+named AS (SELECT page_id, html, {host.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, {choose("name")} AS rule, {choose("verdict")} AS said FROM named),
+seeds AS (SELECT host, floor(count(*) FILTER (said = 'allow')::DOUBLE * 1e9 / count(*))::BIGINT AS trust,
+  floor(count(*) FILTER (said = 'block')::DOUBLE * 1e9 / count(*))::BIGINT AS distrust FROM ruled WHERE host <> '' GROUP BY 1),
+hrefs AS (SELECT page_id, host, row_number() OVER () AS page, regexp_extract_all(html, '(?i)href[\\x09-\\x0D\\x20]*=[\\x09-\\x0D\\x20]*["'']?([^\\x09-\\x0D\\x20"''<>]+)', 1) AS all_links FROM named WHERE host <> ''),
+leads AS (SELECT DISTINCT page, host AS source, {host.format(after.format("link"))} AS target FROM (
+  SELECT page, host, CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END AS link FROM (SELECT page, host, unnest(all_links) AS l FROM hrefs)
+  WHERE starts_with(l, '//') OR regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://'))),
+above AS (SELECT s.host, t.host AS above FROM seeds s JOIN seeds t ON ends_with(s.host, '.' || t.host) AND contains(t.host, '.')
+  WHERE length(s.host) <= 253 QUALIFY row_number() OVER (PARTITION BY s.host ORDER BY length(t.host) DESC) = 1),
+edges AS (SELECT source, target, count(*) AS weight FROM (SELECT source, target FROM leads WHERE target <> '' AND target <> source
+  UNION ALL SELECT host, above FROM above UNION ALL SELECT above, host FROM above) GROUP BY 1, 2),
+shares AS (SELECT *, weight::DOUBLE / sum(weight) OVER (PARTITION BY source)::DOUBLE AS a, weight::DOUBLE / sum(weight) OVER (PARTITION BY target)::DOUBLE AS b FROM edges),
+ways AS MATERIALIZED (SELECT 'trust' AS way, source AS giver, target AS taker, a AS share FROM shares UNION ALL SELECT 'distrust', target, source, b FROM shares),
+known AS (SELECT host FROM seeds UNION SELECT source FROM edges UNION SELECT target FROM edges),
+v0 AS MATERIALIZED (SELECT kind, host, floor(start::DOUBLE * {kept!r}::DOUBLE)::BIGINT AS base, EXISTS (SELECT 1 FROM ways WHERE way = kind AND giver = host) AS hands, start AS value FROM (
+  SELECT 'trust' AS kind, host, coalesce(trust, 0) AS start FROM known LEFT JOIN seeds USING (host)
+  UNION ALL SELECT 'distrust', host, coalesce(distrust, 0) FROM known LEFT JOIN seeds USING (host))){rounds},
+hosts AS (SELECT host, max(value) FILTER (kind = 'trust') AS trust, max(value) FILTER (kind = 'distrust') AS distrust FROM v{how.rounds} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust >= {limit} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM ruled LEFT JOIN hosts USING (host)
+"""
+
+
+ORACLES["op12_link_propagation"] = _propagation_sql()
+
+
+@query
+def op13_slot_negatives(spark: SparkSession, root: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    vectors = read_table(spark, root, "embeddings").select(
+        "vec_id", "embedding", F.when(F.pmod("vec_id", F.lit(7)) == 0, (label + 1) % 10).otherwise(label).alias("label")
+    )
+    return mine(vectors, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+ORACLES["op13_slot_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.e, r.e)::BIGINT AS score
+  FROM v a JOIN v r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
