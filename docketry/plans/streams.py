@@ -16,11 +16,12 @@ FILING_SCHEMA = (
 )
 
 
-def arrivals(path, rows, again=0):
+def arrivals(path, rows, again=0, held=None):
     """Write the rows in three slices, as a collector would; each slice is one generator step.
 
     The cuts are thirds of the span of the table, and the outer slices are open, so no row falls between them. A
-    slice starts ``again`` days early, as a run that reads the last days of the run before again.
+    slice starts ``again`` days early, as a run that reads the last days of the run before again. Rows of the first
+    slice that the condition ``held`` names arrive after all others, as after an outage.
     """
     first, last = rows.agg(F.min("received_on"), F.max("received_on")).first()
     if first is None:
@@ -29,6 +30,10 @@ def arrivals(path, rows, again=0):
         third = (last - first) // 3 + timedelta(1)
         starts = [first + third, first + 2 * third]
         cuts = list(zip([None, *[s - timedelta(again) for s in starts]], [*starts, None]))
+    late = None
+    if held is not None and cuts[0][1] is not None:
+        missed = F.coalesce(F.expr(held) & (F.col("received_on") < cuts[0][1]), F.lit(False))
+        rows, late = rows.where(~missed), rows.where(missed)
     for low, high in cuts:
         part = rows
         if low is not None:
@@ -38,6 +43,9 @@ def arrivals(path, rows, again=0):
             part = part.where(early if low is not None else F.coalesce(early, F.lit(True)))
         part.write.mode("append").parquet(path)
         yield
+    if late is not None:
+        late.write.mode("append").parquet(path)
+        yield
 
 
 def ingested(t):
@@ -63,14 +71,36 @@ def _(t):
     return ingested(t).states().groupBy("state").agg(F.count("*").alias("n"))
 
 
+#: Rows that an outage holds back until all others are there.
+HELD = "seq % 5 = 0"
+
+
+def events_stored(t, again):
+    """The events as a stream with an outage: late rows are taken by backfill after every run, oldest days first."""
+    base = scratch_path(t.spark, "events")
+    schema = FILING_SCHEMA.replace("timestamp_ntz", "timestamp")
+    store = ing.EventStore(t.spark, base, schema, "rcept_no", "detected_at", "substring(rcept_no, 1, 8)", "title")
+    for _ in arrivals(f"{base}/arrivals", sv.filing(t), again, HELD):
+        stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA).withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+        ing.run_available(stream, f"{base}/checkpoint", store.ingest)
+        while store.backfill():
+            pass
+    return store
+
+
 @query("str3_overlap_dedup", "WITH " + sv.FILING + " SELECT rcept_no, code, title FROM filing")
 def _(t):
-    base = scratch_path(t.spark, "overlap")
-    for _ in arrivals(f"{base}/arrivals", sv.filing(t), 1):
-        stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA)
-        stream = stream.withColumn("detected_at", F.col("detected_at").cast("timestamp"))
-        ing.run_available(ing.deduplicated(stream, "rcept_no", "detected_at"), f"{base}/checkpoint", ing.write_updates(f"{base}/out"))
-    return t.spark.read.parquet(f"{base}/out").select("rcept_no", "code", "title")
+    return events_stored(t, 1).rows().select("rcept_no", "code", "title")
+
+
+@query(
+    "str3_late_rows",
+    "WITH " + sv.FILING + """, cut AS (SELECT min(received_on) + CAST((max(received_on) - min(received_on)) // 3 + 1 AS INTEGER) AS first_cut FROM filing),
+held AS (SELECT filing.*, coalesce(seq % 5 = 0 AND received_on < first_cut, false) AS late FROM filing, cut)
+SELECT rcept_no, code, true AS taken FROM held WHERE late AND detected_at < (SELECT max(detected_at) FILTER (NOT late) - INTERVAL 1 DAY FROM held)""",
+)
+def _(t):
+    return events_stored(t, 1).late_rows().select("rcept_no", "code", "taken")
 
 
 @query(
@@ -78,13 +108,7 @@ def _(t):
     "WITH " + sv.FILING + " SELECT strftime(date_trunc('week', received_on), '%Y-%m-%d') AS week, title AS kind, count(*) AS n FROM filing GROUP BY 1, 2",
 )
 def _(t):
-    base = scratch_path(t.spark, "weekly")
-    for _ in arrivals(f"{base}/arrivals", sv.filing(t)):
-        stream = ing.read_files(t.spark, f"{base}/arrivals", FILING_SCHEMA)
-        stream = stream.withColumn("detected_at", F.col("detected_at").cast("timestamp"))
-        counts = ing.weekly_counts(stream, "detected_at", "title").select(F.col("week.start").alias("week"), "kind", "n")
-        ing.run_available(counts, f"{base}/checkpoint", ing.write_updates(f"{base}/out"), mode="update")
-    return ing.latest_updates(t.spark, f"{base}/out", ["week", "kind"]).withColumn("week", sv.day_text("week"))
+    return events_stored(t, 0).weekly_counts().withColumn("week", sv.day_text("week"))
 
 
 LINK_SCHEMA = "ticker string, rcept_no string, report_name string, is_correction boolean, seq bigint"
@@ -101,8 +125,8 @@ SELECT c.rcept_no, CASE WHEN n = 1 THEN others ELSE 'NOT_AVAILABLE' END AS corre
 def _(t):
     base = scratch_path(t.spark, "links")
     rows = sv.filing(t).select(F.col("code").alias("ticker"), "rcept_no", F.col("title").alias("report_name"), "is_correction", "seq", "received_on")
+    store = ing.LinkStore(t.spark, base, LINK_SCHEMA)
     for _ in arrivals(f"{base}/arrivals", rows):
         stream = ing.read_files(t.spark, f"{base}/arrivals", LINK_SCHEMA)
-        ing.run_available(stream, f"{base}/checkpoint", ing.link_handler(t.spark, base))
-    out = t.spark.read.parquet(f"{base}/linked").where("is_correction")
-    return out.select("rcept_no", "corrects_rcept_no", sv.joined("correction_candidates").alias("candidates"))
+        ing.run_available(stream, f"{base}/checkpoint", store.ingest)
+    return store.links().where("is_correction").select("rcept_no", "corrects_rcept_no", sv.joined("correction_candidates").alias("candidates"))

@@ -249,8 +249,8 @@ class LosingStore(ing.FilingStore):
 
     keeps = "true"
 
-    def _store(self, rows, path):
-        super()._store(rows.where(self.keeps), path)
+    def _store(self, rows, batch):
+        super()._store(rows.where(self.keeps), batch)
 
 
 def test_lost_rows_stay_pending_and_are_taken_again(spark, tmp_path):
@@ -262,9 +262,9 @@ def test_lost_rows_stay_pending_and_are_taken_again(spark, tmp_path):
     assert [r.rcept_no for r in store.unconfirmed().collect()] == ["20260102000001"]
     store.ingest(rows(spark, 1, 2, 3), 1, tracked)
     assert store.unconfirmed().count() == 0
-    assert spark.read.parquet(f"{tmp_path}/pending/batch=1").count() == 2          # the acknowledged row is skipped
+    assert store.filings.read_run(1).count() == 2                                   # the acknowledged row is skipped
     assert sorted(r.title for r in store.rows().collect()) == ["t1", "t2", "t3"]
-    days = [p.parent for p in (tmp_path / "states").glob("batch=*/day=*/*.parquet")]
+    days = [p.parent for p in (tmp_path / "states").glob("run=*/part=*/*.parquet")]
     assert len(days) == len(set(days)) == 4                                          # one state file per day and batch
 
 
