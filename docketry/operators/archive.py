@@ -96,21 +96,25 @@ def monthly_rollup(stats: DataFrame, errors: DataFrame, day: str = "day") -> Dat
     ).withColumn("status", F.when(F.col("problem_days") == 0, "MONTHLY_ARCHIVED").otherwise("ARCHIVE_INTEGRITY_ERROR"))
 
 
-def storage_projection(manifests: DataFrame) -> DataFrame:
+def storage_projection(manifests: DataFrame, today: str) -> DataFrame:
     """Growth estimate from the final size of each day; a compressed day is not compressed again.
 
-    Input: day, stored_bytes, compressed, compression_ratio.
+    Input: day (text), records, stored_bytes, compressed, compression_ratio. The day ``today`` is also told by itself:
+    its new records, and its bytes as raw or as compressed ones.
     """
+    own = lambda value, when: F.coalesce(F.sum(F.when((F.col("day") == today) & when, F.col(value))), F.lit(0)).cast("bigint")
     ratio = manifests.agg(F.round(F.avg(F.when(F.col("compressed"), F.col("compression_ratio"))), 4).alias("r")).scalar()
     size = F.col("stored_bytes").cast("double")
     final = F.when(F.col("compressed"), size).otherwise(size * F.coalesce(F.col("ratio"), F.lit(1.0)))
     sums = manifests.withColumn("ratio", ratio).agg(
         F.count("*").alias("observed_days"), F.max("ratio").alias("compression_ratio"),
         F.sum("stored_bytes").alias("total_bytes"), F.avg(size).alias("avg"), F.avg(final).alias("daily"),
+        own("records", F.lit(True)).alias("new_records_today"), own("stored_bytes", ~F.col("compressed")).alias("raw_bytes_today"),
+        own("stored_bytes", F.col("compressed")).alias("compressed_bytes_today"),
     )
     whole = lambda c: F.round(c).cast("bigint")
     return sums.select(
-        "observed_days", "compression_ratio", "total_bytes", whole(F.col("avg")).alias("daily_growth_bytes"),
+        F.lit(today).alias("as_of"), "observed_days", "new_records_today", "raw_bytes_today", "compressed_bytes_today", "compression_ratio", "total_bytes", whole(F.col("avg")).alias("daily_growth_bytes"),
         whole(F.col("daily")).alias("projected_daily_bytes"),
         *[whole(F.col("daily") * n).alias(f"estimated_{n}d_bytes") for n in (30, 90, 365)],
     )

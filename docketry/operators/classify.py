@@ -1,7 +1,7 @@
 """Title classification and glossary lookup by vocabulary.
 
 The vocabularies are small configuration objects compiled into array literals, so classification is a
-narrow projection: no join, no shuffle, and nothing is broadcast.
+narrow projection: no join, no shuffle, and nothing is broadcast. Large vocabularies are tables: see ``terms``.
 """
 
 from __future__ import annotations
@@ -66,6 +66,12 @@ def classify_titles(df: DataFrame, title: str, categories: tuple[Category, ...],
         ],
         "ord int, key string, form boolean, word string",
     )
+    return classified(df, title, words, or_word)
+
+
+def classified(df: DataFrame, title: str, words: Column, or_word: str = "또는") -> DataFrame:
+    """The rules of ``classify_titles`` with the terms to look for as an array of (ord, key, form, word): a constant,
+    or a column with the terms of each row's title (see ``terms``)."""
     text, depth, found = F.col("__text"), F.col("__depth"), F.col("__found")
     kept, ranked = F.col("__kept"), F.col("__ranked")
 

@@ -27,13 +27,30 @@ class Rule:
 
 SENTENCE_END = r"(?<=[.!?])\s+|\n"
 CONTENT_RULES = tuple(Rule(label, pattern, scope) for label, scope, pattern in vocab.CONTENT_RULES)
-
-
-def _hits(rules: tuple[Rule, ...], scope: Column, text: Column, path: Column | None = None, margin: int | None = 20) -> Column:
-    """Array of (label, match, context) for the rules that hold on a text."""
+# What need not be scanned: files that are no text, and for all but secrets documents and tests.
+_NO_TEXT = rf"^(?!.*({'|'.join(re.escape(e) for e in vocab.TEXT_ENDINGS)})$)"
+LEAK_TEXT_RULES = (
+    Rule("secret", vocab.SECRET_SHAPE, exempt=_NO_TEXT),
+    Rule("account", vocab.ACCOUNT_TRACE, exempt=rf"{_NO_TEXT}|{vocab.NAMING_PATH}"),
+    Rule("collection", vocab.COLLECTION_ADDRESS, exempt=rf"{_NO_TEXT}|{vocab.NAMING_PATH}"),
+)
+LEAK_PATH_RULES = (Rule("retired", vocab.RETIRED_PATH),)
+SITE_RULES = (
+    Rule("tracking", vocab.SITE_TRACKING, exempt=_NO_TEXT), Rule("external_script", vocab.EXTERNAL_SCRIPT, exempt=_NO_TEXT),
+    *[Rule(r.label, r.pattern, exempt=_NO_TEXT) for r in LEAK_TEXT_RULES],
+)
+
+
+def _hits(rules: tuple[Rule, ...], scope: Column, text: Column, path: Column | None = None, margin: int | None = 20, open_rules: Column | None = None) -> Column:
+    """Array of (label, match, context) for the rules that hold on a text; only of ``open_rules``, flags by rule, if given."""
     found = []
-    for rule in rules:
+    for at, rule in enumerate(rules):
         test = text.rlike(rule.pattern)
+        literal = required_literal(rule.pattern)
+        if literal:
+            test = F.contains(text, F.lit(literal)) & test
+        if open_rules is not None:
+            test = F.get(open_rules, F.lit(at)) & test
         if rule.scope != "all":
             test = test & (scope == rule.scope)
         if rule.exempt and path is not None:
@@ -57,19 +74,66 @@ def context_free(pattern: str) -> bool:
     return not re.search(r"(?<!(?<!\\)\[)\^|\$|\\[bBAZzGQ]|\(\?(?!:)|[*+?}]\+", pattern)
 
 
+def required_literal(pattern: str) -> str | None:
+    """The longest text that every match of a pattern holds, or null where none can be read off it.
+
+    Optional parts, alternatives, repeats and patterns that Python cannot read give nothing; neither does anything
+    that ignores case.
+    """
+    try:
+        parsed = re._parser.parse(pattern)
+    except (re.error, OverflowError):
+        return None
+    if parsed.state.flags & re.IGNORECASE:
+        return None
+    runs = [""]
+
+    def read(part) -> None:
+        for op, value in part:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(value)
+            elif name == "SUBPATTERN" and not value[1]:
+                read(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                runs.append("")
+                read(value[2])
+                runs.append("")
+            elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
+                runs.append("")
+
+    read(parsed)
+    return max(runs, key=len) or None
+
+
+def _possible(rules: tuple[Rule, ...], scope: Column, text: Column) -> Column:
+    """For every rule whether a sentence of the text can satisfy it, by a test of the whole text.
+
+    A pattern that does not look around itself is tested as it is. Of others only the text that all their matches
+    hold is looked for; where there is none, the answer is yes.
+    """
+
+    def test(rule: Rule) -> Column:
+        literal = required_literal(rule.pattern)
+        can = F.contains(text, F.lit(literal)) if literal else F.lit(True)
+        if context_free(rule.pattern):
+            can = can & text.rlike(rule.pattern)
+        return can if rule.scope == "all" else (scope == rule.scope) & can
+
+    return F.array(*[F.coalesce(test(rule), F.lit(False)) for rule in rules])
+
+
 def scan_sentences(docs: DataFrame, rules: tuple[Rule, ...] = CONTENT_RULES, text: str = "text", collection: str = "collection") -> DataFrame:
     """One row per rule and sentence it holds on, with the characters around the match.
 
-    Where every rule is ``context_free``, a document is first tested as a whole, so clean documents are never split.
+    Rules are first tested on the document as a whole, each by itself: documents that satisfy none are never split,
+    and the sentences of the others are searched only for the rules that can hold.
     """
-    if all(context_free(r.pattern) for r in rules):
-        docs = docs.where(F.col(text).rlike("|".join(f"(?:{r.pattern})" for r in rules)))
-    sentences = docs.select(
-        *[c for c in docs.columns if c != text], F.posexplode(F.split(text, SENTENCE_END)).alias("sentence_no", "sentence")
-    )
-    return sentences.withColumn("hit", F.explode(_hits(rules, F.col(collection), F.col("sentence")))).select(
-        *[c for c in docs.columns if c != text], "sentence_no", "hit.label", "hit.context"
-    )
+    rest = [c for c in docs.columns if c != text]
+    possible = docs.withColumn("__rules", _possible(rules, F.col(collection), F.col(text))).where(F.array_contains("__rules", True))
+    sentences = possible.select(*rest, "__rules", F.posexplode(F.split(text, SENTENCE_END)).alias("sentence_no", "sentence"))
+    hits = _hits(rules, F.col(collection), F.col("sentence"), open_rules=F.col("__rules"))
+    return sentences.withColumn("hit", F.explode(hits)).select(*rest, "sentence_no", "hit.label", "hit.context")
 
 
 @dataclass(frozen=True)
@@ -215,8 +279,12 @@ def validate_records(
 # ── files and pages ─────────────────────────────────────────────────────────────────────────────
 
 
-def scan_files(files: DataFrame, text_rules: tuple[Rule, ...], path_rules: tuple[Rule, ...] = ()) -> DataFrame:
-    """Leak findings per file: rules on its path and on its text, minus the exemptions."""
+def scan_files(files: DataFrame, text_rules: tuple[Rule, ...] = LEAK_TEXT_RULES, path_rules: tuple[Rule, ...] = LEAK_PATH_RULES) -> DataFrame:
+    """Leak findings per file: rules on its path and on its text, minus the exemptions.
+
+    The default rules look for secrets everywhere, and for account traces and addresses that must not be collected from
+    in all text files but documents and tests, which may name them; paths of retired data are findings themselves.
+    """
     everywhere = F.lit("all")
     hits = F.concat(
         _hits(path_rules, everywhere, F.col("path"), None, None) if path_rules else F.array().cast("array<struct<label:string,match:string,context:string>>"),
@@ -225,6 +293,13 @@ def scan_files(files: DataFrame, text_rules: tuple[Rule, ...], path_rules: tuple
     return files.select("path", F.explode(hits).alias("hit")).select("path", "hit.label", F.col("hit.context").alias("match"))
 
 
+def scan_site(files: DataFrame, allowed_path: str, rules: tuple[Rule, ...] = SITE_RULES) -> DataFrame:
+    """Findings in files about to be published: a path outside the allowed ones, else what its text must not hold."""
+    known = F.col("path").rlike(allowed_path)
+    outside = files.where(~F.coalesce(known, F.lit(False))).select("path", F.lit("not_allowed").alias("label"), F.substring("path", 1, 40).alias("match"))
+    return outside.unionByName(scan_files(files.where(known), rules, ()))
+
+
 def foreign_hosts(files: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Hosts of all addresses in a text that are not allowed, with their count per file."""
     hosts = F.regexp_extract_all("text", F.lit(r"https?://([A-Za-z0-9.-]+)"), 1)

@@ -92,19 +92,21 @@ def _(t):
 
 @query(
     "arc7_storage_projection",
-    """WITH m AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(length(props) * 40) AS raw, CAST(day(min(ts)) AS INT) % 3 <> 0 AS compressed, 0.05 + (CAST(day(min(ts)) AS INT) % 4) / 100.0 AS r FROM events GROUP BY 1),
+    """WITH m AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(length(props) * 40) AS raw, CAST(day(min(ts)) AS INT) % 3 <> 0 AS compressed, 0.05 + (CAST(day(min(ts)) AS INT) % 4) / 100.0 AS r FROM events GROUP BY 1),
 s AS (SELECT *, CAST(CASE WHEN compressed THEN round(raw * r) ELSE raw END AS BIGINT) AS b FROM m), q AS (SELECT round(avg(CAST(r AS DOUBLE)) FILTER (compressed), 4) AS ratio FROM s)
-SELECT count(*) AS observed_days, any_value(ratio) AS compression_ratio, CAST(sum(b) AS BIGINT) AS total_bytes, CAST(round(avg(b)) AS BIGINT) AS daily_growth_bytes,
+SELECT '2024-01-28' AS as_of, count(*) AS observed_days, coalesce(CAST(sum(n) FILTER (day = '2024-01-28') AS BIGINT), 0) AS new_records_today,
+  coalesce(CAST(sum(b) FILTER (day = '2024-01-28' AND NOT compressed) AS BIGINT), 0) AS raw_bytes_today, coalesce(CAST(sum(b) FILTER (day = '2024-01-28' AND compressed) AS BIGINT), 0) AS compressed_bytes_today,
+  any_value(ratio) AS compression_ratio, CAST(sum(b) AS BIGINT) AS total_bytes, CAST(round(avg(b)) AS BIGINT) AS daily_growth_bytes,
   CAST(round(avg(CASE WHEN compressed THEN b ELSE b * ratio END)) AS BIGINT) AS projected_daily_bytes, CAST(round(avg(CASE WHEN compressed THEN b ELSE b * ratio END) * 30) AS BIGINT) AS estimated_30d_bytes,
   CAST(round(avg(CASE WHEN compressed THEN b ELSE b * ratio END) * 90) AS BIGINT) AS estimated_90d_bytes, CAST(round(avg(CASE WHEN compressed THEN b ELSE b * ratio END) * 365) AS BIGINT) AS estimated_365d_bytes FROM s, q""",
 )
 def _(t):
     k = F.dayofmonth(F.min("ts"))
-    m = t.events.groupBy(sv.day_text("ts").alias("day")).agg(F.sum(F.length("props") * 40).alias("raw"), k.alias("k"))
+    m = t.events.groupBy(sv.day_text("ts").alias("day")).agg(F.count("*").alias("records"), F.sum(F.length("props") * 40).alias("raw"), k.alias("k"))
     ratio = F.lit(0.05) + (F.col("k") % 4) / 100
     compressed = F.col("k") % 3 != 0
     stored = F.when(compressed, F.round(F.col("raw") * ratio).cast("bigint")).otherwise(F.col("raw"))
-    return op.storage_projection(m.select("day", stored.alias("stored_bytes"), compressed.alias("compressed"), ratio.alias("compression_ratio")))
+    return op.storage_projection(m.select("day", "records", stored.alias("stored_bytes"), compressed.alias("compressed"), ratio.alias("compression_ratio")), "2024-01-28")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions.actions import action_facts
-from docketry.operators import classify as cl, events as ev
+from docketry.operators import classify as cl, events as ev, terms as tm
 from docketry.plans import standins as sv
 from docketry.plans.registry import query
 
@@ -191,3 +191,54 @@ def _(t):
 )
 def _(t):
     return ev.active_timelines(ev.timelines(staged(t), CHAINS)).withColumn("latest", sv.day_text("latest"))
+
+
+# Vocabularies as tables, taken from the data: every word of a part's name and type is a term.
+
+
+def part_words(t):
+    words = F.explode(F.concat(F.split("p_name", " "), F.split("p_type", " ")))
+    return t.part.select(words.alias("word")).where("word <> ''").distinct()
+
+
+PART_WORDS = "words AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ') || string_split(p_type, ' ')) AS w FROM part) WHERE w <> '')"
+WORD_TERMS = PART_WORDS + ", term AS (SELECT ascii(word) AS ord, left(word, 1) AS key, ascii(word) % 5 = 0 AS form, word FROM words)"
+
+
+@query(
+    "fn4_table_terms",
+    "WITH " + sv.CLASSIFY_SQL.replace(sv.PART_TERMS_SQL, WORD_TERMS) + " SELECT id, category, tags, tie FROM part_title JOIN cls USING (title)",
+)
+def _(t):
+    code = F.ascii("word")
+    terms = part_words(t).select(code.alias("ord"), F.left("word", F.lit(1)).alias("key"), (code % 5 == 0).alias("form"), "word")
+    done = tm.classify_by_table(sv.part_title(t), "title", terms, or_word="or")
+    return done.select("id", "category", sv.joined("category_tags").alias("tags"), F.col("category_tie").alias("tie"))
+
+
+BARE = r"regexp_replace(regexp_replace(title, '\[[^\]]*\]', '', 'g'), '\s+', '', 'g')"
+
+
+@query(
+    "fn6_table_patterns",
+    "WITH " + sv.PART_TITLE + "," + PART_WORDS + f""", best AS (SELECT id, word FROM part_title JOIN words ON contains({BARE}, word)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(word) DESC, word) = 1)
+SELECT id, word AS entry_key FROM part_title LEFT JOIN best USING (id)""",
+)
+def _(t):
+    patterns = part_words(t).select(F.lit(0).alias("ord"), F.col("word").alias("key"), "word")
+    return tm.glossary_by_table(sv.part_title(t), "title", patterns).select("id", "entry_key")
+
+
+@query(
+    "ev1_table_stages",
+    "WITH " + sv.FILING + f""", stages AS (SELECT DISTINCT left(event_type, 1) AS chain, ascii(event_type) AS chain_ord, event_type AS stage, length(event_type) AS stage_ord FROM events),
+hit AS (SELECT rcept_no, chain, stage, stage_ord FROM filing JOIN stages ON contains({BARE}, stage) QUALIFY row_number() OVER (PARTITION BY rcept_no, chain ORDER BY stage_ord, stage) = 1)
+SELECT rcept_no, chain, stage, CAST(stage_ord AS INT) AS stage_ord FROM hit""",
+)
+def _(t):
+    kind = F.col("event_type")
+    stages = t.events.select(kind).distinct().select(
+        F.left(kind, F.lit(1)).alias("chain"), F.ascii(kind).alias("chain_ord"), kind.alias("stage"), kind.alias("stage_label"), F.length(kind).alias("stage_ord"), kind.alias("word")
+    )
+    return tm.stages_by_table(sv.filing(t), stages).select("rcept_no", "chain", "stage", "stage_ord")
