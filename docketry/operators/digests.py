@@ -8,6 +8,7 @@ from docketry import vocab
 from docketry.functions import instants as ts
 from docketry.operators.classify import literal_rows
 from docketry.operators.matching import first_containing
+from docketry.operators.numbering import block_of, numbered
 
 
 def _ranked(df: DataFrame, keys: list[str], keep: int, *order) -> DataFrame:
@@ -100,21 +101,23 @@ def company_summary(
     """One row per company from products that are already one or a few rows per company.
 
     ``financial`` has fs_div, from_year, to_year and key_changes (see ``latest_pair_changes``).
-    ``change_lines`` keeps its first two lines, ``timelines`` its two newest, categories their order. A company
+    ``change_lines`` keeps its first two lines, ``timelines`` its two newest (chain, date and stage label), categories
+    their order. A company
     without financial rows has the state NOT_COLLECTED instead of numbers.
     """
     lines = _ranked(change_lines, ["code"], 2, "position").groupBy("code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("lines")
     )
-    newest = _ranked(timelines, ["code"], 2, F.desc("latest_received_on"), "chain_ord").groupBy("code").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "chain"))), lambda x: x["chain"]).alias("newest_chains")
-    )
-    chains = timelines.groupBy("code").agg(F.count("*").alias("timeline_count"))
+    newest = F.row_number().over(W.partitionBy("code").orderBy(F.desc("latest_received_on"), "chain_ord"))
+    line = F.struct("rank", "chain", "latest_received_on", F.col("latest_stage_label").alias("stage_label"))
+    chains = timelines.withColumn("rank", newest).groupBy("code").agg(
+        F.count("*").alias("timeline_count"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 2, line))).alias("newest_timelines")
+    ).withColumn("newest_timelines", F.transform("newest_timelines", lambda x: x.dropFields("rank")))
     cats = categories.groupBy("code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]).alias("categories")
     )
     out = companies.select("code", "name")
-    for part in (headers, lines, financial, chains, newest, cats):
+    for part in (headers, lines, financial, chains, cats):
         out = out.join(part, "code", "left")
     return out.withColumn(
         "financial_state", F.when(F.col("fs_div").isNotNull(), vocab.OK).otherwise(vocab.NOT_COLLECTED)
@@ -190,38 +193,27 @@ def thin_companies(companies: DataFrame, filings: DataFrame, financial: DataFram
     return out
 
 
-def related_items(items: DataFrame, count: int = 3, block: int = 1 << 20) -> DataFrame:
+def related_items(items: DataFrame, count: int = 3, block: int = 1 << 17) -> DataFrame:
     """Related items per item: same category by id distance, then the newest others.
 
     Input: id (unique bigint), category, date, and optionally ord, the input order that decides between equal
     distances (by default the smaller id). The nearest ids are among the neighbours in id order, so only
-    ``count`` rows on each side are looked at. Ids are cut into blocks; a block sees the edges of the blocks
-    around it, so a category of any size is spread over many tasks. The rest comes from the overall newest
-    rows: a category that needs topping up has at most ``count`` items, so twice that many rows suffice.
+    ``count`` rows on each side are looked at. A category is cut into blocks of ``block`` consecutive items, whatever
+    their ids are, and the first and last ``count`` items of a block are copied to its neighbour: a category of any
+    size is spread over tasks of equal size. The rest comes from the overall newest rows: a category that needs
+    topping up has at most ``count`` items, so twice that many rows suffice.
     """
     ord_ = F.col("ord") if "ord" in items.columns else F.col("id")
-    rows = items.select("id", "category", ord_.cast("bigint").alias("ord"), F.floor(F.col("id") / block).alias("block"))
+    rows = numbered(items.select("id", "category", ord_.cast("bigint").alias("ord")), ["category"], ["id"])
+    own, inner = block_of("place", block), F.col("place") % block
+    copies = F.array_compact(F.array(
+        F.struct(own.alias("block"), F.lit(True).alias("own")),
+        F.when((inner < count) & (own > 0), F.struct((own - 1).alias("block"), F.lit(False).alias("own"))),
+        F.when(inner >= block - count, F.struct((own + 1).alias("block"), F.lit(False).alias("own"))),
+    ))
+    local = rows.select("id", "category", "ord", F.inline(copies))
     me = F.struct("id", "ord")
-    by = W.partitionBy("category", "block")
-    up = F.row_number().over(by.orderBy("id"))
-    down = F.row_number().over(by.orderBy(F.desc("id")))
-    low = rows.withColumn("r", up).where(F.col("r") <= count).drop("r")
-    high = rows.withColumn("r", down).where(F.col("r") <= count).drop("r")
-    edges = low.unionByName(high).distinct()
-    across = W.partitionBy("category").orderBy("id")
-    halo_ids = F.array_compact(
-        F.array(*[f(me, k).over(across) for k in range(1, count + 1) for f in (F.lag, F.lead)])
-    )
-    halo = (
-        edges.withColumn("near", halo_ids)
-        .select("category", "block", F.explode("near").alias("x"))
-        .select("category", "block", "x.id", "x.ord")
-        .where(F.floor(F.col("id") / block) != F.col("block"))
-        .distinct()
-        .withColumn("own", F.lit(False))
-    )
-    local = rows.withColumn("own", F.lit(True)).unionByName(halo)
-    inside = by.orderBy("id")
+    inside = W.partitionBy("category", "block").orderBy("id")
     near = F.array_compact(F.array(*[f(me, k).over(inside) for k in range(1, count + 1) for f in (F.lag, F.lead)]))
     newest = items.orderBy(F.desc("date"), F.desc("id")).limit(2 * count)
     top = newest.agg(F.sort_array(F.collect_list(F.struct("date", "id", "category")), asc=False).alias("top")).scalar()

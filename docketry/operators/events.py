@@ -129,7 +129,7 @@ def timelines(items: DataFrame, chains: tuple[Chain, ...]) -> DataFrame:
     grouped = items.groupBy("code", "chain").agg(
         F.count("*").alias("items"),
         F.collect_set("stage").alias("seen"),
-        F.max(F.struct("received_on", "rcept_no", "stage")).alias("latest"),
+        F.max(F.struct("received_on", "rcept_no", "stage", "stage_label")).alias("latest"),
     )
 
     def names(keep):
@@ -142,6 +142,7 @@ def timelines(items: DataFrame, chains: tuple[Chain, ...]) -> DataFrame:
         F.array_distinct(names(lambda s: F.array_contains(F.col("seen"), s["stage"]))).alias("stages_seen"),
         names(lambda s: ~F.array_contains(F.col("seen"), s["stage"])).alias("stages_not_found"),
         F.col("latest.stage").alias("latest_stage"),
+        F.col("latest.stage_label").alias("latest_stage_label"),
         F.col("latest.received_on").alias("latest_received_on"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from docketry import vocab
 from docketry.functions import instants as ts, text as tx
 from docketry.operators.matching import containing_pairs
+from docketry.operators.numbering import block_of, numbered
 
 
 def normalize_filings(rows: DataFrame, mode: str = vocab.LIVE_MODE, source: str = "OPENDART") -> DataFrame:
@@ -190,20 +191,29 @@ def _best(values: Column, keep: int) -> Column:
     return F.slice(F.array_distinct(F.sort_array(values, asc=False)), 1, keep)
 
 
-def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1 << 14, levels: int = 2) -> DataFrame:
+def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1 << 10) -> DataFrame:
     """For every asking item, the ``keep`` greatest values of the items before it in its group.
 
-    ``items`` has the keys, ``idx`` (unique bigint order), ``own`` (array of values) and ``asks``. Items are
-    cut into blocks of ``block`` consecutive ``idx``; a block folds a bounded array and hands only its best
-    values upwards, level by level. With two levels one entry at the top stands for 268 million order numbers,
-    so no task ever holds more than a block of a group at once, however large the group is.
+    ``items`` has the keys, ``idx`` (order; null for what comes before all), ``own`` (array of values) and ``asks``; at
+    one ``idx`` asking items come first. Items are cut into blocks of ``block`` consecutive ones of their group, however their order numbers are spread; a block folds a
+    bounded array and hands only its best values upwards, over as many levels as the largest group needs. So no task
+    ever holds more than a block of a group at once.
     """
+    rows = numbered(items.withColumn("turn", (~F.col("asks")).cast("int")), keys, ["idx", "turn"])
+    last, levels = rows.agg(F.max("place")).first()[0] or 0, 0
+    while last >= block:
+        last, levels = last // block, levels + 1
+    return _earlier(rows, keys, keep, block, levels).select(*keys, "idx", "before")
+
+
+def _earlier(items: DataFrame, keys: list[str], keep: int, block: int, levels: int) -> DataFrame:
+    """``earlier_best`` for items with a dense ``place``; without levels a group is one block."""
     kind = dict(items.dtypes)["own"]
-    part = F.floor(F.col("idx") / block) if levels else F.lit(0).cast("bigint")
+    part = block_of("place", block) if levels else F.lit(0).cast("bigint")
     blocks = (
         items.groupBy(*keys, part.alias("part"))
         .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "own", "asks"))).alias("rows"),
+            F.array_sort(F.collect_list(F.struct("place", "idx", "own", "asks"))).alias("rows"),
             F.max("asks").alias("asks"),
         )
     )
@@ -211,9 +221,9 @@ def earlier_best(items: DataFrame, keys: list[str], keep: int, block: int = 1 <<
     asking = blocks.where("asks")
     if levels:
         own = _best(F.flatten(F.transform("rows", lambda r: r["own"])), keep)
-        upper = earlier_best(
-            blocks.select(*keys, F.col("part").alias("idx"), own.alias("own"), "asks"), keys, keep, block, levels - 1
-        ).withColumnRenamed("idx", "part")
+        upper = _earlier(
+            blocks.select(*keys, F.col("part").alias("place"), F.col("part").alias("idx"), own.alias("own"), "asks"), keys, keep, block, levels - 1
+        ).select(*keys, F.col("idx").alias("part"), "before")
         asking = asking.join(upper, [*keys, "part"], "left")
     else:
         asking = asking.withColumn("before", empty)
@@ -244,7 +254,7 @@ def title_state(filings: DataFrame, keep: int = 5) -> DataFrame:
     return top.groupBy("ticker", "report_name").agg(F.collect_list("rcept_no").alias("receipts"))
 
 
-def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, block: int = 1 << 14) -> DataFrame:
+def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: int = 5, block: int = 1 << 10) -> DataFrame:
     """Link corrections to the one earlier filing they can refer to.
 
     Input: ticker, rcept_no, report_name, is_correction, seq (unique processing order). A candidate is an
@@ -254,18 +264,17 @@ def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: in
     """
     base = F.trim(F.regexp_replace("report_name", vocab.INGEST_CORRECTION, ""))
     corrections = events.where("is_correction").withColumn("base", base).where("base <> ''")
-    # Everything before these events counts as earlier: its order numbers are negative, spread over blocks.
-    before_all = -1 - F.pmod(F.xxhash64("report_name"), F.lit(1 << 40))
-    known = events.select("ticker", "report_name", (F.col("seq") * 2 + 1).alias("idx"), F.array("rcept_no").alias("own"))
+    known = events.select("ticker", "report_name", F.col("seq").alias("idx"), F.array("rcept_no").alias("own"))
     if state is not None:
-        known = known.unionByName(state.select("ticker", "report_name", before_all.alias("idx"), F.col("receipts").alias("own")))
+        before_all = F.lit(None).cast("bigint").alias("idx")
+        known = known.unionByName(state.select("ticker", "report_name", before_all, F.col("receipts").alias("own")))
     pairs = containing_pairs(corrections, known, ["ticker"], "base", "report_name")
     candidates = known.join(pairs, ["ticker", "report_name"]).select("ticker", "base", "idx", "own", F.lit(False).alias("asks"))
     asking = corrections.select(
-        "ticker", "base", (F.col("seq") * 2).alias("idx"), F.array().cast("array<string>").alias("own"), F.lit(True).alias("asks")
+        "ticker", "base", F.col("seq").alias("idx"), F.array().cast("array<string>").alias("own"), F.lit(True).alias("asks")
     )
     found = earlier_best(candidates.unionByName(asking), ["ticker", "base"], keep + 1, block).select(
-        "ticker", F.floor(F.col("idx") / 2).alias("seq"), "before"
+        "ticker", F.col("idx").alias("seq"), "before"
     )
     others = F.array_remove(F.coalesce("before", F.array().cast("array<string>")), F.col("rcept_no"))
     count = F.size("others")
@@ -295,13 +304,13 @@ def link_corrections(events: DataFrame, state: DataFrame | None = None, keep: in
 # ── as-of visibility ────────────────────────────────────────────────────────────────────────────
 
 
-def visible_as_of(asks: DataFrame, events: DataFrame, bucket: str = "minute") -> DataFrame:
+def visible_as_of(asks: DataFrame, events: DataFrame, block: int = 1 << 17) -> DataFrame:
     """For each ask (ticker, ask_id, at): how many events were detected by then, and the latest of them.
 
     Events and asks are first combined per (ticker, instant), so any number of rows at one instant is one row.
-    Rows are ordered only inside one (ticker, time bucket); running totals over buckets are small rows. A
-    ticker with a very large share of the rows is therefore spread over all its buckets, and no pair of ask
-    and event is ever built.
+    The instants of a ticker are cut into blocks of ``block`` consecutive ones, however close together they lie; rows
+    are ordered only inside a block, and running totals over blocks are small rows. A ticker with a very large share
+    of the rows, or one busy minute, is therefore spread over many blocks, and no pair of ask and event is ever built.
     """
     detected = events.where("detected_at IS NOT NULL").groupBy("ticker", F.col("detected_at").alias("at")).agg(
         F.count("*").alias("n"), F.max("rcept_no").alias("rcept_no")
@@ -309,7 +318,8 @@ def visible_as_of(asks: DataFrame, events: DataFrame, bucket: str = "minute") ->
     asked = asks.select("ticker", "at").distinct()
     marks = detected.withColumn("turn", F.lit(0)).unionByName(
         asked.select("ticker", "at", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("rcept_no"), F.lit(1).alias("turn"))
-    ).withColumn("bucket", F.date_trunc(bucket, F.col("at")))
+    )
+    marks = numbered(marks, ["ticker"], ["at", "turn"]).withColumn("bucket", block_of("place", block))
     latest = F.max(F.when(F.col("turn") == 0, F.struct("at", "rcept_no")))
     totals = marks.groupBy("ticker", "bucket").agg(F.sum("n").alias("n"), latest.alias("last"))
     before = W.partitionBy("ticker").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -153,9 +153,9 @@ kc AS (SELECT code, string_agg(account || ':' || change_abs, ',' ORDER BY accoun
 fh AS (SELECT code, max_by(fs_div, year) AS fs_div FROM finance WHERE status = 'OK' AND year IN (1997, 1998, 1999) GROUP BY 1),
 hd AS (SELECT code, count(*) AS filing_count, count(*) FILTER (received_on BETWEEN rf AND hi) AS recent_count FROM cls, win GROUP BY code),
 ln AS (SELECT code, string_agg(text, ' / ' ORDER BY position) AS lines FROM (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY code ORDER BY position) <= 2) GROUP BY 1),
-nw AS (SELECT code, string_agg(chain, ',' ORDER BY latest_received_on DESC, chain) AS newest_chains, count(*) AS timeline_count FROM lines GROUP BY 1),
+nw AS (SELECT code, string_agg(chain || ' ' || strftime(latest_received_on, '%Y-%m-%d') || ' ' || latest_label, ',' ORDER BY latest_received_on DESC, chain) AS newest_timelines, count(*) AS timeline_count FROM lines GROUP BY 1),
 ct AS (SELECT code, string_agg(category, ',' ORDER BY rank) AS categories FROM cats GROUP BY 1)
-SELECT u.code, u.name, filing_count, recent_count, coalesce(ln.lines, '') AS lines, fs_div, CAST(to_year - 1 AS INT) AS from_year, to_year, coalesce(key_changes, '') AS key_changes, timeline_count, coalesce(newest_chains, '') AS newest_chains, coalesce(categories, '') AS categories,
+SELECT u.code, u.name, filing_count, recent_count, coalesce(ln.lines, '') AS lines, fs_div, CAST(to_year - 1 AS INT) AS from_year, to_year, coalesce(key_changes, '') AS key_changes, timeline_count, coalesce(newest_timelines, '') AS newest_timelines, coalesce(categories, '') AS categories,
   CASE WHEN fs_div IS NULL THEN 'NOT_COLLECTED' ELSE 'OK' END AS financial_state
 FROM universe u LEFT JOIN hd USING (code) LEFT JOIN lp USING (code) LEFT JOIN kc USING (code) LEFT JOIN ln USING (code) LEFT JOIN fh USING (code) LEFT JOIN nw USING (code) LEFT JOIN ct USING (code)"""
 )
@@ -165,10 +165,10 @@ FROM universe u LEFT JOIN hd USING (code) LEFT JOIN lp USING (code) LEFT JOIN kc
 def _(t):
     # The products a summary reads are written once, then read by every part of it.
     rows = cut_lineage(classified(t), "classified")
-    stages = lines_of(rows)
-    win = ch.data_windows(rows).scalar()
-    headers = ch.company_headers(rows.withColumn("listed", F.lit(True)), win).select("code", "filing_count", "recent_count")
-    change_lines = ch.window_changes(rows, ch.data_windows(rows).scalar(), sv.CATEGORIES).select("code", "position", "text")
+    stages = cut_lineage(lines_of(rows), "timelines")
+    windows = cut_lineage(ch.data_windows(rows), "windows")
+    headers = ch.company_headers(rows.withColumn("listed", F.lit(True)), windows.scalar()).select("code", "filing_count", "recent_count")
+    change_lines = ch.window_changes(rows, windows.scalar(), sv.CATEGORIES).select("code", "position", "text")
     records = cut_lineage(wide(t), "records")
     basis = fin.companies_with_data(records, sv.YEARS).select("code", "fs_div")
     changes = fin.account_changes(fin.account_values(long_form(records), sv.YEARS, KEY_ACCOUNTS))
@@ -177,9 +177,10 @@ def _(t):
     cats = op.company_categories(ch.filing_page(rows), stages, CHAIN_CATEGORY)
     out = op.company_summary(sv.universe(t), headers, change_lines, financial, stages, cats)
     empty = F.lit("")
+    timeline = lambda x: F.concat_ws(" ", x["chain"], sv.day_text(x["latest_received_on"]), x["stage_label"])
     return (
         out.withColumn("lines", F.coalesce(F.array_join("lines", " / "), empty))
-        .withColumn("newest_chains", F.coalesce(sv.joined("newest_chains"), empty))
+        .withColumn("newest_timelines", F.coalesce(sv.joined(F.transform("newest_timelines", timeline)), empty))
         .withColumn("categories", F.coalesce(sv.joined("categories"), empty))
         .withColumn(
             "key_changes",

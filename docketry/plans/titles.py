@@ -148,7 +148,7 @@ chain(chain, chain_ord, stage, stage_label, stage_ord, word) AS (VALUES ('buying
 staged AS (SELECT code, rcept_no, received_on, chain, stage, stage_label, stage_ord FROM tracked JOIN chain ON contains(replace(title, ' ', ''), word)
   QUALIFY row_number() OVER (PARTITION BY rcept_no, chain ORDER BY stage_ord) = 1),
 grid AS (SELECT DISTINCT chain, stage, stage_label, stage_ord FROM chain),
-lines AS (SELECT code, chain, count(*) AS items, max_by(stage, rcept_no) AS latest_stage, max(received_on) AS latest_received_on FROM staged GROUP BY 1, 2),
+lines AS (SELECT code, chain, count(*) AS items, max_by(stage, rcept_no) AS latest_stage, max_by(stage_label, rcept_no) AS latest_label, max(received_on) AS latest_received_on FROM staged GROUP BY 1, 2),
 cells AS (SELECT l.code, l.chain, g.stage, g.stage_label, g.stage_ord, EXISTS (SELECT 1 FROM staged s WHERE s.code = l.code AND s.chain = l.chain AND s.stage = g.stage) AS found
   FROM lines l JOIN grid g USING (chain))"""
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from docketry.operators import changes as ch, digests as dg, filings as fl
+from docketry.operators import changes as ch, digests as dg, filings as fl, numbering as nb
 from docketry.operators.classify import Category
 from docketry.operators.matching import containing_pairs, first_containing, text_pieces
 
@@ -164,3 +164,68 @@ def candidate_rows(spark, n):
 def test_name_candidates_grow_linearly(spark):
     # Repeated pieces of a name count once, so not exactly tenfold.
     assert candidate_rows(spark, 15000) <= 10.5 * candidate_rows(spark, 1500)
+
+
+def test_places_are_dense_for_hot_and_sparse_groups(spark):
+    rng = random.Random(8)
+    rows = [(None if k == "k0" else k, rng.choice([None, *range(5), *(rng.getrandbits(60) for _ in range(3))]), i) for i, k in enumerate(hot(rng, 3000))]
+    df = spark.createDataFrame(rows, "k string, o bigint, id int").repartition(5)
+    got = defaultdict(list)
+    for r in nb.numbered(df, ["k"], ["o"]).collect():
+        got[r.k].append((r.place, r.o is not None, r.o or 0, r.id))
+    assert sorted(i for own in got.values() for *_, i in own) == list(range(3000))
+    for own in got.values():
+        own.sort()
+        assert [p for p, *_ in own] == list(range(len(own))) and [x[1:3] for x in own] == sorted(x[1:3] for x in own)
+    assert nb.numbered(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def block_sizes(monkeypatch, module):
+    """Sizes of the blocks that an operator forms, by spying on the block number."""
+    seen = []
+    inner = nb.numbered
+
+    def spy(rows, keys, order, place="place"):
+        done = inner(rows, keys, order, place)
+        seen.append((done, keys))
+        return done
+
+    monkeypatch.setattr(module, "numbered", spy)
+    return seen
+
+
+def test_hashed_ids_and_one_busy_minute_give_blocks_of_bounded_size(spark, monkeypatch):
+    for module in (fl, dg):
+        monkeypatch.setattr(module, "numbered", nb.numbered)
+    hashed = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.lit("hot").alias("category"), F.lit(1).cast("bigint").alias("date"))
+    seen = block_sizes(monkeypatch, dg)
+    got = dg.related_items(hashed, 3, 500)
+    done, keys = seen[0]
+    sizes = [r["count"] for r in done.groupBy(*keys, nb.block_of("place", 500)).count().collect()]
+    assert sizes == [500] * 40 and got.count() == 60_000
+    events = spark.range(20_000).select(
+        F.lit("hot").alias("ticker"), F.col("id").cast("string").alias("rcept_no"),
+        F.timestamp_micros(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") * 10**8)).alias("detected_at"),
+    )
+    asks = events.where("id % 10 = 0").select("ticker", F.col("rcept_no").alias("ask_id"), F.col("detected_at").alias("at"))
+    seen = block_sizes(monkeypatch, fl)
+    visible = fl.visible_as_of(asks, events, 1000)
+    done, keys = seen[0]
+    assert max(r["count"] for r in done.groupBy(*keys, nb.block_of("place", 1000)).count().collect()) == 1000
+    assert {r.ask_id: r.visible for r in visible.collect()} == {str(i): i // 2 + 1 for i in range(0, 20_000, 10)}
+
+
+def test_correction_links_of_hashed_order_over_several_levels(spark):
+    rows = [("hot", f"{i:06d}", "[정정]plan" if i % 7 == 0 else "plan", i % 7 == 0, i) for i in range(1200)]
+    rng = random.Random(9)
+    order = sorted(rng.sample(range(1 << 60), len(rows)))
+    df = spark.createDataFrame([(*r[:4], o) for r, o in zip(rows, order, strict=True)], LINK).repartition(4)
+    assert links(fl.link_corrections(df, block=8)) == expected_links(rows)
+
+
+def test_correction_links_scan_little(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["jn4_correction_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    body = plan.split("== Initial Plan ==")[0]
+    assert body.count("Scan parquet") <= 8 and body.count("Exchange hashpartitioning") <= 11

@@ -111,15 +111,15 @@ def test_a_batch_reads_only_its_days_and_files_stay_few(spark, tmp_path):
 def test_stream_links_equal_batch_links_and_read_only_corrected_tickers(spark, tmp_path):
     rnd = random.Random(5)
     rows = []
-    for seq in range(240):
+    for seq in range(160):
         ticker, mark = rnd.choice("abcdefgh"), seq > 60 and rnd.random() < 0.3
         title = rnd.choice(["annual report", "merger decision", "notice", "annual report (draft)"])
-        rows.append((ticker, f"202401{1 + seq // 12:02d}{seq:06d}", ("[정정] " if mark else "") + title, mark, seq))
+        rows.append((ticker, f"202401{1 + seq // 16:02d}{seq:06d}", ("[정정] " if mark else "") + title, mark, seq))
     schema = "ticker string, rcept_no string, report_name string, is_correction boolean, seq bigint"
     linked = ing.LinkStore(spark, str(tmp_path), schema)
     sizes = []
-    for batch in range(20):
-        part = spark.createDataFrame(rows[batch * 12 : batch * 12 + 12], schema)
+    for batch in range(10):
+        part = spark.createDataFrame(rows[batch * 16 : batch * 16 + 16], schema)
         sizes.append(linked.history(part.where("is_correction and ticker = 'a'"), batch).count())
         linked.ingest(part, batch)
     want = {r.rcept_no: (r.corrects_rcept_no, r.correction_candidates) for r in link_corrections(spark.createDataFrame(rows, schema)).collect()}
