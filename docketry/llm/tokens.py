@@ -6,8 +6,9 @@ doc_id, so a reader skips files, stripes and row groups by id, and Spark reads t
 
 Texts are encoded by a public vocabulary given as a path on the driver; its content (a few MB) is broadcast.
 Byte-level vocabularies cut a text before each single blank, so what follows a blank is encoded once per
-worker, many new pieces in one text, and looked up afterwards; texts with white space beside a blank, or with a special token's string, are
-encoded as a whole. The lookup table is bounded by ``CACHE_WORDS`` and only saves time.
+worker, many new pieces in one text, and looked up afterwards: Arrow splits the texts of a slice and numbers their
+different pieces, and the ids of all pieces are gathered in one step. Texts with white space beside a blank, or with a
+special token's string, are encoded as a whole. The lookup table is bounded by ``CACHE_WORDS`` and only saves time.
 
 Edge cases: a null or empty text has only the end id; null ids come first; rows with equal ids keep all their
 rows; very long texts are one row; an empty table writes an empty folder that reads as empty; other columns are
@@ -23,14 +24,16 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import bound_batches, text_slices, worker_cache
 
 CACHE_WORDS = 700_000
-#: White space on either side of a blank may join it in one token.
+#: White space on either side of a blank may join it in one token. Most texts know only blanks and newlines.
 BESIDE_BLANK = re.compile(r"\s | \s")
+OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: How byte-level vocabularies write a blank.
 BLANK = "Ġ"
 RUN_PIECES = 1000
@@ -74,42 +77,61 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         if len(self.young) + len(pieces) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        missing = []
-        for piece in pieces:
-            known = self.old.get(piece)
-            if known is None:
-                missing.append(piece)
-            else:
-                self.young[piece] = known
+        known = pieces.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        missing = pieces.difference(known)
         # A piece that follows a blank is kept without it, the first piece of a text with one.
         single = [p for p in missing if not p or p[0] == " " or p[-1].isspace()]
-        inner = list(set(missing).difference(single))
+        inner = list(missing.difference(single))
         self.young.update(zip(single, self.whole([p[1:] if p[:1] == " " else " " + p for p in single]), strict=True))
         self.young.update(zip(inner, self.runs(inner), strict=True))
 
+    def irregular(self, texts: list[str], column: pa.Array) -> list[int]:
+        """Which texts must be encoded as a whole."""
+        other = pc.match_substring_regex(column, OTHER_SPACE).to_numpy(zero_copy_only=False)
+        return [
+            at
+            for at, (text, more) in enumerate(zip(texts, other, strict=True))
+            if "  " in text or " \n" in text or "\n " in text or (more and BESIDE_BLANK.search(text)) or any(s in text for s in self.special)
+        ]
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; new ones are learned first."""
+        ids = list(map(self.young.get, pieces))
+        missing = [at for at, own in enumerate(ids) if own is None]
+        if missing:
+            before = self.young
+            self.learn({pieces[at] for at in missing})
+            if self.young is not before:  # the older half was dropped
+                self.learn(set(pieces).difference(self.young))
+            for at in missing:
+                ids[at] = self.young[pieces[at]]
+        return ids
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each text."""
+        column = pa.array(texts, pa.large_string())
+        direct = self.irregular(texts, column)
+        if direct:
+            wholes = dict(zip(direct, self.whole([texts[i] for i in direct]), strict=True))
+            column = pa.array(["" if at in wholes else text for at, text in enumerate(texts)], pa.large_string())
+        split = pc.split_pattern(column, " ")
+        starts = split.offsets.to_numpy()[:-1]
+        coded = split.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.look_up(pieces + [" " + pieces[c] for c in code[starts]])
+        for at in direct:
+            ids[len(pieces) + at] = wholes[at]
+        code[starts] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        table = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        return table.take(pa.array(code)).flatten().to_numpy(), np.add.reduceat(sizes[code], starts) if len(texts) else sizes
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        direct, split = [], []
-        for at, text in enumerate(texts):
-            if BESIDE_BLANK.search(text) or any(s in text for s in self.special):
-                direct.append(at)
-                continue
-            pieces = text.split(" ")
-            pieces[0] = " " + pieces[0]
-            split.append((at, pieces))
-        seen = set().union(*(pieces for _, pieces in split))
-        if fresh := seen.difference(self.young):
-            before = self.young
-            self.learn(fresh)
-            if self.young is not before:
-                self.learn(seen.difference(self.young))
-        own = {piece: self.young[piece] for piece in seen}
-        for at, pieces in split:
-            out[at] = b"".join(map(own.__getitem__, pieces))
-        for at, ids in zip(direct, self.whole([texts[i] for i in direct]), strict=True):
-            out[at] = ids
-        return out
+        ids, counts = self.flat(texts)
+        return [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 def encoder(key: str, vocabulary) -> Encoder:
@@ -127,16 +149,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     with open(vocabulary_path, encoding="utf-8") as file:
         content = file.read()
     shared, name = spark.sparkContext.broadcast(content), f"{os.path.basename(vocabulary_path)}:{zlib.crc32(content.encode())}"
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         own, start = encoder(name, lambda: shared.value), 0
         for batch in batches:
-            for part, texts in text_slices(batch, 1, 2 << 20):
-                rows = [ids + end for ids in own.encode(texts)]
-                counts = np.array([len(r) // 4 for r in rows], np.int64)
+            for part, texts in text_slices(batch, 1, 8 << 20):
+                flat, counts = own.flat(texts)
+                flat = np.insert(flat, np.cumsum(counts), end_id)
+                counts = counts + 1
                 ends = np.cumsum(counts)
-                flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(start + ends - counts), pa.array(counts.astype(np.int32)), ids],
@@ -149,6 +170,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     (
         ordered.mapInArrow(encode, FILE_SCHEMA)
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", "0")  # a task writes one file, so its running number is the file's
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_ROWS))
