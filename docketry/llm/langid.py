@@ -30,7 +30,22 @@ from pyspark.sql import functions as F
 from docketry.llm.common import bound_batches, filter_rows, text_slices, worker_cache
 from docketry.session import cut_lineage
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Word characters that are no letters, such as ½ and Ⅷ, as ranges of a character class."""
+    found: list[list[int]] = []
+    for code in range(0x80, 0x20000):  # none lies beyond
+        char = chr(code)
+        if char.isalnum() and not char.isalpha():
+            if found and found[-1][1] == code - 1:
+                found[-1][1] = code
+            else:
+                found.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in found)
+
+
+LETTERS = re.compile(rf"[^\W\d_{_numerals()}]+")
 MARK = "▁"
 LONGEST = 32
 SAMPLE_ROWS = 5_000
