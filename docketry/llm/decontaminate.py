@@ -10,9 +10,13 @@ edits is found: filter and bands have no false negatives. So is every quote of `
 most ``budget(SHORT)`` edits. Segments found at overlapping places are one region.
 
 Benchmarks are taken in blocks of bounded size, each broadcast in turn: work grows with the number of blocks, memory
-does not. Documents are scanned where they are; a text longer than ``CHUNK`` is scanned in overlapping parts.
+does not. Documents are scanned where they are; a text longer than ``CHUNK`` is scanned in parts that overlap by
+normalised characters.
 
-Edge cases: null and empty texts have no leaks; items with fewer than ``LEAST`` such characters match nothing; equal
+Short items are sought exactly, so that clean documents are spared: with fewer than ``LEAST`` such characters as whole
+words, with fewer than Q only where they are a whole line or a whole text.
+
+Edge cases: null and empty texts have no leaks; items without a letter or digit match nothing; equal
 rows of an item count once; a null item id is an id like others; documents repeated in the table each give
 their rows; other columns are ignored.
 """
@@ -34,6 +38,7 @@ SEGMENT, STEP = 96, 48
 SHORT, SHORT_STEP = 48, 8
 #: Any so many characters of an item cover one of its segments.
 REGION = SHORT + SHORT_STEP - 1
+#: Shorter items are sought exactly, as whole words; below Q characters as a whole line or text.
 LEAST = 24
 #: Edits for each character of a segment.
 EDIT_SHARE = 0.07
@@ -49,7 +54,7 @@ BITS = 22
 
 def budget(m: int) -> int:
     """Edits that a segment of m characters may have, such that the lemma still asks for a few q-grams."""
-    return max(0, min(int(m * EDIT_SHARE), (m - 3) // Q - 1))
+    return 0 if m < LEAST else max(0, min(int(m * EDIT_SHARE), (m - 3) // Q - 1))
 
 
 def least_shared(m: int) -> int:
@@ -76,6 +81,10 @@ def normalise(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(solid, codes, 32)[keep].astype(np.uint32), np.flatnonzero(keep)
 
 
+def as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def hashes(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each q-gram, by doubling."""
     base = 0x9E3779B97F4A7C15
@@ -105,11 +114,15 @@ class Benchmark:
         self.segments: list[np.ndarray] = []
         self.owner: list[int] = []
         self.items = [item for item, _ in items]
+        self.tiny: dict[str, list[int]] = {}
         grams, refs = [], []
         for at, (_, text) in enumerate(items):
             codes, _ = normalise(code_points(lowered(text or "")))
             codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
-            if len(codes) < LEAST:
+            codes = codes[1:] if len(codes) and codes[0] == 32 else codes
+            if len(codes) < Q:
+                if len(codes):
+                    self.tiny.setdefault(as_text(codes), []).append(at)
                 continue
             spans = set()
             for size, step in ((SEGMENT, STEP), (SHORT, SHORT_STEP)):
@@ -219,19 +232,62 @@ def merged(spans: list[tuple[int, int]]) -> int:
     return count
 
 
+def long_parts(low: str) -> Iterator[tuple[str, np.ndarray]]:
+    """A long text in parts of at most ``CHUNK`` normalised characters, and where each of these was.
+
+    Parts overlap by normalised characters, so a region is whole in one of them however many blanks it holds.
+    """
+    plain, where, first = np.zeros(0, np.uint32), np.zeros(0, np.int64), True
+    for start in range(0, len(low), CHUNK):
+        before = max(0, start - 1)  # whether a blank follows a letter shows with the character before
+        own, places = normalise(code_points(low[before : start + CHUNK]))
+        own, places = own[places + before >= start], places[places + before >= start] + before
+        plain, where = np.concatenate((plain, own)), np.concatenate((where, places))
+        while len(plain) > CHUNK:
+            yield as_text(plain[:CHUNK]), where[:CHUNK]
+            plain, where, first = plain[CHUNK - 4 * SEGMENT :], where[CHUNK - 4 * SEGMENT :], False
+    if first or len(plain) > 4 * SEGMENT:
+        yield as_text(plain), where
+
+
+def tiny_leaks(own: Benchmark, low: str) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of the items below Q characters that are a line of the text, or all of it."""
+    codes = code_points(low + "\n")
+    for at, line in enumerate((np.where(codes == 10, BORDER, codes), codes)):
+        plain, where = normalise(line)
+        ends = np.append(np.flatnonzero(plain == BORDER), len(plain) if at else len(plain) + 1)
+        starts = np.append(0, ends[:-1] + 1)
+        for a, b in zip(starts, ends, strict=True):
+            if 0 < b - a <= Q + 1 and b <= len(plain):
+                for item in own.tiny.get(as_text(plain[a:b]).strip(" "), ()):
+                    solid = np.flatnonzero(plain[a:b] != 32) + a
+                    yield item, int(where[solid[0]]), int(where[solid[-1]]) + 1
+
+
+def whole_words(plain: np.ndarray, segment: np.ndarray, a: int, b: int, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where a short item stands as whole words near a place it was found at, inside its text [begin, end)."""
+    low = max(begin, a - 4 * HALF)
+    near, item = as_text(plain[low : min(end, b + 4 * HALF)]), as_text(segment)
+    at = near.find(item)
+    while at >= 0:
+        start, stop = low + at, low + at + len(item)
+        if (start == begin or plain[start - 1] == 32) and (stop == end or plain[stop] == 32):
+            yield start, stop
+        at = near.find(item, at + 1)
+
+
 def scan_texts(own: Benchmark, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, regions, start, end, edits): per text and item its regions, their extent in the text and least edits."""
-    parts, owners, offsets = [], [], []
+    parts, owners, places = [], [], []
+    best: dict[tuple[int, int], list] = {}
     for at, text in enumerate(texts):
         low = lowered(text)
-        step = CHUNK - 4 * SEGMENT
-        for start in range(0, max(len(low), 1), step):
-            parts.append(low[start : start + CHUNK])
+        for part, where in long_parts(low) if len(low) > CHUNK else ((low, None),):
+            parts.append(part)
             owners.append(at)
-            offsets.append(start)
-            if start + CHUNK >= len(low):
-                break
-    best: dict[tuple[int, int], list] = {}
+            places.append(where)
+        for item, start, end in tiny_leaks(own, low) if own.tiny else ():
+            best.setdefault((at, item), []).append((-1, start, end, 0))
     group, size = 0, 0
     for upto in range(len(parts)):
         size += len(parts[upto])
@@ -241,11 +297,18 @@ def scan_texts(own: Benchmark, texts: list[str]) -> list[tuple[int, int, int, in
         codes = code_points("".join(p + chr(BORDER) for p in mine))
         starts = np.cumsum([0] + [len(p) + 1 for p in mine])
         plain, where = normalise(codes)
-        for text, segment, a, b, edits in find_leaks(own, plain, np.flatnonzero(plain == BORDER)):
-            shift = offsets[group + text] - int(starts[text])
-            key = (owners[group + text], own.owner[segment])
-            span = (segment, int(where[a]) + shift, int(where[b - 1]) + 1 + shift, edits)
-            best.setdefault(key, []).append(span)
+        borders = np.flatnonzero(plain == BORDER)
+        for text, segment, a, b, edits in find_leaks(own, plain, borders):
+            spans = [(a, b)]
+            if own.lengths[segment] < LEAST:
+                spans = whole_words(plain, own.segments[segment], a, b, int(borders[text - 1]) + 1 if text else 0, int(borders[text]))
+            for a, b in spans:
+                low, high = int(where[a] - starts[text]), int(where[b - 1] - starts[text])
+                map_back = places[group + text]
+                if map_back is not None:
+                    low, high = int(map_back[low]), int(map_back[high])
+                key = (owners[group + text], own.owner[segment])
+                best.setdefault(key, []).append((segment, low, high + 1, edits))
         group, size = upto + 1, 0
     return [
         (text, item, merged([s[1:3] for s in spans]), min(s[1] for s in spans), max(s[2] for s in spans), min(s[3] for s in spans))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +211,19 @@ def test_tokens_read_back_as_encoded_whole(spark, docs, odd):
     assert "PushedFilters: [In(doc_id, [5])]" in plan or "EqualTo(doc_id,5)" in plan
 
 
+def test_starts_hold_when_spark_would_cut_files(spark, docs, odd):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        path = scratch_path(spark, "tokens")
+        tokens.write_tokens(docs, path, VOCABULARY)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    at = 0
+    for r in sorted(tokens.token_index(spark, path).collect(), key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_cached_pieces_equal_whole_encoding():
     own, rnd = tokens.Encoder(open(VOCABULARY, encoding="utf-8").read()), random.Random(1)
     parts = ["a", "b", "é", " ", " ", "  ", "\n", "\t", "\xa0", "　", "1", "'s", "-", "<|endoftext|>", "中", "\U0001f642", "Zz", "\r", "é", "\x0b"]
@@ -285,11 +299,13 @@ def test_every_labelled_language_is_learned_at_any_size(spark, monkeypatch):
     assert langs == ["de", "en", "es"]
 
 
-def test_language_of_odd_rows(docs, none, odd):
+def test_language_of_odd_rows(spark, docs, none, odd):
     names = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     langs, model = langid.train(docs.select("text", "lang"), names)
-    rows = langid.predict(docs, langs, model, names).collect()
-    assert Counter((r["doc_id"], r["lang_pred"] == "und") for r in rows) == Counter((k, not re.search(r"[^\W\d_]", t or "")) for k, t, *_ in odd)
+    odd = odd + [(200, "½ ² ①", None, None), (201, "Ⅷ 12", None, None), (202, "ǆ", None, None), (203, "٣ _ ৩", None, None), (204, "٣я", None, None), (205, "一", None, None)]
+    rows = langid.predict(table(spark, odd), langs, model, names).collect()
+    has_letter = lambda text: any(unicodedata.category(c)[0] == "L" for c in text or "")
+    assert Counter((r["doc_id"], r["lang_pred"] == "und") for r in rows) == Counter((k, not has_letter(t)) for k, t, *_ in odd)
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in langid.predict(docs, *langid.train(none.select("text", "lang"), names), names).collect()} == {"und"}
 
@@ -344,6 +360,32 @@ def test_leaks_of_parts_of_items_wherever_they_start():
         assert [(r[0], r[2]) for r in rows] == [(1, 1)], seed
 
 
+def test_leaks_at_any_place_around_the_borders_of_long_texts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 2_000)
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefgh", k=7)) for _ in range(9)]
+    own = decontaminate.Benchmark([(7, " ".join(words))])
+    quote = (" " * 300).join(words)  # 71 normalised characters, 2,463 raw ones
+    for start in range(0, 6_000, 333):
+        text = "xyz " * (start // 4) + "  -- " + quote + ". " + "uvw  " * 700
+        found = decontaminate.scan_texts(own, [text, "q" * 50, text])
+        at = text.index(words[0])
+        assert [(t, i, r, a, b, e) for t, i, r, a, b, e in found] == [(t, 0, 1, at, at + len(quote), 0) for t in (0, 2)], start
+    assert decontaminate.scan_texts(own, [" " * 9_000 + quote + " " * 9_000])[0][3] == 9_000
+
+
+def test_short_items_are_found_exactly():
+    items = {1: "Who wrote Hamlet?", 2: "Ja", 3: "three blind mice", 4: "一二三", 5: "?!", 6: "ninechars", 7: None, 8: "abcdefghij"}
+    own = decontaminate.Benchmark(list(items.items()))
+    texts = [
+        "He asked: who  wrote, hamlet", "who wrote hamlets", "xwho wrote hamlet", "ja", "ja ja", "a\n JA!\nb", "jam ja", "Three blind\nmice.", "一二三", "x一二三", "eh\n一二三\n",
+        "ninechars", "so ninechars", "?!", "", "xabcdefghij abcdefghij", "abcdefghi", "Who wrote Hamlet? Who wrote Hamlet?",
+    ]
+    found = {(t, own.items[i]): (r, a, b) for t, i, r, a, b, e in decontaminate.scan_texts(own, texts)}
+    assert set(found) == {(0, 1), (3, 2), (5, 2), (7, 3), (8, 4), (10, 4), (11, 6), (15, 8), (17, 1)}
+    assert found[(0, 1)] == (1, 10, 28) and found[(5, 2)] == (1, 3, 5) and found[(15, 8)] == (1, 12, 22) and found[(17, 1)][0] == 2
+
+
 def test_leaks_in_long_texts_and_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK", 2000)
     long = [r["text"] for r in docs.where("doc_id = 99").collect()][0]
