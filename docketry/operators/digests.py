@@ -124,7 +124,9 @@ def company_summary(
     )
 
 
-def recommended_lessons(categories: DataFrame, lessons: dict[str, tuple[int, ...]], basics: tuple[int, ...], keep: int = 3) -> DataFrame:
+def recommended_lessons(
+    categories: DataFrame, lessons: dict[str, tuple[int, ...]] = vocab.LESSONS_BY_CATEGORY, basics: tuple[int, ...] = vocab.BASIC_LESSONS, keep: int = 3
+) -> DataFrame:
     """Lessons per company in the order of its ranked categories, without repeats, topped up by the basics."""
     table = literal_rows(
         [{"category": c, "at": i, "lesson": x} for c, ids in lessons.items() for i, x in enumerate(ids)],

@@ -16,8 +16,10 @@ def normalize_filings(rows: DataFrame, mode: str = vocab.LIVE_MODE, source: str
     """List rows with their matched issuer columns as filing events.
 
     Input: rcept_no, report_nm, corp_code, corp_cls, rcept_dt, stock_code, ticker, detected_at. The mode tag
-    keeps live rows and backfilled rows apart.
+    keeps live rows and backfilled rows apart, so it must be one of the two.
     """
+    if mode not in vocab.SOURCE_MODES:
+        raise ValueError(f"no source mode: {mode}")
 
     def or_word(name, word):
         return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(word)).alias(name)

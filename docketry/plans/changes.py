@@ -10,6 +10,7 @@ from docketry.operators.classify import classify_titles
 from docketry.plans import standins as sv
 from docketry.plans.filings import MERGED, two_sources
 from docketry.plans.registry import query
+from docketry.session import cut_lineage
 
 
 def classified(t):
@@ -77,10 +78,9 @@ def _(t):
 )
 def _(t):
     first, second = two_sources(t)
-    merged = fl.merge_filings(first, second).withColumn("listed", F.array_contains("sources", "list"))
-    # Merging changes no date, so the span comes from the sources before they are merged.
-    win = op.data_windows(first.select("received_on").unionByName(second.select("received_on"))).scalar()
-    return op.company_headers(merged, win).withColumn("latest_received_on", sv.day_text("latest_received_on"))
+    # The merged rows are written once: the span and the headers both read them.
+    merged = cut_lineage(fl.merge_filings(first, second).withColumn("listed", F.array_contains("sources", "list")).drop("title"), "merged")
+    return op.company_headers(merged, op.data_windows(merged).scalar()).withColumn("latest_received_on", sv.day_text("latest_received_on"))
 
 
 @query(

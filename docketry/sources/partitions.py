@@ -106,7 +106,8 @@ def prove_days(lines: DataFrame, target: str, day: str = "day") -> DataFrame:
 def compact_days(spark: SparkSession, source: str, target: str, manifest: str, today: str, day: str = "day") -> DataFrame:
     """Copy the closed days (before ``today``) of a JSON-lines archive compressed, prove each, and keep the proofs.
 
-    A day that an earlier run proved is not touched again, so lines that turn up late never replace its copy.
+    A day that an earlier run proved is not touched again, so lines that turn up late never replace its copy; they are
+    taken by ``compact_late``.
     The manifest rows of this run are appended to ``manifest`` and returned; sources are only removed by
     ``remove_proven``.
     """
@@ -122,16 +123,95 @@ def compact_days(spark: SparkSession, source: str, target: str, manifest: str, t
     return proved
 
 
+LATE_SCHEMA = "run int, day string, record_count bigint, raw_bytes bigint, late_digest string, whole_digest string, status string"
+
+
+def read_late(spark: SparkSession, late: str, day: str = "day") -> DataFrame:
+    """Late lines with the run that took them."""
+    if not table_exists(spark, late):
+        return spark.createDataFrame([], f"value string, run int, {day} string")
+    return spark.read.schema(f"value string, run int, {day} string").option("lineSep", "\n").text(late)
+
+
+def read_archive(spark: SparkSession, target: str, late: str, day: str = "day") -> DataFrame:
+    """All archived lines: the copies of the days and what came late for them."""
+    return read_lines(spark, target, day).unionByName(read_late(spark, late, day).drop("run"))
+
+
+def compact_late(spark: SparkSession, source: str, target: str, late: str, manifest: str, late_manifest: str, today: str, day: str = "day") -> DataFrame:
+    """Archive the lines that came for days already proven, and report them: one row per day with late lines.
+
+    A source that still holds every line of the copy is the one it was made of, so only its surplus is late; of any
+    other source all lines are. Late lines go to a folder of their own per run, compressed, and are read back. A day's
+    digest of them is added to the digests kept so far: the sum must be that of all its archived lines. A run that
+    stopped before its rows were in ``late_manifest`` has none and is repeated under the same number. Sources are
+    removed by ``remove_late`` only.
+    """
+    proofs = spark.read.schema(MANIFEST_SCHEMA).parquet(manifest).where(F.col("status") == vocab.OK)
+    kept = proofs.groupBy(F.col("day").alias(day)).agg(F.max("plain_digest").cast("decimal(38,0)").alias("kept"))
+    earlier = spark.read.schema(LATE_SCHEMA).parquet(late_manifest) if table_exists(spark, late_manifest) else spark.createDataFrame([], LATE_SCHEMA)
+    run = (earlier.agg(F.max("run")).first()[0] or 0) + 1
+    added = earlier.where(F.col("status") == vocab.OK).groupBy(F.col("day").alias(day)).agg(F.sum(F.col("late_digest").cast("decimal(38,0)")).alias("added"))
+    lines = read_lines(spark, source, day).where(F.col(day) < F.lit(today)).join(kept.select(day), day, "left_semi")
+    days = lines.select(day).distinct()
+    archived = read_lines(spark, target, day).unionByName(read_late(spark, late, day).where(F.col("run") < run).drop("run")).join(days, day, "left_semi")
+    one, none = F.lit(1).alias("there"), F.lit(0).alias("there")
+    counts = lines.select(day, "value", one).unionByName(archived.select(day, "value", none)).groupBy(day, "value").agg(
+        F.sum("there").alias("here"), F.sum(1 - F.col("there")).alias("known")
+    )
+    counts = cut_lineage(counts, "late-counts")
+    same = counts.groupBy(day).agg(F.bool_and(F.col("here") >= F.col("known")).alias("same"))
+    more = F.col("here") - F.when(F.col("same"), F.col("known")).otherwise(0)
+    found = cut_lineage(counts.join(same, day).select(day, "value", more.alias("n")).where("n > 0"), "late-lines")
+    if found.isEmpty():
+        return spark.createDataFrame([], LATE_SCHEMA)
+    copies = found.select(day, "value", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("value", day)
+    (
+        copies.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .option("compression", "gzip").option("lineSep", "\n").partitionBy(day).text(f"{late}/run={run}")
+    )
+    hashed = found.withColumn("h", row_hash("value") * F.col("n"))
+    wanted = hashed.groupBy(day).agg(
+        F.sum("n").cast("bigint").alias("record_count"), F.sum((F.octet_length("value") + 1) * F.col("n")).cast("bigint").alias("raw_bytes"),
+        F.sum("h").cast("decimal(38,0)").alias("late_digest"),
+    )
+    stored = read_late(spark, late, day).where(F.col("run") == run).groupBy(day).agg(F.count("*").alias("n"), F.sum(row_hash("value")).alias("stored"))
+    touched = found.select(day).distinct()
+    whole = read_archive(spark, target, late, day).join(touched, day, "left_semi").groupBy(day).agg(F.sum(row_hash("value")).cast("decimal(38,0)").alias("whole"))
+    right = (
+        F.col("n").eqNullSafe(F.col("record_count")) & F.col("stored").eqNullSafe(F.col("late_digest"))
+        & F.col("whole").eqNullSafe(F.col("kept") + F.coalesce("added", F.lit(0)) + F.col("late_digest"))
+    )
+    rows = wanted.join(stored, day, "left").join(whole, day, "left").join(kept, day).join(added, day, "left").select(
+        F.lit(run).alias("run"), F.col(day).alias("day"), "record_count", "raw_bytes", F.col("late_digest").cast("string").alias("late_digest"),
+        F.col("whole").cast("string").alias("whole_digest"), F.when(right, vocab.OK).otherwise("ARCHIVE_INTEGRITY_ERROR").alias("status"),
+    )
+    report = cut_lineage(rows, "late-manifest")
+    report.coalesce(1).write.mode("append").parquet(late_manifest)
+    return report
+
+
+def _delete_days(spark: SparkSession, folders: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for name in folders:
+        folder = jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_late(report: DataFrame, source: str, late: str, day: str = "day") -> None:
+    """Finish a run of ``compact_late``: the source of every proven day goes, and what was copied of every other day,
+    so that the next run takes its lines again. The rows are one per calendar day."""
+    rows = report.select("run", "day", "status").toLocalIterator()
+    _delete_days(report.sparkSession, [f"{source}/{day}={r.day}" if r.status == vocab.OK else f"{late}/run={r.run}/{day}={r.day}" for r in rows])
+
+
 def remove_proven(proved: DataFrame, source: str, target: str, day: str = "day") -> None:
     """Finish a run of ``compact_days``: the source of every proven day goes, the copy of every other day goes.
 
     The rows are one per calendar day, so the driver can walk them.
     """
-    spark = proved.sparkSession
-    jvm = spark.sparkContext._jvm
-    for row in proved.select("day", "status").toLocalIterator():
-        folder = jvm.org.apache.hadoop.fs.Path(f"{source if row.status == vocab.OK else target}/{day}={row.day}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    rows = proved.select("day", "status").toLocalIterator()
+    _delete_days(proved.sparkSession, [f"{source if r.status == vocab.OK else target}/{day}={r.day}" for r in rows])
 
 
 def bundle_months(records: DataFrame, months: DataFrame, path: str, day: str = "day") -> DataFrame:

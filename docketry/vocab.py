@@ -14,6 +14,7 @@ OK = "OK"
 UNKNOWN_MAPPING = "UNKNOWN_MAPPING"
 LIVE_MODE = "LIVE_DART_PIT"
 BACKFILL_MODE = "HISTORICAL_DART_BACKFILL"
+SOURCE_MODES = (LIVE_MODE, BACKFILL_MODE)
 PENDING, STORED, ACKNOWLEDGED = "PENDING", "STORED", "ACKNOWLEDGED"
 EVENT_DETECTED = "EVENT_DETECTED"
 NO_OFFICIAL_EVENT_DETECTED = "NO_OFFICIAL_EVENT_DETECTED"
@@ -95,7 +96,6 @@ RELEVANT_TERMS = (
 # --- fixed values: financial statements ---
 FINANCIAL_SECTOR_WORDS = ("은행", "금융", "보험", "증권", "카드", "캐피탈", "저축은행", "지주")
 BASIS_LABEL = {"CFS": "연결", "OFS": "별도"}
-REPORT_LABEL = {"11011": "사업보고서(연간)", "11012": "반기보고서", "11013": "1분기보고서", "11014": "3분기보고서"}
 CURRENT_SPLIT_ACCOUNTS = ("currentAssets", "currentLiabilities", "nonCurrentLiabilities")
 SECTOR_INAPPLICABLE = ("costOfSales", "grossProfit", "revenue") + CURRENT_SPLIT_ACCOUNTS
 KEY_ACCOUNTS = ("revenue", "operatingIncome", "netIncome")

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tests.compare import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,9 @@ def con():
 @pytest.mark.parametrize("name", [n for n in entry.queries() if not re.match(r"op\d+_|pipeline", n)])
 def test_query_matches_sql(spark, con, name):
     problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), ROOT)
-    assert problem in (None, "equal but empty"), problem
+    if problem == "equal but empty":  # the smallest tables hold no case of it
+        problem = compare(spark, connect(LARGER), name, entry.queries()[name], entry.oracle_sql().get(name), LARGER)
+    assert problem is None
 
 
 def test_entry_has_rows(spark):

@@ -139,6 +139,40 @@ def test_compaction_keeps_every_byte_of_every_line(spark, tmp_path):
     assert len(unpacked(tmp_path / "packed" / "day=2026-01-01")) == 5
 
 
+def test_late_lines_are_archived_and_reported(spark, tmp_path, monkeypatch):
+    raw, packed, manifest = archive_of(tmp_path)
+    late, late_manifest = str(tmp_path / "late"), str(tmp_path / "late_manifest")
+    take = lambda: {(r.run, r.day): (r.record_count, r.status) for r in pt.compact_late(spark, raw, packed, late, manifest, late_manifest, "2026-01-03").collect()}
+    archived = lambda: {d: sorted(bytes(r.v) for r in pt.read_archive(spark, packed, late).where(F.col("day") == d).select(F.col("value").cast("binary").alias("v")).collect()) for d in LINES if d < "2026-01-03"}
+    pt.compact_days(spark, raw, packed, manifest, "2026-01-03")
+    assert take() == {}
+    pt.remove_proven(spark.read.schema(pt.MANIFEST_SCHEMA).parquet(manifest).where("day = '2026-01-02'"), raw, packed)
+    (tmp_path / "raw" / "day=2026-01-02").mkdir()
+    # The first source is still there and has a surplus, also of a line it held before; the second one was removed.
+    (tmp_path / "raw" / "day=2026-01-01" / "late.jsonl").write_bytes(b'{"k":9}\n\xff\xfe\n')
+    (tmp_path / "raw" / "day=2026-01-02" / "late.jsonl").write_bytes(b'{"k":4}\n{"k":5}\n{"k":5}\n')
+    # A run that stops before its rows are written is repeated under the same number.
+    with monkeypatch.context() as stop:
+        stop.setattr(pt, "row_hash", lambda *_: F.raise_error(F.lit("lost")).cast("decimal(38,0)"))
+        with pytest.raises(Exception, match="lost"):
+            take()
+    assert take() == {(1, "2026-01-01"): (2, "OK"), (1, "2026-01-02"): (3, "OK")}
+    want = {d: sorted(LINES[d].split(b"\n")[:-1]) for d in ("2026-01-01", "2026-01-02")}
+    want["2026-01-01"] = sorted([*want["2026-01-01"], b'{"k":9}', b"\xff\xfe"])
+    want["2026-01-02"] = sorted([*want["2026-01-02"], b'{"k":4}', b'{"k":5}', b'{"k":5}'])
+    assert archived() == want
+    pt.remove_late(spark.read.schema(pt.LATE_SCHEMA).parquet(late_manifest), raw, late)
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["day=2026-01-03"] and take() == {} and archived() == want
+    # A copy that was damaged since shows in the sum.
+    (tmp_path / "raw" / "day=2026-01-01").mkdir()
+    (tmp_path / "raw" / "day=2026-01-01" / "late.jsonl").write_bytes(b"x\n")
+    for p in (tmp_path / "packed" / "day=2026-01-01").glob("*.gz"):
+        p.write_bytes(__import__("gzip").compress(b"{}\n"))
+    for p in (tmp_path / "packed" / "day=2026-01-01").glob(".*.crc"):
+        p.unlink()
+    assert take() == {(2, "2026-01-01"): (1, "ARCHIVE_INTEGRITY_ERROR")}
+
+
 def test_a_damaged_copy_is_reported_and_its_source_stays(spark, tmp_path):
     import gzip
 
