@@ -46,6 +46,13 @@ def _numerals() -> str:
 
 
 LETTERS = re.compile(rf"[^\W\d_{_numerals()}]+")
+WORD_CHARS = re.compile(r"[^\W\d_]+")
+
+
+def words_in(text: str) -> list[str]:
+    """Runs of letters. Numerals are rare, so the plain class of word characters is tried first."""
+    found = WORD_CHARS.findall(text)
+    return found if not found or "".join(found).isalpha() else LETTERS.findall(text)
 MARK = "▁"
 LONGEST = 32
 SAMPLE_ROWS = 5_000
@@ -204,7 +211,7 @@ def train(labelled: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]
         for batch in batches:
             for part, texts in text_slices(batch, 1):
                 for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                    words.setdefault(lang, Counter()).update(words_in(text.lower()))
         rows = [(lang, w, n) for lang, seen in words.items() for w, n in seen.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))], names=["lang", "word", "n"]
@@ -286,7 +293,7 @@ class Scores:
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text in each language; not a number where there is no word."""
         out = np.full((len(texts), self.table.shape[1]), np.nan)
-        found = [LETTERS.findall(text.lower()) for text in texts]
+        found = [words_in(text.lower()) for text in texts]
         seen = set().union(*found)
         if fresh := seen.difference(self.at):
             if len(self.at) + len(fresh) > CACHE_WORDS:
