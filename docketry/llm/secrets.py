@@ -2,12 +2,13 @@
 
 The rules give the base spans. The models are trained on labelled samples: random strings are what the rules
 capture in a sample of documents, and digests of a counter in usual alphabets; ordinary identifiers are the other
-long words of these documents. A run of 20 or more identifier characters outside the base spans is a secret if
-it is likelier under the first model, in all and per character.
+long words of these documents. Base spans are cut out of the runs of identifier characters; what is left of a run, 20
+characters or more, is a secret if it is likelier under the first model, in all and per character. If the whole is not,
+its best stretch is looked for: the consecutive parts between ``/ = _ -`` that exceed the least mean by most.
 
-The sample is bounded: ``SAMPLE_ROWS`` documents, those with the smallest hashes of their ids.
+The sample is bounded: about ``SAMPLE_ROWS`` documents by the hash of their ids and texts; equal rows count once.
 
-Edge cases: a null or empty text has no spans; runs of any length are scored whole; equal spans of two kinds are
+Edge cases: a null or empty text has no spans; runs of any length are scored; equal spans of two kinds are
 both given; repeated rows each get their result; without documents nothing is learnt but the counter digests;
 other columns are ignored. Offsets are code points, end exclusive.
 """
@@ -34,7 +35,9 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 ASSIGN_MARKS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 KINDS = ("assign", "access", "hex", "model")
+LEAST_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PARTING = re.compile(r"[/=_-]")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 SAMPLE_ROWS = 20_000
 #: Least log-likelihood ratio (natural logs) of a run, in all and per character.
@@ -86,9 +89,8 @@ def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each pair of characters, random strings over identifiers, from labelled samples."""
     bound_batches(docs.sparkSession)
     rows = docs.count()
-    chosen = docs.select(F.col("doc_id"), F.col("text").alias("text")).where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(max(rows, 1))) < SAMPLE_ROWS
-    ).select("text")
+    one_in = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(rows, 1)))
+    chosen = docs.where(one_in < SAMPLE_ROWS).select("doc_id", F.col("text").alias("text")).distinct().select("text")
 
     def count(batches):
         cells = np.zeros((2, STATES * STATES), np.int64)
@@ -119,17 +121,44 @@ def train(docs: DataFrame) -> np.ndarray:
     return (logs[1] - logs[0]).reshape(-1)
 
 
+def best_stretch(run: str, ratio: np.ndarray) -> tuple[int, int] | None:
+    """Start and end of the secret in a run: all of it, or its best consecutive parts."""
+    scores = ratio[_pairs(run)]
+    if len(run) >= LEAST_RUN and scores.sum() >= max(LEAST_RATIO, LEAST_MEAN * len(run)):
+        return 0, len(run)
+    sums = np.concatenate(([0.0], np.cumsum(scores - LEAST_MEAN)))
+    # A part ends before its separator; the next one begins after it. The least sum so far begins the best stretch.
+    best, least, start = (0.0, 0, 0), sums[0], 0
+    for cut in PARTING.finditer(run + "-"):
+        gain = sums[cut.start()] - least
+        if gain > best[0]:
+            best = (gain, start, cut.start())
+        if cut.end() < len(sums) and sums[cut.end()] < least:
+            least, start = sums[cut.end()], cut.end()
+    _, a, b = best
+    own = float(ratio[_pairs(run[a:b])].sum()) if b > a else 0.0
+    return (a, b) if b - a >= LEAST_RUN and own >= max(LEAST_RATIO, LEAST_MEAN * (b - a)) else None
+
+
 def scan_text(text: str, ratio: np.ndarray) -> list[tuple[int, int, str, int, int]]:
     """Base spans and those of the models, by start and kind."""
     found = base_spans(text)
     taken = [(s[0], s[3]) for s in found]
     for run in RUN.finditer(text):
-        a, b = run.span()
-        if any(s < b and a < e for s, e in taken):
-            continue
-        score = float(ratio[_pairs(run.group())].sum())
-        if score >= LEAST_RATIO and score >= LEAST_MEAN * (b - a):
-            found.append((a, 3, "model", b, a))
+        at, left = run.start(), []
+        for a, b in taken:
+            if a < run.end() and b > at:
+                left.append((at, a))
+                at = b
+        left.append((at, run.end()))
+        while left:
+            a, b = left.pop()
+            while a > run.start() and a < b and text[a] in "/=_-":  # what parted it from a base span
+                a += 1
+            if b - a >= LEAST_RUN and (stretch := best_stretch(text[a:b], ratio)):
+                low, high = a + stretch[0], a + stretch[1]
+                found.append((low, 3, "model", high, low))
+                left += [(a, low), (high, b)]
     return sorted(found)
 
 
