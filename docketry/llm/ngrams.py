@@ -1,19 +1,24 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 Counts come from all training documents. Every word's count is exact and enters the unigram probability
-``(c + 1) / (N + V + 1)``, whose last part is left for unknown words. The trie holds the frequent part of the
-language: the most frequent words, then the n-grams made of them (each level counted in a pass of its own, as an n-gram
-is never more frequent than its parts), up to a number of entries a level that is a parameter. Levels are cut at
-a count, never inside one. What the trie does not hold is scored by backing off, down to the exact
-unigram: frequent words from the trie, all others by a join with the counts, so no word is approximated.
+``(c + 1) / (N + V + 1)``, whose last part is left for unknown words. The trie holds every word and every n-gram that is
+found at least ``Sizes.least`` times, however many they are; an n-gram is never more frequent than its parts, so
+each level is counted over the entries of the one above. What the trie does not hold is scored by backing off, down to
+the exact unigram: words of the trie by their counts there, all others by a join with the counts, so no word is
+approximated. A limit on a level is left to the caller; it cuts at a count, never inside one.
 
 A kept n-gram has probability ``(c - D) / c(context)``; the context's weight passes what is left to the shorter
 context: probabilities over all words sum to one. Logarithms are kept in 16 bits.
 
 A level numbers its entries; the children of entry p are the numbers ``p * words + w``, one rising sequence over
-the level. Elias-Fano coding stores it as low bits and a bit vector of high parts, and the number of an entry is its
-place in it. A lookup selects the zero that ends the part before the wanted one and walks to the successor.
-The trie is one file in the shared folder, distributed by Spark and memory-mapped by each worker.
+the level. It is cut into ranges of contexts; counting tasks send each range its numbers, rising, as differences, and one
+task adds them up, drops the rare ones and codes the rest: Elias-Fano coding stores the range as low bits and
+a bit vector of high parts, and the number of an entry is its place in it after the entries of earlier ranges. A lookup
+selects the zero that ends the part before the wanted one and walks to the successor. Words are numbered by a hash, and
+their bytes are compared, so equal hashes do no harm.
+The tasks write their parts into the shared folder, where workers map them into memory. If that folder is not mounted but
+reached through Hadoop, Spark hands the parts to the executors, and each machine unpacks them once. Only one row a part
+passes the driver.
 
 Edge cases: a null or empty text is its end token; without training documents every count is 0; null ids are in
 training (their remainder is unknown); rows equal in id and text share one computation and are all returned; words
@@ -22,20 +27,26 @@ of any length are kept whole; other columns are ignored.
 
 from __future__ import annotations
 
+import fcntl
+import hashlib
 import json
+import os
+import tempfile
 import uuid
 from collections import Counter
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import bound_batches, text_slices, worker_cache
-from docketry.session import cut_lineage, shared_base
+from docketry.session import cut_lineage, scratch_path
 
 DISCOUNT = 0.75
 #: Range of the 16-bit logarithms.
@@ -43,18 +54,40 @@ LOW_LOG, HIGH_LOG = -12.0, 4.0
 END = b""  # no word is empty
 #: Distinct entries that a counting task holds before it hands them on.
 FLUSH = 400_000
+#: Entries of a level that one task codes as a part.
+PART = 2_000_000
+#: Words whose numbers a worker remembers, the first it meets.
+KNOWN = 150_000
+#: Bytes of a part that go into one row.
+PIECE = 4 << 20
+#: Places of the set bits of each byte.
+SET_BITS = np.array([[*[i for i in range(8) if byte >> i & 1], *[0] * 8][:8] for byte in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Most entries of each level, and the least count of a kept n-gram."""
+    """The least count of a kept n-gram, and limits of the levels, if the caller wants any (``None``: all entries)."""
 
-    words: int = 60_000
-    bigrams: int = 1_000_000
-    trigrams: int = 1_000_000
+    words: int | None = None
+    bigrams: int | None = None
+    trigrams: int | None = None
     least: int = 2
 
 
+@dataclass(frozen=True)
+class Model:
+    """What tasks need to open the trie: totals, and of each level's parts the first and last key, the entries and files.
+
+    A file is a path in the mounted shared folder, or the name under which Spark hands it out.
+    """
+
+    label: str
+    total: int
+    distinct: int
+    words: int = 0
+    levels: tuple[tuple[tuple[int, int, int, tuple[str, ...]], ...], ...] = ()
+
+
 def quantise(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.round((logs - LOW_LOG) / (HIGH_LOG - LOW_LOG) * 65535), 0, 65535).astype(np.uint16)
 
@@ -66,26 +99,29 @@ def unquantise(codes: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A rising sequence of numbers below ``universe``: low bits, and high parts as a bit vector."""
 
-    def __init__(self, bits: int, low: np.ndarray, words: np.ndarray):
+    def __init__(self, bits: int, low: np.ndarray, words: np.ndarray, zeros: np.ndarray | None = None):
         self.bits, self.low, self.words = np.uint64(bits), low, words
-        zeros = 64 - np.bitwise_count(np.asarray(words)).astype(np.int64)
-        self.zeros = np.concatenate(([0], np.cumsum(zeros)))  # before each word: the select directory
-        table = np.zeros((256, 8), np.uint8)
-        for byte in range(256):
-            places = [i for i in range(8) if byte >> i & 1]
-            table[byte, : len(places)] = places
-        self.table = table
+        if zeros is None:
+            zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(np.asarray(words)).astype(np.int64))))
+        self.zeros = zeros  # before each word: the select directory
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> tuple[int, np.ndarray, np.ndarray]:
         values = values.astype(np.uint64)
-        bits = 0 if not len(values) else min(16, max(0, int(np.log2(max(universe // len(values), 1)))))
+        bits = 0 if not len(values) else min(48, max(0, int(np.log2(max(universe // len(values), 1)))))
         high = (values >> np.uint64(bits)).astype(np.int64)
         size = (int(universe) >> bits) + len(values) + 2
         flags = np.zeros(-(-size // 64) * 64, np.uint8)
         flags[high + np.arange(len(values))] = 1
         words = np.packbits(flags, bitorder="little").view("<u8")
-        return bits, (values & np.uint64((1 << bits) - 1)).astype(np.uint16), words
+        kind = np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+        return bits, (values & np.uint64((1 << bits) - 1)).astype(kind), words
+
+    def values(self) -> np.ndarray:
+        """The whole sequence."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.words).view(np.uint8), bitorder="little"))
+        high = (ones - np.arange(len(ones))).astype(np.uint64)
+        return ((high << self.bits) | self.low.astype(np.uint64)).astype(np.int64)
 
     def select_zero(self, rank: np.ndarray) -> np.ndarray:
         """Place of the zero with each rank (from 0)."""
@@ -98,16 +134,18 @@ class EliasFano:
             left = left - count * over
             value = np.where(over, value >> np.uint64(width), value)
             place = place + width * over
-        return place + self.table[(value & np.uint64(255)).astype(np.int64), left]
+        return place + SET_BITS[(value & np.uint64(255)).astype(np.int64), left]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key in the sequence, or -1: the successor among the entries of its high part is compared.
+        """Place of each key in the sequence, or -1. Every different key is looked up once."""
+        keys, back = np.unique(keys, return_inverse=True)
+        return self.find_rising(keys)[back]
 
-        Every different key is looked up once, in rising order, and the successor is found by halving.
-        """
+    def find_rising(self, keys: np.ndarray) -> np.ndarray:
+        """As ``find``, for rising keys: the successor among the entries of a key's high part is found by halving."""
         if not len(self.low) or not len(keys):
             return np.full(len(keys), -1, np.int64)
-        keys, back = np.unique(keys.astype(np.uint64), return_inverse=True)
+        keys = keys.astype(np.uint64)
         high, low = (keys >> self.bits).astype(np.int64), keys & ((np.uint64(1) << self.bits) - np.uint64(1))
         border = np.unique(np.concatenate((high, high - 1)))  # rank of the zero before a high part, and of the one after
         ones = np.where(border >= 0, self.select_zero(np.maximum(border, 0)) - border, 0)
@@ -121,79 +159,12 @@ class EliasFano:
             until[todo] = np.where(below, until[todo], middle)
             todo = todo[first[todo] < until[todo]]
         here = (first < end) & (self.low[np.minimum(first, len(self.low) - 1)] == low)
-        return np.where(here, first, -1)[back]
-
-
-class Trie:
-    """The levels of the model in one buffer (a memory map or an array of bytes)."""
-
-    def __init__(self, buffer: np.ndarray):
-        size = int(np.frombuffer(buffer[:8].tobytes(), "<u8")[0])
-        head = json.loads(buffer[8 : 8 + size].tobytes())
-        arrays = {n: buffer[a : a + b].view(t) for n, (a, b, t) in head["arrays"].items()}
-        words = arrays["vocabulary"].tobytes().split(b"\n") if head["words"] else []
-        self.at = {w: i for i, w in enumerate(words)}
-        self.n = max(len(words), 1)
-        self.end = self.at.get(END, -1)
-        self.total, self.distinct = head["total"], head["distinct"]
-        self.floor = -np.log10(self.total + self.distinct + 1)
-        self.counts = arrays["counts"]
-        self.back = [arrays["back1"], arrays["back2"]]
-        self.prob = [arrays["prob2"], arrays["prob3"]]
-        self.level = [EliasFano(head[f"bits{k}"], arrays[f"low{k}"], arrays[f"high{k}"]) for k in (2, 3)]
+        return np.where(here, first, -1)
 
-    def unigrams(self, ids: np.ndarray) -> np.ndarray:
-        """Exact unigram logarithms of words of the trie; 0 for others."""
-        if not len(self.counts):
-            return np.zeros(len(ids))
-        return np.where(ids >= 0, np.log10(self.counts[np.maximum(ids, 0)] + 1.0) + self.floor, 0.0)
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Logarithm of each token's probability; for tokens not in the trie, their unigram part is left out.
 
-        ``ids`` are word numbers or -1, ``first`` marks tokens without a context.
-        """
-        before = np.concatenate(([-1], ids[:-1]))
-        before[first] = -1
-        place2 = np.full(len(ids), -1, np.int64)
-        which = np.flatnonzero((before >= 0) & (ids >= 0))
-        place2[which] = self.level[0].find(before[which] * self.n + ids[which])
-        context = np.concatenate(([-1], place2[:-1]))
-        context[first] = -1
-        place3 = np.full(len(ids), -1, np.int64)
-        which = np.flatnonzero((context >= 0) & (place2 >= 0))
-        place3[which] = self.level[1].find(context[which] * self.n + ids[which])
-
-        def look(codes, at):
-            return np.where(at >= 0, unquantise(codes[np.maximum(at, 0)]) if len(codes) else 0.0, 0.0)
-
-        lower = np.where(place2 >= 0, look(self.prob[0], place2), look(self.back[0], before) + self.unigrams(ids))
-        return np.where(place3 >= 0, look(self.prob[1], place3), look(self.back[1], context) + lower)
-
-
-def build(words: list[tuple[bytes, int]], bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> bytes:
-    """The trie's bytes. Words with counts; n-grams as rising keys (place of the context * words + word) and counts."""
-    n, counts = max(len(words), 1), np.array([c for _, c in words], np.float64)
-    uni = (counts + 1) / (total + distinct + 1)
-    arrays = {"vocabulary": np.frombuffer(b"\n".join(w for w, _ in words), np.uint8), "counts": counts.astype(np.int64)}
-    head: dict = {"total": total, "distinct": distinct, "words": len(words)}
-
-    def level(k: int, keys: np.ndarray, own: np.ndarray, above: np.ndarray, lower: np.ndarray):
-        context = keys // n
-        prob = (own - DISCOUNT) / above[context]
-        left = 1 - np.bincount(context, prob, minlength=len(above))
-        rest = 1 - np.bincount(context, lower, minlength=len(above))
-        back = np.where((left > 0) & (rest > 0), np.maximum(left, 1e-12) / np.maximum(rest, 1e-12), 1.0)
-        head[f"bits{k}"], arrays[f"low{k}"], arrays[f"high{k}"] = EliasFano.encode(keys, len(above) * n)
-        arrays[f"prob{k}"], arrays[f"back{k - 1}"] = quantise(np.log10(np.maximum(prob, 1e-12))), quantise(np.log10(back))
-        return prob
-
-    (key2, own2), (key3, own3) = bigrams, trigrams
-    prob2 = level(2, key2, own2.astype(np.float64), counts, uni[key2 % n] if len(key2) else np.zeros(0))
-    # Both parts of a kept trigram are kept bigrams, so its shorter context has the word too.
-    middle = (key2[key3 // n] % n) * n + key3 % n if len(key3) else key3
-    level(3, key3, own3.astype(np.float64), own2.astype(np.float64), prob2[np.searchsorted(key2, middle)] if len(key3) else np.zeros(0))
-    at, places = 1 << 13, {}
+def pack(head: dict, arrays: dict[str, np.ndarray]) -> bytes:
+    """A part's bytes: a head that tells where its arrays are, and the arrays."""
+    at, places = 1 << 12, {}
     for name, array in arrays.items():
         places[name] = (at, array.nbytes, array.dtype.str)
         at += -(-array.nbytes // 64) * 64
@@ -206,58 +177,372 @@ def build(words: list[tuple[bytes, int]], bigrams: tuple[np.ndarray, np.ndarray]
     return bytes(out)
 
 
-def publish(spark: SparkSession, content: bytes) -> str:
-    """Write the file to the shared folder and let Spark hand it to every executor; its name."""
-    name = f"trie-{uuid.uuid4().hex}"
+def packed_sequence(name: str, values: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
+    """Head and arrays of an Elias-Fano sequence, with its select directory, counted from its first value."""
+    bits, low, high = EliasFano.encode(values - values[0], int(values[-1] - values[0]) + 1)
+    arrays = {f"{name}_low": low, f"{name}_high": high, f"{name}_zeros": EliasFano(bits, low, high).zeros}
+    return {f"{name}_bits": bits, f"{name}_first": int(values[0]), f"{name}_last": int(values[-1])}, arrays
+
+
+def open_part(files: tuple[str, ...]) -> np.ndarray:
+    """The memory map of a part; if Spark handed it out, the first worker of a machine unpacks it."""
+    path = files[0]
+    if not os.path.isabs(path):
+        path = SparkFiles.get(path + ".part")
+        with open(path + ".lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(path):
+                with open(path + ".new", "wb") as out:
+                    for name in files:
+                        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1, columns=["at", "content"]):
+                            out.seek(batch.column(0)[0].as_py())
+                            out.write(batch.column(1)[0].as_buffer())
+                os.replace(path + ".new", path)
+    return np.memmap(path, np.uint8, "r")
+
+
+class Part:
+    """One range of a level."""
+
+    def __init__(self, buffer: np.ndarray):
+        size = int(np.frombuffer(buffer[:8].tobytes(), "<u8")[0])
+        self.head = json.loads(buffer[8 : 8 + size].tobytes())
+        self.arrays = {n: buffer[a : a + b].view(t) for n, (a, b, t) in self.head["arrays"].items()}
+
+    def sequence(self, name: str) -> EliasFano:
+        return EliasFano(self.head[f"{name}_bits"], *[self.arrays[f"{name}_{x}"] for x in ("low", "high", "zeros")])
+
+    def find(self, name: str, values: np.ndarray) -> np.ndarray:
+        """Places of rising values in a sequence of the part, or -1."""
+        first, last = self.head[f"{name}_first"], self.head[f"{name}_last"]
+        out, (a, b) = np.full(len(values), -1, np.int64), np.searchsorted(values, (first, last + 1))
+        out[a:b] = self.sequence(name).find_rising(values[a:b] - first)
+        return out
+
+
+class Level:
+    """A level in parts, by rising key. Lookups take rising numbers and visit each part at most once."""
+
+    def __init__(self, parts: tuple[tuple[int, int, int, tuple[str, ...]], ...], words: int):
+        self.files = [files for *_, files in parts]
+        self.first = np.array([first for first, *_ in parts], np.int64)
+        self.contexts = self.first // words  # no context lies in two parts
+        self.start = np.concatenate(([0], np.cumsum([n for _, _, n, _ in parts], dtype=np.int64)))
+        self.opened: dict[int, Part] = {}
+
+    def __len__(self) -> int:
+        return int(self.start[-1])
+
+    def part(self, i: int) -> Part:
+        if i not in self.opened:
+            self.opened[i] = Part(open_part(self.files[i]))
+        return self.opened[i]
+
+    def cuts(self, borders: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The parts that hold numbers, and which."""
+        at = np.append(np.searchsorted(numbers, borders), len(numbers))
+        for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
+            yield i, slice(at[i], at[i + 1])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for i, own in self.cuts(self.first, keys):
+            found = self.part(i).find("key", keys[own])
+            out[own] = np.where(found >= 0, found + self.start[i], -1)
+        return out
+
+    def take(self, name: str, places: np.ndarray) -> np.ndarray:
+        """Values of entries; 0 for a place of -1."""
+        out = np.zeros(len(places), np.float64)
+        for i, own in self.cuts(self.start[:-1], places):
+            out[own] = self.part(i).arrays[name][places[own] - self.start[i]]
+        return out
+
+    def gather(self, name: str, places: np.ndarray) -> np.ndarray:
+        """As ``take``, for places in any order."""
+        places, back = np.unique(places, return_inverse=True)
+        return self.take(name, places)[back]
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (or -1) and logarithms (or 0) of keys in any order."""
+        keys, back = np.unique(keys, return_inverse=True)
+        places, logs = self.find(keys), np.zeros(len(keys))
+        here = places >= 0
+        logs[here] = unquantise(self.take("prob", places[here]))
+        return places[back], logs[back]
+
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """Keys of entries that lie close together."""
+        out = np.zeros(len(places), np.int64)
+        for i, own in self.cuts(self.start[:-1], places):
+            part = self.part(i)
+            out[own] = part.sequence("key").values()[places[own] - self.start[i]] + part.head["key_first"]
+        return out
+
+    def weight(self, contexts: np.ndarray) -> np.ndarray:
+        """Logarithms of the weights of contexts in any order; 0 for -1 and for a context without children."""
+        contexts, back = np.unique(contexts, return_inverse=True)
+        out = np.zeros(len(contexts), np.float64)
+        for i, own in self.cuts(self.contexts, contexts):
+            part = self.part(i)
+            found = part.find("context", contexts[own])
+            out[own] = np.where(found >= 0, unquantise(part.arrays["back"][np.maximum(found, 0)]), 0.0)
+        return out[back]
+
+    @property
+    def low(self) -> np.ndarray:
+        return np.concatenate([self.part(i).arrays["key_low"] for i in range(len(self.files))] or [np.zeros(0, np.uint16)])
+
+
+def word_hash(word: bytes) -> int:
+    """The first 60 bits of a word's MD5."""
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+
+
+class Words(Level):
+    """The words, numbered by their hashes."""
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        """Number of each word, or -1: words with its hash are compared byte by byte."""
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        order, out = np.argsort(hashes), np.full(len(words), -1, np.int64)
+        hashes, asked = hashes[order], pa.array(words, pa.large_binary()).take(pa.array(order))
+        for i, own in self.cuts(self.first, hashes):
+            arrays, wanted = self.part(i).arrays, hashes[own]
+            table = arrays["hash"]
+            stored = pa.Array.from_buffers(pa.large_binary(), len(table), [None, pa.py_buffer(arrays["ends"]), pa.py_buffer(arrays["text"])])
+            places = np.searchsorted(table, wanted)
+            todo = np.arange(len(wanted))
+            while len(todo := todo[places[todo] < len(table)]) and len(todo := todo[table[places[todo]] == wanted[todo]]):
+                same = pc.equal(stored.take(pa.array(places[todo])), asked.take(pa.array(todo + own.start))).to_numpy(zero_copy_only=False)
+                out[order[todo[same] + own.start]] = places[todo[same]] + self.start[i]
+                todo = todo[~same]
+                places[todo] += 1
+        return out.tolist()
+
+    def __contains__(self, word: bytes) -> bool:
+        return self.get(word) is not None
+
+    def __getitem__(self, word: bytes) -> int:
+        return self.numbers([word])[0]
+
+    def __iter__(self) -> Iterator[bytes]:
+        for i in range(len(self.files)):
+            arrays = self.part(i).arrays
+            for a, b in zip(arrays["ends"][:-1].tolist(), arrays["ends"][1:].tolist()):
+                yield arrays["text"][a:b].tobytes()
+
+    def get(self, word: bytes, default=None):
+        at = self[word]
+        return at if at >= 0 else default
+
+
+class Trie:
+    """The levels of a model: words, bigrams and trigrams, as far as they are built."""
+
+    def __init__(self, model: Model):
+        self.total, self.distinct = model.total, model.distinct
+        self.floor = -np.log10(self.total + self.distinct + 1)
+        self.n = max(model.words, 1)
+        self.at = Words(model.levels[0] if model.levels else (), 1)
+        self.level = [Level(parts, self.n) for parts in model.levels[1:]]
+        self.end = self.at.get(END, -1)
+        self.known: dict[bytes, int] = {}
+
+    def token_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Word numbers of the texts with their ends, marks of first tokens, and the words with their ends."""
+        flat: list[bytes] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = text.encode("utf-8", "surrogatepass").lower().split()
+            flat += own
+            flat.append(END)
+            sizes[i] = len(own) + 1
+        room = KNOWN - len(self.known)
+        fresh = list(set(flat).difference(self.known))
+        self.known.update(zip(fresh, self.at.numbers(fresh)))
+        ids = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        for word in fresh[room:]:
+            del self.known[word]
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        return ids, first, flat
+
+    def unigrams(self, ids: np.ndarray) -> np.ndarray:
+        """Exact unigram logarithms of words of the trie; 0 for others."""
+        return np.where(ids >= 0, np.log10(self.at.gather("count", ids) + 1.0) + self.floor, 0.0)
+
+    def bigrams(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (or -1) and logarithm (or 0) of the bigram that ends at each token."""
+        places, logs = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        which = bigram_ends(ids, first)
+        places[which], logs[which] = self.level[0].look(ids[which - 1] * self.n + ids[which])
+        return places, logs
+
+    def score(self, ids: np.ndarray, first: np.ndarray, unigrams: np.ndarray | None = None) -> np.ndarray:
+        """Logarithm of each token's probability; for tokens not in the trie, their unigram part is left out.
+
+        ``ids`` are word numbers or -1, ``first`` marks tokens without a context.
+        """
+        place, out = self.bigrams(ids, first)
+        none = np.flatnonzero(place < 0)
+        before = np.where(first[none], -1, ids[none - 1])
+        out[none] = self.level[0].weight(before) + (self.unigrams(ids) if unigrams is None else unigrams)[none]
+        context = np.concatenate(([-1], place[:-1]))
+        which = np.flatnonzero((context >= 0) & ~first)
+        both = which[place[which] >= 0]
+        place3, logs = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        place3[both], logs[both] = self.level[1].look(context[both] * self.n + ids[both])
+        none = which[place3[which] < 0]
+        out[none] += self.level[1].weight(context[none])
+        return np.where(place3 >= 0, logs, out)
+
+
+def bigram_ends(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where both words of a bigram are in the trie."""
+    return np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]) + 1
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on, so that small ones compress well."""
+    return np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(content: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def added_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, rising, and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def range_counts(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a range from what the counting tasks sent (keys as differences, n)."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for batch in batches:
+        for key, times in zip(batch.column("keys"), batch.column("times")):
+            held.append((np.cumsum(from_planes(key.as_py())), from_planes(times.as_py())))
+            size += len(held[-1][0])
+            if size > max(4 * FLUSH, len(keys)):
+                keys, n = added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
+                held, size = [], 0
+    return added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
+
+
+def word_part(batches: Iterator[pa.RecordBatch], trie: Trie) -> tuple[np.ndarray, bytes]:
+    """Keys and bytes of a range of words (key: hash, word, n), in rising order."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return np.zeros(0, np.int64), b""
+    table = pa.Table.from_batches(held)
+    hashes, counts = (table.column(c).to_numpy() for c in ("key", "n"))
+    words = table.column("word").to_pylist()
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+    return hashes, pack({}, {"hash": hashes, "ends": ends, "text": np.frombuffer(b"".join(words), np.uint8), "count": counts})
+
+
+def gram_part(keys: np.ndarray, own: np.ndarray, trie: Trie) -> tuple[np.ndarray, bytes]:
+    """Keys and bytes of a range of n-grams (place of the context * words + word) of the first level that the trie lacks."""
+    if not len(keys):
+        return keys, b""
+    context, word = keys // trie.n, keys % trie.n
+    if not trie.level:
+        above = trie.at.gather("count", context)
+        lower = (trie.at.gather("count", word) + 1) / (trie.total + trie.distinct + 1)
+    else:
+        # Both parts of a kept trigram are kept bigrams, so its shorter context has the word too.
+        level = trie.level[0]
+        above = level.gather("count", context)
+        parents, back = np.unique(context, return_inverse=True)
+        last = (level.keys(parents) % trie.n)[back]
+        middle, back = np.unique(last * trie.n + word, return_inverse=True)
+        lower = (level.take("count", level.find(middle))[back] - DISCOUNT) / trie.at.gather("count", last)
+    prob = (own - DISCOUNT) / above
+    contexts, at = np.unique(context, return_index=True)
+    left, rest = 1 - np.add.reduceat(prob, at), 1 - np.add.reduceat(lower, at)
+    weight = np.where((left > 0) & (rest > 0), np.maximum(left, 1e-12) / np.maximum(rest, 1e-12), 1.0)
+    head, arrays = packed_sequence("key", keys)
+    more, others = packed_sequence("context", contexts)
+    arrays |= others | {"prob": quantise(np.log10(np.maximum(prob, 1e-12))), "back": quantise(np.log10(weight))}
+    if not trie.level:  # the next level is built on these
+        arrays["count"] = own.astype(np.uint32) if own.max() < 1 << 32 else own
+    return keys, pack(head | more, arrays)
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path of a shared folder as the machines see it, if it is mounted there."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/docketry/{name}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    for at in range(0, len(content), 1 << 20):
-        out.write(bytearray(content[at : at + (1 << 20)]))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.toUri().getPath() if system.getUri().getScheme() == "file" else None
 
 
-def open_trie(name: str) -> Trie:
-    """The worker's map of a published trie."""
+def add_level(model: Model, rows: DataFrame, code) -> Model:
+    """The model with one more level: ``code`` makes keys and bytes of a part from each partition of ``rows``."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "lm-trie")
+    folder = mounted(spark, path)
+    schema = "first bigint, last bigint, entries bigint, file string, at bigint, content binary"
+
+    def run(batches):
+        keys, content = code(batches, open_trie(model))
+        if not len(keys):
+            return
+        file, pieces = None, range(0, len(content), PIECE)
+        if folder:
+            os.makedirs(folder + "-parts", exist_ok=True)
+            with tempfile.NamedTemporaryFile(dir=folder + "-parts", delete=False) as out:
+                out.write(content)
+            os.chmod(out.name, 0o644)
+            file, content, pieces = out.name, b"", (0,)
+        for at in pieces:
+            row = {"first": int(keys[0]), "last": int(keys[-1]), "entries": len(keys), "file": file, "at": at, "content": content[at : at + PIECE]}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.int64()) for c in ("first", "last", "entries")] + [("file", pa.string()), ("at", pa.int64()), ("content", pa.binary())]))
+
+    rows.mapInArrow(run, schema).write.parquet(path)
+    name = F.coalesce("file", F.regexp_extract("_metadata.file_path", "[^/]+$", 0))
+    stored = spark.read.schema(schema).parquet(path)
+    parts = stored.groupBy("first", "last", "entries").agg(F.sort_array(F.collect_set(name)).alias("files")).collect()
+    level = tuple(sorted((r["first"], r["last"], r["entries"], tuple(r["files"])) for r in parts))
+    for file in sorted({f for *_, files in level for f in files if not os.path.isabs(f)}):
+        spark.sparkContext.addFile(f"{path}/{file}")
+    return replace(model, label=uuid.uuid4().hex, levels=(*model.levels, level))
+
+
+def open_trie(model: Model) -> Trie:
+    """The worker's maps of a published trie."""
     cache = worker_cache()
-    if cache.get("trie_name") != name:
-        cache["trie"], cache["trie_name"] = Trie(np.memmap(SparkFiles.get(name), np.uint8, "r")), name
+    if cache.get("trie_name") != model.label:
+        cache["trie"], cache["trie_name"] = Trie(model), model.label
     return cache["trie"]
 
 
-def token_ids(at: dict, end: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word numbers of the texts with their ends, marks of first tokens, and the words."""
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    ids = np.full(sizes.sum(), end, np.int64)
-    first, start = np.zeros(len(ids), bool), 0
-    for own in words:
-        first[start] = True
-        ids[start : start + len(own)] = np.fromiter(map(at.get, own, repeat(-1)), np.int64, len(own))
-        start += len(own) + 1
-    return ids, first, words
+def least_count(counts: DataFrame, most: int | None, least: int) -> int:
+    """The count from which rows are kept: ``least``, or more if the caller wants at most ``most`` rows.
 
-
-def frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
-    """Rows whose count ``n`` is at least ``least`` and passes the cut that keeps at most ``most`` rows.
-
-    Counts are grouped by sixteenths of their binary logarithm, about a thousand groups whatever the input.
+    For a limit, counts are grouped by sixteenths of their binary logarithm, about a thousand groups whatever the input.
     """
+    if most is None:
+        return least
     group = F.when(F.col("n") <= 16, F.col("n").cast("double")).otherwise(16 + F.floor((F.log2("n") - 4) * 16))
     found = sorted(counts.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).collect(), reverse=True)
-    cut, kept = None, 0
+    cut, kept = 1 << 62, 0
     for row in found:
         kept += row["k"]
         if kept > most or row["n"] < least:
             break
         cut = row["n"]
-    return counts.where(F.col("n") >= cut) if cut is not None else counts.where("false")
+    return cut
 
 
-def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[str, DataFrame]:
-    """Count ``docs`` (text), publish the trie and return its name and all word counts (word, n)."""
+def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
+    """Count ``docs`` (text), build and publish the trie and return it and all word counts (word, n)."""
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col("text").alias("text"))
@@ -281,27 +566,38 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[str, DataFrame]:
 
     words = cut_lineage(texts.mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most ``sizes.words`` rows and the end reach the driver; ids follow the words.
-    top = {bytes(r["word"]): r["n"] for r in frequent(words, sizes.words, 1).collect()}
-    if distinct:
-        top[END] = words.where(F.col("word") == F.lit(bytearray(END))).first()["n"]
-    kept = sorted(top.items())
-    n = max(len(kept), 1)
-    shared = spark.sparkContext.broadcast([w for w, _ in kept])
-
-    def count_grams(keys_of):
-        def run(batches):
-            at = {w: i for i, w in enumerate(shared.value)}
+    cut = least_count(words, sizes.words, sizes.least)
+    hashed = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("bigint")
+    kept = words.where((F.col("n") >= cut) | (F.col("word") == F.lit(bytearray(END)))).select(hashed.alias("key"), "word", "n")
+    size = kept.count()
+    ranges = size // PART + 1
+    ranged = kept.repartitionById(ranges, F.shiftright(F.shiftright("key", 40) * ranges, 20).cast("int"))
+    model = add_level(Model(uuid.uuid4().hex, total, distinct, size), ranged.sortWithinPartitions("key", "word"), word_part)
+
+    def add_grams(model, contexts, keys_of, most):
+        """``contexts`` of the level above are cut into equal ranges, for about ``PART`` tokens each."""
+        n, ranges = max(model.words, 1), total // PART + 1
+        borders = np.array([-(-i * contexts // ranges) * n for i in range(ranges)], np.int64)
+
+        def count(batches):
+            trie = open_trie(model)
             held, size = [], 0
 
             def flush():
                 keys, times = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times.astype(np.int64))], names=["key", "n"])
+                cuts = np.append(np.searchsorted(keys, borders), len(keys))
+                own = [(i, slice(cuts[i], cuts[i + 1])) for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
+                columns = [
+                    pa.array([i for i, _ in own], pa.int32()),
+                    pa.array([planes(np.diff(keys[x], prepend=0)) for _, x in own], pa.binary()),
+                    pa.array([planes(times[x]) for _, x in own], pa.binary()),
+                ]
+                return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "times"])
 
             for batch in batches:
                 for _, own in text_slices(batch, 0):
-                    ids, first, _ = token_ids(at, at.get(END, -1), own)
-                    held.append(keys_of(ids, first))
+                    ids, first, _ = trie.token_ids(own)
+                    held.append(keys_of(trie, ids, first))
                     size += len(held[-1])
                     if size > 6 * FLUSH:
                         yield flush()
@@ -309,52 +605,47 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[str, DataFrame]:
             if size:
                 yield flush()
 
-        rows = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        return cut_lineage(rows, "lm-grams")
-
-    def collect(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """At most ``most`` rows, by key."""
-        table = frequent(rows, most, sizes.least).toArrow()
-        keys, times = table.column("key").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        return keys[order], times[order]
-
-    def bigram_keys(ids, first):
-        which = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]) + 1
-        return ids[which - 1] * n + ids[which]
-
-    bigrams = collect(count_grams(bigram_keys), sizes.bigrams)
-    known = spark.sparkContext.broadcast(bigrams[0])  # at most ``sizes.bigrams`` numbers
-
-    def trigram_keys(ids, first):
-        pairs = known.value
-        if not len(pairs) or len(ids) < 3:
-            return np.zeros(0, np.int64)
-        key = np.where((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:], ids[:-1] * n + ids[1:], -1)
-        place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        place = np.where(pairs[place] == key, place, -1)
+        def sums(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(range_counts(batches)[1])], names=["n"])
+
+        sent = texts.mapInArrow(count, "range int, keys binary, times binary").repartitionById(ranges, "range")
+        cut = least_count(sent.mapInArrow(sums, "n bigint"), most, sizes.least)
+
+        def code(batches, trie):
+            keys, n = range_counts(batches)
+            return gram_part(keys[n >= cut], n[n >= cut], trie)
+
+        return add_level(model, sent, code)
+
+    def bigram_keys(trie, ids, first):
+        which = bigram_ends(ids, first)
+        return ids[which - 1] * trie.n + ids[which]
+
+    def trigram_keys(trie, ids, first):
+        place, _ = trie.bigrams(ids, first)
         which = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1
-        return place[which - 1] * n + ids[which + 1]
+        return place[which - 1] * trie.n + ids[which]
 
-    trigrams = collect(count_grams(trigram_keys), sizes.trigrams)
-    return publish(spark, build(kept, bigrams, trigrams, total, distinct)), words
+    model = add_grams(model, size, bigram_keys, sizes.bigrams)
+    model = add_grams(model, sum(n for _, _, n, _ in model.levels[1]), trigram_keys, sizes.trigrams)
+    return model, words
 
 
-def score(docs: DataFrame, name: str, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document (doc_id, text)."""
     bound_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("digest"))
 
     def run(batches):
-        trie = open_trie(name)
+        trie = open_trie(model)
         for batch in batches:
             for part, texts in text_slices(batch, 1):
-                ids, first, words = token_ids(trie.at, trie.end, texts)
+                ids, first, flat = trie.token_ids(texts)
                 starts = np.flatnonzero(first)
                 known = (ids >= 0) & (trie.total > 0)
-                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), trie.unigrams(ids), trie.score(ids, first))]
+                unigrams = trie.unigrams(ids)
+                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), unigrams, trie.score(ids, first, unigrams))]
                 sizes = np.diff(np.append(starts, len(ids)))
-                flat = [w for own in words for w in (*own, END)]
                 missing = np.flatnonzero((ids < 0) & (np.arange(len(ids)) != np.append(starts[1:], len(ids)).repeat(sizes) - 1))
                 offsets = np.searchsorted(missing, np.append(starts, len(ids))).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array([flat[i] for i in missing], pa.binary()))

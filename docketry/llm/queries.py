@@ -111,8 +111,8 @@ def op5_minhash_forest(spark: SparkSession, root: str) -> DataFrame:
 def op6_elias_fano_ngrams(spark: SparkSession, root: str) -> DataFrame:
     docs = read_table(spark, root, "documents")
     held_out = F.coalesce(bucket_of("doc_id", 7) == 2, F.lit(False))
-    name, words = ngrams.train(docs.where(~held_out))
-    return ngrams.score(docs, name, words).withColumn("held_out", held_out).select(
+    model, words = ngrams.train(docs.where(~held_out))
+    return ngrams.score(docs, model, words).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -471,6 +472,54 @@ def test_scores_are_exact_below_and_sum_to_one(spark, docs, odd):
         assert sums == pytest.approx(1, abs=2e-3)
 
 
+@pytest.mark.parametrize("shared", ["mounted", "remote"])
+def test_trie_holds_every_repeated_ngram_in_parts(spark, monkeypatch, shared):
+    monkeypatch.setattr(ngrams, "PART", 30_000)
+    if shared == "remote":
+        monkeypatch.setattr(ngrams, "mounted", lambda spark, path: None)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{100 * i + j}" if rng.random() < 0.7 else "the" for j in range(100)) for i in range(900)]
+    texts = [t for t in texts for _ in range(2)] + ["the w5 the w7 new the the", "w1 w2 w1 w2 w3", "", "unseen"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model, words = ngrams.train(rows.where("doc_id < 1802"))
+    counts = [Counter(), Counter(), Counter()]
+    for text in texts[:1802]:
+        own = [*text.split(), ""]
+        for k in range(3):
+            counts[k].update(zip(*[own[i:] for i in range(k + 1)]))
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    kept = [{g: n for g, n in level.items() if n >= 2} for level in counts]
+    assert [len(level) for level in kept] == [sum(n for _, _, n, _ in parts) for parts in model.levels]
+    assert len(kept[0]) > 60_000 and min(map(len, model.levels)) > 1
+    sums = Counter(), Counter()  # of the kept children of a context: probabilities, and those of the shorter context
+
+    def log(g):
+        if len(g) == 1:
+            return math.log10((counts[0][g] + 1) / (total + distinct + 1))
+        if g in kept[len(g) - 1]:
+            return math.log10((kept[len(g) - 1][g] - 0.75) / counts[len(g) - 2][g[:-1]])
+        own, lower = (s[g[:-1]] for s in sums)
+        return log(g[1:]) + (math.log10((1 - own) / (1 - lower)) if own and own < 1 and lower < 1 else 0.0)
+
+    for k in (1, 2):
+        for g in kept[k]:
+            sums[0][g[:-1]] += 10 ** log(g)
+            sums[1][g[:-1]] += 10 ** log(g[1:])
+    got = {r["doc_id"]: r["score"] for r in ngrams.score(rows, model, words).collect()}
+    for i, text in enumerate(texts):
+        own = [*text.split(), ""]
+        want = sum(log(tuple(own[max(0, j - 2) : j + 1])) for j in range(len(own)))
+        assert got[i] == pytest.approx(want, abs=2e-3 * len(own)), text
+
+
+def test_words_with_equal_hashes_stay_apart(spark, monkeypatch):
+    table = pa.table({"key": [5, 5, 7], "word": [b"a", b"b", b"c"], "n": [1, 2, 3]})
+    level = ngrams.Words(((5, 7, 3, ("x",)),), 1)
+    level.opened[0] = ngrams.Part(np.frombuffer(ngrams.word_part(table.to_batches(), None)[1], np.uint8))
+    monkeypatch.setattr(ngrams, "word_hash", lambda w: {b"c": 7}.get(w, 5))
+    assert level.numbers([b"d", b"c", b"b", b"a"]) == [-1, 2, 1, 0] and list(level) == [b"a", b"b", b"c"]
+
+
 def trie_word(trie, at):
     return list(trie.at)[at]
 
