@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import changes as ch, digests as dg, filings as fl, numbering as nb
 from docketry.operators.classify import Category
+from docketry.operators import matching
 from docketry.operators.matching import containing_pairs, first_containing, text_pieces
 
 
@@ -123,6 +124,20 @@ def test_name_resolution(spark):
     assert got == {"대한": "000030", " 전자 ": "000040", "123456": "123456", "한": "000010", "없음": "없음", "항공": "000010"}
 
 
+def test_names_of_one_file_are_cut_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PIECES", 2000)
+    names = spark.range(3000, numPartitions=1).select(F.col("id").alias("ord"), F.format_string("Name#%06d", F.col("id") % 1000).alias("name"))
+    needles = spark.createDataFrame([("7",), ("42",), ("#000123",), ("none",), ("",)], "text string")
+    pieces = matching.spread_pieces(names, [1, 2, 4, 7], "text", "name", F.col("ord"))
+    loads = [r["count"] for r in pieces.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    each = len({(w, "Name#000007"[i : i + w]) for w in (1, 2, 4, 7) for i in range(11 - w + 1)})
+    assert len(loads) > 30 and max(loads) < 3 * 2000 and sum(loads) > 1000 * each / 2
+    got = {r.text: r["first"] for r in first_containing(needles, names, "text", "name", F.col("ord")).collect()}
+    assert got == {"7": 7, "42": 42, "#000123": 123}
+    assert first_containing(needles.where("false"), names, "text", "name", F.col("ord")).count() == 0
+    assert first_containing(needles, names.where("false"), "text", "name", F.col("ord")).count() == 0
+
+
 def test_merge_keeps_the_first_source_and_all_names(spark):
     cols = "code string, rcept_no string, title string, received_on string, source string"
     a = spark.createDataFrame([("1", "r1", "A", "2026-01-01", "list")] * 50 + [("2", "r2", "B", "2026-01-01", "list")], cols)
