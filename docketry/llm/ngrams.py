@@ -36,6 +36,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +148,11 @@ class EliasFano:
             return np.full(len(keys), -1, np.int64)
         keys = keys.astype(np.uint64)
         high, low = (keys >> self.bits).astype(np.int64), keys & ((np.uint64(1) << self.bits) - np.uint64(1))
-        border = np.unique(np.concatenate((high, high - 1)))  # rank of the zero before a high part, and of the one after
-        ones = np.where(border >= 0, self.select_zero(np.maximum(border, 0)) - border, 0)
-        start, end = ones[np.searchsorted(border, high - 1)], ones[np.searchsorted(border, high)]
+        new = np.concatenate(([True], high[1:] != high[:-1]))
+        which, parts = np.cumsum(new) - 1, high[new]
+        # The zero that ends the part before, and the one that ends a part.
+        start = np.where(parts > 0, self.select_zero(np.maximum(parts - 1, 0)) - parts + 1, 0)[which]
+        end = (self.select_zero(parts) - parts)[which]
         first, todo = start.copy(), np.flatnonzero(start < end)
         until = end.copy()
         while len(todo):
@@ -359,12 +362,14 @@ class Trie:
             flat += own
             flat.append(END)
             sizes[i] = len(own) + 1
-        room = KNOWN - len(self.known)
-        fresh = list(set(flat).difference(self.known))
-        self.known.update(zip(fresh, self.at.numbers(fresh)))
-        ids = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        for word in fresh[room:]:
-            del self.known[word]
+        words = pa.array(flat, pa.large_binary()).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.get, different, repeat(-2)), np.int64, len(different))
+        places = np.flatnonzero(numbers == -2)
+        fresh = [different[i] for i in places.tolist()]
+        numbers[places] = found = self.at.numbers(fresh)
+        self.known.update(zip(fresh[: KNOWN - len(self.known)], found))
+        ids = numbers[words.indices.to_numpy()]
         first = np.zeros(len(flat), bool)
         first[np.cumsum(sizes) - sizes] = True
         return ids, first, flat
