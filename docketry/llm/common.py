@@ -37,19 +37,24 @@ def bucket_of(key: str, modulus: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
 
 
-def text_slices(batch: pa.RecordBatch, text_index: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Runs of rows with at most about ``most`` text bytes (one row at least) and their texts, null as empty."""
+def row_slices(batch: pa.RecordBatch, text_index: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most about ``most`` text bytes (one row at least)."""
     column = batch.column(text_index)
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
     start = 0
     while start < len(column):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
-        part = batch.slice(start, stop - start)
-        yield part, [t or "" for t in part.column(text_index).to_pylist()]
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def text_slices(batch: pa.RecordBatch, text_index: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The slices of ``row_slices`` and their texts, null as empty."""
+    for part in row_slices(batch, text_index, most):
+        yield part, [t or "" for t in part.column(text_index).to_pylist()]
+
+
 def code_points(text: str) -> np.ndarray:
     """The code points of a text as 32-bit integers."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -33,10 +33,8 @@ import json
 import os
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +44,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bound_batches, text_slices, worker_cache
+from docketry.llm.common import BATCH_BYTES, bound_batches, mix64, row_slices, worker_cache
 from docketry.session import cut_lineage, scratch_path
 
 DISCOUNT = 0.75
@@ -57,8 +55,8 @@ END = b""  # no word is empty
 FLUSH = 400_000
 #: Entries of a level that one task codes as a part.
 PART = 2_000_000
-#: Words whose numbers a worker remembers, the first it meets.
-KNOWN = 150_000
+#: Bytes up to which a word is hashed with the others of its slice.
+LONG = 1 << 12
 #: Bytes of a part that go into one row.
 PIECE = 4 << 20
 #: Places of the set bits of each byte.
@@ -147,22 +145,29 @@ class EliasFano:
         if not len(self.low) or not len(keys):
             return np.full(len(keys), -1, np.int64)
         keys = keys.astype(np.uint64)
-        high, low = (keys >> self.bits).astype(np.int64), keys & ((np.uint64(1) << self.bits) - np.uint64(1))
-        new = np.concatenate(([True], high[1:] != high[:-1]))
-        which, parts = np.cumsum(new) - 1, high[new]
-        # The zero that ends the part before, and the one that ends a part.
-        start = np.where(parts > 0, self.select_zero(np.maximum(parts - 1, 0)) - parts + 1, 0)[which]
-        end = (self.select_zero(parts) - parts)[which]
-        first, todo = start.copy(), np.flatnonzero(start < end)
-        until = end.copy()
-        while len(todo):
-            middle = (first[todo] + until[todo]) >> 1
-            below = self.low[middle] < low[todo]
-            first[todo] = np.where(below, middle + 1, first[todo])
-            until[todo] = np.where(below, until[todo], middle)
-            todo = todo[first[todo] < until[todo]]
-        here = (first < end) & (self.low[np.minimum(first, len(self.low) - 1)] == low)
-        return np.where(here, first, -1)
+        parts = (keys >> self.bits).astype(np.int64)
+        new = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+        times = np.diff(new, prepend=0, append=len(parts))
+        parts = parts[np.concatenate((np.zeros(1, np.int64), new))]
+        # A part begins behind the zero that ends the one before; it has an entry for each one bit before its own zero.
+        at = np.where(parts > 0, self.select_zero(np.maximum(parts - 1, 0)) + 1, 0)
+        rest = ~(self.words[at >> 6] >> (at & 63).astype(np.uint64))
+        ones = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        over = np.flatnonzero(ones == 64 - (at & 63))  # the zero is in a later word
+        ones[over] = self.select_zero(parts[over]) - at[over]
+        first, ones = np.repeat(at - parts, times), np.repeat(ones, times)
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.flatnonzero(ones)
+        first, ones = first[todo], ones[todo]
+        low = (keys[todo] & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(self.low.dtype)
+        # The last entry that is not above a key, by halving.
+        while ones.max(initial=1) > 1:
+            half = ones >> 1
+            first = np.where(self.low[first + half] <= low, first + half, first)
+            ones = ones - half
+        here = self.low[first] == low
+        out[todo[here]] = first[here]
+        return out
 
 
 def pack(head: dict, arrays: dict[str, np.ndarray]) -> bytes:
@@ -298,19 +303,57 @@ class Level:
         return np.concatenate([self.part(i).arrays["key_low"] for i in range(len(self.files))] or [np.zeros(0, np.uint16)])
 
 
+def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Lower-cased words of the texts, each text with its end (the empty word), and how many there are in each text."""
+    texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")  # copied, as a cast slice is lower-cased wrongly
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # The split leaves an empty word behind a last blank; an empty text is one already.
+    blanks = pc.if_else(pc.equal(texts, ""), "", " ").cast(pa.large_string())
+    words = pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, blanks, pa.scalar("", pa.large_string())))
+    return words.flatten().dictionary_encode(), pc.list_value_length(words).to_numpy()
+
+
+def ends_and_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places in their joined bytes where words (large binary) begin, with the end of the last one, and these bytes."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, ends, content = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    return ends - ends[0], np.frombuffer(content or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """60 bits of each word: its bytes, weighted by their places, and its length; of a long word also its MD5."""
+    whole = pa.concat_arrays([words]).cast(pa.large_binary())
+    sizes = pc.binary_length(whole).to_numpy().astype(np.uint64)
+    long = np.flatnonzero(sizes > LONG)
+    words = pc.binary_slice(whole, 0, LONG) if len(long) else whole
+    ends, content = ends_and_bytes(words)
+    place = np.arange(len(content)) - np.repeat(ends[:-1], np.diff(ends))
+    weights = mix64(np.arange(1, int(place.max(initial=0)) + 2, dtype=np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weights[place] * content)))  # they wrap, and so do their differences
+    sums = sums[ends[1:]] - sums[ends[:-1]] + sizes
+    digests = [hashlib.md5(whole[i].as_buffer(), usedforsecurity=False).digest() for i in long.tolist()]
+    sums[long] += np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)[:, 0]
+    return (mix64(sums) >> np.uint64(4)).astype(np.int64)
+
+
 def word_hash(word: bytes) -> int:
-    """The first 60 bits of a word's MD5."""
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+    """The hash of one word."""
+    return int(word_hashes(pa.array([word], pa.large_binary()))[0])
 
 
 class Words(Level):
     """The words, numbered by their hashes."""
 
     def numbers(self, words: list[bytes]) -> list[int]:
+        """Number of each word, or -1."""
+        return self.places(pa.array(words, pa.large_binary()), np.array([word_hash(w) for w in words], np.int64)).tolist()
+
+    def places(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, or -1: words with its hash are compared byte by byte."""
-        hashes = np.array([word_hash(w) for w in words], np.int64)
         order, out = np.argsort(hashes), np.full(len(words), -1, np.int64)
-        hashes, asked = hashes[order], pa.array(words, pa.large_binary()).take(pa.array(order))
+        hashes, asked = hashes[order], words.take(pa.array(order))
         for i, own in self.cuts(self.first, hashes):
             arrays, wanted = self.part(i).arrays, hashes[own]
             table = arrays["hash"]
@@ -322,7 +365,7 @@ class Words(Level):
                 out[order[todo[same] + own.start]] = places[todo[same]] + self.start[i]
                 todo = todo[~same]
                 places[todo] += 1
-        return out.tolist()
+        return out
 
     def __contains__(self, word: bytes) -> bool:
         return self.get(word) is not None
@@ -351,28 +394,15 @@ class Trie:
         self.at = Words(model.levels[0] if model.levels else (), 1)
         self.level = [Level(parts, self.n) for parts in model.levels[1:]]
         self.end = self.at.get(END, -1)
-        self.known: dict[bytes, int] = {}
-
-    def token_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Word numbers of the texts with their ends, marks of first tokens, and the words with their ends."""
-        flat: list[bytes] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.encode("utf-8", "surrogatepass").lower().split()
-            flat += own
-            flat.append(END)
-            sizes[i] = len(own) + 1
-        words = pa.array(flat, pa.large_binary()).dictionary_encode()
-        different = words.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.known.get, different, repeat(-2)), np.int64, len(different))
-        places = np.flatnonzero(numbers == -2)
-        fresh = [different[i] for i in places.tolist()]
-        numbers[places] = found = self.at.numbers(fresh)
-        self.known.update(zip(fresh[: KNOWN - len(self.known)], found))
-        ids = numbers[words.indices.to_numpy()]
-        first = np.zeros(len(flat), bool)
+
+    def token_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """Word numbers of the texts with their ends, marks of first tokens, the numbers of the different words, and the words."""
+        words, sizes = tokens(texts)
+        different = words.dictionary.cast(pa.large_binary())
+        numbers = self.at.places(different, word_hashes(different))
+        first = np.zeros(len(words), bool)
         first[np.cumsum(sizes) - sizes] = True
-        return ids, first, flat
+        return numbers[words.indices.to_numpy()], first, numbers, words
 
     def unigrams(self, ids: np.ndarray) -> np.ndarray:
         """Exact unigram logarithms of words of the trie; 0 for others."""
@@ -447,9 +477,8 @@ def word_part(batches: Iterator[pa.RecordBatch], trie: Trie) -> tuple[np.ndarray
         return np.zeros(0, np.int64), b""
     table = pa.Table.from_batches(held)
     hashes, counts = (table.column(c).to_numpy() for c in ("key", "n"))
-    words = table.column("word").to_pylist()
-    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
-    return hashes, pack({}, {"hash": hashes, "ends": ends, "text": np.frombuffer(b"".join(words), np.uint8), "count": counts})
+    ends, text = ends_and_bytes(table.column("word").cast(pa.large_binary()).combine_chunks())
+    return hashes, pack({}, {"hash": hashes, "ends": ends, "text": text, "count": counts})
 
 
 def gram_part(keys: np.ndarray, own: np.ndarray, trie: Trie) -> tuple[np.ndarray, bytes]:
@@ -553,35 +582,41 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
     texts = docs.select(F.col("text").alias("text"))
 
     def count_words(batches):
-        seen: Counter = Counter()
+        held, size = [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
         for batch in batches:
-            for _, own in text_slices(batch, 0):
-                for text in own:
-                    seen.update(text.encode("utf-8", "surrogatepass").lower().split())
-                seen[END] += len(own)
-            if len(seen) > FLUSH:
-                yield flush()
-        yield flush()
+            for part in row_slices(batch, 0, BATCH_BYTES):
+                own, _ = tokens(part.column(0))
+                n = np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary))
+                held.append(pa.RecordBatch.from_arrays([own.dictionary.cast(pa.binary()), pa.array(n, pa.int64())], names=["word", "n"]))
+                size += len(n)
+                if size > 4 * FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
 
     words = cut_lineage(texts.mapInArrow(count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     cut = least_count(words, sizes.words, sizes.least)
-    hashed = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("bigint")
-    kept = words.where((F.col("n") >= cut) | (F.col("word") == F.lit(bytearray(END)))).select(hashed.alias("key"), "word", "n")
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column(0))), *batch.columns], names=["key", "word", "n"])
+
+    kept = words.where((F.col("n") >= cut) | (F.col("word") == F.lit(bytearray(END)))).select("word", "n")
     size = kept.count()
+    kept = kept.mapInArrow(hashed, "key bigint, word binary, n bigint")
     ranges = size // PART + 1
     ranged = kept.repartitionById(ranges, F.shiftright(F.shiftright("key", 40) * ranges, 20).cast("int"))
     model = add_level(Model(uuid.uuid4().hex, total, distinct, size), ranged.sortWithinPartitions("key", "word"), word_part)
 
     def add_grams(model, contexts, keys_of, most):
-        """``contexts`` of the level above are cut into equal ranges, for about ``PART`` tokens each."""
-        n, ranges = max(model.words, 1), total // PART + 1
+        """``contexts`` of the level above are cut into equal ranges, for about ``2 * PART`` tokens each."""
+        n, ranges = max(model.words, 1), total // (2 * PART) + 1
         borders = np.array([-(-i * contexts // ranges) * n for i in range(ranges)], np.int64)
 
         def count(batches):
@@ -600,9 +635,8 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
                 return pa.RecordBatch.from_arrays(columns, names=["range", "keys", "times"])
 
             for batch in batches:
-                for _, own in text_slices(batch, 0):
-                    ids, first, _ = trie.token_ids(own)
-                    held.append(keys_of(trie, ids, first))
+                for part in row_slices(batch, 0, BATCH_BYTES):
+                    held.append(keys_of(trie, *trie.token_ids(part.column(0))[:2]))
                     size += len(held[-1])
                     if size > 6 * FLUSH:
                         yield flush()
@@ -644,16 +678,16 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     def run(batches):
         trie = open_trie(model)
         for batch in batches:
-            for part, texts in text_slices(batch, 1):
-                ids, first, flat = trie.token_ids(texts)
+            for part in row_slices(batch, 1, BATCH_BYTES):
+                ids, first, numbers, found = trie.token_ids(part.column(1))
                 starts = np.flatnonzero(first)
                 known = (ids >= 0) & (trie.total > 0)
-                unigrams = trie.unigrams(ids)
+                unigrams = trie.unigrams(numbers)[found.indices.to_numpy()]
                 sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), unigrams, trie.score(ids, first, unigrams))]
                 sizes = np.diff(np.append(starts, len(ids)))
                 missing = np.flatnonzero((ids < 0) & (np.arange(len(ids)) != np.append(starts[1:], len(ids)).repeat(sizes) - 1))
                 offsets = np.searchsorted(missing, np.append(starts, len(ids))).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array([flat[i] for i in missing], pa.binary()))
+                rare = pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(missing)).dictionary_decode().cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(sizes), *[pa.array(s) for s in sums], rare],
                     names=["doc_id", "digest", "n_tokens", "n_known", "base", "model", "rare"],

@@ -520,6 +520,47 @@ def test_words_with_equal_hashes_stay_apart(spark, monkeypatch):
     assert level.numbers([b"d", b"c", b"b", b"a"]) == [-1, 2, 1, 0] and list(level) == [b"a", b"b", b"c"]
 
 
+def test_tokens_and_hashes_of_whole_columns():
+    rnd = random.Random(8)
+    alphabet = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u3000", "\0", "A", "Z", "a", "\u00c9", "\u0130", "\u212a", "\U0001f600"]
+    texts = [None, "", " ", "\n \t", "A", " A  b ", "x" * 9000 + " " + "x" * 8999 + "y"]
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    whole = pa.array([f"Ab {i} cD" + "x" * (i % 7) + (t or "") for i, t in enumerate(texts)])
+    columns = [pa.array(["cut", *texts]).slice(1), whole.slice(20, 200), whole.cast(pa.large_string()).slice(20), pa.array(texts, pa.large_string()), pa.array([], pa.string())]
+    for column in columns:
+        words, sizes = ngrams.tokens(column)
+        want = [[*re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(words_of(t))).split(" "), ""] if words_of(t) else [""] for t in column.to_pylist()]
+        assert words.to_pylist() == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+        different = words.dictionary.cast(pa.large_binary())
+        hashes = ngrams.word_hashes(different)
+        assert hashes.tolist() == [ngrams.word_hash(w) for w in different.to_pylist()] == ngrams.word_hashes(different.cast(pa.binary())).tolist()
+        assert len(set(hashes.tolist())) == len(hashes) and all(0 <= h < 1 << 60 for h in hashes.tolist())
+        assert ngrams.word_hashes(different.slice(1)).tolist() == ngrams.word_hashes(different.cast(pa.binary()).slice(1)).tolist() == hashes.tolist()[1:]
+
+
+def test_no_python_call_per_word(monkeypatch):
+    words = sorted({f"w{i * 7919 % 10_007}" for i in range(9000)})
+    hashes = np.array([ngrams.word_hash(w.encode()) for w in words])
+    order = np.argsort(hashes)
+    table = pa.table({"key": hashes[order], "word": pa.array([words[i].encode() for i in order], pa.binary()), "n": np.full(len(words), 3)})
+    content = ngrams.word_part(table.to_batches(), None)[1]
+    trie = ngrams.Trie(ngrams.Model("", 9, 9, len(words), (((int(hashes.min()), int(hashes.max()), len(words), ("x",)),),)))
+    trie.at.opened[0] = ngrams.Part(np.frombuffer(content, np.uint8))
+    calls = []
+    monkeypatch.setattr(ngrams.hashlib, "md5", lambda *a, **b: calls.append(a))
+    ids, first, *_ = trie.token_ids(pa.array([" ".join(words).upper(), None, "unseen " + words[0]]))
+    assert not calls and first.nonzero()[0].tolist() == [0, len(words) + 1, len(words) + 2]
+    assert [words[order[i]] if i >= 0 else "" for i in ids.tolist()] == [*words, "", "", "", words[0], ""]
+
+
+def test_elias_fano_finds_numbers_in_long_parts():
+    for values, universe in ((np.arange(1000, 1700), 1 << 20), (np.concatenate((np.arange(64), np.arange(70_000, 70_128), [99_999])), 100_000), (np.arange(256), 256)):
+        own = ngrams.EliasFano(*ngrams.EliasFano.encode(values, universe))
+        place = {v: i for i, v in enumerate(values.tolist())}
+        probe = np.arange(min(universe, 1 << 17))
+        assert own.find(probe).tolist() == [place.get(v, -1) for v in probe.tolist()]
+
+
 def trie_word(trie, at):
     return list(trie.at)[at]
 
