@@ -12,8 +12,8 @@ context: probabilities over all words sum to one. Logarithms are kept in 16 bits
 
 A level numbers its entries; the children of entry p are the numbers ``p * words + w``, one rising sequence over
 the level. It is cut into ranges of contexts; counting tasks send each range its numbers, rising, as differences, and one
-task adds them up, drops the rare ones and codes the rest: Elias-Fano coding stores the range as low bits and
-a bit vector of high parts, and the number of an entry is its place in it after the entries of earlier ranges. A lookup
+task adds them up, range by range, drops the rare ones and codes the rest of some ranges as a part: Elias-Fano coding stores the part as low bits and
+a bit vector of high parts, and the number of an entry is its place in it after the entries of earlier parts. A lookup
 selects the zero that ends the part before the wanted one and walks to the successor. Words are numbered by a hash, and
 their bytes are compared, so equal hashes do no harm.
 The tasks write their parts into the shared folder, where workers map them into memory. If that folder is not mounted but
@@ -53,8 +53,10 @@ LOW_LOG, HIGH_LOG = -12.0, 4.0
 END = b""  # no word is empty
 #: Distinct entries that a counting task holds before it hands them on.
 FLUSH = 400_000
-#: Entries of a level that one task codes as a part.
+#: Entries of a level that are coded as a part; it ends with a range, so it may hold some more.
 PART = 2_000_000
+#: Ranges that one task counts, one after the other, and the tasks that there are at least, if there are as many ranges.
+RANGES, TASKS = 16, 24
 #: Bytes up to which a word is hashed with the others of its slice.
 LONG = 1 << 12
 #: Bytes of a part that go into one row.
@@ -146,15 +148,15 @@ class EliasFano:
             return np.full(len(keys), -1, np.int64)
         keys = keys.astype(np.uint64)
         parts = (keys >> self.bits).astype(np.int64)
-        new = np.flatnonzero(parts[1:] != parts[:-1]) + 1
-        times = np.diff(new, prepend=0, append=len(parts))
-        parts = parts[np.concatenate((np.zeros(1, np.int64), new))]
+        new = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
+        parts, times = parts[new[:-1]], new[1:] - new[:-1]
         # A part begins behind the zero that ends the one before; it has an entry for each one bit before its own zero.
         at = np.where(parts > 0, self.select_zero(np.maximum(parts - 1, 0)) + 1, 0)
         rest = ~(self.words[at >> 6] >> (at & 63).astype(np.uint64))
         ones = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
         over = np.flatnonzero(ones == 64 - (at & 63))  # the zero is in a later word
-        ones[over] = self.select_zero(parts[over]) - at[over]
+        if len(over):
+            ones[over] = self.select_zero(parts[over]) - at[over]
         first, ones = np.repeat(at - parts, times), np.repeat(ones, times)
         out = np.full(len(keys), -1, np.int64)
         todo = np.flatnonzero(ones)
@@ -192,21 +194,22 @@ def packed_sequence(name: str, values: np.ndarray) -> tuple[dict, dict[str, np.n
     return {f"{name}_bits": bits, f"{name}_first": int(values[0]), f"{name}_last": int(values[-1])}, arrays
 
 
-def open_part(files: tuple[str, ...]) -> np.ndarray:
-    """The memory map of a part; if Spark handed it out, the first worker of a machine unpacks it."""
+def open_part(files: tuple[str, ...], first: int) -> np.ndarray:
+    """The memory map of the part with this first key; if Spark handed it out, the first worker of a machine unpacks it."""
     path = files[0]
     if not os.path.isabs(path):
-        path = SparkFiles.get(path + ".part")
+        path = SparkFiles.get(f"{path}.{first}.part")
         with open(path + ".lock", "w") as lock:
             fcntl.flock(lock, fcntl.LOCK_EX)
             if not os.path.exists(path):
                 with open(path + ".new", "wb") as out:
                     for name in files:
-                        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1, columns=["at", "content"]):
-                            out.seek(batch.column(0)[0].as_py())
-                            out.write(batch.column(1)[0].as_buffer())
+                        for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1, columns=["first", "at", "content"]):
+                            if batch.column(0)[0].as_py() == first:
+                                out.seek(batch.column(1)[0].as_py())
+                                out.write(batch.column(2)[0].as_buffer())
                 os.replace(path + ".new", path)
-    return np.memmap(path, np.uint8, "r")
+    return np.memmap(path, np.uint8, "r").view(np.ndarray)
 
 
 class Part:
@@ -243,7 +246,7 @@ class Level:
 
     def part(self, i: int) -> Part:
         if i not in self.opened:
-            self.opened[i] = Part(open_part(self.files[i]))
+            self.opened[i] = Part(open_part(self.files[i], int(self.first[i])))
         return self.opened[i]
 
     def cuts(self, borders: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -456,18 +459,24 @@ def added_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
-def range_counts(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a range from what the counting tasks sent (keys as differences, n)."""
+def range_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each range from what the counting tasks sent (range: rising, keys as differences, n)."""
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held, size = [], 0
+    held, size, now = [], 0, None
     for batch in batches:
-        for key, times in zip(batch.column("keys"), batch.column("times")):
+        for place, key, times in zip(batch.column("range").to_pylist(), batch.column("keys"), batch.column("times")):
+            if place != now and now is not None:
+                yield added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
+                keys, n = keys[:0], n[:0]
+                held, size = [], 0
+            now = place
             held.append((np.cumsum(from_planes(key.as_py())), from_planes(times.as_py())))
             size += len(held[-1][0])
             if size > max(4 * FLUSH, len(keys)):
                 keys, n = added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
                 held, size = [], 0
-    return added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
+    if now is not None:
+        yield added_up(*[np.concatenate(x) for x in zip((keys, n), *held)])
 
 
 def word_part(batches: Iterator[pa.RecordBatch], trie: Trie) -> tuple[np.ndarray, bytes]:
@@ -518,16 +527,18 @@ def mounted(spark: SparkSession, path: str) -> str | None:
 
 
 def add_level(model: Model, rows: DataFrame, code) -> Model:
-    """The model with one more level: ``code`` makes keys and bytes of a part from each partition of ``rows``."""
+    """The model with one more level: ``code`` makes keys and bytes of parts from each partition of ``rows``."""
     spark = rows.sparkSession
     path = scratch_path(spark, "lm-trie")
     folder = mounted(spark, path)
     schema = "first bigint, last bigint, entries bigint, file string, at bigint, content binary"
 
     def run(batches):
-        keys, content = code(batches, open_trie(model))
-        if not len(keys):
-            return
+        for keys, content in code(batches, open_trie(model)):
+            if len(keys):
+                yield from written(keys, content)
+
+    def written(keys, content):
         file, pieces = None, range(0, len(content), PIECE)
         if folder:
             os.makedirs(folder + "-parts", exist_ok=True)
@@ -612,11 +623,15 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
     kept = kept.mapInArrow(hashed, "key bigint, word binary, n bigint")
     ranges = size // PART + 1
     ranged = kept.repartitionById(ranges, F.shiftright(F.shiftright("key", 40) * ranges, 20).cast("int"))
-    model = add_level(Model(uuid.uuid4().hex, total, distinct, size), ranged.sortWithinPartitions("key", "word"), word_part)
+    model = add_level(Model(uuid.uuid4().hex, total, distinct, size), ranged.sortWithinPartitions("key", "word"), lambda *x: [word_part(*x)])
 
     def add_grams(model, contexts, keys_of, most):
-        """``contexts`` of the level above are cut into equal ranges, for about ``2 * PART`` tokens each."""
+        """``contexts`` of the level above are cut into equal ranges, for about ``2 * PART`` tokens each.
+
+        A task counts some ranges, as what is found once is most of a range, and lookups take longer the more parts there are.
+        """
         n, ranges = max(model.words, 1), total // (2 * PART) + 1
+        tasks = max(-(-ranges // RANGES), min(ranges, TASKS))
         borders = np.array([-(-i * contexts // ranges) * n for i in range(ranges)], np.int64)
 
         def count(batches):
@@ -645,14 +660,23 @@ def train(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[Model, DataFrame]:
                 yield flush()
 
         def sums(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(range_counts(batches)[1])], names=["n"])
+            for _, n in range_counts(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
 
-        sent = texts.mapInArrow(count, "range int, keys binary, times binary").repartitionById(ranges, "range")
+        sent = texts.mapInArrow(count, "range int, keys binary, times binary")
+        sent = sent.repartitionById(tasks, F.expr(f"int(range * {tasks}L div {ranges})")).sortWithinPartitions("range")
         cut = least_count(sent.mapInArrow(sums, "n bigint"), most, sizes.least)
 
         def code(batches, trie):
-            keys, n = range_counts(batches)
-            return gram_part(keys[n >= cut], n[n >= cut], trie)
+            held, size = [], 0
+            for keys, n in range_counts(batches):
+                held.append((keys[n >= cut], n[n >= cut]))
+                size += len(held[-1][0])
+                if size >= PART:
+                    yield gram_part(*map(np.concatenate, zip(*held)), trie)
+                    held, size = [], 0
+            if size:
+                yield gram_part(*map(np.concatenate, zip(*held)), trie)
 
         return add_level(model, sent, code)
 

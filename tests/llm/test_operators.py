@@ -512,6 +512,27 @@ def test_trie_holds_every_repeated_ngram_in_parts(spark, monkeypatch, shared):
         assert got[i] == pytest.approx(want, abs=2e-3 * len(own)), text
 
 
+@pytest.mark.parametrize("shared", ["mounted", "remote"])
+def test_parts_hold_several_ranges(spark, monkeypatch, shared):
+    monkeypatch.setattr(ngrams, "PART", 500)
+    if shared == "remote":
+        monkeypatch.setattr(ngrams, "mounted", lambda spark, path: None)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randrange(900), rng.randrange(900))}" for _ in range(100)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    many, _ = ngrams.train(rows)
+    kept = [sum(n for _, _, n, _ in level) for level in many.levels]
+    assert min(map(len, many.levels)) > 1
+    monkeypatch.setattr(ngrams, "TASKS", 1)
+    few, words = ngrams.train(rows)
+    assert [sum(n for _, _, n, _ in level) for level in few.levels] == kept
+    assert 3 < len(few.levels[1]) < len(many.levels[1])  # more than tasks, fewer than ranges
+    monkeypatch.setattr(ngrams, "PART", 2_000_000)
+    one, _ = ngrams.train(rows)
+    scores = [{r["doc_id"]: r["score"] for r in ngrams.score(rows, m, words).collect()} for m in (many, few, one)]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 400
+
+
 def test_words_with_equal_hashes_stay_apart(spark, monkeypatch):
     table = pa.table({"key": [5, 5, 7], "word": [b"a", b"b", b"c"], "n": [1, 2, 3]})
     level = ngrams.Words(((5, 7, 3, ("x",)),), 1)
