@@ -5,10 +5,11 @@ last of which is the end id. Integers are run-length encoded; stripes carry row
 doc_id, so a reader skips files, stripes and row groups by id, and Spark reads the stripes of a file in parallel.
 
 Texts are encoded by a public vocabulary given as a path on the driver; its content (a few MB) is broadcast.
-Byte-level vocabularies cut a text before each single blank, so what follows a blank is encoded once per
-worker, many new pieces in one text, and looked up afterwards: Arrow splits the texts of a slice and numbers their
-different pieces, and the ids of all pieces are gathered in one step. Texts with white space beside a blank, or with a
-special token's string, are encoded as a whole. The lookup table is bounded by ``CACHE_WORDS`` and only saves time.
+Byte-level vocabularies cut a text before each single blank, and those with the usual pattern also where ASCII letters
+or digits meet other ASCII signs, and around a single newline. The pieces between are encoded once per worker, many new
+ones in one text, and looked up afterwards: the bytes of a slice are cut as one column, Arrow numbers their different
+pieces, and the ids of all pieces are gathered in one step. Texts with white space beside a blank, or with a special
+token's string, are encoded as a whole. The lookup table is bounded by ``CACHE_WORDS`` and only saves time.
 
 Edge cases: a null or empty text has only the end id; null ids come first; rows with equal ids keep all their
 rows; very long texts are one row; an empty table writes an empty folder that reads as empty; other columns are
@@ -28,15 +29,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bound_batches, text_slices, worker_cache
+from docketry.llm.common import bound_batches, row_slices, worker_cache
 
 CACHE_WORDS = 700_000
 #: White space on either side of a blank may join it in one token. Most texts know only blanks and newlines.
-BESIDE_BLANK = re.compile(r"\s | \s")
-OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: How byte-level vocabularies write a blank.
-BLANK = "Ġ"
+SPACE = r"[\t\n\v\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BESIDE_BLANK = rf"{SPACE} | {SPACE}"
+#: Kinds of bytes. Bytes beyond ASCII and control bytes are of no known kind, and no cut is made beside them.
+WORD, SIGN, APOSTROPHE, BREAK, GAP, KINDS = 1, 2, 3, 4, 5, 6
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = [WORD if chr(byte).isalnum() else SIGN for byte in range(33, 127)]
+KIND[[ord("'"), ord("\n"), ord(" ")]] = APOSTROPHE, BREAK, GAP
+#: Where to cut between two kinds (KINDS * left + right): always before a blank ...
+BEFORE_BLANK = np.zeros(256, np.uint8)
+BEFORE_BLANK[GAP : KINDS * KINDS : KINDS] = 1
+#: ... and by the usual pattern of byte-level vocabularies. An apostrophe may belong to the letters after it ('s).
+USUAL = BEFORE_BLANK.copy()
+for _left, _right in ((WORD, SIGN), (WORD, APOSTROPHE), (SIGN, WORD), (WORD, BREAK), (SIGN, BREAK), (APOSTROPHE, BREAK)):
+    USUAL[KINDS * _left + _right] = 1
+#: How byte-level vocabularies write a blank and a newline.
+BLANK, NEWLINE = "Ġ", "Ċ"
 RUN_PIECES = 1000
+#: Bytes cut at a time, so that one very long text takes little more memory than itself.
+CUT_BYTES = 8 << 20
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 FILE_SCHEMA = "doc_id bigint, file_start bigint, n_tokens int, ids array<int>"
@@ -47,13 +62,16 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.after_blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([BESIDE_BLANK, *special])
+        own = self.tokenizer.pre_tokenizer
+        self.usual = isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and not own.add_prefix_space and not self.tokenizer.normalizer
+        self.after_blank, self.newline = np.zeros((2, self.tokenizer.get_vocab_size()), bool)
         for token, at in self.tokenizer.get_vocab().items():
-            self.after_blank[at] = token.startswith(BLANK)
+            self.after_blank[at], self.newline[at] = token.startswith(BLANK), token == NEWLINE
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -61,76 +79,91 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
-    def runs(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without blanks that each follow a blank: many in one text, cut where a token starts with the blank."""
+    def runs(self, pieces: list[str], apart: bool = False) -> list[bytes]:
+        """Ids of pieces that each start with their only blank, or that a newline is to keep apart: many in one text."""
         out: list[bytes] = []
         groups = [pieces[low : low + RUN_PIECES] for low in range(0, len(pieces), RUN_PIECES)]
-        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.after_blank[np.frombuffer(ids, "<u4")])
-            if len(starts) != len(group):  # the vocabulary does not keep a blank at the start of its token
-                out += self.whole([" " + p for p in group])
+        before, opens, skip = ("\n", self.newline, 4) if apart else ("", self.after_blank, 0)
+        for group, ids in zip(groups, self.whole([before + before.join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(opens[np.frombuffer(ids, "<u4")])
+            if len(starts) != len(group):  # the vocabulary joins the blank or newline with what is beside it
+                out += self.whole(group)
                 continue
             cuts = [*(4 * starts).tolist(), len(ids)]
-            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out += [ids[a + skip : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces that the younger half does not hold, and now does."""
         if len(self.young) + len(pieces) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        known = pieces.intersection(self.old)
-        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        missing = pieces.difference(known)
-        # A piece that follows a blank is kept without it, the first piece of a text with one.
-        single = [p for p in missing if not p or p[0] == " " or p[-1].isspace()]
-        inner = list(missing.difference(single))
-        self.young.update(zip(single, self.whole([p[1:] if p[:1] == " " else " " + p for p in single]), strict=True))
-        self.young.update(zip(inner, self.runs(inner), strict=True))
-
-    def irregular(self, texts: list[str], column: pa.Array) -> list[int]:
-        """Which texts must be encoded as a whole."""
-        other = pc.match_substring_regex(column, OTHER_SPACE).to_numpy(zero_copy_only=False)
-        return [
-            at
-            for at, (text, more) in enumerate(zip(texts, other, strict=True))
-            if "  " in text or " \n" in text or "\n " in text or (more and BESIDE_BLANK.search(text)) or any(s in text for s in self.special)
-        ]
+        known = dict(zip(pieces, map(self.old.get, pieces), strict=True))
+        missing = [piece for piece, ids in known.items() if ids is None]
+        closed = [p for p in missing if not p[-1].isspace()]
+        inner = [p for p in closed if p[0] == " "]
+        apart = [p for p in closed if not p[0].isspace() and "\n" not in p] if self.usual else []
+        known.update(zip(inner, self.runs(inner), strict=True))
+        known.update(zip(apart, self.runs(apart, apart=True), strict=True))
+        single = [p for p in missing if known[p] is None]
+        known.update(zip(single, self.whole(single), strict=True))
+        self.young.update(known)
+        return list(known.values())
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; new ones are learned first."""
+        """Ids of different pieces; new ones are learned first."""
         ids = list(map(self.young.get, pieces))
         missing = [at for at, own in enumerate(ids) if own is None]
         if missing:
-            before = self.young
-            self.learn({pieces[at] for at in missing})
-            if self.young is not before:  # the older half was dropped
-                self.learn(set(pieces).difference(self.young))
-            for at in missing:
-                ids[at] = self.young[pieces[at]]
+            for at, own in zip(missing, self.learn([pieces[at] for at in missing]), strict=True):
+                ids[at] = own
         return ids
 
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and the number of ids of each text."""
-        column = pa.array(texts, pa.large_string())
-        direct = self.irregular(texts, column)
-        if direct:
-            wholes = dict(zip(direct, self.whole([texts[i] for i in direct]), strict=True))
-            column = pa.array(["" if at in wholes else text for at, text in enumerate(texts)], pa.large_string())
-        split = pc.split_pattern(column, " ")
-        starts = split.offsets.to_numpy()[:-1]
-        coded = split.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = self.look_up(pieces + [" " + pieces[c] for c in code[starts]])
-        for at in direct:
-            ids[len(pieces) + at] = wholes[at]
-        code[starts] = len(pieces) + np.arange(len(texts))
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Marks the bytes of regular texts where a piece starts; the starts of texts are not marked."""
+        table = (USUAL if self.usual else BEFORE_BLANK).tobytes()
+        cut = np.zeros(len(data), bool)
+        for low in range(0, len(data), CUT_BYTES):
+            start = max(low - 2, 0)  # a cut depends on two bytes before it
+            kind = np.frombuffer(data[start : low + CUT_BYTES].tobytes().translate(KIND.tobytes()), np.uint8)
+            own, pairs = cut[start : low + CUT_BYTES], kind[:-1] * np.uint8(KINDS) + kind[1:]
+            own[1:] |= np.frombuffer(pairs.tobytes().translate(table), bool)
+            if self.usual:  # after a single newline; how several are grouped depends on what follows
+                after = np.flatnonzero(kind[1:-1] == BREAK) + 2
+                own[after] |= np.isin(kind[after - 2], (WORD, SIGN, APOSTROPHE)) & np.isin(kind[after], (WORD, SIGN, APOSTROPHE))
+        return cut
+
+    def flat(self, column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), each with the ids of ``end``, one after the other, and their number in each text."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        whole = pc.match_substring_regex(column, self.irregular)
+        direct = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        wholes = self.whole(column.take(pa.array(direct)).to_pylist())
+        if wholes:
+            column = pc.if_else(whole, "", column)
+        bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        cut = self.cuts(data)
+        cut[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut).astype(np.int32)
+        edges = pa.py_buffer(np.append(starts, np.int32(len(data))))
+        coded = pa.StringArray.from_buffers(len(starts), edges, pa.py_buffer(data)).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*self.look_up(pieces), *wholes, end]
+        # After the pieces of each text comes the end; before it comes the whole text, if it was not cut.
+        last = np.searchsorted(starts, bounds[1:])
+        extra = np.insert(np.full(len(last), len(ids) - 1, np.int32), direct, len(pieces) + np.arange(len(direct)))
+        code = np.insert(coded.indices.to_numpy(), np.insert(last, direct, last[direct]), extra)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        table = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        return table.take(pa.array(code)).flatten().to_numpy(), np.add.reduceat(sizes[code], starts) if len(texts) else sizes
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        table = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        taken = table.take(pa.array(code))
+        stops = last + np.searchsorted(direct, np.arange(len(last)), side="right") + np.arange(1, len(last) + 1)
+        return taken.flatten().to_numpy(), np.diff(taken.offsets.to_numpy()[stops], prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        ids, counts = self.flat(texts)
+        ids, counts = self.flat(pa.array(texts, pa.string()))
         return [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
@@ -151,12 +184,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     shared, name = spark.sparkContext.broadcast(content), f"{os.path.basename(vocabulary_path)}:{zlib.crc32(content.encode())}"
 
     def encode(batches):
-        own, start = encoder(name, lambda: shared.value), 0
+        own, start, end = encoder(name, lambda: shared.value), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, texts in text_slices(batch, 1, 8 << 20):
-                flat, counts = own.flat(texts)
-                flat = np.insert(flat, np.cumsum(counts), end_id)
-                counts = counts + 1
+            for part in row_slices(batch, 1, 8 << 20):
+                flat, counts = own.flat(part.column(1), end)
                 ends = np.cumsum(counts)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(

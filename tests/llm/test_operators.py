@@ -232,6 +232,44 @@ def test_cached_pieces_equal_whole_encoding():
     assert own.encode(texts) == own.whole(texts)
 
 
+def test_pieces_are_learned_once_whatever_signs_and_lines_follow():
+    own, rnd = tokens.Encoder(open(VOCABULARY, encoding="utf-8").read()), random.Random(2)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    texts = ["".join(rnd.choice(words) + rnd.choice((" ", " ", ". ", ",", "\n", ".\n", "?\n")) for _ in range(300)) for _ in range(100)]
+    assert own.encode(texts) == own.whole(texts)
+    assert len(own.young) < 2 * len(words) + 10  # cut at blanks alone: 7,589
+
+
+def test_cuts_at_signs_and_newlines_equal_whole_encoding(monkeypatch):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    other, rnd = Tokenizer.from_file(VOCABULARY), random.Random(4)
+    split = pre_tokenizers.Split(Regex(r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+(?!\S)|\s+"), "isolated")
+    other.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    parts = [*"abst'.,-_ 1\n", "'s", "'re", "'ll", "\n\n", " the", ". ", "\x7f", "\x00", "\x1d", "\u2026", "\u00bd", "\u00e9", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(5000)]
+    for vocabulary in (open(VOCABULARY, encoding="utf-8").read(), other.to_str()):
+        own = tokens.Encoder(vocabulary)
+        want = own.whole(texts)
+        for block in (8 << 20, 100, 1):
+            monkeypatch.setattr(tokens, "CUT_BYTES", block)
+            assert own.encode(texts) == want
+        for kind in (pa.string(), pa.large_string()):
+            ids, counts = own.flat(pa.array(["cut off", None, *texts, None], kind).slice(1), b"\7\0\0\0")
+            assert ids.astype("<u4").tobytes() == b"".join(x + b"\7\0\0\0" for x in [b"", *want, b""])
+            assert counts.tolist() == [1, *(len(x) // 4 + 1 for x in want), 1]
+
+
+def test_pieces_are_right_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    own, rnd = tokens.Encoder(open(VOCABULARY, encoding="utf-8").read()), random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    for _ in range(40):
+        texts = [" ".join(rnd.choice(words) for _ in range(20)) for _ in range(3)]
+        assert own.encode(texts) == own.whole(texts)  # raised a KeyError when a slice filled the table twice
+        assert len(own.young) <= 70 and len(own.old) <= 70
+
+
 # Quality
 
 
